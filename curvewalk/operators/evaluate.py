@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from curvewalk.functions import clean, kolmogorov_p, normal_quantile, ratio
 from curvewalk.operators.scan import expand_runs, ordered_scan, value_runs
 
-Y, P, S = F.col("y_true"), F.col("y_pred"), F.col("y_std")
+def _y() -> Column:
+    return F.col("y_true")
+
+
+def _p() -> Column:
+    return F.col("y_pred")
+
+
+def _s() -> Column:
+    return F.col("y_std")
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -23,11 +32,11 @@ def prepare(df: DataFrame) -> DataFrame:
 
 
 def _valid() -> Column:
-    return Y.isNotNull() & P.isNotNull()
+    return _y().isNotNull() & _p().isNotNull()
 
 
 def _residual() -> Column:
-    return F.when(_valid(), Y - P)
+    return F.when(_valid(), _y() - _p())
 
 
 def _enough(n: int, column: Column) -> Column:
@@ -36,7 +45,7 @@ def _enough(n: int, column: Column) -> Column:
 
 def basic_columns() -> dict[str, Column]:
     e = _residual()
-    y = F.when(_valid(), Y)
+    y = F.when(_valid(), _y())
     n = F.count(e)
     return {
         "mae": F.avg(F.abs(e)),
@@ -48,17 +57,17 @@ def basic_columns() -> dict[str, Column]:
 
 
 def percentage_columns() -> dict[str, Column]:
-    usable = _valid() & (Y != 0)
-    apart = F.abs(Y - P)
+    usable = _valid() & (_y() != 0)
+    apart = F.abs(_y() - _p())
     return {
-        "mape": F.avg(F.when(usable, F.abs(ratio(Y - P, Y)))) * 100,
-        "smape": F.avg(F.when(usable, ratio(2 * apart, F.abs(P) + F.abs(Y)))) * 100,
+        "mape": F.avg(F.when(usable, F.abs(ratio(_y() - _p(), _y())))) * 100,
+        "smape": F.avg(F.when(usable, ratio(2 * apart, F.abs(_p()) + F.abs(_y())))) * 100,
     }
 
 
 def directional_columns() -> dict[str, Column]:
     """Needs ``previous`` = struct(y_true, y_pred) of the row before."""
-    step, guess = Y - F.col("previous.y_true"), P - F.col("previous.y_pred")
+    step, guess = _y() - F.col("previous.y_true"), _p() - F.col("previous.y_pred")
     known = step.isNotNull() & guess.isNotNull()
     up, guess_up = step > 0, guess > 0
     hit = F.when(up == guess_up, 100.0).otherwise(0.0)
@@ -72,7 +81,7 @@ def directional_columns() -> dict[str, Column]:
 
 
 def distribution_columns() -> dict[str, Column]:
-    y, p = F.when(_valid(), Y), F.when(_valid(), P)
+    y, p = F.when(_valid(), _y()), F.when(_valid(), _p())
     bias = F.avg(p) - F.avg(y)
     columns = {
         "bias": bias,
@@ -87,21 +96,21 @@ def distribution_columns() -> dict[str, Column]:
 
 
 def uncertainty_columns() -> dict[str, Column]:
-    usable = _valid() & S.isNotNull()
+    usable = _valid() & _s().isNotNull()
 
     def coverage(width: float) -> Column:
-        inside = (Y >= P - width * S) & (Y <= P + width * S)
+        inside = (_y() >= _p() - width * _s()) & (_y() <= _p() + width * _s())
         return F.avg(F.when(usable, F.when(inside, 100.0).otherwise(0.0)))
 
     def breadth(width: float) -> Column:
-        return F.avg(F.when(usable, (P + width * S) - (P - width * S)))
+        return F.avg(F.when(usable, (_p() + width * _s()) - (_p() - width * _s())))
 
     return {
         "coverage_95": coverage(1.96),
         "coverage_68": coverage(1.0),
         "avg_interval_width_95": breadth(1.96),
         "avg_interval_width_68": breadth(1.0),
-        "avg_prediction_std": F.avg(F.when(usable, S)),
+        "avg_prediction_std": F.avg(F.when(usable, _s())),
     }
 
 
@@ -151,7 +160,7 @@ def sequence_columns(
         sums={"pos": F.lit(1), "vpos": F.when(_valid(), 1).otherwise(0)},
         carries={
             "previous": (F.struct("y_true", "y_pred"), F.lit(True)),
-            "earlier": (F.struct((Y - P).alias("e")), _valid()),
+            "earlier": (F.struct((_y() - _p()).alias("e")), _valid()),
         },
     )
 
@@ -166,8 +175,8 @@ def ks_two_sample(df: DataFrame, keys: list[str]) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of actuals and predictions with asymptotic p."""
     valid = prepare(df).filter(_valid())
     pairs = F.array(
-        F.struct(F.lit(True).alias("actual"), Y.alias("value")),
-        F.struct(F.lit(False).alias("actual"), P.alias("value")),
+        F.struct(F.lit(True).alias("actual"), _y().alias("value")),
+        F.struct(F.lit(False).alias("actual"), _p().alias("value")),
     )
     both = valid.select(*keys, F.explode(pairs).alias("o")).select(*keys, "o.actual", "o.value")
     runs = value_runs(both, keys, "value", {"a": F.col("actual"), "b": ~F.col("actual")})
@@ -184,7 +193,7 @@ def ks_two_sample(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def residual_runs(df: DataFrame, keys: list[str]) -> DataFrame:
-    valid = prepare(df).filter(_valid()).select(*keys, (Y - P).alias("value"))
+    valid = prepare(df).filter(_valid()).select(*keys, (_y() - _p()).alias("value"))
     return value_runs(valid, keys, "value")
 
 
