@@ -10,6 +10,7 @@ from curvewalk.operators.features import derive, future, lag, moving_average, sp
 from curvewalk.operators.folds import WalkForward
 from curvewalk.operators.panel import load_panel, with_positions
 from curvewalk.operators.scan import ID_GRANULE, ordered_scan, over_blocks
+from curvewalk.sources.tables import materialize
 
 PLAN = WalkForward(window=250, min_window=100, refit_every=30)
 FEATURES = ["beta0", "beta1", "beta2", "lambda_", "beta0_lag", "beta0_moving_avg_5", "slope_spread"]
@@ -61,7 +62,8 @@ def curves(spark: SparkSession, sf: str, series: str = "c_mktsegment") -> DataFr
 
 
 def positioned_curves(spark: SparkSession, sf: str, series: str = "c_mktsegment") -> DataFrame:
-    return with_positions(curves(spark, sf, series))
+    """Positions need two passes, so the curves are stored once instead of aggregated twice."""
+    return with_positions(materialize(curves(spark, sf, series), "curves"))
 
 
 def featured(spark: SparkSession, sf: str, series: str = "c_mktsegment") -> DataFrame:
@@ -75,8 +77,9 @@ def featured(spark: SparkSession, sf: str, series: str = "c_mktsegment") -> Data
 
 
 def panel(spark: SparkSession, sf: str, series: str = "c_mktsegment") -> DataFrame:
-    """Complete rows, positioned afterwards."""
-    return with_positions(load_panel(featured(spark, sf, series), FEATURES, TARGETS))
+    """Complete rows, positioned afterwards and stored: every fold operator reads it again."""
+    complete = load_panel(featured(spark, sf, series), FEATURES, TARGETS)
+    return materialize(with_positions(complete), "panel")
 
 
 def forecast_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,6 +108,11 @@ def forecasts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecast pairs as the stored result table that evaluation reads, often more than once."""
+    return materialize(forecasts(spark, sf).drop("pos", "pos_total"), "forecasts")
+
+
 def observed_yields(spark: SparkSession, sf: str) -> DataFrame:
     """Observed percent yields by date and tenor."""
     return curve_points(daily_curve(spark, sf))

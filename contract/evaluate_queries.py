@@ -17,12 +17,12 @@ VALID = "y_true is not null and y_pred is not null"
 
 
 def _sequenced(spark, sf) -> DataFrame:
-    rows = b.forecasts(spark, sf).drop("pos", "pos_total")
+    rows = b.stored_forecasts(spark, sf)
     return ev.sequence_columns(rows, KEYS, b.FORECAST_ORDER, b.forecast_granules())
 
 
 def _all(spark, sf) -> DataFrame:
-    rows = b.forecasts(spark, sf).drop("pos", "pos_total")
+    rows = b.stored_forecasts(spark, sf)
     return ev.all_metrics(rows, KEYS, b.FORECAST_ORDER, b.forecast_granules())
 
 
@@ -178,7 +178,7 @@ COMPARISON = f"select segment, {', '.join(_COMPARED.split())} from ({H11}) as wh
 
 
 def _comparison(spark, sf) -> DataFrame:
-    rows = b.forecasts(spark, sf).drop("pos", "pos_total")
+    rows = b.stored_forecasts(spark, sf)
     return ev.compare_models(rows, KEYS, b.FORECAST_ORDER, b.forecast_granules())
 
 

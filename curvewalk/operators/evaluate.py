@@ -199,7 +199,7 @@ def residual_runs(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def shapiro_francia(df: DataFrame, keys: list[str]) -> DataFrame:
     """W' = squared correlation of ordered residuals with Blom normal scores."""
-    ranked = expand_runs(residual_runs(df, keys), keys)
+    ranked = expand_runs(residual_runs(df, keys))
     score = normal_quantile((F.col("rank") + 1 - 0.375) / (F.col("n_total") + 0.25))
     scored = ranked.select(*keys, "value", score.alias("m"))
     covered = F.covar_pop("value", "m")

@@ -75,7 +75,7 @@ def residual_histogram(df: DataFrame, keys: list[str], bins: int = 30) -> DataFr
 
 def normal_qq(df: DataFrame, keys: list[str]) -> DataFrame:
     """Ordered residuals against normal quantiles at Filliben's median positions."""
-    ranked = expand_runs(residual_runs(df, keys), keys)
+    ranked = expand_runs(residual_runs(df, keys))
     n, i = F.col("n_total"), F.col("rank") + 1
     last = F.pow(F.lit(0.5), 1.0 / n)
     spot = F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curvewalk.functions import ratio, total
+from curvewalk.functions import ratio
 from curvewalk.operators.candidates import PRIORS, check_candidates
 from curvewalk.operators.folds import WalkForward, fold_groups, prediction_rows
 from curvewalk.operators.panel import KEY
@@ -35,6 +35,11 @@ def task_count(df: DataFrame) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def folds_per_group(plan: WalkForward) -> int:
+    """Neighbouring folds handled together: enough that a row is copied about twice."""
+    return max(1, plan.window // plan.stride)
+
+
 def gram_names(size: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(size) for j in range(i, size)]
 
@@ -44,33 +49,36 @@ def fold_grams(panel: DataFrame, plan: WalkForward, features: list[str], targets
 
     A fold's window starts and ends on fixed offsets of the refit grid, so positions are cut into
     sub-blocks at both offsets and a fold is a whole number of them. Rows are summed map-side per
-    sub-block; only those sums fan out to the window / stride folds that use them.
+    sub-block; those sums go to the fold groups that use them, about twice each, and are added up
+    per fold inside the group.
     """
-    z = [F.lit(1.0), *[F.col(c).cast("double") for c in [*features, *targets]]]
+    z = ["1D", *[f"`{c}`" for c in [*features, *targets]]]
     pairs = gram_names(len(z))
-    names = [f"s{i}_{j}" for i, j in pairs]
-    stride, reach = plan.stride, -(-plan.window // plan.stride)
+    stride, reach, per_group = plan.stride, -(-plan.window // plan.stride), folds_per_group(plan)
     edge = -plan.window % stride
     offset = F.col("pos") + plan.embargo - plan.start
     block = F.floor(offset / stride)
     half = F.when(offset - block * stride >= edge, 1).otherwise(0)
+    products = ", ".join(f"sum({z[i]} * {z[j]})" for i, j in pairs)
     parts = (
         panel.filter(plan.first_fold <= plan.last_fold)
         .groupBy(*KEY, (2 * block + half).alias("sub"))
-        .agg(
-            F.max(plan.folds).alias("folds"),
-            *[F.sum(z[i] * z[j]).alias(name) for (i, j), name in zip(pairs, names)],
-        )
+        .agg(F.max(plan.folds).alias("folds"), F.expr(f"array({products})").alias("gram"))
     )
     lo = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("sub") + 1) / 2))
     hi = F.least(F.col("folds") - 1, F.floor((F.col("sub") - 1) / 2) + reach)
+    summed = ", ".join(f"sum(gram[{p}])" for p in range(len(pairs)))
+    first = F.greatest(F.col("_lo"), F.col("fold_group") * per_group)
+    last = F.least(F.col("_hi"), F.col("fold_group") * per_group + (per_group - 1))
     return (
         parts.withColumns({"_lo": lo, "_hi": hi})
         .filter(F.col("_lo") <= F.col("_hi"))
-        .withColumn("fold", F.explode(F.sequence("_lo", "_hi")))
-        .groupBy(*KEY, "fold")
-        .agg(*[F.sum(name).alias(name) for name in names])
-        .select(*KEY, "fold", F.array(*names).alias("gram"))
+        .withColumn("fold_group", F.expr(f"explode(sequence(_lo div {per_group}, _hi div {per_group}))"))
+        .repartition(task_count(panel), *KEY, "fold_group")
+        .withColumn("fold", F.explode(F.sequence(first, last)))
+        .groupBy(*KEY, "fold_group", "fold")
+        .agg(F.expr(f"array({summed})").alias("gram"))
+        .drop("fold_group")
     )
 
 
@@ -202,17 +210,16 @@ def evidence_ridge(
                 ]
             )
 
-    spread_out = grams.repartition(task_count(grams), *KEY, "fold")
-    return spread_out.mapInPandas(fit, FIT_SCHEMA)
+    return grams.mapInPandas(fit, FIT_SCHEMA)
 
 
-def linear_predictions(features: list[str], targets: list[str]) -> dict[str, Column]:
-    """``prediction_<target>`` from ``coef`` and ``intercept`` arrays, as plain arithmetic."""
-    return {
-        f"prediction_{t}": F.col("intercept")[j]
-        + total([F.col(x) * F.col("coef")[j][i] for i, x in enumerate(features)])
-        for j, t in enumerate(targets)
-    }
+def linear_predictions(features: list[str], targets: list[str]) -> list[str]:
+    """``prediction_<target>`` from ``coef`` and ``intercept`` arrays, as plain SQL arithmetic."""
+    terms = [
+        " + ".join([f"intercept[{j}]", *[f"`{x}` * coef[{j}][{i}]" for i, x in enumerate(features)]])
+        for j in range(len(targets))
+    ]
+    return [f"{term} as `prediction_{t}`" for term, t in zip(terms, targets)]
 
 
 def in_sample(
@@ -223,8 +230,9 @@ def in_sample(
     Rows and fits meet per group of neighbouring folds, so a row is shuffled about twice instead
     of once per fold it trains.
     """
-    per_group = max(1, plan.window // plan.stride)
+    per_group = folds_per_group(plan)
     rows = fold_groups(panel.select(*KEY, "date", "pos", "pos_total", *features, *targets), plan, per_group)
+    rows = rows.repartition(task_count(panel), *KEY, "fold_group")
     grouped = fits.withColumn("fold_group", F.floor(F.col("fold") / per_group)).select(
         *KEY, "fold_group", "fold", "candidate", "ordinal", "coef", "intercept"
     )
@@ -232,9 +240,9 @@ def in_sample(
     return (
         rows.join(grouped, [*KEY, "fold_group"])
         .filter(inside)
-        .select(
+        .selectExpr(
             *KEY, "fold_group", "fold", "candidate", "ordinal", "date", "pos", *targets,
-            *[c.alias(n) for n, c in linear_predictions(features, targets).items()],
+            *linear_predictions(features, targets),
         )
     )
 
@@ -266,24 +274,21 @@ def predict(
     if std_mode not in ("posterior", "reference"):
         raise ValueError(f"unknown std_mode {std_mode!r}; modes are posterior and reference")
     rows = prediction_rows(panel, plan).join(fits, [*KEY, "fold"])
+    p = range(len(features))
     if std_mode == "posterior":
-        away = [F.col(x) - F.col("x_mean")[i] for i, x in enumerate(features)]
-        along = [total([d * F.col("basis")[k][i] for i, d in enumerate(away)]) for k in range(len(features))]
-        rows = rows.withColumn("_u", F.array(*along))
+        along = [" + ".join(f"(`{features[i]}` - x_mean[{i}]) * basis[{k}][{i}]" for i in p) for k in p]
+        rows = rows.withColumn("_u", F.expr(f"array({', '.join(along)})"))
         stds = [
-            F.sqrt(
-                total([F.col("_u")[k] * F.col("_u")[k] * F.col("spread")[j][k] for k in range(len(features))])
-                + F.col("noise")[j]
-            )
+            "sqrt(" + " + ".join([f"noise[{j}]", *[f"_u[{k}] * _u[{k}] * spread[{j}][{k}]" for k in p]]) + ")"
             for j in range(len(targets))
         ]
     else:
-        stds = [F.lit(0.0) for _ in targets]
-    return rows.select(
+        stds = ["0D"] * len(targets)
+    return rows.selectExpr(
         *KEY, "date", "pos", "k", "fold", "retrain", "candidate",
-        *[F.col(t).alias(f"actual_{t}") for t in targets],
-        *[c.alias(n) for n, c in linear_predictions(features, targets).items()],
-        *[s.alias(f"std_{t}") for s, t in zip(stds, targets)],
+        *[f"`{t}` as `actual_{t}`" for t in targets],
+        *linear_predictions(features, targets),
+        *[f"{s} as `std_{t}`" for s, t in zip(stds, targets)],
     )
 
 

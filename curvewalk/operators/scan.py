@@ -179,23 +179,20 @@ def value_runs(
     )
 
 
-def expand_runs(runs: DataFrame, keys: list[str], limit: int = 1 << 16) -> DataFrame:
+def expand_runs(runs: DataFrame, limit: int = 1 << 16) -> DataFrame:
     """Back from value runs to one row per input row, with its 0-based ``rank`` in value order.
 
-    Long tie runs are cut into chunks of ``limit`` that spread over tasks first.
+    Tie runs are cut into chunks of ``limit`` and rebalanced before they expand, so a value held by
+    a large share of the rows does not expand in one task.
     """
-
-    def numbered(part: DataFrame, start: Column, stop: Column) -> DataFrame:
-        return part.withColumn("rank", F.explode(F.sequence(start, stop)))
-
     below, here = F.col("n"), F.col("n_here")
-    short = numbered(runs.filter(here <= limit), below, below + here - 1)
-    chunked = runs.filter(here > limit).withColumn(
-        "_start", F.explode(F.sequence(below, below + here - 1, F.lit(limit)))
-    )
-    chunked = chunked.repartition(*keys, "_start")
+    chunks = runs.withColumn("_start", F.explode(F.sequence(below, below + here - 1, F.lit(limit))))
     stop = F.least(F.col("_start") + limit - 1, below + here - 1)
-    return short.unionByName(numbered(chunked, F.col("_start"), stop).drop("_start"))
+    return (
+        chunks.hint("rebalance")
+        .withColumn("rank", F.explode(F.sequence(F.col("_start"), stop)))
+        .drop("_start")
+    )
 
 
 def value_at(position: Column) -> Column:

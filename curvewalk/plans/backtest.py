@@ -91,9 +91,9 @@ def ridge_backtest(
     metric: str = "cosine_similarity",
     priors: dict[str, float] = PRIORS,
     std_mode: str = "posterior",
-    store: bool = False,
+    store: bool = True,
 ) -> Backtest:
-    """Ridge family. ``store`` keeps the fits in the shared folder when several outputs follow."""
+    """Ridge family. Fits feed both scoring and prediction, so ``store`` keeps them in the shared folder."""
     check_metric(metric)
     grams = ridge.fold_grams(panel, plan, features, targets)
     fits = ridge.evidence_ridge(grams, len(features), len(targets), priors)

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs a few round trips per column expression; plans here have thousands.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
