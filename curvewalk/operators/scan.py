@@ -85,8 +85,8 @@ def ordered_scan(
 
     ``sums`` maps a name to the amount each row adds (default ``pos``: 1, the dense 0-based
     position). ``carries`` maps a name to ``(value, condition)``; the result column holds the value
-    of the nearest earlier row meeting the condition. Keys and order columns must not be NULL and
-    the order must be total within a key.
+    of the nearest earlier row meeting the condition. The order must be total within a key; rows
+    whose key or order is NULL have no place in it and are left out.
     """
     sums = {"pos": F.lit(1)} if sums is None else dict(sums)
     carries = dict(carries or {})
@@ -96,6 +96,8 @@ def ordered_scan(
         | {f"_a_{s}": amount.cast("long") for s, amount in sums.items()}
         | {f"_b_{c}": F.when(cond, value) for c, (value, cond) in carries.items()}
     )
+    # Stated once here so that every branch below carries the same filter and shares its exchange.
+    tagged = tagged.filter(" and ".join(f"`{c}` is not null" for c in [*keys, *order, *marks]))
     at = F.struct(*order)
     leaf = tagged.groupBy(*keys, *marks).agg(
         *[F.sum(f"_a_{s}").alias(f"_t_{s}") for s in sums],
@@ -155,7 +157,7 @@ def value_granules(value: Column) -> list[Column]:
     Independent of the data, so no statistics pass is needed; NULL and NaN must be gone.
     """
     scale = F.signum(value) * F.log1p(F.least(F.abs(value), F.lit(1e290)) * 1e12)
-    return [F.floor(scale * 256).cast("long"), F.floor(scale * 4194304).cast("long")]
+    return [F.coalesce(F.floor(scale * steps).cast("long"), F.lit(0)) for steps in (1 << 8, 1 << 22)]
 
 
 def value_runs(
