@@ -213,10 +213,22 @@ def evidence_ridge(
     return grams.mapInPandas(fit, FIT_SCHEMA)
 
 
+def weight_columns(n_features: int, n_targets: int) -> list[str]:
+    """Flat columns ``w<target>_<feature>`` (feature 0 is the intercept) from the fit's arrays.
+
+    Taken out of the arrays once per fit, not once per (row, fit) pair.
+    """
+    found = []
+    for j in range(n_targets):
+        found.append(f"intercept[{j}] as w{j}_0")
+        found += [f"coef[{j}][{i}] as w{j}_{i + 1}" for i in range(n_features)]
+    return found
+
+
 def linear_predictions(features: list[str], targets: list[str]) -> list[str]:
-    """``prediction_<target>`` from ``coef`` and ``intercept`` arrays, as plain SQL arithmetic."""
+    """``prediction_<target>`` as plain SQL arithmetic on the flat weights."""
     terms = [
-        " + ".join([f"intercept[{j}]", *[f"`{x}` * coef[{j}][{i}]" for i, x in enumerate(features)]])
+        " + ".join([f"w{j}_0", *[f"`{x}` * w{j}_{i}" for i, x in enumerate(features, 1)]])
         for j in range(len(targets))
     ]
     return [f"{term} as `prediction_{t}`" for term, t in zip(terms, targets)]
@@ -233,8 +245,9 @@ def in_sample(
     per_group = folds_per_group(plan)
     rows = fold_groups(panel.select(*KEY, "date", "pos", "pos_total", *features, *targets), plan, per_group)
     rows = rows.repartition(task_count(panel), *KEY, "fold_group")
-    grouped = fits.withColumn("fold_group", F.floor(F.col("fold") / per_group)).select(
-        *KEY, "fold_group", "fold", "candidate", "ordinal", "coef", "intercept"
+    grouped = fits.selectExpr(
+        *KEY, f"fold div {per_group} as fold_group", "fold", "candidate", "ordinal",
+        *weight_columns(len(features), len(targets)),
     )
     inside = (F.col("pos") >= plan.fit_start(F.col("fold"))) & (F.col("pos") < plan.fit_end(F.col("fold")))
     return (
@@ -273,7 +286,8 @@ def predict(
     """
     if std_mode not in ("posterior", "reference"):
         raise ValueError(f"unknown std_mode {std_mode!r}; modes are posterior and reference")
-    rows = prediction_rows(panel, plan).join(fits, [*KEY, "fold"])
+    flat = fits.selectExpr("*", *weight_columns(len(features), len(targets)))
+    rows = prediction_rows(panel, plan).join(flat, [*KEY, "fold"])
     p = range(len(features))
     if std_mode == "posterior":
         along = [" + ".join(f"(`{features[i]}` - x_mean[{i}]) * basis[{k}][{i}]" for i in p) for k in p]
