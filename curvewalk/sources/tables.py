@@ -89,10 +89,14 @@ def read_samples(spark: SparkSession, root: str, horizon: str | None = None) ->
 
 
 def read_dated_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files named ``<date>.parquet`` without a date column: the date comes from the file name."""
+    """Files named ``<date>.parquet`` without a date column: the date comes from the file name.
+
+    The name counts up to its first dot. Hadoop file systems do not allow ``:`` in names, so a time
+    of day cannot be part of it.
+    """
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
     df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-    return df.select("*", F.to_date(F.to_timestamp(F.url_decode(stem))).alias("date"))
+    return df.select("*", F.to_date(stem).alias("date"))
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
