@@ -251,7 +251,7 @@ def d3_moving_average(spark, sf):
 def _ema(span: int) -> str:
     keep = f"{1.0 - 2.0 / (span + 1)!r}::double"
     return f"""select now.series_id, now.date, sum(old.beta0*power({keep}, now.pos - old.pos))/sum(power({keep}, now.pos - old.pos)) as beta0_exp_moving_avg_{span}
- from v2 as now join v2 as old on old.series_id = now.series_id and old.pos <= now.pos and old.pos > now.pos - {5 * span} group by now.series_id, now.date"""
+ from v2 as now join v2 as old on old.series_id = now.series_id and old.pos <= now.pos group by now.series_id, now.date"""
 
 
 @query(sql=f"with {v.V2} {_ema(30)}", doubles="beta0_exp_moving_avg_30")

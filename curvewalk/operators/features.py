@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvewalk.operators.panel import KEY
@@ -17,6 +18,7 @@ class Derivation:
     build: Callable
     back: int = 0
     ahead: int = 0
+    max_block: int | None = None
 
 
 def future(column: str, rows: int) -> Derivation:
@@ -41,27 +43,19 @@ def moving_average(column: str, rows: int) -> Derivation:
 def exponential_average(column: str, span: int) -> Derivation:
     """Decayed mean with alpha = 2 / (span + 1) and weights renormalised at the series start.
 
-    The frame stops after ``5 * span`` rows, where the weight left out is below 5e-5.
+    A running sum of ``x * keep^-offset`` inside the block. Rows copied from before the block reach
+    back until their weight is below 1e-17, so the result does not depend on where blocks start.
     """
+    if span < 2:
+        raise ValueError("span must be at least 2; with span 1 the average is the column itself")
     keep = 1.0 - 2.0 / (span + 1)
-    rows = 5 * span
 
     def build(w) -> Column:
-        frame = w.rowsBetween(-(rows - 1), 0)
-        points = F.collect_list(F.struct(F.col("pos").alias("p"), F.col(column).alias("x"))).over(frame)
-        return F.aggregate(
-            points,
-            F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("weight")),
-            lambda acc, point: F.when(point["x"].isNull(), acc).otherwise(
-                F.struct(
-                    (acc["top"] + point["x"] * F.pow(F.lit(keep), F.col("pos") - point["p"])).alias("top"),
-                    (acc["weight"] + F.pow(F.lit(keep), F.col("pos") - point["p"])).alias("weight"),
-                )
-            ),
-            lambda acc: F.try_divide(acc["top"], acc["weight"]),
-        )
+        frame = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+        weight = F.when(F.col(column).isNotNull(), F.pow(F.lit(keep), -F.col("_offset")))
+        return F.try_divide(F.sum(F.col(column) * weight).over(frame), F.sum(weight).over(frame))
 
-    return Derivation(build, back=rows - 1)
+    return Derivation(build, back=20 * (span + 1), max_block=128 * (span + 1))
 
 
 def average_spread(column: str, short: int, long: int) -> Derivation:
@@ -72,12 +66,14 @@ def average_spread(column: str, short: int, long: int) -> Derivation:
 
 def derive(df: DataFrame, derivations: Mapping[str, Derivation], keys: list[str] | None = None) -> DataFrame:
     """Append derived columns to a panel that carries ``pos``."""
+    limits = [d.max_block for d in derivations.values() if d.max_block]
     return over_blocks(
         df,
         keys or KEY,
         {name: d.build for name, d in derivations.items()},
         back=max(d.back for d in derivations.values()),
         ahead=max(d.ahead for d in derivations.values()),
+        size=min(limits) if limits else None,
     )
 
 

@@ -137,7 +137,8 @@ def over_blocks(
     """Append window columns that look at most ``back`` rows back and ``ahead`` rows ahead.
 
     ``columns`` maps a name to a function of the window, e.g.
-    ``lambda w: F.avg("x").over(w.rowsBetween(-4, 0))``.
+    ``lambda w: F.avg("x").over(w.rowsBetween(-4, 0))``. Inside it ``_offset`` is the row's place
+    relative to the start of the block, negative for rows copied from the block before.
     """
     size = size or max(4096, 8 * (back + ahead))
     first = F.greatest(F.lit(0), F.expr(f"({pos} - {ahead}) div {size}"))
@@ -145,19 +146,23 @@ def over_blocks(
     window = W.partitionBy(*keys, "_block").orderBy(pos)
     return (
         df.withColumn("_block", F.explode(F.sequence(first, last)))
+        .withColumn("_offset", F.expr(f"{pos} - _block * {size}"))
         .withColumns({name: build(window) for name, build in columns.items()})
         .filter(F.expr(f"{pos} div {size} = _block"))
-        .drop("_block")
+        .drop("_block", "_offset")
     )
 
 
 def value_granules(value: Column) -> list[Column]:
-    """Two order-preserving levels of a double: signed log scale at 2^-8 and 2^-22 resolution.
+    """Two order-preserving levels of a double: signed log scale at 2^-8 and 2^-30 resolution.
 
-    Independent of the data, so no statistics pass is needed; NULL and NaN must be gone.
+    Independent of the data, so no statistics pass is needed, and bounded for any data: a key has
+    under 400,000 coarse granules, a coarse granule at most 2^22 fine ones, and a fine granule at
+    most about 2^22 distinct doubles (above 1e-12 in size; closer to zero it is 1e-21 wide). NULL
+    and NaN must be gone.
     """
     scale = F.signum(value) * F.log1p(F.least(F.abs(value), F.lit(1e290)) * 1e12)
-    return [F.coalesce(F.floor(scale * steps).cast("long"), F.lit(0)) for steps in (1 << 8, 1 << 22)]
+    return [F.coalesce(F.floor(scale * steps).cast("long"), F.lit(0)) for steps in (1 << 8, 1 << 30)]
 
 
 def value_runs(

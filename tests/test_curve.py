@@ -93,7 +93,19 @@ def test_derivations_against_pandas(spark):
     assert np.allclose(got["lag"], s.shift(), equal_nan=True)
     assert np.allclose(got["label"], s.shift(-7), equal_nan=True)
     assert np.allclose(got["spread"], s.rolling(3).mean() - s.rolling(10).mean(), equal_nan=True)
-    assert np.allclose(got["ema"], s.ewm(span=4).mean(), atol=1e-3)
+    assert np.allclose(got["ema"], s.ewm(span=4).mean(), atol=1e-12)
+
+
+def test_exponential_average_across_blocks_and_gaps(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    x = pd.Series(rng.normal(size=3000))
+    x[rng.random(3000) < 0.1] = np.nan
+    pdf = pd.DataFrame({"series_id": "a", "pos": range(3000), "x": x})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    got = features.derive(df, {"e": features.exponential_average("x", 3)}).orderBy("pos").toPandas()
+    assert np.allclose(got["e"], x.ewm(span=3).mean(), atol=1e-12, equal_nan=True)
 
 
 def test_describe_matches_pandas(spark):
