@@ -130,10 +130,13 @@ def f6_evidence_ridge(spark, sf):
     return fits.select(*KEYS, "candidate", "n_train", "intercept", "coef", "noise")
 
 
-@query()
+@query(sql=f"with {v.TRAIN} select series_id, fold, 3 as n_candidates, '{', '.join(sorted(KERNELS))}' as candidates, count(*) as n_train from train group by series_id, fold")
 def f7_gaussian_candidates(spark, sf):
+    """Every fold is fitted with every kernel on its whole window."""
     return _gaussian(spark, sf).scores.groupBy(*KEYS).agg(
-        F.count("*").alias("n_candidates"), F.array_sort(F.collect_list("candidate")).alias("candidates")
+        F.count("*").alias("n_candidates"),
+        F.array_join(F.array_sort(F.collect_list("candidate")), ", ").alias("candidates"),
+        F.max("n_train").alias("n_train"),
     )
 
 
@@ -245,6 +248,29 @@ def c7_backtest(spark, sf):
     return _ridge(spark, sf).forecasts
 
 
+_LAYOUT = ", ".join(f"{t} as actual_{t}" for t in TARGETS)
+_ACTUALS = [f"actual_{t}" for t in TARGETS]
+
+
+@query(
+    sql=f"with {v.V3} select series_id, date, pos, pos - {v._W} as k, (pos - {v._W}) // {v._R} as fold, (pos - {v._W}) % {v._R} = 0 as retrain, {_LAYOUT} from v3 where pos >= {v._W}",
+    doubles=" ".join(_ACTUALS),
+)
+def c7_backtest_layout(spark, sf):
+    """The schedule and actual values of the backtest's rows, without the fitted numbers."""
+    done = _ridge(spark, sf).forecasts
+    return done.filter("prediction_beta0_future_val is not null").select(*KEYS, "date", "pos", "k", "retrain", *_ACTUALS)
+
+
+@query(
+    sql=f"with {v.V3} select series_id, date, pos, 0 as k, 0 as fold, true as retrain, {_LAYOUT} from v3 where pos = pos_total - 1 and pos >= {v._W}",
+    doubles=" ".join(_ACTUALS),
+)
+def c8_single_step_layout(spark, sf):
+    done = _gaussian(spark, sf, WalkForward(b.PLAN.window, 100, 30, last_n=1)).forecasts
+    return done.filter("std_beta0_future_val > 0").select(*KEYS, "date", "pos", "k", "retrain", *_ACTUALS)
+
+
 @query()
 def c8_single_step(spark, sf):
     """The last window of every series only."""

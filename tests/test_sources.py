@@ -68,6 +68,22 @@ def test_rewriting_one_horizon_keeps_the_others(spark, tmp_path):
     assert [r.v for r in tables.read_samples(spark, path, "b").collect()] == [3]
 
 
+class Session:
+    """Just enough of a session to ask for its shared folder."""
+
+    def __init__(self, master, folder):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder)})
+
+
+def test_shared_folder_follows_the_cluster_setting():
+    assert tables.shared_folder(Session("yarn", "hdfs:///shared/"), "fits").startswith("hdfs:///shared/fits-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Session("yarn", None), "fits")
+    local = tables.shared_folder(Session("local[2]", None), "fits")
+    assert local.rsplit("/", 1)[0] == tables.shared_folder(Session("local[2]", None), "other").rsplit("/", 1)[0]
+
+
 def test_positions_out_of_range_raise(spark):
     df = spark.createDataFrame(
         [("a", i) for i in range(5)] + [("b", i) for i in range(2)], "series_id string, d int"
