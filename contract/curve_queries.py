@@ -72,7 +72,7 @@ def e3_percentile(spark, sf):
 )
 def e3_percentile_any_group(spark, sf):
     """Percentile ranks where a group may hold any share of the rows."""
-    rows = b.forecast_rows(spark, sf)
+    rows = tables.materialize(b.forecast_rows(spark, sf), "forecast-rows")
     return curve.percentile_ranks(rows, ["segment"], "y_true", None).select("segment", "order_key", "percentile")
 
 

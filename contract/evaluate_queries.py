@@ -113,7 +113,7 @@ def h4_distribution(spark, sf):
 
 @query(sql=f"with {v.V4}, {KS} select segment, ks_statistic, ks_pvalue from ks", doubles="ks_statistic ks_pvalue")
 def h5_ks_two_sample(spark, sf):
-    return ev.ks_two_sample(b.forecasts(spark, sf), KEYS)
+    return ev.ks_two_sample(b.stored_forecasts(spark, sf), KEYS)
 
 
 @query(sql=f"with {v.V4} {UNCERTAINTY}", doubles="coverage_95 coverage_68 avg_interval_width_95 avg_interval_width_68 avg_prediction_std")
@@ -138,7 +138,7 @@ def h9_variance_ratio(spark, sf):
 
 @query(sql=f"with {v.V4}, {FRANCIA} select segment, shapiro_francia_w from francia", doubles="shapiro_francia_w")
 def h10_normality(spark, sf):
-    return ev.shapiro_francia(b.forecasts(spark, sf), KEYS)
+    return ev.shapiro_francia(b.stored_forecasts(spark, sf), KEYS)
 
 
 H11 = f"""with {v.V4}, {STEPS}, {MOMENTS}, {LAGGED}, {KS}, {FRANCIA}
@@ -256,7 +256,7 @@ def i3_residual_table(spark, sf):
     doubles="bin_start density",
 )
 def i4_residual_histogram(spark, sf):
-    return report.residual_histogram(b.forecasts(spark, sf), KEYS)
+    return report.residual_histogram(b.stored_forecasts(spark, sf), KEYS)
 
 
 _FILLIBEN = "case when i = n then power(0.5e0, 1e0/n) when i = 1 then 1e0 - power(0.5e0, 1e0/n) else (i - 0.3175e0)/(n + 0.365e0) end"
@@ -267,7 +267,7 @@ QQ = f"""places as (select segment, e, row_number() over (partition by segment o
 
 @query(sql=f"with {v.V4}, {QQ} select * from qq", doubles="quantile residual")
 def i5_normal_qq(spark, sf):
-    return report.normal_qq(b.forecasts(spark, sf), KEYS)
+    return report.normal_qq(b.stored_forecasts(spark, sf), KEYS)
 
 
 @query(
@@ -275,7 +275,7 @@ def i5_normal_qq(spark, sf):
     doubles="slope intercept r",
 )
 def i5_qq_line(spark, sf):
-    return report.qq_line(report.normal_qq(b.forecasts(spark, sf), KEYS), KEYS)
+    return report.qq_line(report.normal_qq(b.stored_forecasts(spark, sf), KEYS), KEYS)
 
 
 @query(
@@ -288,8 +288,10 @@ def i6_metric_matrix(spark, sf):
 
 
 def _summary(spark, sf) -> DataFrame:
-    sizes = ev.metrics(ev.prepare(b.forecasts(spark, sf)), KEYS, ev.basic_columns())
-    results = _comparison(spark, sf).join(sizes.select("segment", F.col("n_samples").alias("predictions_count")), "segment")
+    rows = b.stored_forecasts(spark, sf)
+    sizes = ev.metrics(ev.prepare(rows), KEYS, ev.basic_columns())
+    compared = ev.compare_models(rows, KEYS, b.FORECAST_ORDER, b.forecast_granules())
+    results = compared.join(sizes.select("segment", F.col("n_samples").alias("predictions_count")), "segment")
     return report.summary_report(results, "segment")
 
 

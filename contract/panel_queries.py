@@ -299,7 +299,7 @@ _STATS = ["beta0", "beta1", "beta2", "lambda_", "beta0_future_val"]
     doubles="mean std min q25 q50 q75 max",
 )
 def h15_describe(spark, sf):
-    return panel.describe(panel.load_panel(b.featured(spark, sf), b.FEATURES, b.TARGETS), _STATS)
+    return panel.describe(b.panel(spark, sf), _STATS)
 
 
 @query(sql=f"with {v.V3} select min(date) as min_date, max(date) as max_date from v3")
