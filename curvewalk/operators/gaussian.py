@@ -128,6 +128,7 @@ def fit_fold(
     xz, zz, az = _products(x, z), _products(z, z), _products(ahead, z)
     own = (np.zeros(len(ahead)), (ahead * ahead).sum(1))
     yy = (y * y).sum()
+    constants, noises = np.array(grid.constant), np.array(grid.noise)
     best = None
     for shape in grid.shapes(kernel):
         k = _kernel(kernel, shape)
@@ -139,15 +140,14 @@ def fit_fold(
         stretch = np.clip(stretch, 0.0, None)
         pull = turn.T @ (phi.T @ y)
         power = (pull * pull).sum(1)
-        for constant in grid.constant:
-            for noise in grid.noise:
-                s2 = noise + NUGGET
-                a = constant * stretch + s2
-                misfit = (yy - constant * (power / a).sum()) / s2
-                volume = np.log(a).sum() + (n - len(a)) * np.log(s2) + n * LOG_2PI
-                evidence = -0.5 * (misfit + targets * volume)
-                if best is None or evidence > best[0]:
-                    best = evidence, shape, constant, noise, (k, root, phi, turn, pull, a)
+        scales = constants[:, None, None] * stretch + (noises + NUGGET)[None, :, None]
+        misfit = (yy - constants[:, None] * (power / scales).sum(-1)) / (noises + NUGGET)
+        volume = np.log(scales).sum(-1) + (n - len(stretch)) * np.log(noises + NUGGET) + n * LOG_2PI
+        evidence = -0.5 * (misfit + targets * volume)
+        c, s = np.unravel_index(np.argmax(evidence), evidence.shape)
+        if best is None or evidence[c, s] > best[0]:
+            state = k, root, phi, turn, pull, scales[c, s]
+            best = evidence[c, s], shape, constants[c], noises[s], state
     evidence, shape, constant, noise, (k, root, phi, turn, pull, a) = best
     weights = constant * (turn @ (pull / a[:, None]))
     scores = _scores(y, phi @ weights)
