@@ -224,7 +224,7 @@ _AHEAD = f"""{v.BEST}, ahead as (select *, (pos - {v._W}) // {v._R} as fold from
 @query(sql=f"with {_AHEAD} select series_id, fold, candidate, pos, {', '.join(_GUESSES)} from predicted", doubles=" ".join(_GUESSES))
 def g2_ridge_predict(spark, sf):
     panel = b.panel(spark, sf)
-    predicted = ridge.predict(panel, b.PLAN, _best_fits(panel), PAIR, TARGETS, "reference")
+    predicted = ridge.predict(panel, b.PLAN, _best_fits(panel), PAIR, TARGETS, "row_spread")
     return predicted.select(*KEYS, "candidate", "pos", *_GUESSES)
 
 

@@ -281,11 +281,11 @@ def predict(
 ) -> DataFrame:
     """Predictions and standard deviations for the rows each fold has to forecast.
 
-    ``std_mode='posterior'`` uses weight and noise uncertainty; ``'reference'`` is the spread over
+    ``std_mode='posterior'`` uses weight and noise uncertainty; ``'row_spread'`` is the spread over
     prediction rows, which is 0 for the one-row predictions made here.
     """
-    if std_mode not in ("posterior", "reference"):
-        raise ValueError(f"unknown std_mode {std_mode!r}; modes are posterior and reference")
+    if std_mode not in ("posterior", "row_spread"):
+        raise ValueError(f"unknown std_mode {std_mode!r}; modes are posterior and row_spread")
     flat = fits.selectExpr("*", *weight_columns(len(features), len(targets)))
     rows = prediction_rows(panel, plan).join(flat, [*KEY, "fold"])
     p = range(len(features))

@@ -32,7 +32,7 @@ class Backtest:
     metric: str
 
     def samples(self, n_samples: int = 1000, scale: float | None = None) -> DataFrame:
-        """Predictive draws: the process spread, or for ridge the fixed reference spread."""
+        """Predictive draws: the process spread, or for ridge the fixed spread."""
         if self.family == "ridge" and scale is None:
             scale = RIDGE_SAMPLE_SCALE
         return draw_samples(self.forecasts, self.targets, [*KEY, "date"], n_samples, scale)
