@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from curvewalk.llm.counts import count_tokens
 from curvewalk.llm.encoding import encoding_digests
 from curvewalk.llm.packing import pack
+from curvewalk.llm.quality import judge_quality
 from curvewalk.llm.sharding import assign_shards
 from curvewalk.llm.simhash import near_duplicates
+from curvewalk.llm.topk import top_k
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +39,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), budget=2048)
 
 
+@query(
+    """
+    with rows as (select row_number() over () as uid, vec_id, embedding from embeddings
+                  where embedding is not null and vec_id is not null
+                    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+         parts as (select uid, vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as d from rows),
+         ints as (select uid, vec_id, d, floor(256 * x)::bigint as w from parts),
+         scores as (select q.uid as q, q.vec_id as query_id, c.vec_id as vec_id, c.uid as uid, sum(q.w * c.w)::bigint as score
+                    from ints q join ints c on q.d = c.d and q.uid <> c.uid where q.vec_id % 50 = 0 group by all),
+         ranked as (select *, row_number() over (partition by q order by score desc, vec_id, uid)::int as rank from scores)
+    select query_id, rank, vec_id, score from ranked where rank <= 5
+    """
+)
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
 @query()
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,6 +72,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
 
 
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(documents(spark, sf_dir))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select("doc_id", *base, "kept", "distance", "judged_by")
+
+
 @query()
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(documents(spark, sf_dir), shards=40)
