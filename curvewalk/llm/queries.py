@@ -13,6 +13,7 @@ from curvewalk.llm.packing import pack
 from curvewalk.llm.quality import judge_quality
 from curvewalk.llm.sharding import assign_shards
 from curvewalk.llm.simhash import near_duplicates
+from curvewalk.llm.substrings import remove_repeats
 from curvewalk.llm.topk import top_k
 from pyspark.sql import functions as F
 
@@ -56,6 +57,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
 
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), width=50)
+
+
 @query()
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
