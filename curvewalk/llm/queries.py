@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from curvewalk.llm.counts import count_tokens
 from curvewalk.llm.encoding import encoding_digests
 from curvewalk.llm.packing import pack
+from curvewalk.llm.personal import personal_data
 from curvewalk.llm.quality import judge_quality
 from curvewalk.llm.sharding import assign_shards
 from curvewalk.llm.simhash import near_duplicates
@@ -89,3 +90,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(documents(spark, sf_dir), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
