@@ -16,6 +16,7 @@ from curvewalk.llm.sharding import assign_shards
 from curvewalk.llm.simhash import near_duplicates
 from curvewalk.llm.substrings import remove_repeats
 from curvewalk.llm.topk import top_k
+from curvewalk.llm.toxicity import fit, score_toxicity
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    lexicon = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, lexicon).select("doc_id", "held_out", "score", "predicted", "hits")
+
+
 @query()
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), budget=2048)
