@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvewalk.llm.tables import map_columns
+from curvewalk.llm.tables import body_key, map_columns
 from curvewalk.llm.textstats import statistics
 from curvewalk.sources.tables import materialize
 
@@ -33,13 +33,14 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"),
+        body_key(text_col).alias("body"),
     )
 
-    def run(doc_id, text, lang, source) -> dict:
+    def run(doc_id, text, lang, source, body) -> dict:
         rows = np.array([statistics(t) for t in text.to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
-        return {"doc_id": doc_id, "lang": lang, "source": source} | dict(zip(COUNTS, rows.T))
+        return {"doc_id": doc_id, "lang": lang, "source": source, "body": body} | dict(zip(COUNTS, rows.T))
 
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
+    schema = "doc_id long, lang string, source string, body long, " + ", ".join(f"{c} long" for c in COUNTS)
     return map_columns(slim, run, schema)
 
 
@@ -140,7 +141,7 @@ def judge_quality(
     lang_col: str = "lang",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: (doc_id, counts, base_failed, distance, judged_by, kept).
+    """One row per document: (doc_id, body, counts, base_failed, distance, judged_by, kept).
 
     base_failed: under 20 words, or over 30 in 100 words inside repeated 8-word windows. kept is false then, or
     if the row's robust distance from its language and source exceeds radius. A language and source with under
@@ -167,6 +168,7 @@ def judge_quality(
     unjudged = keyed.where("key is null").withColumn("d2", F.lit(None).cast("double"))
     return judged.unionByName(unjudged).select(
         "doc_id",
+        "body",
         *COUNTS,
         "base_failed",
         F.sqrt(F.greatest("d2", F.lit(0.0))).alias("distance"),

@@ -68,7 +68,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir), width=50)
+    return remove_repeats(documents(spark, sf_dir), width=50).drop("body")
 
 
 @query()

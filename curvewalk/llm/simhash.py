@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curvewalk.llm.components import components
-from curvewalk.llm.tables import _arrow_schema, id_and_text, map_columns
+from curvewalk.llm.tables import _arrow_schema, body_key, id_and_text, map_columns
 from curvewalk.sources.tables import materialize
 
 BITS = 64
@@ -37,13 +37,14 @@ def fingerprint(text: str, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each text as a signed long; 0 for texts without words."""
+    """(doc_id, body, fp): the fingerprint of each text as a signed long; 0 for texts without words."""
 
-    def run(doc_id, text) -> dict:
+    def run(doc_id, text, body) -> dict:
         prints = np.array([fingerprint(t, width) for t in text.to_pylist()], dtype=np.uint64)
-        return {"doc_id": doc_id, "fp": prints.view(np.int64)}
+        return {"doc_id": doc_id, "body": body, "fp": prints.view(np.int64)}
 
-    return map_columns(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
+    slim = id_and_text(docs, id_col, text_col).withColumn("body", body_key())
+    return map_columns(slim, run, "doc_id long, body long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -148,10 +149,10 @@ def _forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def near_duplicates(
     docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: (doc_id, fingerprint, component_id, class_id).
+    """One row per document: (doc_id, fingerprint, component_id, class_id, body).
 
     Texts are linked if their fingerprints differ in at most distance bits; component_id is the smallest doc_id
-    reachable over links, class_id the smallest one with the same fingerprint. Texts without words (null ones
+    reachable over links, class_id the smallest one with the same fingerprint, body a hash of the text. Texts without words (null ones
     included) have fingerprint 0 and are linked like any other. Repeated rows are one node each under their id;
     an empty table gives no rows. A null doc_id stays null and counts as larger than any other. Other columns
     are ignored.
@@ -168,5 +169,6 @@ def near_duplicates(
             F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
             "component_id",
             "class_id",
+            "body",
         )
     )

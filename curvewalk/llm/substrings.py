@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvewalk.llm.suffixes import repeated_windows
-from curvewalk.llm.tables import _arrow_schema, id_and_text
+from curvewalk.llm.tables import _arrow_schema, body_key, id_and_text
 
 #: Length of the strings an anchor is chosen from.
 GRAM = 20
@@ -49,6 +49,8 @@ class Block:
         keys = [LAST if i is None else i for i in ids]
         order = sorted(range(len(ids)), key=lambda i: (keys[i], texts[i]))
         self.ids = [ids[i] for i in order]
+        bodies = table["body"].to_pylist()
+        self.bodies = [bodies[i] for i in order]
         self.keys = np.array([keys[i] for i in order], dtype=np.int64)
         self.raw = [texts[i].encode() for i in order]
         self.bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
@@ -320,7 +322,7 @@ def _cut(width: int, fields: pa.Schema, with_text: bool):
             np.add.at(marks, begin + hit[earlier, 2] + width - 1, -1)
         gone = np.cumsum(marks[:-1]) > 0
         out = []
-        for doc, raw, start, end in zip(block.ids, block.raw, block.starts.tolist(), block.ends.tolist()):
+        for doc, body, raw, start, end in zip(block.ids, block.bodies, block.raw, block.starts.tolist(), block.ends.tolist()):
             mask = gone[start:end]
             removed = int(mask.sum())
             if removed:
@@ -328,7 +330,7 @@ def _cut(width: int, fields: pa.Schema, with_text: bool):
                 kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
             else:
                 spans, kept = 0, raw
-            row = (doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest())
+            row = (doc, body, len(raw), removed, spans, hashlib.sha256(kept).hexdigest())
             out.append((*row, _whole_characters(raw, mask) if removed else raw.decode()) if with_text else row)
         return _rows(fields, out)
 
@@ -347,18 +349,19 @@ def _whole_characters(raw: bytes, gone: np.ndarray) -> str:
 def remove_repeats(
     docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
 ) -> DataFrame:
-    """One row per document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]).
+    """One row per document: (doc_id, body, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]).
 
     Removed is every byte covered by a string of width UTF-8 bytes that also starts in a document with a smaller
     doc_id, judged on the input. The first document with a passage keeps it; strings never cross documents, and
-    rows with equal ids don't count against each other. n_spans counts maximal removed runs. kept_text drops a
+    rows with equal ids don't count against each other. n_spans counts maximal removed runs, body is a hash of
+    the text. kept_text drops a
     character only if all its bytes are removed, so it stays valid UTF-8. A null text counts as empty; texts
     shorter than width lose nothing; a null doc_id counts as larger than any other. An empty table gives no rows;
     other columns are ignored.
     """
     if width <= GRAM:
         raise ValueError(f"width must exceed {GRAM} bytes")
-    slim = id_and_text(docs, id_col, text_col)
+    slim = id_and_text(docs, id_col, text_col).withColumn("body", body_key())
     total = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks, ranges = max(1, -(-total // BLOCK)), max(1, -(-total // RANGE))
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
@@ -371,6 +374,6 @@ def remove_repeats(
     sent = by_block.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, MESSAGES)
     answer_schema = "dest long, block int, segments binary"
     answers = sent.groupBy("dest").applyInArrow(_sort_shard(width, _arrow_schema(docs, answer_schema)), answer_schema)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "doc_id long, body long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     cut = _cut(width, _arrow_schema(docs, schema), with_text)
     return by_block.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)

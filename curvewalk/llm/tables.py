@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rows = Iterator[pa.RecordBatch]
@@ -19,6 +19,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def body_key(text_col: str = "text") -> Column:
+    """A hash that names a text beside its id, so that rows with repeated or null ids can be told apart."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFrame:
     """Run fn over Arrow batches. It gets one Arrow array a column and returns a column for each name of schema.
 

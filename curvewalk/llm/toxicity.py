@@ -33,7 +33,7 @@ SAME = {"i": "l"}
 UNSEEN = "​‌‍⁠﻿­"
 
 #: Labelled rows of each label that a lexicon is learned from at most, on average: the bound of the fit.
-FIT_ROWS = 6_000
+FIT_ROWS = 4_000
 #: Words of a text that are added to its length, so that one hit in a short text doesn't count as a dense one.
 PRIOR_WORDS = 20
 LEAST_CONTEXTS, LEAST_WEIGHT, MOST_TERMS = 4, 2.0, 5_000
@@ -117,12 +117,19 @@ def learn(texts: list[str], toxic: list[int], share: float | None = None) -> Lex
     if not n_toxic or not n_clean:
         level = 4.0 if n_toxic and not n_clean else -4.0
         return Lexicon({}, [], [level, 0.0, 0.0])
+    often: dict[str, int] = defaultdict(int)
+    for words, y in rows:
+        if y:
+            for term in {form for word in set(words) for form in _forms(word)}:
+                often[term] += 1
+    often = {term: n for term, n in often.items() if n >= LEAST_CONTEXTS}
     for number, (words, y) in enumerate(rows):
         if y:
             for before, word, after in zip([""] + words, words, words[1:] + [""]):
                 for term in _forms(word):
-                    contexts[term].add(hash((before, after)))
-                    inside[term].add(number)
+                    if term in often:
+                        contexts[term].add(hash((before, after)))
+                        inside[term].add(number)
     for words, y in rows:
         if not y:
             for term in {form for word in set(words) for form in _forms(word)}:
