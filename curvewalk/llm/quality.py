@@ -171,7 +171,7 @@ def judge_quality(
         "body",
         *COUNTS,
         "base_failed",
-        F.sqrt(F.greatest("d2", F.lit(0.0))).alias("distance"),
+        F.sqrt(F.when(F.col("d2") < 0, 0.0).otherwise(F.col("d2"))).alias("distance"),
         F.col("key").alias("judged_by"),
         (~F.col("base_failed") & F.coalesce(F.col("d2") <= radius**2, F.lit(True))).alias("kept"),
     )
