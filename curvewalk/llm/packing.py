@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curvewalk.llm.encoding import coder
+from curvewalk.llm.merging import batch_coder
 from curvewalk.llm.tables import _arrow_schema
 from curvewalk.sources.tables import materialize
 
 #: Queues at most: sources beyond that share one by their hash. It bounds the table of totals.
 QUEUES = 256
+#: Rows of the table of queue positions up to which it is broadcast; beyond, the join is left to Spark.
+SMALL = 200_000
 
 
 class Mixture:
@@ -134,11 +136,11 @@ def tokens_by_queue(
     closing = end_id.to_bytes(4, "little")
 
     def run(batches):
-        code, counts = coder(vocabulary), {}
+        code, counts = batch_coder(vocabulary), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                ids = [code.encode(t) + closing for t in batch.column(1).to_pylist()]
+                ids = [x + closing for x in code.encode(batch.column(1).to_pylist())]
                 queues, parts, before = batch.column(2).to_pylist(), batch.column(3), []
                 for q, x in zip(queues, ids):
                     before.append(counts.get(q, 0))
@@ -187,7 +189,11 @@ def pack(
     parts = tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("tokens"))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("queue", "part", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
-    totals = {r.queue: r.n for r in parts.groupBy("queue").agg(F.sum("tokens").alias("n")).collect()}
+    sums = parts.groupBy("queue").agg(F.sum("tokens").alias("n"), F.count("*").alias("parts")).collect()
+    totals = {r.queue: r.n for r in sums}
+    # One row per part and queue: sent to all tasks while it is small, so that ids need no shuffle.
+    if sum(r.parts for r in sums) <= SMALL:
+        bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).select(
         "doc_id", "queue", (F.col("base") + F.col("before")).alias("first"), "n_tokens", "ids"
     )
