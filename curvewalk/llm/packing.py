@@ -68,20 +68,23 @@ class Mixture:
         """Tokens of a queue of n with (2t + 1) / 2n <= time / scale."""
         return min(n, (2 * n * time // scale + 1) // 2)
 
-    def cuts(self, queue: int, start: int, length: int, known: dict[int, list[int]]) -> list[tuple[int, int, int, int]]:
-        """Pieces of tokens start to start + length of a queue: (start, length, window, offset in the window)."""
-        i, out, at, end = self.place[queue], [], start, start + length
-        guess = self._window_of(i, at, known)
-        while at < end:
-            before, after = self._taken(guess, known), self._taken(guess + 1, known)
-            if at >= after[i]:
-                guess += 1
-                continue
-            upto = min(end, after[i])
-            offset = sum(after[j] - before[j] for j in range(i)) + at - before[i]
-            out.append((at, upto - at, guess, offset))
-            at = upto
-        return out
+    def cuts(self, queue: int, firsts: np.ndarray, end: int, known: dict[int, list[int]]) -> tuple[np.ndarray, ...]:
+        """Pieces of texts that follow each other in a queue from firsts on, up to end.
+
+        Arrays over the pieces: the text, the first token in the queue, the length, the window and the place there.
+        """
+        i, low = self.place[queue], int(firsts[0])
+        window = self._window_of(i, low, known)
+        taken = [self._taken(window, known)]
+        while taken[-1][i] < end:
+            taken.append(self._taken(window + len(taken), known))
+        counts = np.array(taken, dtype=np.int64)
+        own = counts[:, i]
+        at = np.unique(np.concatenate([firsts, own[(own > low) & (own < end)]]))
+        inside = np.searchsorted(own, at, side="right") - 1
+        others = (counts[1:, :i] - counts[:-1, :i]).sum(axis=1)
+        text = np.searchsorted(firsts, at, side="right") - 1
+        return text, at, np.diff(np.append(at, end)), window + inside, others[inside] + at - own[inside]
 
     def _window_of(self, i: int, at: int, known: dict[int, list[int]]) -> int:
         """The first window that holds token at of the i-th queue."""
@@ -207,16 +210,34 @@ def pack(
 
 def _pieces(mixture: Mixture, fields: pa.Schema, with_ids: bool, batches):
     known: dict[int, list[int]] = {}
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            rows: list[tuple] = []
-            for doc, queue, first, n, ids in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns)):
-                wide = memoryview(_widen(ids))
-                for begin, length, window, offset in mixture.cuts(queue, first, n, known):
-                    for skip, size, sequence, place in mixture.sequences(window, offset, length):
-                        start = begin - first + skip
-                        piece = wide[4 * start : 4 * (start + size)]
-                        row = (doc, start, size, zlib.crc32(piece), n, sequence, place, queue)
-                        rows.append((*row, bytes(piece)) if with_ids else row)
-            columns = zip(*rows) if rows else [[]] * len(fields)
+    full = mixture.total // mixture.size
+    for batch in batches:
+        for low in range(0, batch.num_rows, 2000):
+            part = batch.slice(low, 2000)
+            docs, texts = part.column(0).to_pylist(), [memoryview(_widen(x)) for x in part.column(4).to_pylist()]
+            queues, firsts, sizes = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+            order = np.lexsort((firsts, queues))
+            ends = (firsts + sizes)[order]
+            new = np.concatenate([[True], (queues[order][1:] != queues[order][:-1]) | (firsts[order][1:] != ends[:-1])])
+            heads = np.flatnonzero(new)
+            found: list[tuple[np.ndarray, ...]] = []
+            for begin, stop in zip(heads, np.append(heads[1:], len(order))):
+                rows = order[begin:stop]
+                text, at, length, window, offset = mixture.cuts(int(queues[rows[0]]), firsts[rows], int(ends[stop - 1]), known)
+                found.append((rows[text], at - firsts[rows[text]], length, window, offset))
+            row, start, length, window, offset = (np.concatenate(x) for x in zip(*found))
+            whole = window < full
+            if not whole.all():
+                tail = [
+                    (r, s + skip, n, sequence, place)
+                    for r, s, size, w, o in zip(*(x[~whole].tolist() for x in (row, start, length, window, offset)))
+                    for skip, n, sequence, place in mixture.sequences(w, o, size)
+                ]
+                parts = (x[whole] for x in (row, start, length, window, offset))
+                row, start, length, window, offset = (np.concatenate([x, y]) for x, y in zip(parts, np.array(tail).T))
+            spans = list(zip(row.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist()))
+            sums = [zlib.crc32(texts[r][a:b]) for r, a, b in spans]
+            columns = [[docs[r] for r, _, _ in spans], start, length, sums, sizes[row], window, offset, queues[row]]
+            if with_ids:
+                columns.append([bytes(texts[r][a:b]) for r, a, b in spans])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=fields)
