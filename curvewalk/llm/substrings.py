@@ -125,7 +125,17 @@ def _rows(fields: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 
 def _joined(table: pa.Table, column: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table[column].to_pylist() if x is not None), dtype=dtype)
+    return np.frombuffer(b"".join(_expand(x) for x in table[column].to_pylist() if x is not None), dtype=dtype)
+
+
+def _squeeze(values: np.ndarray | bytes) -> bytes:
+    """Compressed bytes after their length: what goes through the shuffle."""
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
 ANCHORS = "range int, block int, names binary, documents binary"
@@ -155,7 +165,7 @@ def _list_anchors(width: int, ranges: int, fields: pa.Schema):
         out = []
         for low, high in zip(cuts, np.concatenate([cuts[1:], [len(name)]])):
             low32 = (name[low:high] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out.append((int(part[low]), number, low32.tobytes(), count[low:high].tobytes()))
+            out.append((int(part[low]), number, _squeeze(low32), _squeeze(count[low:high])))
         return _rows(fields, out)
 
     return run
@@ -172,12 +182,13 @@ def _compare_anchors(fields: pa.Schema):
         total = np.empty(len(names), dtype=np.int64)
         total[order] = np.repeat(sums, np.diff(np.concatenate([heads, [len(names)]])))
         part, at, out = np.uint64(table["range"][0].as_py()) << np.uint64(32), 0, []
-        for block, size in zip(table["block"].to_pylist(), (len(x) // 4 for x in table["names"].to_pylist())):
+        for block, packed in zip(table["block"].to_pylist(), table["names"].to_pylist()):
+            size = int.from_bytes(packed[:8], "little") // 4
             mine, here = names[at : at + size], total[at : at + size]
             shared = here > 1
             full = mine[shared].astype(np.uint64) | part
             if shared.any():
-                out.append((block, full.tobytes(), (here[shared] > COMMON).astype(np.uint8).tobytes()))
+                out.append((block, _squeeze(full), _squeeze((here[shared] > COMMON).astype(np.uint8))))
             at += size
         return _rows(fields, out)
 
@@ -225,7 +236,8 @@ def _send_runs(width: int, ranges: int, shards: int, fields: pa.Schema):
         if not places:
             return _rows(fields, [])
         this = table["block"][0].as_py()
-        out = [(-1 - this, this, np.array(places, dtype=np.int64).tobytes(), None, None, None, None, None)]
+        # Column by column: neighbours differ little, so they compress well.
+        out = [(-1 - this, this, _squeeze(np.ascontiguousarray(np.array(places, np.int32).T)), *[None] * 5)]
         dealt: dict[int, list[tuple[int, int, bytes]]] = {}
         for (route, text), seg in number.items():
             dealt.setdefault((route >> 7) % shards, []).append((seg, route, text))
@@ -235,12 +247,12 @@ def _send_runs(width: int, ranges: int, shards: int, fields: pa.Schema):
                 (
                     shard,
                     this,
-                    np.array(ids, np.int64).tobytes(),
-                    np.array(routes, np.uint64).tobytes(),
-                    np.array([len(t) for t in texts], np.int64).tobytes(),
-                    np.array([owners[i] for i in ids], np.int64).tobytes(),
-                    np.array([many[i] for i in ids], np.uint8).tobytes(),
-                    b"".join(texts),
+                    _squeeze(np.array(ids, np.int32)),
+                    _squeeze((np.array(routes, np.uint64) >> np.uint64(32)).astype(np.uint32)),
+                    _squeeze(np.array([len(t) for t in texts], np.int32)),
+                    _squeeze(np.array([owners[i] for i in ids], np.int64)),
+                    _squeeze(np.array([many[i] for i in ids], np.uint8)),
+                    _squeeze(b"".join(texts)),
                 )
             )
         return _rows(fields, out)
@@ -258,9 +270,10 @@ def _sort_shard(width: int, fields: pa.Schema):
         owners: list[int] = []
         asked: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[int]]] = []
         for row in table.to_pylist():
-            segs, routes = np.frombuffer(row["segments"], np.int64), np.frombuffer(row["routes"], np.uint64).tolist()
-            ends = np.cumsum(np.frombuffer(row["sizes"], np.int64)).tolist()
-            own, text, at, mine = np.frombuffer(row["owners"], np.int64), row["text"], 0, []
+            segs = np.frombuffer(_expand(row["segments"]), np.int32)
+            routes = np.frombuffer(_expand(row["routes"]), np.uint32).tolist()
+            ends = np.cumsum(np.frombuffer(_expand(row["sizes"]), np.int32)).tolist()
+            own, text, at, mine = np.frombuffer(_expand(row["owners"]), np.int64), _expand(row["text"]), 0, []
             for route, end, owner in zip(routes, ends, own.tolist()):
                 seg = distinct.setdefault((route, text[at:end]), len(owners))
                 if seg == len(owners):
@@ -269,12 +282,12 @@ def _sort_shard(width: int, fields: pa.Schema):
                     owners[seg] = owner
                 mine.append(seg)
                 at = end
-            asked.append((row["block"], segs, own, np.frombuffer(row["many"], np.uint8), mine))
+            asked.append((row["block"], segs, own, np.frombuffer(_expand(row["many"]), np.uint8), mine))
         texts = [text for _, text in distinct]
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         own = np.array(owners, dtype=np.int64)
         # A run whose anchor no other distinct run has: its windows are where the run is.
-        routes = np.array([route for route, _ in distinct], dtype=np.uint64)
+        routes = np.array([route for route, _ in distinct], dtype=np.uint32)
         _, route, alike = np.unique(routes, return_inverse=True, return_counts=True)
         several = np.flatnonzero(alike[route] > 1)
         starts = np.cumsum(sizes[several]) - sizes[several]
@@ -295,7 +308,7 @@ def _sort_shard(width: int, fields: pa.Schema):
                 if repeated or least_doc < owner
             ]
             if found:
-                out.append((0, block, np.array(found, dtype=np.int64).tobytes()))
+                out.append((0, block, _squeeze(np.array(found, dtype=np.int64))))
         return _rows(fields, out)
 
     return run
@@ -309,7 +322,7 @@ def _cut(width: int, fields: pa.Schema, with_text: bool):
         marks = np.zeros(len(block.bytes) + 1, dtype=np.int32)
         if answers.num_rows:
             own = np.array(answers["dest"].to_pylist()) < 0
-            places = _joined(answers.filter(pa.array(own)), "segments", np.int64).reshape(-1, 4)
+            places = _joined(answers.filter(pa.array(own)), "segments", np.int32).reshape(4, -1).T.astype(np.int64)
             found = _joined(answers.filter(pa.array(~own)), "segments", np.int64).reshape(-1, 4)
             found = found[np.argsort(found[:, 0], kind="stable")]
             low = np.searchsorted(found[:, 0], places[:, 0], side="left")
