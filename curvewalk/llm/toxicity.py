@@ -215,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     if not limits:
         return learn([], [])
     sample = known.where(F.coalesce(*limits))
-    rows = id_and_text(docs, id_col, text_col).join(sample, "doc_id").select("doc_id", "text", "toxic").collect()
+    # The sample is bounded by fit_rows, so its ids go to the texts and no text is shuffled.
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     share = counts.get(1, 0) / sum(counts.values())
     return learn([r.text for r in rows], [r.toxic for r in rows], share)
