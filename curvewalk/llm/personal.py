@@ -119,7 +119,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _beside(text: Column, span: Column) -> Column:
-    """Terms within BESIDE code points of a span, whole words only, with their places in the text."""
+    """Terms within BESIDE code points of a span, whole words only, with their places and neighbours."""
     left_at = F.greatest(span["start"] - BESIDE, F.lit(0))
     left = F.substring(text, left_at + 1, span["start"] - left_at)
     right = F.substring(text, span["end"] + 1, F.lit(BESIDE))
@@ -136,10 +136,21 @@ def _beside(text: Column, span: Column) -> Column:
     before = terms(left, left_at, lambda s: (left_at == 0) | (s["start"] > 0))
     after = terms(right, span["end"], lambda s: s["end"] < BESIDE)
     return F.struct(
-        span["kind"].alias("kind"),
-        span["value"].alias("value"),
-        F.xxhash64(left, right).alias("context"),
-        F.concat(before, after).alias("terms"),
+        span["kind"].alias("kind"), span["value"].alias("value"), F.concat(before, after).alias("terms")
+    )
+
+
+def _with_neighbours(terms: Column) -> Column:
+    """Each term with the terms before and after it; the entity between them is passed over."""
+    return F.transform(
+        terms,
+        lambda t, i: F.struct(
+            t["term"].alias("term"),
+            t["start"].alias("start"),
+            t["end"].alias("end"),
+            F.when(i > 0, F.get(terms, i - 1)["term"]).alias("before"),
+            F.get(terms, i + 1)["term"].alias("after"),
+        ),
     )
 
 
@@ -148,9 +159,9 @@ def find_spans(
 ) -> DataFrame:
     """One row per document: (doc_id, key1, key2, email, ip, card, phone, terms), arrays of spans.
 
-    A term beside an entity is masked if the two stand together in at least least_contexts different contexts
-    (copies of a passage count once) and its information reaches the entity's content divided by alpha. Its kind
-    is 'removed' if it reaches 95 % of the content, 'term' otherwise. Counts are of different texts, over all rows.
+    A term beside an entity is masked if it stands there after at least least_contexts different words and before as
+    many (so copies of a passage count once), and its information reaches the entity's content divided by alpha. Its kind
+    is 'removed' if it reaches 95 % of the content, 'term' otherwise. Frequencies are shares of all documents.
     key1 and key2 name a row's id and text for joins. A null text counts as empty and has no spans.
     """
     slim = docs.select(
@@ -162,19 +173,20 @@ def find_spans(
     every = F.concat(*KINDS)
     found = materialize(
         found.select(
-            "doc_id", "key1", "key2", F.xxhash64("text").alias("body"), *KINDS,
+            "doc_id", "key1", "key2", *KINDS,
             F.transform(every, lambda s: _beside(text, s)).alias("entities"),
         ),
         "personal",
     )
-    held = found.where(F.size("entities") > 0).select("key1", "key2", "body", F.explode("entities").alias("e"))
-    held = held.select("key1", "key2", "body", "e.kind", "e.value", "e.context", F.explode("e.terms").alias("t"))
-    seen = held.select("key1", "key2", "body", "kind", "value", "context", "t.term", "t.start", "t.end")
+    held = found.where(F.size("entities") > 0).select("key1", "key2", F.explode("entities").alias("e"))
+    held = held.select("key1", "key2", "e.kind", "e.value", F.explode(_with_neighbours(F.col("e.terms"))).alias("t"))
+    seen = held.select("key1", "key2", "kind", "value", "t.*")
     together = seen.groupBy("kind", "value", "term").agg(
-        F.countDistinct("context").alias("contexts"), F.countDistinct("body").alias("n_both")
+        F.least(F.countDistinct("before"), F.countDistinct("after")).alias("contexts"),
+        F.countDistinct("key1", "key2").alias("n_both"),
     )
-    together = materialize(together.where(F.col("contexts") >= least_contexts), "personal-pairs")
-    flagged = _disclosing(together, found, slim, alpha)
+    together = together.where(F.col("contexts") >= least_contexts)
+    flagged = _disclosing(together, seen, found, slim, alpha)
     spots = (
         seen.join(flagged, ["kind", "value", "term"])
         .groupBy("key1", "key2", "start", "end")
@@ -194,30 +206,35 @@ def row_keys() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("key1"), F.hash("text", "doc_id").alias("key2")]
 
 
-def _disclosing(together: DataFrame, found: DataFrame, slim: DataFrame, alpha: float) -> DataFrame:
-    """(kind, value, term, mask) of the pairs whose mutual information is too high."""
+def _disclosing(together: DataFrame, seen: DataFrame, found: DataFrame, slim: DataFrame, alpha: float) -> DataFrame:
+    """(kind, value, term, mask) of the pairs whose mutual information is too high.
+
+    The documents with a term beside any entity are a lower bound of those with the term. It rules out nearly all
+    pairs before words of whole texts are counted.
+    """
     entities = (
-        found.select("body", F.explode("entities").alias("e"))
+        found.select("key1", "key2", F.explode("entities").alias("e"))
         .groupBy("e.kind", "e.value")
-        .agg(F.countDistinct("body").alias("n_entity"))
+        .agg(F.countDistinct("key1", "key2").alias("n_entity"))
     )
-    wanted = together.select("term").distinct()
-    if wanted.isEmpty():  # no pair to count words for
-        return together.select("kind", "value", "term", F.lit("").alias("mask"))
+    near = seen.groupBy("term").agg(F.countDistinct("key1", "key2").alias("n_near"))
+    n = float(slim.count())
+    content = -F.log2(F.col("n_entity") / n)
+
+    def told(count: str) -> Column:
+        return F.log2(F.col("n_both") * n / (F.col(count) * F.col("n_entity")))
+
+    pairs = together.join(entities, ["kind", "value"]).join(near, "term")
+    pairs = materialize(pairs.where((content > 0) & (told("n_near") >= content / alpha)), "personal-pairs")
+    wanted = pairs.select("term").distinct()
     words = slim.select(
-        F.xxhash64("text").alias("body"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"),
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")
     )
-    counts = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = slim.agg(F.countDistinct(F.xxhash64("text")).alias("n"))
-    n = float(total.first()["n"])
-    content = -F.log2(F.col("n_entity") / n)
-    told = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
+    counts = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     return (
-        together.join(entities, ["kind", "value"])
-        .join(counts, "term")
-        .where((content > 0) & (told >= content / alpha))
-        .select("kind", "value", "term", F.when(told >= 0.95 * content, "removed").otherwise("term").alias("mask"))
+        pairs.join(counts, "term")
+        .where(told("n_term") >= content / alpha)
+        .select("kind", "value", "term", F.when(told("n_term") >= 0.95 * content, "removed").otherwise("term").alias("mask"))
     )
 
 
