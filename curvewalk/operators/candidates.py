@@ -23,17 +23,23 @@ KERNELS = ("ExpSineSquared", "RBF", "RationalQuadratic")
 EXTRA_KERNELS = ("DotProduct", "Matern", "Combined_RBF_ExpSine")
 
 NUGGET = 1e-6
+# Search bounds of lengths, mixtures and periods.
+SHAPE_BOUNDS = (1e-2, 1e2)
 
 
 @dataclass(frozen=True)
 class KernelGrid:
-    """Hyper-parameter values tried for every kernel; all lie inside the usual search bounds."""
+    """Hyper-parameter values tried for every kernel, and the factors by which the best shape is moved after.
 
-    length: tuple[float, ...] = (0.3, 1.0, 3.0, 10.0)
+    Constants and noises span their whole search bounds; shapes are refined inside SHAPE_BOUNDS.
+    """
+
+    length: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)
     mixture: tuple[float, ...] = (0.1, 1.0, 10.0)
-    period: tuple[float, ...] = (1.0, 5.0, 20.0)
-    constant: tuple[float, ...] = (0.1, 1.0, 10.0)
-    noise: tuple[float, ...] = (1e-5, 1e-3, 1e-1)
+    period: tuple[float, ...] = (0.1, 1.0, 10.0)
+    constant: tuple[float, ...] = tuple(10.0 ** (i / 2) for i in range(-6, 7))
+    noise: tuple[float, ...] = tuple(10.0 ** (i / 2) for i in range(-12, 3))
+    refine: tuple[float, ...] = (3.0, 1.7, 1.25)
 
     def shapes(self, kernel: str) -> list[dict[str, float]]:
         names = {

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curvewalk.functions import ratio
+from curvewalk.functions import clean, ratio
 from curvewalk.operators.scan import value_runs
 
 # Tenor names and maturities in years.
@@ -71,18 +75,29 @@ def curve_points(df: DataFrame) -> DataFrame:
 def percentile_ranks(df: DataFrame, group: list[str], value: str, max_group: int | None) -> DataFrame:
     """Average-tie percentile rank of ``value`` within ``group``.
 
-    ``max_group`` is a known bound on rows per group, such as the number of draws per date; then
-    one window does it. With ``None`` the group may be any size and ranks come from a value scan.
+    Rows whose value is NULL or NaN, or whose group is NULL, keep a NULL percentile and count for no
+    other row. ``max_group`` says that the caller knows a bound on rows per group, such as the number
+    of draws per date; then one window does it. With ``None`` the group may be any size and ranks come
+    from a value scan. The result is the same.
     """
+    ranked = clean(value)
+    for name in group:
+        ranked = F.when(F.col(name).isNotNull(), ranked)
+    tagged = df.withColumn("_ranked", ranked)
     if max_group is not None:
-        ordered = W.partitionBy(*group).orderBy(value)
-        ties = F.count(value).over(W.partitionBy(*group, value))
-        whole = F.count(value).over(W.partitionBy(*group))
-        return df.withColumn("percentile", (F.rank().over(ordered) + (ties - 1) / 2) / whole)
-    runs = value_runs(df, group, value).select(
-        *group, value, ((F.col("n") + (F.col("n_here") + 1) / 2) / F.col("n_total")).alias("percentile")
+        missing = F.col("_ranked").isNull()
+        ordered = W.partitionBy(*group).orderBy(missing, "_ranked")
+        # Frames of one and the same order share its sort.
+        ties = F.count("_ranked").over(ordered.rangeBetween(W.currentRow, W.currentRow))
+        whole = F.count("_ranked").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        place = ratio(F.rank().over(ordered) + (ties - 1) / 2, whole)
+        return tagged.withColumn("percentile", F.when(~missing, place)).drop("_ranked")
+    runs = value_runs(tagged.filter("_ranked is not null"), group, "_ranked").select(
+        *group,
+        "_ranked",
+        ((F.col("n") + (F.col("n_here") + 1) / 2) / F.col("n_total")).alias("percentile"),
     )
-    return df.join(runs, [*group, value])
+    return tagged.join(runs, [*group, "_ranked"], "left").drop("_ranked").select(*df.columns, "percentile")
 
 
 def sample_yields(samples: DataFrame, group: list[str], max_group: int | None = 1000) -> DataFrame:
@@ -126,70 +141,84 @@ def compare_curves(observed: DataFrame, predicted: DataFrame, keys: list[str]) -
     return a.join(p, [*keys, "tenor"]).withColumn("error", F.col("actual") - F.col("prediction"))
 
 
-def _fit_at(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Least squares for (beta0, beta1, beta2) at each ``lam`` by Cramer's rule on 3x3 sums."""
-    scaled = F.col("lam") * F.col("maturity")
-    decay = F.exp(-scaled)
-    slope = ratio(1.0 - decay, scaled)
-    u, v, y = F.col("u"), F.col("v"), F.col("y")
-    sums = points.withColumns({"u": slope, "v": slope - decay}).groupBy(*keys, "lam").agg(
-        F.count("y").cast("double").alias("n"),
-        F.sum(u).alias("su"),
-        F.sum(v).alias("sv"),
-        F.sum(u * u).alias("suu"),
-        F.sum(u * v).alias("suv"),
-        F.sum(v * v).alias("svv"),
-        F.sum(y).alias("sy"),
-        F.sum(u * y).alias("suy"),
-        F.sum(v * y).alias("svy"),
-        F.sum(y * y).alias("syy"),
-    )
+DIPS = 4
+FIT = "beta0 double, beta1 double, beta2 double, lambda_ double"
 
-    def det(a, b, c, d, e, f, g, h, i):
-        return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
-    n, su, sv, suu, suv, svv, sy, suy, svy = (
-        F.col(c) for c in ("n", "su", "sv", "suu", "suv", "svv", "sy", "suy", "svy")
-    )
-    whole = det(n, su, sv, su, suu, suv, sv, suv, svv)
-    solved = sums.withColumn("_det", whole).filter(F.abs("_det") > 1e-14).select(
-        *keys,
-        "lam",
-        "syy",
-        "sy",
-        "suy",
-        "svy",
-        (det(sy, su, sv, suy, suu, suv, svy, suv, svv) / F.col("_det")).alias("b0"),
-        (det(n, sy, sv, su, suy, suv, sv, svy, svv) / F.col("_det")).alias("b1"),
-        (det(n, su, sy, su, suu, suy, sv, suv, svy) / F.col("_det")).alias("b2"),
-    )
-    sse = F.col("syy") - F.col("b0") * F.col("sy") - F.col("b1") * F.col("suy") - F.col("b2") * F.col("svy")
-    best = F.min_by(F.struct("b0", "b1", "b2", "lam"), F.struct(sse.alias("sse"), F.col("lam")))
-    return solved.groupBy(*keys).agg(best.alias("best"))
+def _loadings(scaled: np.ndarray) -> np.ndarray:
+    """Columns (1, slope, curvature) of the curve for lambda times maturity; axes curve, point."""
+    slope = -np.expm1(-scaled) / scaled
+    return np.stack([np.ones_like(scaled), slope, slope - np.exp(-scaled)], axis=-1)
+
 
+def _residual(lam: np.ndarray, years: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Sum of squared residuals of the best betas for one lambda per curve."""
+    q, _ = np.linalg.qr(_loadings(lam[:, None] * years) * real[:, :, None])
+    left = y - np.einsum("cpk,ck->cp", q, np.einsum("cpk,cp->ck", q, y))
+    return (left * left).sum(axis=1)
 
-def fit_curves(
-    points: DataFrame, keys: list[str], step: float = 0.05, top: float = 3.0, refine: int = 10
-) -> DataFrame:
+
+def _bottom(grid: np.ndarray, at: np.ndarray, years: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Lambda of the least residual between the grid neighbours of ``at``, by golden sections."""
+    low, high = np.log(grid[np.maximum(at - 1, 0)]), np.log(grid[np.minimum(at + 1, len(grid) - 1)])
+    golden = (np.sqrt(5.0) - 1) / 2
+    for _ in range(50):
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        left = _residual(np.exp(a), years, y, real) <= _residual(np.exp(b), years, y, real)
+        low, high = np.where(left, low, a), np.where(left, b, high)
+    return np.exp((low + high) / 2)
+
+
+def solve_curves(years: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(betas, lambda) of each curve; axes curve, point; real marks points that aren't padding.
+
+    The curve is linear in the betas once lambda is fixed. Lambda is looked for on a log grid over
+    twelve decades, then by golden sections in the DIPS deepest dips.
+    """
+    grid = np.logspace(-6, 6, 481)
+    tried = np.stack([_residual(np.full(len(y), g), years, y, real) for g in grid], axis=1)
+    # The residual can have several dips; the deepest ones on the grid are all followed to their bottoms.
+    around = np.pad(tried, ((0, 0), (1, 1)), constant_values=np.inf)
+    dips = np.where((tried <= around[:, :-2]) & (tried <= around[:, 2:]), tried, np.inf)
+    starts = np.argsort(dips, axis=1)[:, :DIPS]
+    bottoms = np.stack([_bottom(grid, starts[:, i], years, y, real) for i in range(starts.shape[1])], axis=1)
+    depths = np.stack([_residual(bottoms[:, i], years, y, real) for i in range(starts.shape[1])], axis=1)
+    lam = np.take_along_axis(bottoms, depths.argmin(axis=1)[:, None], axis=1)[:, 0]
+    load = _loadings(lam[:, None] * years) * real[:, :, None]
+    betas = np.einsum("ckp,cp->ck", np.linalg.pinv(load, rcond=1e-13), y)
+    return betas, lam
+
+
+def fit_curves(points: DataFrame, keys: list[str]) -> DataFrame:
     """Nelson-Siegel coefficients per curve from long ``(keys, maturity, y)`` rows, y a fraction.
 
-    The curve is linear in the betas once lambda is fixed, so a lambda grid is scored from
-    per-curve sums, then scored again on a grid ``refine`` times finer around the winner. The
-    rows are laid out by curve once and both passes stay inside their partitions.
+    Points with a missing value or a maturity that isn't positive are left out. A curve with fewer than
+    four different maturities left does not determine four coefficients: its key stays, with NULLs.
+    One curve's points come together, a batch of curves is solved at once.
     """
-    curves = points.repartition(*keys)
-    grid = F.array(*[F.lit(i * step) for i in range(1, round(top / step) + 1)])
-    coarse = _fit_at(curves.withColumn("lam", F.explode(grid)), keys)
-    fine = F.array(*[F.lit(i * step / refine) for i in range(-refine, refine + 1)])
-    nearby = (
-        curves.join(coarse.select(*keys, F.col("best.lam").alias("_c")), keys)
-        .withColumn("lam", F.explode(F.transform(fine, lambda d: F.col("_c") + d)))
-        .filter(F.col("lam") > 1e-9)
-    )
-    return _fit_at(nearby, keys).select(
-        *keys,
-        F.col("best.b0").alias("beta0"),
-        F.col("best.b1").alias("beta1"),
-        F.col("best.b2").alias("beta2"),
-        F.col("best.lam").alias("lambda_"),
-    )
+    usable = clean("y").isNotNull() & (clean("maturity") > 0)
+    point = F.when(usable, F.struct(F.col("maturity").cast("double").alias("maturity"), F.col("y").cast("double").alias("y")))
+    curves = points.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("points"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in curves.select(*keys).schema)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = np.full((len(batch), 4), np.nan)
+            rows = [[(p["maturity"], p["y"]) for p in points] for points in batch["points"]]
+            solvable = [i for i, r in enumerate(rows) if len({m for m, _ in r}) >= 4]
+            if solvable:
+                width = max(len(rows[i]) for i in solvable)
+                years, y, real = np.ones((3, len(solvable), width))
+                for at, i in enumerate(solvable):
+                    n = len(rows[i])
+                    years[at, :n], y[at, :n] = zip(*rows[i])
+                    y[at, n:] = real[at, n:] = 0.0
+                betas, lam = solve_curves(years, y, real)
+                found[solvable] = np.column_stack([betas, lam])
+            out = batch[keys].copy()
+            for i, name in enumerate(COEFFICIENTS):
+                out[name] = found[:, i]
+            yield out
+
+    fitted = curves.mapInPandas(solve, f"{kept}, {FIT}")
+    return fitted.select(*keys, *[clean(c).alias(c) for c in COEFFICIENTS])

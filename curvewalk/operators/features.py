@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curvewalk.functions import clean
 from curvewalk.operators.panel import KEY
 from curvewalk.operators.scan import over_blocks
 
@@ -65,10 +66,11 @@ def average_spread(column: str, short: int, long: int) -> Derivation:
 
 
 def derive(df: DataFrame, derivations: Mapping[str, Derivation], keys: list[str] | None = None) -> DataFrame:
-    """Append derived columns to a panel that carries ``pos``."""
+    """Append derived columns to a panel that carries ``pos``; NaN counts as missing and becomes NULL."""
     limits = [d.max_block for d in derivations.values() if d.max_block]
+    numbers = {f.name: clean(f.name) for f in df.schema if f.dataType.typeName() in ("double", "float")}
     return over_blocks(
-        df,
+        df.withColumns(numbers),
         keys or KEY,
         {name: d.build for name, d in derivations.items()},
         back=max(d.back for d in derivations.values()),

@@ -1,15 +1,15 @@
-"""Low-rank Gaussian-process candidates, one bounded group of neighbouring folds per task.
+"""Gaussian-process candidates, one bounded group of neighbouring folds per task.
 
 A group holds ``per_group * stride + window`` rows by construction, whatever the size of the series.
-Inside it each fold is fitted on ``inducing`` evenly spaced rows: kernel features turn the process
-into a linear model whose evidence is scored on a hyper-parameter grid. The constant and noise
-factors only rescale eigenvalues, so they cost no extra matrix work. With as many inducing rows as
-window rows the result is the exact process.
+Each fold is fitted exactly by one eigen-decomposition per kernel shape: the constant and noise factors
+only rescale eigenvalues, so a whole grid of them costs no extra matrix work. With ``inducing`` given, the
+process is the low-rank one on that many evenly spaced rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,12 +20,13 @@ from curvewalk.operators.candidates import (
     EXTRA_KERNELS,
     KERNELS,
     NUGGET,
+    SHAPE_BOUNDS,
     KernelGrid,
     check_candidates,
 )
 from curvewalk.operators.folds import WalkForward, fold_groups, training_rows
 from curvewalk.operators.panel import KEY
-from curvewalk.operators.ridge import task_count
+from curvewalk.operators.ridge import folds_per_group, task_count
 
 FIT_SCHEMA = (
     "series_id string, fold bigint, family string, candidate string, ordinal int, n_train bigint, "
@@ -40,18 +41,6 @@ FIT_COLUMNS = [
 LOG_2PI = float(np.log(2 * np.pi))
 
 
-def kernel_column(kernel: str, squared: Column, length: float = 1.0, mixture: float = 1.0, period: float = 1.0) -> Column:
-    """Kernel value as a column of the squared distance."""
-    if kernel == "RBF":
-        return F.exp(-squared / (2.0 * length * length))
-    if kernel == "RationalQuadratic":
-        return F.pow(1.0 + squared / (2.0 * mixture * length * length), F.lit(-mixture))
-    if kernel == "ExpSineSquared":
-        wave = F.sin(F.sqrt(squared) * (np.pi / period))
-        return F.exp(-2.0 * wave * wave / (length * length))
-    raise ValueError(f"unknown kernel {kernel!r}")
-
-
 def inducing_positions(window: int, inducing: int) -> list[int]:
     """Evenly spaced row offsets inside a training window."""
     count = min(window, inducing)
@@ -100,10 +89,21 @@ def _kernel(kernel: str, shape: dict[str, float]) -> Callable[[np.ndarray, np.nd
     }[kernel]
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inner = a @ b.T
-    gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * inner
-    return np.clip(gap, 0.0, None), inner
+def kernel_values(kernel: str, squared: Column, **shape: float) -> Column:
+    """Kernel value as a column of squared distances, by the same code as the fits."""
+
+    @F.pandas_udf("double")
+    def value(gaps: pd.Series) -> pd.Series:
+        return pd.Series(_kernel(kernel, shape)(gaps.to_numpy(float), np.zeros(len(gaps))))
+
+    return value(squared)
+
+
+def _products(a: np.ndarray, b: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and inner products; distances of centred rows keep their digits at any level."""
+    u, v = a - centre, b - centre
+    gap = (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * u @ v.T
+    return np.clip(gap, 0.0, None), a @ b.T
 
 
 def _scores(y: np.ndarray, f: np.ndarray) -> dict[str, float]:
@@ -119,41 +119,87 @@ def _scores(y: np.ndarray, f: np.ndarray) -> dict[str, float]:
     return {k: float(v) if np.isfinite(v) else None for k, v in found.items()}
 
 
+@dataclass
+class _Eigen:
+    """Kernel matrix of the training rows for one shape, as eigenvalues and turned targets."""
+
+    kernel: Callable
+    root: np.ndarray  # kernel features of a row are its kernel values with the inducing rows times this
+    values: np.ndarray
+    vectors: np.ndarray | None  # eigenvectors in feature space; None where features are eigenvectors already
+    pull: np.ndarray
+    phi: np.ndarray
+
+
+def _eigen(kernel: str, shape: dict[str, float], zz, xz, y: np.ndarray, exact: bool) -> _Eigen:
+    k = _kernel(kernel, shape)
+    values, vectors = np.linalg.eigh(k(*zz))
+    kept = values > max(1e-12 * values[-1], 1e-300)
+    values, vectors = values[kept], vectors[:, kept]
+    root = vectors / np.sqrt(values)
+    if exact:  # the features of the training rows are orthogonal as they are
+        phi = vectors * np.sqrt(values)
+        return _Eigen(k, root, values, None, phi.T @ y, phi)
+    phi = k(*xz) @ root
+    stretch, turn = np.linalg.eigh(phi.T @ phi)
+    return _Eigen(k, root, np.clip(stretch, 0.0, None), turn, turn.T @ (phi.T @ y), phi)
+
+
+def _evidence(e: _Eigen, yy: float, n: int, targets: int, constants: np.ndarray, noises: np.ndarray):
+    """(evidence, constant, noise) of the best scales; they only rescale eigenvalues."""
+    power = (e.pull * e.pull).sum(1)
+    scales = constants[:, None, None] * e.values + (noises + NUGGET)[None, :, None]
+    misfit = (yy - constants[:, None] * (power / scales).sum(-1)) / (noises + NUGGET)
+    volume = np.log(scales).sum(-1) + (n - len(e.values)) * np.log(noises + NUGGET) + n * LOG_2PI
+    evidence = -0.5 * (misfit + targets * volume)
+    c, s = np.unravel_index(np.argmax(evidence), evidence.shape)
+    return evidence[c, s], constants[c], noises[s]
+
+
 def fit_fold(
-    x: np.ndarray, y: np.ndarray, ahead: np.ndarray, kernel: str, inducing: int, grid: KernelGrid
+    x: np.ndarray, y: np.ndarray, ahead: np.ndarray, kernel: str, inducing: int | None, grid: KernelGrid
 ) -> dict:
-    """Best (shape, constant, noise) of one kernel by evidence, its scores and its predictions."""
+    """Best (shape, constant, noise) of one kernel by evidence, its scores and its predictions.
+
+    Without inducing the process is exact. The best shape of the grid is refined: each of its values is moved by
+    ever smaller factors inside the bounds while that raises the evidence.
+    """
     n, targets = y.shape
-    z = x[inducing_positions(n, inducing)]
-    xz, zz, az = _products(x, z), _products(z, z), _products(ahead, z)
+    exact = inducing is None
+    z = x if exact else x[inducing_positions(n, inducing)]
+    centre = x.mean(0)
+    zz = _products(z, z, centre)
+    xz, az = (zz if exact else _products(x, z, centre)), _products(ahead, z, centre)
     own = (np.zeros(len(ahead)), (ahead * ahead).sum(1))
     yy = (y * y).sum()
     constants, noises = np.array(grid.constant), np.array(grid.noise)
     best = None
+
+    def attempt(shape: dict[str, float]) -> bool:
+        nonlocal best
+        e = _eigen(kernel, shape, zz, xz, y, exact)
+        found = _evidence(e, yy, n, targets, constants, noises)
+        if best is None or found[0] > best[0][0]:
+            best = found, shape, e
+            return True
+        return False
+
     for shape in grid.shapes(kernel):
-        k = _kernel(kernel, shape)
-        values, vectors = np.linalg.eigh(k(*zz))
-        kept = values > 1e-10
-        root = vectors[:, kept] / np.sqrt(values[kept])
-        phi = k(*xz) @ root
-        stretch, turn = np.linalg.eigh(phi.T @ phi)
-        stretch = np.clip(stretch, 0.0, None)
-        pull = turn.T @ (phi.T @ y)
-        power = (pull * pull).sum(1)
-        scales = constants[:, None, None] * stretch + (noises + NUGGET)[None, :, None]
-        misfit = (yy - constants[:, None] * (power / scales).sum(-1)) / (noises + NUGGET)
-        volume = np.log(scales).sum(-1) + (n - len(stretch)) * np.log(noises + NUGGET) + n * LOG_2PI
-        evidence = -0.5 * (misfit + targets * volume)
-        c, s = np.unravel_index(np.argmax(evidence), evidence.shape)
-        if best is None or evidence[c, s] > best[0]:
-            state = k, root, phi, turn, pull, scales[c, s]
-            best = evidence[c, s], shape, constants[c], noises[s], state
-    evidence, shape, constant, noise, (k, root, phi, turn, pull, a) = best
-    weights = constant * (turn @ (pull / a[:, None]))
-    scores = _scores(y, phi @ weights)
-    phi_ahead = k(*az) @ root
-    turned = phi_ahead @ turn
-    prior = k(*own)
+        attempt(shape)
+    for factor in grid.refine:
+        for name in list(best[1]):
+            for step in (factor, 1 / factor):
+                low, high = SHAPE_BOUNDS
+                moved = {**best[1], name: min(max(best[1][name] * step, low), high)}
+                if moved != best[1] and attempt(moved):
+                    break
+    (evidence, constant, noise), shape, e = best
+    a = constant * e.values + noise + NUGGET
+    phi_ahead = e.kernel(*az) @ e.root
+    turned = phi_ahead if e.vectors is None else phi_ahead @ e.vectors
+    train = e.phi if e.vectors is None else e.phi @ e.vectors
+    weights = constant * e.pull / a[:, None]
+    prior = e.kernel(*own)
     variance = (
         constant * (prior - (phi_ahead**2).sum(1)).clip(0.0)
         + (noise + NUGGET) * constant * (turned**2 / a).sum(1)
@@ -162,8 +208,8 @@ def fit_fold(
     return {
         "params": {**shape, "constant": constant, "noise": noise},
         "log_marginal_likelihood": float(evidence),
-        **scores,
-        "mean": phi_ahead @ weights,
+        **_scores(y, train @ weights),
+        "mean": turned @ weights,
         "std": np.sqrt(variance),
     }
 
@@ -175,16 +221,18 @@ def fit_predict(
     targets: list[str],
     kernels: tuple[str, ...] = KERNELS,
     grid: KernelGrid | None = None,
-    inducing: int = 128,
+    inducing: int | None = None,
     standardize: bool = False,
-    per_group: int = 4,
+    per_group: int | None = None,
 ) -> DataFrame:
     """One row per (series, fold, kernel) with scores and the fold's own predictions.
 
-    Fit and forecast happen in the task that holds the window, so no fitted matrix is shuffled.
+    The process is exact unless a number of inducing rows is given. A task holds window / stride folds by
+    default, so a row is copied about twice. Fit and forecast happen in the task that holds the window, so no fitted matrix is shuffled.
     """
     check_candidates(kernels, [*KERNELS, *EXTRA_KERNELS])
     grid = grid or KernelGrid()
+    per_group = per_group or folds_per_group(plan)
     stride, window, step, embargo = plan.stride, plan.window, plan.step, plan.embargo
     columns = [*KEY, "pos", "pos_total", *features, *targets]
     rows = fold_groups(panel.select(*columns), plan, per_group).withColumns(

@@ -69,14 +69,13 @@ def describe(df: DataFrame, columns: list[str], keys: list[str] | None = None) -
     """Count, mean, sample deviation, min, exact quartiles and max of every column.
 
     Quartiles interpolate linearly between the two nearest order statistics, found by position in
-    a value scan: no per-group buffer of values is built.
+    a value scan: no per-group buffer of values is built. A column without values has count 0.
     """
     keys = keys or []
     long = (
         df.select(*keys, *columns)
         .unpivot(keys, columns, "column_name", "value")
         .select(*keys, "column_name", clean("value").alias("value"))
-        .filter(F.col("value").isNotNull())
     )
     by = [*keys, "column_name"]
     moments = long.groupBy(*by).agg(
@@ -90,7 +89,7 @@ def describe(df: DataFrame, columns: list[str], keys: list[str] | None = None) -
     def spot(share: float) -> Column:
         return (F.col("n_total") - 1) * F.lit(share)
 
-    runs = value_runs(long, by, "value")
+    runs = value_runs(long.filter("value is not null"), by, "value")
     picks = []
     for name, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
         low = F.floor(spot(share))
@@ -104,4 +103,4 @@ def describe(df: DataFrame, columns: list[str], keys: list[str] | None = None) -
         (F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * F.col(f"{q}_part")).alias(q)
         for q in ("q25", "q50", "q75")
     ]
-    return moments.join(quartiles, by).select(*by, "count", "mean", "std", "min", *blend, "max")
+    return moments.join(quartiles, by, "left").select(*by, "count", "mean", "std", "min", *blend, "max")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curvewalk.functions import clean, normal_quantile, ratio
 from curvewalk.operators.evaluate import prepare, residual_runs
-from curvewalk.operators.scan import expand_runs, over_blocks
+from curvewalk.operators.scan import attach, expand_runs, over_blocks
 
 
 def forecast_band(df: DataFrame, kept: list[str], width: float = 1.96) -> DataFrame:
@@ -24,8 +24,9 @@ def rolling_mean(df: DataFrame, keys: list[str], column: str, rows: int = 30) ->
 
     def build(w):
         frame = w.rowsBetween(-(rows - 1), 0)
-        return F.when(F.count(column).over(frame) == rows, F.avg(column).over(frame))
+        return F.when(F.count(value).over(frame) == rows, F.avg(value).over(frame))
 
+    value = clean(column)
     return over_blocks(df, keys, {f"rolling_{column}": build}, back=rows - 1)
 
 
@@ -42,7 +43,7 @@ def residual_table(df: DataFrame, kept: list[str]) -> DataFrame:
 def residual_histogram(df: DataFrame, keys: list[str], bins: int = 30) -> DataFrame:
     """Equal-width density histogram of residuals, the last bin closed.
 
-    Residuals of one single value fall in a unit-wide range around it.
+    Residuals of one single value fall in a unit-wide range around it. Empty bins are rows with 0.
     """
     rows = (
         prepare(df)
@@ -59,12 +60,10 @@ def residual_histogram(df: DataFrame, keys: list[str], bins: int = 30) -> DataFr
     )
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.least(F.lit(bins - 1), F.floor((F.col("e") - F.col("lo")) / width)).cast("int")
-    counted = (
-        rows.join(ends, keys)
-        .groupBy(*keys, "lo", "hi", "n", bin_no.alias("bin"))
-        .agg(F.count("e").alias("rows"))
-    )
-    return counted.select(
+    counted = attach(rows, ends, keys).groupBy(*keys, bin_no.alias("bin")).agg(F.count("e").alias("_rows"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    filled = every.join(counted, [*keys, "bin"], "left").withColumn("rows", F.coalesce("_rows", F.lit(0)))
+    return filled.select(
         *keys,
         "bin",
         (F.col("lo") + F.col("bin") * width).alias("bin_start"),
@@ -95,14 +94,17 @@ def qq_line(qq: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def metric_matrix(comparison: DataFrame, keys: list[str]) -> DataFrame:
-    """Metric by model: one row per metric, one column per listed model value."""
+def metric_matrix(comparison: DataFrame, keys: list[str], model: str | None = None, models: list[str] | None = None) -> DataFrame:
+    """Metric by model: one row per metric and key, or with ``model`` one column for each of ``models``."""
     # Compared metrics.
     rows = {"MAE": "mae", "RMSE": "rmse", "MAPE": "mape", "Directional_Accuracy": "directional_accuracy"}
     items = F.array(
         *[F.struct(F.lit(k).alias("metric"), F.col(c).alias("value")) for k, c in rows.items()]
     )
-    return comparison.select(*keys, F.inline(items))
+    if model is None:
+        return comparison.select(*keys, F.inline(items))
+    long = comparison.select(*keys, F.col(model).alias("_model"), F.inline(items))
+    return long.groupBy(*[k for k in keys if k != model], "metric").pivot("_model", models).agg(F.first("value"))
 
 
 def score_share(scores: DataFrame, keys: list[str], score: str) -> DataFrame:

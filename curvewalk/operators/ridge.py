@@ -18,6 +18,7 @@ from curvewalk.functions import ratio
 from curvewalk.operators.candidates import PRIORS, check_candidates
 from curvewalk.operators.folds import WalkForward, fold_groups, prediction_rows
 from curvewalk.operators.panel import KEY
+from curvewalk.operators.scan import attach
 from curvewalk.operators.scores import score_rows
 
 FIT_SCHEMA = (
@@ -44,15 +45,35 @@ def gram_names(size: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(size) for j in range(i, size)]
 
 
-def fold_grams(panel: DataFrame, plan: WalkForward, features: list[str], targets: list[str]) -> DataFrame:
+def anchored(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """The panel minus each series' values at position 0, with those in ``anchor``.
+
+    Sums of products of the differences keep their digits whatever level a series is at.
+    """
+    first = panel.filter("pos = 0").select(*KEY, F.array(*[F.col(c).cast("double") for c in columns]).alias("anchor"))
+    moved = attach(panel.select(*KEY, "pos", "pos_total", *columns), first, KEY)
+    return moved.withColumns({c: F.col(c) - F.col("anchor")[i] for i, c in enumerate(columns)})
+
+
+def fold_grams(
+    panel: DataFrame, plan: WalkForward, features: list[str], targets: list[str], shift: bool = True
+) -> DataFrame:
     """Upper triangle of Σzzᵀ, z = (1, features, targets), for every (series, fold) as ``gram``.
 
+    With ``shift`` z holds differences from the series' ``anchor``, which the fits add back; without it the
+    sums are of the raw values and ``anchor`` is zero.
+
     A fold's window starts and ends on fixed offsets of the refit grid, so positions are cut into
     sub-blocks at both offsets and a fold is a whole number of them. Rows are summed map-side per
     sub-block; those sums go to the fold groups that use them, about twice each, and are added up
     per fold inside the group.
     """
     z = ["1D", *[f"`{c}`" for c in [*features, *targets]]]
+    columns = [*features, *targets]
+    if shift:
+        panel = anchored(panel, columns)
+    else:
+        panel = panel.withColumn("anchor", F.array(*[F.lit(0.0) for _ in columns]))
     pairs = gram_names(len(z))
     stride, reach, per_group = plan.stride, -(-plan.window // plan.stride), folds_per_group(plan)
     edge = -plan.window % stride
@@ -63,7 +84,11 @@ def fold_grams(panel: DataFrame, plan: WalkForward, features: list[str], targets
     parts = (
         panel.filter(plan.first_fold <= plan.last_fold)
         .groupBy(*KEY, (2 * block + half).alias("sub"))
-        .agg(F.max(plan.folds).alias("folds"), F.expr(f"array({products})").alias("gram"))
+        .agg(
+            F.max(plan.folds).alias("folds"),
+            F.first("anchor").alias("anchor"),
+            F.expr(f"array({products})").alias("gram"),
+        )
     )
     lo = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("sub") + 1) / 2))
     hi = F.least(F.col("folds") - 1, F.floor((F.col("sub") - 1) / 2) + reach)
@@ -77,7 +102,7 @@ def fold_grams(panel: DataFrame, plan: WalkForward, features: list[str], targets
         .repartition(task_count(panel), *KEY, "fold_group")
         .withColumn("fold", F.explode(F.sequence(first, last)))
         .groupBy(*KEY, "fold_group", "fold")
-        .agg(F.expr(f"array({summed})").alias("gram"))
+        .agg(F.first("anchor").alias("anchor"), F.expr(f"array({summed})").alias("gram"))
         .drop("fold_group")
     )
 
@@ -98,7 +123,7 @@ def fixed_ridge(
         return gram_entry(i, j, size) - gram_entry(0, i, size) * gram_entry(0, j, size) / n
 
     def mean(i: int) -> Column:
-        return gram_entry(0, i, size) / gram_entry(0, 0, size)
+        return gram_entry(0, i, size) / gram_entry(0, 0, size) + F.col("anchor")[i - 1]
 
     grid = F.array(
         *[
@@ -188,6 +213,10 @@ def evidence_ridge(
             full[:, upper[0], upper[1]] = flat
             full[:, upper[1], upper[0]] = flat
             got = solve_evidence(full, n_features, strengths)
+            anchor = np.stack(batch["anchor"].to_numpy())
+            level = np.einsum("fctj,fj->fct", got["coef"], anchor[:, :n_features])
+            got["intercept"] = got["intercept"] + anchor[:, None, n_features:] - level
+            got["x_mean"] = got["x_mean"] + anchor[:, :n_features]
             yield pd.concat(
                 [
                     pd.DataFrame(

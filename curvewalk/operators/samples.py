@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from curvewalk.functions import hashed_normal
 
-BROADCAST_ROWS = 100_000
-
 
 def draw_table(spark: SparkSession, targets: list[str], n_samples: int) -> DataFrame:
     """``(sample_id, z_<target>...)``: the same draws for every date, as with one fixed seed."""
@@ -25,11 +23,9 @@ def draw_samples(
 
     Means are in ``prediction_<target>``; the spread is ``std_<target>``, or ``scale`` when given.
     Each forecast row expands in place and picks its draws by sample id from a table of
-    ``n_samples`` rows, broadcast while that is small.
+    ``n_samples`` rows; Spark knows that table's size and chooses the join.
     """
     draws = draw_table(forecast.sparkSession, targets, n_samples)
-    if n_samples <= BROADCAST_ROWS:
-        draws = F.broadcast(draws)
 
     def spread(target: str) -> Column:
         return F.lit(scale) if scale is not None else F.col(f"std_{target}")

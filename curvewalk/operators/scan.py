@@ -26,6 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ID_GRANULE = 1 << 20
+#: Partitions over which rows without a place in an order are spread.
+UNPLACED = 1024
 
 
 def _before(window):
@@ -85,8 +87,9 @@ def ordered_scan(
 
     ``sums`` maps a name to the amount each row adds (default ``pos``: 1, the dense 0-based
     position). ``carries`` maps a name to ``(value, condition)``; the result column holds the value
-    of the nearest earlier row meeting the condition. The order must be total within a key; rows
-    whose key or order is NULL have no place in it and are left out.
+    of the nearest earlier row meeting the condition. The order must be total within a key. A row
+    whose key or order is NULL has no place in it: it stays, with NULL in every added column, and
+    counts for no other row.
     """
     sums = {"pos": F.lit(1)} if sums is None else dict(sums)
     carries = dict(carries or {})
@@ -96,10 +99,12 @@ def ordered_scan(
         | {f"_a_{s}": amount.cast("long") for s, amount in sums.items()}
         | {f"_b_{c}": F.when(cond, value) for c, (value, cond) in carries.items()}
     )
-    # Stated once here so that every branch below carries the same filter and shares its exchange.
-    tagged = tagged.filter(" and ".join(f"`{c}` is not null" for c in [*keys, *order, *marks]))
+    # Rows without a place match no granule; a hash keeps them from meeting in one task.
+    placed = F.expr(" and ".join(f"`{c}` is not null" for c in [*keys, *order, *marks]))
+    spread = F.when(placed, 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(UNPLACED)))
+    tagged = tagged.withColumn("_spread", spread)
     at = F.struct(*order)
-    leaf = tagged.groupBy(*keys, *marks).agg(
+    leaf = tagged.filter("_spread = 0").groupBy(*keys, *marks).agg(
         *[F.sum(f"_a_{s}").alias(f"_t_{s}") for s in sums],
         *[
             F.max_by(f"_b_{c}", F.when(F.col(f"_b_{c}").isNotNull(), at)).alias(f"_c_{c}")
@@ -107,15 +112,18 @@ def ordered_scan(
         ],
     )
     offsets = _granule_offsets(leaf, keys, marks, list(sums), list(carries))
-    before = _before(W.partitionBy(*keys, *marks).orderBy(*order))
+    before = _before(W.partitionBy(*keys, *marks, "_spread").orderBy(*order))
     running = {
         s: F.coalesce(F.sum(f"_a_{s}").over(before), F.lit(0)) + F.col(f"_o_{s}") for s in sums
     }
     previous = {
-        c: F.coalesce(F.last(f"_b_{c}", ignorenulls=True).over(before), F.col(f"_p_{c}"))
+        c: F.when(
+            F.col("_spread") == 0,
+            F.coalesce(F.last(f"_b_{c}", ignorenulls=True).over(before), F.col(f"_p_{c}")),
+        )
         for c in carries
     }
-    out = tagged.join(offsets, keys + marks)
+    out = tagged.join(offsets.withColumn("_spread", F.lit(0).cast("long")), [*keys, *marks, "_spread"], "left")
     added = [f"{s}_total" for s in sums]
     return out.select(
         *df.columns,
@@ -138,17 +146,20 @@ def over_blocks(
 
     ``columns`` maps a name to a function of the window, e.g.
     ``lambda w: F.avg("x").over(w.rowsBetween(-4, 0))``. Inside it ``_offset`` is the row's place
-    relative to the start of the block, negative for rows copied from the block before.
+    relative to the start of the block, negative for rows copied from the block before. A row
+    without a position gets NULL in the new columns.
     """
     size = size or max(4096, 8 * (back + ahead))
     first = F.greatest(F.lit(0), F.expr(f"({pos} - {ahead}) div {size}"))
     last = F.expr(f"({pos} + {back}) div {size}")
     window = W.partitionBy(*keys, "_block").orderBy(pos)
+    nowhere = F.array((-1 - F.pmod(F.xxhash64(*df.columns), F.lit(UNPLACED))).cast("long"))
+    blocks = F.when(F.col(pos).isNull(), nowhere).otherwise(F.sequence(first.cast("long"), last.cast("long")))
     return (
-        df.withColumn("_block", F.explode(F.sequence(first, last)))
+        df.withColumn("_block", F.explode(blocks))
         .withColumn("_offset", F.expr(f"{pos} - _block * {size}"))
-        .withColumns({name: build(window) for name, build in columns.items()})
-        .filter(F.expr(f"{pos} div {size} = _block"))
+        .withColumns({name: F.when(F.col(pos).isNotNull(), build(window)) for name, build in columns.items()})
+        .filter(F.expr(f"{pos} is null or {pos} div {size} = _block"))
         .drop("_block", "_offset")
     )
 
@@ -202,6 +213,17 @@ def expand_runs(runs: DataFrame, limit: int = 1 << 16) -> DataFrame:
     )
 
 
+def attach(df: DataFrame, small: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
+    """Join a table with one row per key to rows of which a key may hold any share.
+
+    Both sides carry a salt, so a key's rows go to many tasks, and an aggregate by key afterwards
+    sums within those before its own shuffle.
+    """
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    return rows.join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def value_at(position: Column) -> Column:
     """Aggregate over value runs: the value at a 0-based position in value order."""
     return F.max(

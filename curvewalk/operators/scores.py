@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curvewalk.functions import dot, ratio, total
+from curvewalk.functions import clean, dot, ratio, total
 
 # Selection metrics and whether larger is better.
 METRICS = {
@@ -62,10 +62,10 @@ def vector_scores(df: DataFrame, keys: list[str], a: str = "a", b: str = "b") ->
 
 
 def candidate_rank(metric: str) -> Column:
-    """Sort value of a candidate: metric, then cosine similarity, then place in the grid."""
+    """Sort value of a candidate: metric, then cosine similarity, then place in the grid; NaN is missing."""
     check_metric(metric)
-    value = F.col(metric) if METRICS[metric] else -F.col(metric)
-    return F.struct(value.alias("v"), F.col("cosine_similarity").alias("c"), (-F.col("ordinal")).alias("o"))
+    value = clean(metric) if METRICS[metric] else -clean(metric)
+    return F.struct(value.alias("v"), clean("cosine_similarity").alias("c"), (-F.col("ordinal")).alias("o"))
 
 
 def best_candidates(scores: DataFrame, keys: list[str], metric: str = "cosine_similarity") -> DataFrame:

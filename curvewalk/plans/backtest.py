@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvewalk.operators import gaussian, ridge
 from curvewalk.operators.candidates import KERNELS, PRIORS, KernelGrid
+from curvewalk.operators.evaluate import compare_models
 from curvewalk.operators.folds import WalkForward, prediction_rows
 from curvewalk.operators.panel import KEY, load_panel, with_positions
+from curvewalk.operators.report import summary_report
 from curvewalk.operators.samples import draw_samples
 from curvewalk.operators.scores import best_candidates, candidate_rank, check_metric
 from curvewalk.sources import tables
@@ -43,6 +46,20 @@ class Backtest:
     def summary(self) -> DataFrame:
         return model_summary(self.scores, self.metric, len(self.features))
 
+    def report(self) -> DataFrame:
+        """One line per series and target: error metrics, the candidate that won most folds, and the count."""
+        name = F.concat_ws(" ", "series_id", "target").alias("series")
+        rows = self.long().select(
+            name, "date", "fold", "best_candidate", F.col("actual").alias("y_true"), F.col("prediction").alias("y_pred")
+        )
+        metrics = compare_models(rows, ["series"], ["date"], [F.year("date")])
+        won = rows.groupBy("series", "best_candidate").agg(F.count("*").alias("n"), F.countDistinct("fold").alias("folds"))
+        best = won.groupBy("series").agg(
+            F.max_by("best_candidate", F.struct("folds", "best_candidate")).alias("best_kernel"),
+            F.sum("n").alias("predictions_count"),
+        )
+        return summary_report(metrics.join(best, "series"), "series")
+
     def importance(self) -> DataFrame:
         if self.family == "ridge":
             return ridge.coefficient_importance(self.best, [*KEY, "fold"], self.features)
@@ -92,14 +109,21 @@ def ridge_backtest(
     priors: dict[str, float] = PRIORS,
     std_mode: str = "posterior",
     store: bool = True,
+    fit: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Backtest:
-    """Ridge family. Fits feed both scoring and prediction, so ``store`` keeps them in the shared folder."""
+    """Ridge family. Fits and scores feed later steps, so ``store`` keeps them in the shared folder.
+
+    ``fit`` replaces the evidence fit: from fold sums to rows (series, fold, candidate, ordinal, coef,
+    intercept), for instance with given penalties. Without noise estimates use ``std_mode="row_spread"``.
+    """
     check_metric(metric)
     grams = ridge.fold_grams(panel, plan, features, targets)
-    fits = ridge.evidence_ridge(grams, len(features), len(targets), priors)
+    fits = fit(grams) if fit else ridge.evidence_ridge(grams, len(features), len(targets), priors)
     if store:
         fits = tables.materialize(fits, "ridge-fits")
     scores = ridge.training_scores(panel, plan, fits, features, targets)
+    if store:
+        scores = tables.materialize(scores, "ridge-scores")
     chosen = best_candidates(scores, [*KEY, "fold"], metric)
     best = fits.join(chosen.select(*KEY, "fold", "candidate"), [*KEY, "fold", "candidate"])
     forecasts = ridge.predict(panel, plan, best, features, targets, std_mode)
@@ -114,7 +138,7 @@ def gaussian_backtest(
     metric: str = "cosine_similarity",
     kernels: tuple[str, ...] = KERNELS,
     grid: KernelGrid | None = None,
-    inducing: int = 128,
+    inducing: int | None = None,
     standardize: bool = False,
     store: bool = False,
 ) -> Backtest:
@@ -147,13 +171,22 @@ def forecast_horizon(
     """Configuration, panel, walk-forward and, with ``output``, the result tables of one horizon."""
     config = tables.feature_config(spark, config_path)
     features, targets = tables.features(config, horizon), tables.targets(config)
-    source = tables.table_source(spark, panel_path, [*KEY, "date", *dict.fromkeys([*features, *targets])])
-    panel = with_positions(load_panel(source, features, targets))
+    source = tables.table_source(spark, panel_path)
+    if "series_id" not in source.columns:  # one series
+        source = source.withColumn("series_id", F.lit("ALL"))
+    needed = [*KEY, "date", *dict.fromkeys([*features, *targets])]
+    missing = [c for c in needed if c not in source.columns]
+    if missing:
+        raise ValueError(f"{panel_path} lacks columns {missing}; it has {source.columns}")
+    panel = with_positions(load_panel(source.select(*needed), features, targets))
+    if output:  # every step below reads it
+        panel = tables.materialize(panel, "panel")
     run = {"gaussian": gaussian_backtest, "ridge": ridge_backtest}
     if family not in run:
         raise ValueError(f"unknown family {family!r}; families are {sorted(run)}")
     result = run[family](panel, plan, features, targets, metric, store=output is not None)
     if output:
+        result = replace(result, forecasts=tables.materialize(result.forecasts, "forecasts"))
         tag = F.lit(horizon).alias("horizon")
         month = F.date_format("date", "yyyy-MM").alias("month")
         tables.write_table(result.long().select(tag, "*"), f"{output}/results", ["horizon"])

@@ -9,18 +9,21 @@ from curvewalk.operators.curve import COEFFICIENTS, mean_yields, point_yields, s
 from curvewalk.sources import tables
 
 
-def coefficient_names(samples: DataFrame, targets: list[str]) -> DataFrame:
-    """Rename target columns (beta0, beta1, beta2, lambda in that order) to curve coefficients."""
-    return samples.withColumnsRenamed(dict(zip(targets, COEFFICIENTS)))
+def coefficient_of(targets: list[str]) -> dict[str, str]:
+    """Which target is which coefficient, by name: a target starts with its coefficient's name."""
+    found = {}
+    for coefficient in COEFFICIENTS:
+        stem = coefficient.rstrip("_")
+        own = [t for t in targets if t == coefficient or t == stem or t.startswith(f"{stem}_")]
+        if len(own) != 1:
+            raise ValueError(f"no single target for {coefficient}: {own}; targets are {targets}")
+        found[own[0]] = coefficient
+    return found
 
 
-def wide_coefficients(forecasts: DataFrame, targets: list[str]) -> DataFrame:
-    """Wide forecasts with ``actual_<coefficient>`` and ``prediction_<coefficient>`` names."""
-    names = {}
-    for target, coefficient in zip(targets, COEFFICIENTS):
-        for part in ("actual", "prediction"):
-            names[f"{part}_{target}"] = f"{part}_{coefficient}"
-    return forecasts.withColumnsRenamed(names)
+def coefficient_names(samples: DataFrame, targets: list[str]) -> DataFrame:
+    """Rename target columns to curve coefficients, in whatever order they are listed."""
+    return samples.withColumnsRenamed(coefficient_of(targets))
 
 
 def transform_samples(
@@ -38,7 +41,7 @@ def transform_forecasts(spark: SparkSession, root: str, horizon: str, targets: l
     long = tables.read_samples(spark, f"{root}/results", horizon)
     parts = [
         F.max(F.when(F.col("target") == t, F.col(part))).alias(f"{part}_{c}")
-        for t, c in zip(targets, COEFFICIENTS)
+        for t, c in coefficient_of(targets).items()
         for part in ("actual", "prediction")
     ]
     keys = ["horizon", "series_id", "date"]
