@@ -18,7 +18,7 @@ from contract import bindings as b
 from contract import curve_queries as cq
 from contract import evaluate_queries as eq
 from contract import panel_queries as pq
-from curvewalk.operators.candidates import KernelGrid
+from curvewalk.operators.folds import WalkForward
 from curvewalk.plans.backtest import gaussian_backtest, ridge_backtest
 from curvewalk.session import local_session
 
@@ -35,10 +35,9 @@ def ridge_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gaussian_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """Three kernels on the whole default hyper-parameter grid, every window of 25 series."""
-    return gaussian_backtest(
-        nation_panel(spark, sf), b.PLAN, b.FEATURES, b.TARGETS, grid=KernelGrid(), inducing=32
-    ).forecasts
+    """Exact process, three kernels, whole hyper-parameter grid, the last 120 windows of 25 series."""
+    plan = WalkForward(b.PLAN.window, b.PLAN.min_window, b.PLAN.refit_every, last_n=120)
+    return gaussian_backtest(nation_panel(spark, sf), plan, b.FEATURES, b.TARGETS).forecasts
 
 
 # Headline queries by name.
@@ -46,7 +45,7 @@ HEADLINES = {
     "load_panel": nation_panel,
     "positions": pq.c1_positions,
     "moving_averages": pq.d3_moving_average,
-    "sample_percentiles": cq.e3_percentile,
+    "sample_percentiles_1000_draws": cq.e3_percentile,
     "mean_curves_1000_draws": cq.e7_mean_curves_wide,
     "curve_fit": cq.e9_curve_fit,
     "basic_metrics": eq.h1_basic,

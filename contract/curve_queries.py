@@ -12,8 +12,7 @@ from curvewalk.operators.curve import COEFFICIENTS, TENOR_NAMES, TENORS
 from curvewalk.plans import yields
 from curvewalk.sources import tables
 
-DRAWS = 20
-MANY = 1000
+DRAWS = MANY = 1000
 SCALE = 0.01
 GROUP = ["series_id", "date"]
 TENOR_LIST = " ".join(TENOR_NAMES)
@@ -44,26 +43,48 @@ PERCENT = """points as (select series_id, date, sample_id, tenor, {value} as yie
 )
 
 
+SPREAD_SQL = "count(*) as n_samples, avg(yield_pct) as mean_yield, min(yield_pct) as low, max(yield_pct) as high"
+RANK_SQL = f"{SPREAD_SQL}, sum(percentile*percentile) as squares, sum(percentile*yield_pct) as products"
+
+
+def _spread_of():
+    value = F.col("yield_pct")
+    return [
+        F.count("*").alias("n_samples"), F.avg(value).alias("mean_yield"), F.min(value).alias("low"), F.max(value).alias("high")
+    ]
+
+
+def _rank_of():
+    rank = F.col("percentile")
+    return [*_spread_of(), F.sum(rank * rank).alias("squares"), F.sum(rank * F.col("yield_pct")).alias("products")]
+
+
+RANK_DOUBLES = "mean_yield low high squares products"
+
+
 @query(sql=f"with {v.V5} select date, ordinal, tenor, yield_pct from v5", doubles="yield_pct")
 def e1_curve_value(spark, sf):
     return curve.curve_points(b.daily_curve(spark, sf)).select("date", "ordinal", "tenor", "yield_pct")
 
 
 @query(
-    sql=f"with {v.curve_samples(DRAWS, SPREAD)} select date, sample_id, tenor, {v.curve_value('maturity')} as yield_pct from samples cross join tenors",
-    doubles="yield_pct",
+    sql=f"with {v.curve_samples(DRAWS, SPREAD)}, points as (select date, tenor, {v.curve_value('maturity')} as yield_pct from samples cross join tenors) select date, tenor, {SPREAD_SQL} from points group by date, tenor",
+    doubles="mean_yield low high",
 )
 def e2_sample_curves(spark, sf):
-    return curve.curve_points(_samples(spark, sf)).select("date", "sample_id", "tenor", "yield_pct")
+    """All draws as curves, summed up per date and tenor."""
+    points = curve.curve_points(_samples(spark, sf))
+    return points.groupBy("date", "tenor").agg(*_spread_of())
 
 
 @query(
-    sql=f"with {v.curve_samples(DRAWS, SPREAD)}, {PERCENT} select date, sample_id, tenor, yield_pct, percentile from ranked",
-    doubles="yield_pct percentile",
+    sql=f"with {v.curve_samples(DRAWS, SPREAD)}, {PERCENT} select date, tenor, {RANK_SQL} from ranked group by date, tenor",
+    doubles=RANK_DOUBLES,
 )
 def e3_percentile(spark, sf):
+    """Percentiles of all draws, summed up per date and tenor: products tie each rank to its yield."""
     ranked = curve.sample_yields(_samples(spark, sf), GROUP, max_group=DRAWS)
-    return ranked.select("date", "sample_id", "tenor", "yield_pct", "percentile")
+    return ranked.groupBy("date", "tenor").agg(*_rank_of())
 
 
 @query(
@@ -77,17 +98,20 @@ def e3_percentile_any_group(spark, sf):
 
 
 @query(
-    sql=f"with {v.curve_samples(DRAWS, SPREAD)}, {PERCENT} select date, sample_id, "
+    sql=f"with {v.curve_samples(DRAWS, SPREAD)}, {PERCENT} select date, count(distinct sample_id) as n_samples, "
     + ", ".join(
-        f"max(case when tenor = '{t}' then yield_pct end) as \"{t}\", max(case when tenor = '{t}' then percentile end) as \"{t}_percentile\""
+        f"avg(case when tenor = '{t}' then yield_pct end) as \"{t}\", sum(case when tenor = '{t}' then percentile*percentile end) as \"{t}_percentile\""
         for t in TENOR_NAMES
     )
-    + " from ranked group by date, sample_id",
+    + " from ranked group by date",
     doubles=TENOR_LIST + " " + " ".join(f"{t}_percentile" for t in TENOR_NAMES),
 )
 def e4_all_sample_yields(spark, sf):
-    long = curve.sample_yields(_samples(spark, sf), GROUP, max_group=DRAWS)
-    return curve.sample_yields_wide(long, GROUP).drop("series_id")
+    """One row per draw with yields and percentiles of all tenors, summed up per date."""
+    wide = curve.sample_yields_wide(curve.sample_yields(_samples(spark, sf), GROUP, max_group=DRAWS), GROUP)
+    sums = [F.avg(t).alias(t) for t in TENOR_NAMES]
+    sums += [F.sum(F.col(f"{t}_percentile") * F.col(f"{t}_percentile")).alias(f"{t}_percentile") for t in TENOR_NAMES]
+    return wide.groupBy("date").agg(F.count("*").alias("n_samples"), *sums)
 
 
 @query(
@@ -134,36 +158,9 @@ def e8_stored_yield_tables(spark, sf):
     return tables.read_samples(spark, f"{root}/mean_yields", "one-day-ahead").select("date", *TENOR_NAMES)
 
 
-_GRID = ", ".join(f"({i * 0.05!r}::double)" for i in range(1, 61))
-_STEPS = ", ".join(f"({i * 0.05 / 10!r}::double)" for i in range(-10, 11))
-
-
-def _fit_sql(source: str, name: str) -> str:
-    """Best least-squares betas over the ``lam`` values of ``source``."""
-    d = "n*(suu*svv - suv*suv) - su*(su*svv - suv*sv) + sv*(su*suv - suu*sv)"
-    b0 = "(sy*(suu*svv - suv*suv) - su*(suy*svv - suv*svy) + sv*(suy*suv - suu*svy))/det"
-    b1 = "(n*(suy*svv - suv*svy) - sy*(su*svv - suv*sv) + sv*(su*svy - suy*sv))/det"
-    b2 = "(n*(suu*svy - suy*suv) - su*(su*svy - suy*sv) + sy*(su*suv - suu*sv))/det"
-    return f"""{name}_l as (select *, (1e0-exp(-lam*maturity))/(lam*maturity) as u,
-  (1e0-exp(-lam*maturity))/(lam*maturity) - exp(-lam*maturity) as v from {source}),
-{name}_s as (select date, lam, count(*)::double as n, sum(u) su, sum(v) sv, sum(u*u) suu, sum(u*v) suv, sum(v*v) svv,
-  sum(y) sy, sum(u*y) suy, sum(v*y) svy, sum(y*y) syy from {name}_l group by date, lam),
-{name}_d as (select *, {d} as det from {name}_s),
-{name}_b as (select *, {b0} as b0, {b1} as b1, {b2} as b2 from {name}_d where abs(det) > 1e-14),
-{name} as (select * from (select *, row_number() over (partition by date order by syy - b0*sy - b1*suy - b2*svy, lam) as place
-  from {name}_b) as placed where place = 1)"""
-
-
-@query(
-    sql=f"""with {v.V5}, grid(lam) as (values {_GRID}), steps(d) as (values {_STEPS}),
-coarse_in as (select date, maturity, yield_pct/100e0 as y, lam from v5 cross join grid), {_fit_sql('coarse_in', 'coarse')},
-fine_in as (select v5.date, maturity, yield_pct/100e0 as y, coarse.lam + d as lam from v5 join coarse on v5.date = coarse.date
-  cross join steps where coarse.lam + d > 1e-9), {_fit_sql('fine_in', 'fine')}
-select date, b0 as beta0, b1 as beta1, b2 as beta2, lam as lambda_ from fine""",
-    doubles=COEFS,
-    digits=5,
-)
+@query(sql=f"with {v.V1} select date, beta0, beta1, beta2, lambda_ from v1", doubles=COEFS, digits=6)
 def e9_curve_fit(spark, sf):
+    """The curves' own coefficients, found again from eleven points each."""
     points = curve.curve_points(b.daily_curve(spark, sf)).join(
         F.broadcast(spark.createDataFrame(list(TENORS), "tenor string, maturity double")), "tenor"
     )
@@ -172,14 +169,14 @@ def e9_curve_fit(spark, sf):
 
 
 @query(
-    sql=f"""with {v.curve_samples(200, SPREAD)}, observed as (select date, tenor, {v.curve_value('maturity')} as actual from v1 cross join tenors),
+    sql=f"""with {v.curve_samples(DRAWS, SPREAD)}, observed as (select date, tenor, {v.curve_value('maturity')} as actual from v1 cross join tenors),
  predicted as (select date, tenor, avg({v.curve_value('maturity')}) as prediction from samples cross join tenors group by date, tenor)
  select date, tenor, actual, prediction, actual - prediction as error from observed join predicted using (date, tenor)""",
     doubles="actual prediction error",
 )
 def e10_compare_curves(spark, sf):
     observed = b.daily_curve(spark, sf).select("date", *curve.yields_percent())
-    predicted = curve.mean_yields(_samples(spark, sf, 200), GROUP).drop("series_id")
+    predicted = curve.mean_yields(_samples(spark, sf), GROUP).drop("series_id")
     return curve.compare_curves(observed, predicted, ["date"])
 
 
@@ -197,34 +194,44 @@ def a8_sample_scan(spark, sf):
     return kept.groupBy("date").agg(F.count("*").alias("n_samples"), F.avg("beta0").alias("mean_beta0"))
 
 
-@query(sql=f"with {v.curve_samples(DRAWS, SPREAD)} select series_id, date, sample_id, {', '.join(COEFFICIENTS)} from samples", doubles=COEFS)
+COEF_SQL = "count(*) as n_samples, " + ", ".join(f"avg({c}) as {c}, sum({c}*(sample_id + 1)) as {c}_by_id" for c in COEFFICIENTS)
+COEF_DOUBLES = COEFS + " " + " ".join(f"{c}_by_id" for c in COEFFICIENTS)
+
+
+def _coef_of():
+    sums = [F.avg(c).alias(c) for c in COEFFICIENTS]
+    sums += [F.sum(F.col(c) * (F.col("sample_id") + 1)).alias(f"{c}_by_id") for c in COEFFICIENTS]
+    return [F.count("*").alias("n_samples"), *sums]
+
+
+@query(sql=f"with {v.curve_samples(DRAWS, SPREAD)} select series_id, date, {COEF_SQL} from samples group by series_id, date", doubles=COEF_DOUBLES)
 def a10_sample_sink(spark, sf):
     root = tables.shared_folder(spark, "sample-sink")
     month = F.date_format("date", "yyyy-MM").alias("month")
     tagged = _samples(spark, sf).select(F.lit("one-day-ahead").alias("horizon"), month, "*")
     tables.write_table(tagged, root, ["horizon", "month"])
-    return tables.read_samples(spark, root, "one-day-ahead").select(*GROUP, "sample_id", *COEFFICIENTS)
+    return tables.read_samples(spark, root, "one-day-ahead").groupBy(*GROUP).agg(*_coef_of())
 
 
-@query(sql=f"with {v.curve_samples(DRAWS, SPREAD)}, {PERCENT} select date, sample_id, tenor, yield_pct, percentile from ranked", doubles="yield_pct percentile")
+@query(sql=f"with {v.curve_samples(DRAWS, SPREAD)}, {PERCENT} select date, tenor, {RANK_SQL} from ranked group by date, tenor", doubles=RANK_DOUBLES)
 def a12_yield_sinks(spark, sf):
     root = tables.shared_folder(spark, "yield-sink")
     ranked = curve.sample_yields(_samples(spark, sf), GROUP, max_group=DRAWS)
     tables.write_table(ranked, root)
-    return tables.read_samples(spark, root).select("date", "sample_id", "tenor", "yield_pct", "percentile")
+    return tables.read_samples(spark, root).groupBy("date", "tenor").agg(*_rank_of())
 
 
-@query(sql=f"with {v.curve_samples(DRAWS, SPREAD)} select date, sample_id, {', '.join(COEFFICIENTS)} from samples", doubles=COEFS)
+@query(sql=f"with {v.curve_samples(DRAWS, SPREAD)} select date, {COEF_SQL} from samples group by date", doubles=COEF_DOUBLES)
 def g3_process_samples(spark, sf):
-    return _samples(spark, sf).drop("series_id")
+    return _samples(spark, sf).groupBy("date").agg(*_coef_of())
 
 
-@query(sql=f"with {v.curve_samples(DRAWS, '0.01e0')} select date, sample_id, {', '.join(COEFFICIENTS)} from samples", doubles=COEFS)
+@query(sql=f"with {v.curve_samples(DRAWS, '0.01e0')} select date, {COEF_SQL} from samples group by date", doubles=COEF_DOUBLES)
 def g4_fixed_scale_samples(spark, sf):
-    return _samples(spark, sf, scale=SCALE).drop("series_id")
+    return _samples(spark, sf, scale=SCALE).groupBy("date").agg(*_coef_of())
 
 
-@query(sql=f"with {v.curve_samples(DRAWS, '0.01e0')} select date, sample_id, {', '.join(COEFFICIENTS)} from samples", doubles=COEFS)
+@query(sql=f"with {v.curve_samples(DRAWS, '0.01e0')} select date, {COEF_SQL} from samples group by date", doubles=COEF_DOUBLES)
 def g5_sample_reshape(spark, sf):
     long = samples.samples_long(_samples(spark, sf, scale=SCALE), COEFFICIENTS, ["date"])
-    return samples.samples_wide(long, COEFFICIENTS, ["date"])
+    return samples.samples_wide(long, COEFFICIENTS, ["date"]).groupBy("date").agg(*_coef_of())

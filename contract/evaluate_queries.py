@@ -251,8 +251,10 @@ def i3_residual_table(spark, sf):
 
 @query(
     sql=f"""with {v.V4}, ends as (select segment, min(e) as lo, max(e) as hi, count(*) as n from ok4 group by segment),
- binned as (select ok4.segment, least(29, floor((e - lo)/((hi - lo)/30)))::int as bin, lo, hi, n from ok4 join ends on ok4.segment = ends.segment)
- select segment, bin, lo + bin*((hi - lo)/30) as bin_start, count(*) as rows, count(*)/(n*((hi - lo)/30)) as density from binned group by segment, bin, lo, hi, n""",
+ binned as (select ok4.segment, least(29, floor((e - lo)/((hi - lo)/30)))::int as bin, count(*) as rows from ok4 join ends on ok4.segment = ends.segment group by all),
+ bins as (select ends.*, unnest(range(30))::int as bin from ends)
+ select bins.segment, bins.bin, lo + bins.bin*((hi - lo)/30) as bin_start, coalesce(rows, 0) as rows, coalesce(rows, 0)/(n*((hi - lo)/30)) as density
+  from bins left join binned on bins.segment = binned.segment and bins.bin = binned.bin""",
     doubles="bin_start density",
 )
 def i4_residual_histogram(spark, sf):

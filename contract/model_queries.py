@@ -18,7 +18,6 @@ from curvewalk.sources import tables
 KEYS = ["series_id", "fold"]
 PAIR, TARGETS = v.PAIR, b.TARGETS
 INDUCING = 4
-SMALL_GRID = KernelGrid(length=(0.3, 3.0), mixture=(1.0,), period=(5.0,), constant=(0.1, 1.0), noise=(1e-5, 1e-3))
 
 
 def _folds(spark, sf) -> DataFrame:
@@ -76,16 +75,23 @@ _D2 = " + ".join(f"(train.{x} - centre.{x})*(train.{x} - centre.{x})" for x in P
 def f4_kernel_table(spark, sf):
     rows = gaussian.kernel_rows(b.panel(spark, sf), b.PLAN, PAIR, INDUCING)
     d2 = F.col("squared")
+    rows = rows.withColumns(
+        {
+            "rbf": gaussian.kernel_values("RBF", d2, length=0.1),
+            "rational_quadratic": gaussian.kernel_values("RationalQuadratic", d2, length=0.1, mixture=1.0),
+            "exp_sine_squared": gaussian.kernel_values("ExpSineSquared", d2, length=0.1, period=5.0),
+        }
+    )
     return rows.groupBy(*KEYS, "inducing_offset").agg(
         F.count("*").alias("n_rows"),
-        F.avg(gaussian.kernel_column("RBF", d2, 0.1)).alias("rbf"),
-        F.avg(gaussian.kernel_column("RationalQuadratic", d2, 0.1, 1.0)).alias("rational_quadratic"),
-        F.avg(gaussian.kernel_column("ExpSineSquared", d2, 0.1, period=5.0)).alias("exp_sine_squared"),
+        F.avg("rbf").alias("rbf"),
+        F.avg("rational_quadratic").alias("rational_quadratic"),
+        F.avg("exp_sine_squared").alias("exp_sine_squared"),
     )
 
 
 def _gaussian(spark, sf, plan=b.PLAN) -> Backtest:
-    return gaussian_backtest(b.panel(spark, sf), plan, b.FEATURES, TARGETS, grid=SMALL_GRID, inducing=32)
+    return gaussian_backtest(b.panel(spark, sf), plan, b.FEATURES, TARGETS)
 
 
 def _ridge(spark, sf, plan=b.PLAN) -> Backtest:
@@ -105,7 +111,7 @@ _GRAM_NAMES = " ".join(f"s{i}_{j}" for i, j in _PAIRS)
 
 @query(sql=f"with {v.TRAIN} select series_id, fold, {_GRAM} from train group by series_id, fold", doubles=_GRAM_NAMES)
 def f6_fold_gram(spark, sf):
-    grams = ridge.fold_grams(b.panel(spark, sf), b.PLAN, PAIR, TARGETS)
+    grams = ridge.fold_grams(b.panel(spark, sf), b.PLAN, PAIR, TARGETS, shift=False)
     return grams.select(*KEYS, *[F.col("gram")[p].alias(f"s{i}_{j}") for p, (i, j) in enumerate(_PAIRS)])
 
 
@@ -193,7 +199,7 @@ def f15_best_candidate(spark, sf):
 
 @query()
 def f16_model_summary(spark, sf):
-    return _gaussian(spark, sf).summary().drop("candidate_scores", "params")
+    return _gaussian(spark, sf).summary()
 
 
 _IMPORTANCE = f"""{v.FITS}, sizes as (select series_id, fold, candidate, ({' + '.join(f'abs(w1_{t})' for t in TARGETS)})/4 as a,
@@ -248,6 +254,49 @@ def c7_backtest(spark, sf):
     return _ridge(spark, sf).forecasts
 
 
+def _fixed(spark, sf) -> Backtest:
+    """The whole backtest on ridge fits with given penalties, which SQL can follow."""
+
+    def fit(grams: DataFrame) -> DataFrame:
+        return ridge.fixed_ridge(grams, v.PENALTIES, len(TARGETS))
+
+    return ridge_backtest(b.panel(spark, sf), b.PLAN, PAIR, TARGETS, "r2_avg", std_mode="row_spread", fit=fit)
+
+
+_SCHEDULE = f"pos - {v._W} as k, fold, (pos - {v._W}) % {v._R} = 0 as retrain"
+_FIXED_LONG = f"{_AHEAD}, long as (" + " union all ".join(
+    f"select series_id, date, {_SCHEDULE}, candidate as best_candidate, '{t}' as target, actual_{t} as actual,"
+    f" prediction_{t} as prediction, 0e0 as prediction_std from predicted"
+    for t in TARGETS
+) + ")"
+
+
+@query(
+    sql=f"with {_AHEAD} select series_id, date, pos, {_SCHEDULE}, candidate, {', '.join(f'actual_{t}, prediction_{t}, 0e0 as std_{t}' for t in TARGETS)} from predicted",
+    doubles=" ".join(f"actual_{t} prediction_{t} std_{t}" for t in TARGETS),
+)
+def c7_fixed_backtest(spark, sf):
+    return _fixed(spark, sf).forecasts
+
+
+@query(sql=f"with {_FIXED_LONG} select * from long", doubles="actual prediction prediction_std")
+def g6_fixed_result_rows(spark, sf):
+    return _fixed(spark, sf).long()
+
+
+@query(sql=f"with {v.SCORES} select series_id, fold, candidate, ordinal, r2_avg from scores", doubles="r2_avg")
+def f8_fixed_candidates(spark, sf):
+    return _fixed(spark, sf).scores.select(*KEYS, "candidate", "ordinal", "r2_avg")
+
+
+@query(
+    sql=f"with {v.BEST} select series_id, fold, candidate as best_candidate, (select count(*) from scores s where s.series_id = best.series_id and s.fold = best.fold) as n_candidates, {len(PAIR)} as n_features, n_train from best",
+)
+def f16_fixed_summary(spark, sf):
+    summary = _fixed(spark, sf).summary()
+    return summary.select(*KEYS, "best_candidate", F.size("candidate_scores").cast("long").alias("n_candidates"), "n_features", "n_train")
+
+
 _LAYOUT = ", ".join(f"{t} as actual_{t}" for t in TARGETS)
 _ACTUALS = [f"actual_{t}" for t in TARGETS]
 
@@ -283,13 +332,13 @@ def c9_forecast_horizon(spark, sf):
     root = tables.shared_folder(spark, "horizon")
     featured = b.featured(spark, sf)
     tables.write_table(featured, f"{root}/panel.parquet")
-    forecast_horizon(spark, f"{root}/panel.parquet", CONFIG, "seven-day-ahead", b.PLAN, "ridge", output=root, n_samples=20)
+    forecast_horizon(spark, f"{root}/panel.parquet", CONFIG, "seven-day-ahead", b.PLAN, "ridge", output=root)
     return tables.read_samples(spark, f"{root}/results", "seven-day-ahead")
 
 
-@query()
+@query(sql=f"with {_FIXED_LONG} select *, 'seven-day-ahead' as horizon from long", doubles="actual prediction prediction_std")
 def a11_result_sink(spark, sf):
     root = tables.shared_folder(spark, "results")
-    run = _ridge(spark, sf)
+    run = _fixed(spark, sf)
     tables.write_table(run.long().select(F.lit("seven-day-ahead").alias("horizon"), "*"), root, ["horizon"])
     return tables.read_samples(spark, root, "seven-day-ahead")
