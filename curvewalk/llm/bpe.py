@@ -21,7 +21,7 @@ import regex
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Words remembered by a worker; beyond it the memory starts anew. It bounds memory and changes no result.
+#: Words remembered by a worker in each of two generations. It bounds memory and changes no result.
 MEMORY = 500_000
 #: Tokens share one integer in the table of pairs; START stands for the word's beginning.
 SHIFT = 24
@@ -130,16 +130,19 @@ class PrefixTable:
 
 
 class _Memory(dict):
-    """Remembers what a function gave for a word, within bounds."""
+    """Remembers what a function gave for a word, within bounds: words used again outlive a generation."""
 
     def __init__(self, fn):
         super().__init__()
-        self.fn = fn
+        self.fn, self.older = fn, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(self) >= MEMORY:
+            self.older = dict(self)
             self.clear()
-        value = self.fn(key)
         if len(key) <= 200:
             self[key] = value
         return value
