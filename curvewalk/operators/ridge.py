@@ -1,8 +1,4 @@
-"""Ridge candidates fitted from sufficient statistics.
-
-Rows are read once: sums of products per sub-block of positions, then sums of sub-blocks per fold.
-Only the p x p algebra of each fold runs in Python.
-"""
+"""Ridge candidates fitted from sufficient statistics: one matrix of product sums per fold serves all priors."""
 
 from __future__ import annotations
 
@@ -18,7 +14,6 @@ from curvewalk.functions import ratio
 from curvewalk.operators.candidates import PRIORS, check_candidates
 from curvewalk.operators.folds import WalkForward, fold_groups, prediction_rows
 from curvewalk.operators.panel import KEY
-from curvewalk.operators.scan import attach
 from curvewalk.operators.scores import score_rows
 
 FIT_SCHEMA = (
@@ -45,14 +40,7 @@ def gram_names(size: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(size) for j in range(i, size)]
 
 
-def anchored(panel: DataFrame, columns: list[str]) -> DataFrame:
-    """The panel minus each series' values at position 0, with those in ``anchor``.
-
-    Sums of products of the differences keep their digits whatever level a series is at.
-    """
-    first = panel.filter("pos = 0").select(*KEY, F.array(*[F.col(c).cast("double") for c in columns]).alias("anchor"))
-    moved = attach(panel.select(*KEY, "pos", "pos_total", *columns), first, KEY)
-    return moved.withColumns({c: F.col(c) - F.col("anchor")[i] for i, c in enumerate(columns)})
+GRAM_SCHEMA = "series_id string, fold bigint, anchor array<double>, gram array<double>"
 
 
 def fold_grams(
@@ -60,51 +48,31 @@ def fold_grams(
 ) -> DataFrame:
     """Upper triangle of Σzzᵀ, z = (1, features, targets), for every (series, fold) as ``gram``.
 
-    With ``shift`` z holds differences from the series' ``anchor``, which the fits add back; without it the
-    sums are of the raw values and ``anchor`` is zero.
-
-    A fold's window starts and ends on fixed offsets of the refit grid, so positions are cut into
-    sub-blocks at both offsets and a fold is a whole number of them. Rows are summed map-side per
-    sub-block; those sums go to the fold groups that use them, about twice each, and are added up
-    per fold inside the group.
+    Rows go to groups of neighbouring folds, about twice each; a task holds one group, window plus
+    ``per_group * stride`` rows, and takes one matrix product per fold, whatever the number of features.
+    With ``shift`` z holds differences from ``anchor``, the group's first row, which the fits add back: the
+    sums keep their digits at any level. Without it the sums are of the raw values and ``anchor`` is zero.
     """
-    z = ["1D", *[f"`{c}`" for c in [*features, *targets]]]
     columns = [*features, *targets]
-    if shift:
-        panel = anchored(panel, columns)
-    else:
-        panel = panel.withColumn("anchor", F.array(*[F.lit(0.0) for _ in columns]))
-    pairs = gram_names(len(z))
-    stride, reach, per_group = plan.stride, -(-plan.window // plan.stride), folds_per_group(plan)
-    edge = -plan.window % stride
-    offset = F.col("pos") + plan.embargo - plan.start
-    block = F.floor(offset / stride)
-    half = F.when(offset - block * stride >= edge, 1).otherwise(0)
-    products = ", ".join(f"sum({z[i]} * {z[j]})" for i, j in pairs)
-    parts = (
-        panel.filter(plan.first_fold <= plan.last_fold)
-        .groupBy(*KEY, (2 * block + half).alias("sub"))
-        .agg(
-            F.max(plan.folds).alias("folds"),
-            F.first("anchor").alias("anchor"),
-            F.expr(f"array({products})").alias("gram"),
-        )
-    )
-    lo = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("sub") + 1) / 2))
-    hi = F.least(F.col("folds") - 1, F.floor((F.col("sub") - 1) / 2) + reach)
-    summed = ", ".join(f"sum(gram[{p}])" for p in range(len(pairs)))
-    first = F.greatest(F.col("_lo"), F.col("fold_group") * per_group)
-    last = F.least(F.col("_hi"), F.col("fold_group") * per_group + (per_group - 1))
-    return (
-        parts.withColumns({"_lo": lo, "_hi": hi})
-        .filter(F.col("_lo") <= F.col("_hi"))
-        .withColumn("fold_group", F.expr(f"explode(sequence(_lo div {per_group}, _hi div {per_group}))"))
-        .repartition(task_count(panel), *KEY, "fold_group")
-        .withColumn("fold", F.explode(F.sequence(first, last)))
-        .groupBy(*KEY, "fold_group", "fold")
-        .agg(F.first("anchor").alias("anchor"), F.expr(f"array({summed})").alias("gram"))
-        .drop("fold_group")
-    )
+    stride, window, embargo, per_group = plan.stride, plan.window, plan.embargo, folds_per_group(plan)
+    upper = np.triu_indices(1 + len(columns))
+    rows = fold_groups(panel.select(*KEY, "pos", "pos_total", *columns), plan, per_group)
+    rows = rows.withColumns({"_start": plan.start, "_folds": plan.folds})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        first, pos, x = group.iloc[0], group["pos"].to_numpy(), group[columns].to_numpy(float)
+        anchor = x[0] if shift else np.zeros(len(columns))
+        z = np.column_stack([np.ones(len(x)), x - anchor])
+        mine, made = int(first["fold_group"]) * per_group, []
+        for fold in range(mine, min(mine + per_group, int(first["_folds"]))):
+            end = int(first["_start"]) + fold * stride - embargo
+            part = z[(pos >= end - window) & (pos < end)]
+            made.append((first["series_id"], fold, anchor.tolist(), (part.T @ part)[upper].tolist()))
+        return pd.DataFrame(made, columns=["series_id", "fold", "anchor", "gram"])
+
+    keys = [*KEY, "fold_group"]
+    return rows.repartition(task_count(panel), *keys).groupBy(*keys).applyInPandas(add, GRAM_SCHEMA)
 
 
 def gram_entry(i: int, j: int, size: int) -> Column:
@@ -205,9 +173,9 @@ def evidence_ridge(
     upper = np.triu_indices(size)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        # A few folds at a time: a stack holds several size x size matrices for each.
+        at_once = max(1, 2_000_000 // (size * size))
+        for batch in (whole[i : i + at_once] for whole in batches for i in range(0, len(whole), at_once)):
             flat = np.stack(batch["gram"].to_numpy())
             full = np.zeros((len(flat), size, size))
             full[:, upper[0], upper[1]] = flat

@@ -141,3 +141,18 @@ def test_model_matrix_has_a_column_for_each_model(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 4.0), ("b", 5.0, 6.0, 7.0, 8.0)], "model string, mae double, rmse double, mape double, directional_accuracy double")
     got = {r.metric: (r.a, r.b) for r in report.metric_matrix(df, ["model"], "model", ["a", "b"]).collect()}
     assert got == {"MAE": (1.0, 5.0), "RMSE": (2.0, 6.0), "MAPE": (3.0, 7.0), "Directional_Accuracy": (4.0, 8.0)}
+
+
+def test_many_features_fit_in_one_pass(spark):
+    random = np.random.default_rng(3)
+    names = [f"f{i}" for i in range(120)]
+    rows = pd.DataFrame(random.normal(size=(300, 120)), columns=names)
+    rows["t0"] = rows[names] @ random.normal(size=120) + 1e-3 * random.normal(size=300)
+    rows["series_id"], rows["pos"], rows["pos_total"] = "a", np.arange(300), 300
+    panel = spark.createDataFrame(rows).withColumns({c: F.col(c).cast("long") for c in ("pos", "pos_total")})
+    grams = ridge.fold_grams(panel, WalkForward(250, 1, 30), names, ["t0"])
+    got = ridge.evidence_ridge(grams, 120, 1).filter("fold = 0 and ordinal = 0").head()
+    train = rows[:250]
+    x = np.column_stack([np.ones(250), train[names]])
+    want = np.linalg.lstsq(x, train["t0"], rcond=None)[0]
+    assert np.allclose(got.coef[0], want[1:], atol=1e-3) and got.n_train == 250
