@@ -66,17 +66,26 @@ def average_spread(column: str, short: int, long: int) -> Derivation:
 
 
 def derive(df: DataFrame, derivations: Mapping[str, Derivation], keys: list[str] | None = None) -> DataFrame:
-    """Append derived columns to a panel that carries ``pos``; NaN counts as missing and becomes NULL."""
-    limits = [d.max_block for d in derivations.values() if d.max_block]
+    """Append derived columns to a panel that carries ``pos``; NaN counts as missing and becomes NULL.
+
+    Derivations that fit in blocks of one size share a pass. One that reaches far would copy too many rows
+    into the small blocks of a short exponential average and gets a pass of its own.
+    """
     numbers = {f.name: clean(f.name) for f in df.schema if f.dataType.typeName() in ("double", "float")}
-    return over_blocks(
-        df.withColumns(numbers),
-        keys or KEY,
-        {name: d.build for name, d in derivations.items()},
-        back=max(d.back for d in derivations.values()),
-        ahead=max(d.ahead for d in derivations.values()),
-        size=min(limits) if limits else None,
-    )
+    out, left = df.withColumns(numbers), sorted(derivations, key=lambda n: derivations[n].max_block or float("inf"))
+    while left:
+        size = derivations[left[0]].max_block
+        mine = [n for n in left if size is None or 6 * (derivations[n].back + derivations[n].ahead) <= size]
+        out = over_blocks(
+            out,
+            keys or KEY,
+            {name: derivations[name].build for name in mine},
+            back=max(derivations[n].back for n in mine),
+            ahead=max(derivations[n].ahead for n in mine),
+            size=size,
+        )
+        left = [n for n in left if n not in mine]
+    return out.select(*df.columns, *derivations)
 
 
 def spreads(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:

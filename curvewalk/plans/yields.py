@@ -9,9 +9,19 @@ from curvewalk.operators.curve import COEFFICIENTS, mean_yields, point_yields, s
 from curvewalk.sources import tables
 
 
-def coefficient_of(targets: list[str]) -> dict[str, str]:
-    """Which target is which coefficient, by name: a target starts with its coefficient's name."""
+Targets = list[str] | dict[str, str]
+
+
+def coefficient_of(targets: Targets) -> dict[str, str]:
+    """Which target is which coefficient, by name: a target starts with its coefficient's name.
+
+    Targets with other names are given as a mapping to coefficients.
+    """
     found = {}
+    if isinstance(targets, dict):
+        if sorted(targets.values()) != sorted(COEFFICIENTS):
+            raise ValueError(f"targets must map to {COEFFICIENTS}, each once: {targets}")
+        return targets
     for coefficient in COEFFICIENTS:
         stem = coefficient.rstrip("_")
         own = [t for t in targets if t == coefficient or t == stem or t.startswith(f"{stem}_")]
@@ -21,13 +31,13 @@ def coefficient_of(targets: list[str]) -> dict[str, str]:
     return found
 
 
-def coefficient_names(samples: DataFrame, targets: list[str]) -> DataFrame:
+def coefficient_names(samples: DataFrame, targets: Targets) -> DataFrame:
     """Rename target columns to curve coefficients, in whatever order they are listed."""
     return samples.withColumnsRenamed(coefficient_of(targets))
 
 
 def transform_samples(
-    spark: SparkSession, root: str, horizon: str, targets: list[str], max_group: int | None = 1000
+    spark: SparkSession, root: str, horizon: str, targets: Targets, max_group: int | None = 1000
 ) -> None:
     """Write sample yields with percentiles and mean yields below ``root`` for one horizon."""
     group = ["horizon", "series_id", "date"]
@@ -36,7 +46,7 @@ def transform_samples(
     tables.write_table(mean_yields(samples, group), f"{root}/mean_yields", ["horizon"])
 
 
-def transform_forecasts(spark: SparkSession, root: str, horizon: str, targets: list[str]) -> None:
+def transform_forecasts(spark: SparkSession, root: str, horizon: str, targets: Targets) -> None:
     """Write actual and predicted yields of the stored long forecasts."""
     long = tables.read_samples(spark, f"{root}/results", horizon)
     parts = [
@@ -50,7 +60,7 @@ def transform_forecasts(spark: SparkSession, root: str, horizon: str, targets: l
 
 
 def transform_horizon(
-    spark: SparkSession, root: str, horizon: str, targets: list[str], max_group: int | None = 1000
+    spark: SparkSession, root: str, horizon: str, targets: Targets, max_group: int | None = 1000
 ) -> None:
     """Every yield table of a horizon; a failing step raises."""
     transform_samples(spark, root, horizon, targets, max_group)

@@ -118,7 +118,11 @@ def test_whole_run_from_stored_panel_to_yields(spark, tmp_path):
     assert run.summary().count() == 6
     samples = tables.read_samples(spark, f"{root}/samples", "one-day-ahead")
     assert samples.count() == 60 * 25
-    transform_horizon(spark, root, "one-day-ahead", CONFIG["dependent_variables"], 25)
+    with pytest.raises(ValueError):  # names that don't tell the coefficients
+        transform_horizon(spark, root, "one-day-ahead", CONFIG["dependent_variables"], 25)
+    named = dict(zip(CONFIG["dependent_variables"], ["beta0", "beta1", "beta2", "lambda_"]))
+    transform_horizon(spark, root, "one-day-ahead", named, 25)
+    assert run.report().count() == 8
     assert tables.read_samples(spark, f"{root}/sample_yields", "one-day-ahead").count() == 60 * 25 * 11
     assert tables.read_samples(spark, f"{root}/mean_yields", "one-day-ahead").count() == 60
     points = tables.read_samples(spark, f"{root}/yield_results", "one-day-ahead")
