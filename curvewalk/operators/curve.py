@@ -141,7 +141,7 @@ def compare_curves(observed: DataFrame, predicted: DataFrame, keys: list[str]) -
     return a.join(p, [*keys, "tenor"]).withColumn("error", F.col("actual") - F.col("prediction"))
 
 
-DIPS = 4
+DIPS = 5
 FIT = "beta0 double, beta1 double, beta2 double, lambda_ double"
 
 
@@ -159,8 +159,13 @@ def _residual(lam: np.ndarray, years: np.ndarray, y: np.ndarray, real: np.ndarra
 
 
 def _bottom(grid: np.ndarray, at: np.ndarray, years: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """Lambda of the least residual between the grid neighbours of ``at``, by golden sections."""
-    low, high = np.log(grid[np.maximum(at - 1, 0)]), np.log(grid[np.minimum(at + 1, len(grid) - 1)])
+    """Lambda of the least residual around the grid's ``at``: a finer grid, as two dips can be close, then
+    golden sections."""
+    low, high = np.log(grid[np.maximum(at - 2, 0)]), np.log(grid[np.minimum(at + 2, len(grid) - 1)])
+    step = (high - low) / 400
+    tried = np.stack([_residual(np.exp(low + i * step), years, y, real) for i in range(401)], axis=1)
+    at = low + tried.argmin(axis=1) * step
+    low, high = at - step, at + step
     golden = (np.sqrt(5.0) - 1) / 2
     for _ in range(50):
         a, b = high - golden * (high - low), low + golden * (high - low)
