@@ -77,8 +77,11 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     """
     keyed = signatures(prints, distance).withColumn("m", F.count("*").over(Window.partitionBy("key")))
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    met = (
-        keyed.where("m > 1")
+    one = F.lit(0).cast("int")
+    few = keyed.where((F.col("m") > 1) & (F.col("m") <= TILE))
+    few = few.select("key", one.alias("t1"), one.alias("t2"), one.alias("own"), "fp")
+    many = (
+        keyed.where(F.col("m") > TILE)
         .withColumn("tiles", tiles)
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -90,7 +93,7 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
             "fp",
         )
     )
-    dealt = met.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    dealt = few.unionByName(many).repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
     found = dealt.mapInArrow(_forest_of(distance, _arrow_schema(prints, "a long, b long")), "a long, b long")
     return found.distinct()
 
