@@ -21,11 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvewalk.llm.suffixes import repeated_windows
-from curvewalk.llm.tables import _arrow_schema, body_key, id_and_text
+from curvewalk.llm.tables import _arrow_schema, body_key
 
 #: Length of the strings an anchor is chosen from.
 GRAM = 20
@@ -48,6 +48,7 @@ class Block:
         ids, texts = table["doc_id"].to_pylist(), table["text"].to_pylist()
         keys = [LAST if i is None else i for i in ids]
         order = sorted(range(len(ids)), key=lambda i: (keys[i], texts[i]))
+        self.order = pa.array(order, pa.int64())
         self.ids = [ids[i] for i in order]
         bodies = table["body"].to_pylist()
         self.bodies = [bodies[i] for i in order]
@@ -314,7 +315,7 @@ def _sort_shard(width: int, fields: pa.Schema):
     return run
 
 
-def _cut(width: int, fields: pa.Schema, with_text: bool):
+def _cut(width: int, fields: pa.Schema, with_text: bool, carried: list[str]):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows(fields, [])
@@ -345,7 +346,11 @@ def _cut(width: int, fields: pa.Schema, with_text: bool):
                 spans, kept = 0, raw
             row = (doc, body, len(raw), removed, spans, hashlib.sha256(kept).hexdigest())
             out.append((*row, _whole_characters(raw, mask) if removed else raw.decode()) if with_text else row)
-        return _rows(fields, out)
+        own = len(fields) - len(carried)
+        done = _rows(pa.schema([fields.field(i) for i in range(own)]), out)
+        for i, name in enumerate(carried):
+            done = done.append_column(fields.field(own + i), table[name].take(block.order).cast(fields.field(own + i).type))
+        return done
 
     return run
 
@@ -360,7 +365,12 @@ def _whole_characters(raw: bytes, gone: np.ndarray) -> str:
 
 
 def remove_repeats(
-    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
+    docs: DataFrame,
+    width: int = 50,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_text: bool = False,
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per document: (doc_id, body, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]).
 
@@ -370,11 +380,18 @@ def remove_repeats(
     the text. kept_text drops a
     character only if all its bytes are removed, so it stays valid UTF-8. A null text counts as empty; texts
     shorter than width lose nothing; a null doc_id counts as larger than any other. An empty table gives no rows;
-    other columns are ignored.
+    of other columns, those in carry
+    reach the result under the names given there.
     """
     if width <= GRAM:
         raise ValueError(f"width must exceed {GRAM} bytes")
-    slim = id_and_text(docs, id_col, text_col).withColumn("body", body_key())
+    carry = carry or {}
+    slim = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        body_key(text_col).alias("body"),
+        *[column.alias(name) for name, column in carry.items()],
+    )
     total = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks, ranges = max(1, -(-total // BLOCK)), max(1, -(-total // RANGE))
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
@@ -388,5 +405,6 @@ def remove_repeats(
     answer_schema = "dest long, block int, segments binary"
     answers = sent.groupBy("dest").applyInArrow(_sort_shard(width, _arrow_schema(docs, answer_schema)), answer_schema)
     schema = "doc_id long, body long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    cut = _cut(width, _arrow_schema(docs, schema), with_text)
+    schema += "".join(f", `{name}` {slim.schema[name].dataType.simpleString()}" for name in carry)
+    cut = _cut(width, _arrow_schema(docs, schema), with_text, list(carry))
     return by_block.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
