@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import regex
@@ -50,15 +50,20 @@ class PrefixTable:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
         self.names = {token: name for name, token in self.ids.items()}
+        self.fits: dict[int, bool] = {}
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """All vocabulary entries as (length, id inside a word, id at a word's end)."""
         bodies: dict[str, list[int]] = {}
         for name, token in self.ids.items():
             closes = bool(self.end) and name.endswith(self.end) and len(name) > len(self.end)
             bodies.setdefault(name[: -len(self.end)] if closes else name, [-1, -1])[closes] = token
-        self.automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton()
         for body, (inner, final) in bodies.items():
-            self.automaton.add_word(body, (len(body), inner, final))
-        self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
+            automaton.add_word(body, (len(body), inner, final))
+        automaton.make_automaton()
+        return automaton
 
     def merged(self, letters: str, closed: bool) -> list[str]:
         """What the merge rules make of a few letters: the lowest rank first, leftmost among equals."""

@@ -6,10 +6,12 @@ from functools import lru_cache
 
 import numpy as np
 
-from curvewalk.llm.bpe import MEMORY, WORD_SPLIT, Splitter, Tokenizer, tokenizer
+from curvewalk.llm.bpe import WORD_SPLIT, Splitter, Tokenizer, tokenizer
 
 #: Bytes of a word up to which it is merged with others in one array; longer ones are encoded one by one.
 WIDE = 24
+#: Chunks and words remembered by a worker in each of two generations; what is used again outlives one.
+CHUNKS, WORDS = 500_000, 250_000
 _NONE = np.int32(1 << 30)
 _EMPTY = np.int64(-1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -107,6 +109,18 @@ class Merger:
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def _recall(keys: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
+    """Take what an older generation knows into the present one; what is left is new."""
+    new = []
+    for key in keys:
+        ids = older.get(key)
+        if ids is None:
+            new.append(key)
+        else:
+            known[key] = ids
+    return new
+
+
 class BatchCoder:
     """Encodes texts by the batch, merging only words not seen before."""
 
@@ -117,15 +131,16 @@ class BatchCoder:
         self.splitter = Splitter(WORD_SPLIT + r"|\n")
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
         """Ids of chunks that aren't known yet; chunks hold no white space."""
-        new = list(chunks)
+        new = _recall(chunks, self.chunks, self.older_chunks)
         marked = self.splitter.words(self.vocabulary.normal("\n".join(new)))
-        unknown = list(set(marked).difference(self.words, "\n"))
-        if len(self.words) > MEMORY:
-            self.words.clear()
-            unknown = list(set(marked).difference("\n"))
+        if len(self.words) > WORDS:
+            self.words, self.older_words = {}, self.words
+        unknown = _recall(set(marked).difference(self.words, "\n"), self.words, self.older_words)
         self.words.update(zip(unknown, self.merger.encode([w.encode() for w in unknown])))
         known, parts, at = self.words, [], 0
         for word in marked:
@@ -139,10 +154,15 @@ class BatchCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > 2 * MEMORY:
-            self.chunks.clear()
+        if len(self.chunks) > CHUNKS:
+            self.chunks, self.older_chunks = {}, self.chunks
         cut = [[(special, piece if special is not None else self.vocabulary.chunks(piece)) for piece, special in self.vocabulary.pieces(t)] for t in texts]
-        self.learn({c for pieces in cut for special, chunks in pieces if special is None for c in chunks}.difference(self.chunks))
+        seen: set[str] = set()
+        for pieces in cut:
+            for special, chunks in pieces:
+                if special is None:
+                    seen.update(chunks)
+        self.learn(seen.difference(self.chunks))
         known, out = self.chunks, []
         for pieces in cut:
             parts: list[bytes] = []

@@ -141,8 +141,8 @@ def tokens_by_queue(
     def run(batches):
         code, counts = batch_coder(vocabulary), {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
                 ids = [x + closing for x in code.encode(batch.column(1).to_pylist())]
                 queues, parts, before = batch.column(2).to_pylist(), batch.column(3), []
                 for q, x in zip(queues, ids):
@@ -214,7 +214,7 @@ def _pieces(mixture: Mixture, fields: pa.Schema, with_ids: bool, batches):
     for batch in batches:
         for low in range(0, batch.num_rows, 2000):
             part = batch.slice(low, 2000)
-            docs, texts = part.column(0).to_pylist(), [memoryview(_widen(x)) for x in part.column(4).to_pylist()]
+            texts = [memoryview(_widen(x)) for x in part.column(4).to_pylist()]
             queues, firsts, sizes = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
             order = np.lexsort((firsts, queues))
             ends = (firsts + sizes)[order]
@@ -237,7 +237,7 @@ def _pieces(mixture: Mixture, fields: pa.Schema, with_ids: bool, batches):
                 row, start, length, window, offset = (np.concatenate([x, y]) for x, y in zip(parts, np.array(tail).T))
             spans = list(zip(row.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist()))
             sums = [zlib.crc32(texts[r][a:b]) for r, a, b in spans]
-            columns = [[docs[r] for r, _, _ in spans], start, length, sums, sizes[row], window, offset, queues[row]]
+            columns = [part.column(0).take(pa.array(row)), start, length, sums, sizes[row], window, offset, queues[row]]
             if with_ids:
                 columns.append([bytes(texts[r][a:b]) for r, a, b in spans])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=fields)
