@@ -3,8 +3,8 @@
 A found value is a protected entity. Its information content is -log2 of the share of texts it is in; what a term
 tells about it is their pointwise mutual information over the corpus, log2 of p(term, entity) / (p(term) p(entity)).
 A term whose information comes within a factor of the entity's content would let a reader infer the entity after
-its value is masked, so where it stands beside the entity it is masked too: removed if it tells nearly all,
-replaced by a general word otherwise. Everything here is column expressions and joins; no Python runs on executors.
+its value is masked, so it is masked too wherever it stands in the entity's documents: removed if it tells nearly
+all, replaced by a general word otherwise. Everything here is column expressions and joins; no Python runs on executors.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ KINDS = list(PATTERNS)
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 TERM = r"[\p{L}\p{N}]{3,}+"
-#: Code points on each side of an entity in which a term stands beside it.
-BESIDE = 80
 _PART = 64
 
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -118,38 +116,31 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _beside(text: Column, span: Column) -> Column:
-    """Terms within BESIDE code points of a span, whole words only, with their places and neighbours."""
-    left_at = F.greatest(span["start"] - BESIDE, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    right = F.substring(text, span["end"] + 1, F.lit(BESIDE))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, so that places stay and an entity's own words are no terms."""
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def terms(part: Column, shift: Column, whole: Column) -> Column:
-        inner = F.filter(matches(part, TERM, "term"), whole)
-        return F.transform(
-            inner,
-            lambda s: F.struct(
-                F.lower(s["value"]).alias("term"), (s["start"] + shift).alias("start"), (s["end"] + shift).alias("end")
-            ),
-        )
+    def put(done: Column, span: Column) -> Column:
+        begin, end = F.greatest(span["start"], done["at"]), F.greatest(span["end"], done["at"])
+        kept = F.substring(text, done["at"] + 1, begin - done["at"])
+        return F.struct(F.concat(done["out"], kept, F.repeat(F.lit(" "), end - begin)).alias("out"), end.alias("at"))
 
-    before = terms(left, left_at, lambda s: (left_at == 0) | (s["start"] > 0))
-    after = terms(right, span["end"], lambda s: s["end"] < BESIDE)
-    return F.struct(
-        span["kind"].alias("kind"), span["value"].alias("value"), F.concat(before, after).alias("terms")
+    return F.aggregate(
+        by_place, start, put, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
     )
 
 
-def _with_neighbours(terms: Column) -> Column:
-    """Each term with the terms before and after it; the entity between them is passed over."""
+def _places(words: Column, starts: Column, ends: Column) -> Column:
+    """Each term of a text with its place and its neighbours; entities between terms are passed over."""
     return F.transform(
-        terms,
-        lambda t, i: F.struct(
-            t["term"].alias("term"),
-            t["start"].alias("start"),
-            t["end"].alias("end"),
-            F.when(i > 0, F.get(terms, i - 1)["term"]).alias("before"),
-            F.get(terms, i + 1)["term"].alias("after"),
+        words,
+        lambda w, i: F.struct(
+            w.alias("term"),
+            F.get(starts, i).alias("start"),
+            F.get(ends, i).alias("end"),
+            F.get(words, i - 1).alias("before"),
+            F.get(words, i + 1).alias("after"),
         ),
     )
 
@@ -159,9 +150,10 @@ def find_spans(
 ) -> DataFrame:
     """One row per document: (doc_id, key1, key2, email, ip, card, phone, terms), arrays of spans.
 
-    A term beside an entity is masked if it stands there after at least least_contexts different words and before as
-    many (so copies of a passage count once), and its information reaches the entity's content divided by alpha. Its kind
-    is 'removed' if it reaches 95 % of the content, 'term' otherwise. Frequencies are shares of all documents.
+    A term of the documents with an entity is masked wherever it stands in them, if it stands there after at least
+    least_contexts different words and before as many (so copies of a passage count once), and its information reaches
+    the entity's content divided by alpha. Its kind is 'removed' if it reaches 95 % of the content, 'term' otherwise.
+    Frequencies are shares of all documents. An entity in fewer than least_contexts documents has no such terms.
     key1 and key2 name a row's id and text for joins. A null text counts as empty and has no spans.
     """
     slim = docs.select(
@@ -171,22 +163,19 @@ def find_spans(
     text = F.col("text")
     found = slim.select("doc_id", "text", *row_keys(), *[c.alias(k) for k, c in base_spans(text).items()])
     every = F.concat(*KINDS)
-    found = materialize(
-        found.select(
-            "doc_id", "key1", "key2", *KINDS,
-            F.transform(every, lambda s: _beside(text, s)).alias("entities"),
-        ),
-        "personal",
-    )
-    held = found.where(F.size("entities") > 0).select("key1", "key2", F.explode("entities").alias("e"))
-    held = held.select("key1", "key2", "e.kind", "e.value", F.explode(_with_neighbours(F.col("e.terms"))).alias("t"))
-    seen = held.select("key1", "key2", "kind", "value", "t.*")
+    some = F.when(F.size(every) > 0, F.col("text")).alias("held_text")
+    found = materialize(found.select("doc_id", "key1", "key2", *KINDS, some), "personal")
+    held, entities = _held(found, every, least_contexts)
+    pairs = _disclosing(held, entities, slim, alpha, least_contexts)
+    mine = held.select("key1", "key2", F.explode("entities").alias("e")).select("key1", "key2", "e.*")
+    mine = mine.join(pairs, ["kind", "value"])
+    places = held.select("key1", "key2", F.explode(_places(*map(F.col, ("words", "starts", "ends")))).alias("t"))
+    places = places.select("key1", "key2", "t.*").join(pairs.select("term").distinct(), "term", "left_semi")
+    seen = materialize(places.join(mine, ["key1", "key2", "term"]), "personal-seen")
     together = seen.groupBy("kind", "value", "term").agg(
-        F.least(F.countDistinct("before"), F.countDistinct("after")).alias("contexts"),
-        F.countDistinct("key1", "key2").alias("n_both"),
+        F.least(F.countDistinct("before"), F.countDistinct("after")).alias("contexts")
     )
-    together = together.where(F.col("contexts") >= least_contexts)
-    flagged = _disclosing(together, seen, found, slim, alpha)
+    flagged = together.where(F.col("contexts") >= least_contexts).select("kind", "value", "term")
     spots = (
         seen.join(flagged, ["kind", "value", "term"])
         .groupBy("key1", "key2", "start", "end")
@@ -206,18 +195,37 @@ def row_keys() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("key1"), F.hash("text", "doc_id").alias("key2")]
 
 
-def _disclosing(together: DataFrame, seen: DataFrame, found: DataFrame, slim: DataFrame, alpha: float) -> DataFrame:
-    """(kind, value, term, mask) of the pairs whose mutual information is too high.
+def _held(found: DataFrame, every: Column, least: int) -> tuple[DataFrame, DataFrame]:
+    """Texts with an entity that least documents have, as lists of terms, and the entities (kind, value, n_entity)."""
+    rows = found.where(F.col("held_text").isNotNull()).dropDuplicates(["key1", "key2"])
+    values = F.array_distinct(F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    each = rows.select("key1", "key2", F.explode(values).alias("e")).select("key1", "key2", "e.*")
+    entities = each.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
+    entities = materialize(entities, "personal-entities")
+    known = each.join(entities, ["kind", "value"]).groupBy("key1", "key2")
+    known = known.agg(F.collect_list(F.struct("kind", "value")).alias("entities"))
+    texts = rows.select("key1", "key2", _blanked(F.col("held_text"), every).alias("blanked")).join(known, ["key1", "key2"])
+    texts = texts.select("key1", "key2", "entities", matches(F.col("blanked"), TERM, "term").alias("terms"))
+    held = texts.select(
+        "key1", "key2", "entities",
+        F.transform("terms", lambda s: F.lower(s["value"])).alias("words"),
+        F.col("terms.start").alias("starts"),
+        F.col("terms.end").alias("ends"),
+    )
+    return materialize(held, "personal-held"), entities
+
+
+def _disclosing(held: DataFrame, entities: DataFrame, slim: DataFrame, alpha: float, least: int) -> DataFrame:
+    """(kind, value, term, mask) of the pairs in least documents whose mutual information is too high.
 
-    The documents with a term beside any entity are a lower bound of those with the term. It rules out nearly all
-    pairs before words of whole texts are counted.
+    The documents with a term and any entity are a lower bound of those with the term. It rules out nearly all
+    pairs before words of other texts are counted.
     """
-    entities = (
-        found.select("key1", "key2", F.explode("entities").alias("e"))
-        .groupBy("e.kind", "e.value")
-        .agg(F.countDistinct("key1", "key2").alias("n_entity"))
-    )
-    near = seen.groupBy("term").agg(F.countDistinct("key1", "key2").alias("n_near"))
+    terms = held.select("entities", F.array_distinct("words").alias("words"))
+    each = terms.select("entities", F.explode("words").alias("term"))
+    near = each.groupBy("term").agg(F.count("*").alias("n_near"))
+    both = each.select(F.explode("entities").alias("e"), "term").groupBy("e.kind", "e.value", "term")
+    together = both.agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least)
     n = float(slim.count())
     content = -F.log2(F.col("n_entity") / n)
 
@@ -231,11 +239,9 @@ def _disclosing(together: DataFrame, seen: DataFrame, found: DataFrame, slim: Da
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")
     )
     counts = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    return (
-        pairs.join(counts, "term")
-        .where(told("n_term") >= content / alpha)
-        .select("kind", "value", "term", F.when(told("n_term") >= 0.95 * content, "removed").otherwise("term").alias("mask"))
-    )
+    mask = F.when(told("n_term") >= 0.95 * content, "removed").otherwise("term").alias("mask")
+    disclosing = pairs.join(counts, "term").where(told("n_term") >= content / alpha)
+    return materialize(disclosing.select("kind", "value", "term", mask), "personal-disclosing")
 
 
 def _listed(spans: Column) -> Column:

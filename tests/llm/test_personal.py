@@ -85,3 +85,23 @@ def test_a_disclosing_term_goes_and_other_words_stay(spark):
         assert r.n_email == (r.doc_id < 12)
     masked = {r.doc_id: r.text for r in mask_text(docs).collect()}
     assert "Zebulon" not in masked[0] and "[EMAIL]" in masked[0] and masked[100] == texts[100]
+
+
+def flagged(spark, texts):
+    """Terms masked in each text."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s.startswith(("term", "removed"))] for r in personal_data(docs).collect()}
+    return [[texts[i][int(a) : int(b)] for _, a, b in spans[i]] for i in range(len(texts))]
+
+
+def prose(pick, n):
+    return " ".join(pick.choice([f"word{chr(97 + i)}" for i in range(20)]) for _ in range(n))
+
+
+def test_a_name_far_from_the_address_goes_at_every_place(spark):
+    pick = random.Random(12)
+    texts = [prose(pick, 60) for _ in range(300)]
+    for i in range(6):
+        texts[i] = f"{prose(pick, 3)} Zebulon {texts[i]} zebulon {prose(pick, 40)} z.q@mail.example {prose(pick, 4)}"
+    found = flagged(spark, texts)
+    assert found == [sorted(["Zebulon", "zebulon"])] * 6 + [[]] * 294
