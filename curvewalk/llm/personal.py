@@ -30,6 +30,8 @@ KINDS = list(PATTERNS)
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 TERM = r"[\p{L}\p{N}]{3,}+"
+#: Terms on each side of a term that tell its surroundings apart.
+AROUND = 5
 _PART = 64
 
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -131,16 +133,23 @@ def _blanked(text: Column, spans: Column) -> Column:
     )
 
 
-def _places(words: Column, starts: Column, ends: Column) -> Column:
-    """Each term of a text with its place and its neighbours; entities between terms are passed over."""
+def _places(words: Column, starts: Column, ends: Column, text: Column) -> Column:
+    """Each term of a text with its place and hashes of the AROUND terms on each side; entities are passed over.
+
+    Fewer terms at an end of the text are told apart by the text, so only its exact copies have the same hash.
+    """
+
+    def around(i: Column, step: int, there: Column) -> Column:
+        return F.xxhash64(*[F.get(words, i + step * k) for k in range(1, AROUND + 1)], F.when(there < AROUND, text))
+
     return F.transform(
         words,
         lambda w, i: F.struct(
             w.alias("term"),
             F.get(starts, i).alias("start"),
             F.get(ends, i).alias("end"),
-            F.get(words, i - 1).alias("before"),
-            F.get(words, i + 1).alias("after"),
+            around(i, -1, i).alias("before"),
+            around(i, 1, F.size(words) - 1 - i).alias("after"),
         ),
     )
 
@@ -150,10 +159,12 @@ def find_spans(
 ) -> DataFrame:
     """One row per document: (doc_id, key1, key2, email, ip, card, phone, terms), arrays of spans.
 
-    A term of the documents with an entity is masked wherever it stands in them, if it stands there after at least
-    least_contexts different words and before as many (so copies of a passage count once), and its information reaches
-    the entity's content divided by alpha. Its kind is 'removed' if it reaches 95 % of the content, 'term' otherwise.
-    Frequencies are shares of all documents. An entity in fewer than least_contexts documents has no such terms.
+    A term of the documents with an entity is masked wherever it stands in them, if at least least_contexts
+    of them differ in what stands before it and as many in what stands after it, and its information reaches the
+    entity's content divided by alpha. What stands there are the AROUND terms on that side, at all the term's places in
+    the document: copies of a text count once, and so do copies of a passage of over 2 * AROUND terms, but a first name
+    or a label beside the term is no reason to keep it. Its kind is 'removed' if it reaches 95 % of the content, 'term'
+    otherwise. Frequencies are shares of all documents. An entity in fewer than least_contexts documents has no such terms.
     key1 and key2 name a row's id and text for joins. A null text counts as empty and has no spans.
     """
     slim = docs.select(
@@ -169,10 +180,12 @@ def find_spans(
     pairs = _disclosing(held, entities, slim, alpha, least_contexts)
     mine = held.select("key1", "key2", F.explode("entities").alias("e")).select("key1", "key2", "e.*")
     mine = mine.join(pairs, ["kind", "value"])
-    places = held.select("key1", "key2", F.explode(_places(*map(F.col, ("words", "starts", "ends")))).alias("t"))
+    places = held.select("key1", "key2", F.explode(_places(*map(F.col, ("words", "starts", "ends", "body")))).alias("t"))
     places = places.select("key1", "key2", "t.*").join(pairs.select("term").distinct(), "term", "left_semi")
     seen = materialize(places.join(mine, ["key1", "key2", "term"]), "personal-seen")
-    together = seen.groupBy("kind", "value", "term").agg(
+    sides = [F.xxhash64(F.array_sort(F.collect_set(c))).alias(c) for c in ("before", "after")]
+    texts = seen.groupBy("kind", "value", "term", "key1", "key2").agg(*sides)
+    together = texts.groupBy("kind", "value", "term").agg(
         F.least(F.countDistinct("before"), F.countDistinct("after")).alias("contexts")
     )
     flagged = together.where(F.col("contexts") >= least_contexts).select("kind", "value", "term")
@@ -204,10 +217,11 @@ def _held(found: DataFrame, every: Column, least: int) -> tuple[DataFrame, DataF
     entities = materialize(entities, "personal-entities")
     known = each.join(entities, ["kind", "value"]).groupBy("key1", "key2")
     known = known.agg(F.collect_list(F.struct("kind", "value")).alias("entities"))
-    texts = rows.select("key1", "key2", _blanked(F.col("held_text"), every).alias("blanked")).join(known, ["key1", "key2"])
-    texts = texts.select("key1", "key2", "entities", matches(F.col("blanked"), TERM, "term").alias("terms"))
+    blanked = _blanked(F.col("held_text"), every).alias("blanked")
+    texts = rows.select("key1", "key2", F.xxhash64("held_text").alias("body"), blanked).join(known, ["key1", "key2"])
+    texts = texts.select("key1", "key2", "body", "entities", matches(F.col("blanked"), TERM, "term").alias("terms"))
     held = texts.select(
-        "key1", "key2", "entities",
+        "key1", "key2", "body", "entities",
         F.transform("terms", lambda s: F.lower(s["value"])).alias("words"),
         F.col("terms.start").alias("starts"),
         F.col("terms.end").alias("ends"),

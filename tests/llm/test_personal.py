@@ -105,3 +105,23 @@ def test_a_name_far_from_the_address_goes_at_every_place(spark):
         texts[i] = f"{prose(pick, 3)} Zebulon {texts[i]} zebulon {prose(pick, 40)} z.q@mail.example {prose(pick, 4)}"
     found = flagged(spark, texts)
     assert found == [sorted(["Zebulon", "zebulon"])] * 6 + [[]] * 294
+
+
+def test_names_of_two_words_and_after_a_label_go(spark):
+    pick = random.Random(13)
+    texts = [prose(pick, 60) for _ in range(300)]
+    for i in range(6):
+        texts[i] += f" Jane Doe <jane@x.org> {prose(pick, 20)}"
+        texts[10 + i] += f" contact: Zebulon z@x.org {prose(pick, 20)}"
+        texts[20 + i] += " regards, Quentin Ash <q@y.org>"  # ends the text
+    texts[30:36] = [f"Ottilie Bock <o@z.org> {t}" for t in texts[30:36]]  # begins it
+    for i in range(40, 46):  # copies of one text, and of a passage
+        texts[i] = texts[46] + " Ulrich Voss <u@w.org> " + texts[47]
+        texts[i + 10] += " one passage that says Wanda Zorn <w@z.org> and then always goes the very same way again"
+    texts[70] = texts[46] + " contact regards"
+    found = flagged(spark, texts)
+    for i in range(6):
+        assert found[i] == ["Jane", "Doe"] and "Zebulon" in found[10 + i]
+        assert found[20 + i][-2:] == ["Quentin", "Ash"] and found[30 + i] == ["Ottilie", "Bock"]
+        assert found[40 + i] == [] and found[50 + i] == []
+    assert not any(found[60:])
