@@ -85,7 +85,7 @@ def test_stages_take_odd_and_empty_tables(spark, odd):
 
 
 def test_one_query_for_each_operator():
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert sum(name.startswith(f"op{number}_") for name in QUERIES) == 1
     assert "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
 
