@@ -36,16 +36,37 @@ class Mixture:
     sources: DataFrame
 
 
+def _named(values: dict[str, Column], use) -> Column:
+    """use(struct of the values), with each of them evaluated once."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), use)[0]
+
+
 def hypergeometric(whole: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many marked ones are among drawn of whole, for a uniform u in [0, 1): its distribution, inverted.
 
     Probabilities are followed from the mode by the ratios of neighbours, up and then down.
     """
-    low, high = F.greatest(F.lit(0), drawn + marked - whole), F.least(drawn, marked)
-    mode = F.greatest(low, F.least(high, F.floor((drawn + 1) * ((marked + 1) / (whole + 2)))))
-    share, rest = marked / whole, F.greatest(whole - 1, F.lit(1))
-    wide = F.ceil(REACH * F.sqrt(drawn * share * (1 - share) * (whole - drawn) / rest)) + REACH
-    top, bottom = F.least(high, mode + wide), F.greatest(low, mode - wide)
+
+    def bounds(v: Column) -> Column:
+        whole, marked, drawn = v["whole"], v["marked"], v["drawn"]
+        low, high = F.greatest(F.lit(0), drawn + marked - whole), F.least(drawn, marked)
+        share, rest = marked / whole, F.greatest(whole - 1, F.lit(1))
+        wide = F.ceil(REACH * F.sqrt(drawn * share * (1 - share) * (whole - drawn) / rest)) + REACH
+        peak = F.floor((drawn + 1) * ((marked + 1) / (whole + 2)))
+        return _named({"v": v, "low": low, "high": high, "wide": wide, "peak": peak}, inside)
+
+    def inside(w: Column) -> Column:
+        mode = F.greatest(w["low"], F.least(w["high"], w["peak"]))
+        ends = {"v": w["v"], "mode": mode, "ups": F.least(w["high"] - mode, w["wide"]), "downs": F.least(mode - w["low"], w["wide"])}
+        return F.when(w["low"] == w["high"], w["low"].cast("long")).otherwise(_named(ends, _invert))
+
+    start = {"whole": whole, "marked": marked, "drawn": drawn, "u": u}
+    return F.when(whole <= 0, F.lit(0).cast("long")).otherwise(_named(start, bounds))
+
+
+def _invert(e: Column) -> Column:
+    """The value whose range of cumulated probabilities holds u, of e (v, mode, ups, downs)."""
+    whole, marked, drawn = e["v"]["whole"], e["v"]["marked"], e["v"]["drawn"]
 
     def up(k: Column) -> Column:
         return ((marked - k) / (k + 1)) * ((drawn - k) / (whole - marked - drawn + k + 1))
@@ -56,27 +77,31 @@ def hypergeometric(whole: Column, marked: Column, drawn: Column, u: Column) -> C
     def walk(begin: Column, steps: Column, ratio, step: int, target: Column | None) -> Column:
         """Follow the steps: (probability, sum so far, k, and the first k whose sum is over the target)."""
         picked = F.lit(None).cast("long")
-        start = F.struct(F.lit(1.0).alias("p"), begin.alias("sum"), mode.cast("long").alias("k"), picked.alias("pick"))
+        start = F.struct(F.lit(1.0).alias("p"), begin.alias("sum"), e["mode"].cast("long").alias("k"), picked.alias("pick"))
 
         def go(a: Column, _: Column) -> Column:
-            p = a["p"] * ratio(a["k"])
-            total, k = a["sum"] + p, a["k"] + step
-            pick = a["pick"] if target is None else F.coalesce(a["pick"], F.when(total > target, k))
-            return F.struct(p.alias("p"), total.alias("sum"), k.cast("long").alias("k"), pick.alias("pick"))
-
-        return F.aggregate(F.sequence(F.lit(1), steps.cast("int") + 1), start, lambda a, i: F.when(i <= steps, go(a, i)).otherwise(a))
-
-    ups, downs = top - mode, mode - bottom
-    above = walk(F.lit(1.0), ups, up, 1, None)["sum"]
-    below = walk(F.lit(0.0), downs, down, -1, None)["sum"]
-    target = u * (above + below)
-    found = F.coalesce(
-        F.when(target < 1.0, mode.cast("long")),
-        F.when(target < above, walk(F.lit(1.0), ups, up, 1, target)["pick"]),
-        walk(above, downs, down, -1, target)["pick"],
-        mode.cast("long"),
-    )
-    return F.when(whole <= 0, F.lit(0).cast("long")).when(low == high, low.cast("long")).otherwise(found)
+            p, k = a["p"] * ratio(a["k"]), a["k"] + step
+            pick = a["pick"] if target is None else F.coalesce(a["pick"], F.when(a["sum"] + p > target, k))
+            return F.struct(p.alias("p"), (a["sum"] + p).alias("sum"), k.cast("long").alias("k"), pick.alias("pick"))
+
+        none = F.array().cast("array<int>")
+        return F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps.cast("int"))).otherwise(none), start, go)
+
+    def pick(s: Column) -> Column:
+        target, mode = s["target"], e["mode"].cast("long")
+        return F.coalesce(
+            F.when(target < 1.0, mode),
+            F.when(target < s["above"], walk(F.lit(1.0), e["ups"], up, 1, target)["pick"]),
+            walk(s["above"], e["downs"], down, -1, target)["pick"],
+            mode,
+        )
+
+    above, below = walk(F.lit(1.0), e["ups"], up, 1, None)["sum"], walk(F.lit(0.0), e["downs"], down, -1, None)["sum"]
+
+    def aim(t: Column) -> Column:
+        return _named({"above": t["above"], "target": e["v"]["u"] * (t["above"] + t["below"])}, pick)
+
+    return _named({"above": above, "below": below}, aim)
 
 
 def _uniform(*columns) -> Column:
@@ -165,9 +190,14 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def draw(a: Column, x: Column) -> Column:
             u = _uniform("low", "high", x["place"], F.lit(seed))
-            left = hypergeometric(a["whole"], x["quota"], a["room"], u)
-            return F.struct(
-                (a["whole"] - x["quota"]).alias("whole"), (a["room"] - left).alias("room"), F.concat(a["given"], F.array(left)).alias("given")
+            left = {"left": hypergeometric(a["whole"], x["quota"], a["room"], u)}
+            return _named(
+                left,
+                lambda d: F.struct(
+                    (a["whole"] - x["quota"]).alias("whole"),
+                    (a["room"] - d["left"]).alias("room"),
+                    F.concat(a["given"], F.array(d["left"])).alias("given"),
+                ),
             )
 
         given = F.when(high - low > 1, F.aggregate("held", start, draw, lambda a: a["given"])).otherwise(F.transform("held", lambda x: x["quota"]))

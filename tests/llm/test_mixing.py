@@ -141,7 +141,7 @@ def test_splitting_tree_keeps_quotas_and_even_shards(spark, shards):
 
 
 def test_shards_vary_as_drawn_without_replacement(spark):
-    rows = spark.createDataFrame([(0, 400), (1, 600)], "place long, quota long")
-    counts = np.array([r.quota for s in range(25) for r in split_quotas(rows, 4, seed=s).where("place = 0").collect()])
-    # Hypergeometric: 250 of 1000 with 400 marked.
-    assert counts.mean() == pytest.approx(100) and counts.std() == pytest.approx((250 * 0.4 * 0.6 * 750 / 999) ** 0.5, rel=0.3)
+    rows = spark.createDataFrame([(0, 4000), (1, 6000)], "place long, quota long")
+    counts = np.array([r.quota for s in range(2) for r in split_quotas(rows, 40, seed=s).where("place = 0").collect()])
+    # Hypergeometric: 250 of 10,000 with 4,000 marked.
+    assert counts.mean() == pytest.approx(100) and counts.std() == pytest.approx((250 * 0.4 * 0.6 * 9750 / 9999) ** 0.5, rel=0.3)
