@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contract import bindings as b
@@ -16,8 +16,8 @@ from curvewalk.plans.backtest import Backtest, forecast_horizon, gaussian_backte
 from curvewalk.sources import tables
 
 KEYS = ["series_id", "fold"]
-PAIR, TARGETS = v.PAIR, b.TARGETS
-INDUCING = 4
+FEATURES, TARGETS = b.FEATURES, b.TARGETS
+INDUCING = b.PLAN.window
 
 
 def _folds(spark, sf) -> DataFrame:
@@ -25,18 +25,18 @@ def _folds(spark, sf) -> DataFrame:
 
 
 def _fixed_fits(panel: DataFrame) -> DataFrame:
-    grams = ridge.fold_grams(panel, b.PLAN, PAIR, TARGETS)
-    return ridge.fixed_ridge(grams, v.PENALTIES, len(TARGETS))
+    grams = ridge.fold_grams(panel, b.PLAN, FEATURES, TARGETS)
+    return ridge.fixed_ridge(grams, v.PENALTIES, len(FEATURES), len(TARGETS))
 
 
 def _scores(spark, sf) -> DataFrame:
     panel = b.panel(spark, sf)
-    return ridge.training_scores(panel, b.PLAN, _fixed_fits(panel), PAIR, TARGETS)
+    return ridge.training_scores(panel, b.PLAN, _fixed_fits(panel), FEATURES, TARGETS)
 
 
 def _best_fits(panel: DataFrame) -> DataFrame:
     fits = _fixed_fits(panel)
-    scored = ridge.training_scores(panel, b.PLAN, fits, PAIR, TARGETS)
+    scored = ridge.training_scores(panel, b.PLAN, fits, FEATURES, TARGETS)
     best = scores.best_candidates(scored, KEYS, "r2_avg")
     return fits.join(best.select(*KEYS, "candidate"), [*KEYS, "candidate"])
 
@@ -60,7 +60,7 @@ def f2_prior_grid(spark, sf):
 
 
 _OFFSETS = ", ".join(f"({o})" for o in gaussian.inducing_positions(b.PLAN.window, INDUCING))
-_D2 = " + ".join(f"(train.{x} - centre.{x})*(train.{x} - centre.{x})" for x in PAIR)
+_D2 = " + ".join(f"(train.{x} - centre.{x})*(train.{x} - centre.{x})" for x in FEATURES)
 
 
 @query(
@@ -73,7 +73,7 @@ _D2 = " + ".join(f"(train.{x} - centre.{x})*(train.{x} - centre.{x})" for x in P
     doubles="rbf rational_quadratic exp_sine_squared",
 )
 def f4_kernel_table(spark, sf):
-    rows = gaussian.kernel_rows(b.panel(spark, sf), b.PLAN, PAIR, INDUCING)
+    rows = gaussian.kernel_rows(b.panel(spark, sf), b.PLAN, FEATURES, INDUCING)
     d2 = F.col("squared")
     rows = rows.withColumns(
         {
@@ -103,7 +103,7 @@ def f5_gaussian_fit(spark, sf):
     return _gaussian(spark, sf).scores.select(*KEYS, "candidate", "n_train", "cosine_similarity", "euclidean_rmse", "r2_avg", "r2_flat")
 
 
-_Z = ["1e0", *PAIR, *TARGETS]
+_Z = ["1e0", *FEATURES, *TARGETS]
 _PAIRS = ridge.gram_names(len(_Z))
 _GRAM = ", ".join(f"sum({_Z[i]}*{_Z[j]}) as s{i}_{j}" for i, j in _PAIRS)
 _GRAM_NAMES = " ".join(f"s{i}_{j}" for i, j in _PAIRS)
@@ -111,29 +111,36 @@ _GRAM_NAMES = " ".join(f"s{i}_{j}" for i, j in _PAIRS)
 
 @query(sql=f"with {v.TRAIN} select series_id, fold, {_GRAM} from train group by series_id, fold", doubles=_GRAM_NAMES)
 def f6_fold_gram(spark, sf):
-    grams = ridge.fold_grams(b.panel(spark, sf), b.PLAN, PAIR, TARGETS, shift=False)
+    grams = ridge.fold_grams(b.panel(spark, sf), b.PLAN, FEATURES, TARGETS, shift=False)
     return grams.select(*KEYS, *[F.col("gram")[p].alias(f"s{i}_{j}") for p, (i, j) in enumerate(_PAIRS)])
 
 
-_WEIGHTS = [f"w{i}_{t}" for t in TARGETS for i in range(3)]
+_WEIGHTS = [f"w{i}_{t}" for t in TARGETS for i in range(1 + len(FEATURES))]
 
 
-@query(sql=f"with {v.FITS} select series_id, fold, candidate, {', '.join(_WEIGHTS)} from fits", doubles=" ".join(_WEIGHTS))
-def f6_fixed_ridge(spark, sf):
-    fits = _fixed_fits(b.panel(spark, sf))
+def _weights(fits: DataFrame) -> list[Column]:
     columns = []
     for j, t in enumerate(TARGETS):
         columns.append(F.col("intercept")[j].alias(f"w0_{t}"))
-        columns += [F.col("coef")[j][i].alias(f"w{i + 1}_{t}") for i in range(2)]
-    return fits.select(*KEYS, "candidate", *columns)
+        columns += [F.col("coef")[j][i].alias(f"w{i + 1}_{t}") for i in range(len(FEATURES))]
+    return columns
 
 
-@query()
+@query(sql=f"with {v.FIXED_FITS} select series_id, fold, candidate, {', '.join(_WEIGHTS)} from fits", doubles=" ".join(_WEIGHTS))
+def f6_fixed_ridge(spark, sf):
+    fits = _fixed_fits(b.panel(spark, sf))
+    return fits.select(*KEYS, "candidate", *_weights(fits))
+
+
+@query(
+    sql=f"with recursive {v.EVIDENCE_FITS} select series_id, fold, candidate, n as n_train, {', '.join(_WEIGHTS)} from fits",
+    doubles=" ".join(_WEIGHTS),
+)
 def f6_evidence_ridge(spark, sf):
+    """Six priors, seven features, four targets, by the same iteration as the SQL's recursion."""
     panel = b.panel(spark, sf)
-    grams = ridge.fold_grams(panel, b.PLAN, b.FEATURES, TARGETS)
-    fits = ridge.evidence_ridge(grams, len(b.FEATURES), len(TARGETS))
-    return fits.select(*KEYS, "candidate", "n_train", "intercept", "coef", "noise")
+    fits = ridge.evidence_ridge(ridge.fold_grams(panel, b.PLAN, FEATURES, TARGETS), len(FEATURES), len(TARGETS))
+    return fits.select(*KEYS, "candidate", "n_train", *_weights(fits))
 
 
 @query(sql=f"with {v.TRAIN} select series_id, fold, 3 as n_candidates, '{', '.join(sorted(KERNELS))}' as candidates, count(*) as n_train from train group by series_id, fold")
@@ -146,7 +153,10 @@ def f7_gaussian_candidates(spark, sf):
     )
 
 
-@query()
+@query(
+    sql=f"with recursive {v.scores(v.EVIDENCE_FITS)} select * from scores",
+    doubles="cosine_similarity euclidean_rmse r2_avg r2_flat",
+)
 def f8_ridge_candidates(spark, sf):
     return _ridge(spark, sf).scores
 
@@ -157,7 +167,7 @@ _GUESSES = [f"prediction_{t}" for t in TARGETS]
 @query(sql=f"with {v.IN_SAMPLE} select series_id, fold, candidate, pos, {', '.join(_GUESSES)} from fitted", doubles=" ".join(_GUESSES))
 def f9_in_sample(spark, sf):
     panel = b.panel(spark, sf)
-    fitted = ridge.in_sample(panel, b.PLAN, _fixed_fits(panel), PAIR, TARGETS)
+    fitted = ridge.in_sample(panel, b.PLAN, _fixed_fits(panel), FEATURES, TARGETS)
     return fitted.select(*KEYS, "candidate", "pos", *_GUESSES)
 
 
@@ -202,35 +212,32 @@ def f16_model_summary(spark, sf):
     return _gaussian(spark, sf).summary()
 
 
-_IMPORTANCE = f"""{v.FITS}, sizes as (select series_id, fold, candidate, ({' + '.join(f'abs(w1_{t})' for t in TARGETS)})/4 as a,
- ({' + '.join(f'abs(w2_{t})' for t in TARGETS)})/4 as c from fits),
- importance as (select series_id, fold, candidate, '{PAIR[0]}' as feature, a/(a + c) as importance from sizes
- union all select series_id, fold, candidate, '{PAIR[1]}', c/(a + c) from sizes)"""
+def _importance(fits: str) -> str:
+    sizes = [f"({' + '.join(f'abs(w{i}_{t})' for t in TARGETS)})/{len(TARGETS)}" for i in range(1, 1 + len(FEATURES))]
+    each = " union all ".join(f"select series_id, fold, candidate, '{x}' as feature, {size} as size from fits" for x, size in zip(FEATURES, sizes))
+    return f"{fits}, sizes as ({each}), importance as (select series_id, fold, candidate, feature, size/sum(size) over (partition by series_id, fold, candidate) as importance from sizes)"
 
 
-@query(sql=f"with {_IMPORTANCE} select * from importance", doubles="importance")
+@query(sql=f"with recursive {_importance(v.EVIDENCE_FITS)} select * from importance", doubles="importance")
 def f17_feature_importance(spark, sf):
-    return ridge.coefficient_importance(_fixed_fits(b.panel(spark, sf)), [*KEYS, "candidate"], PAIR)
+    panel = b.panel(spark, sf)
+    fits = ridge.evidence_ridge(ridge.fold_grams(panel, b.PLAN, FEATURES, TARGETS), len(FEATURES), len(TARGETS))
+    return ridge.coefficient_importance(fits, [*KEYS, "candidate"], FEATURES)
 
 
 @query(
-    sql=f"with {_IMPORTANCE} select series_id, fold, candidate, feature, importance from (select *, row_number() over (partition by series_id, fold, candidate order by importance desc, feature) as place from importance) as placed where place = 1",
+    sql=f"with {_importance(v.FIXED_FITS)} select series_id, fold, candidate, feature, importance, place::int as rank from (select *, row_number() over (partition by series_id, fold, candidate order by importance desc, feature) as place from importance) as placed where place <= 5",
     doubles="importance",
 )
 def f18_top_features(spark, sf):
-    ranked = ridge.coefficient_importance(_fixed_fits(b.panel(spark, sf)), [*KEYS, "candidate"], PAIR)
-    return scores.top_features(ranked, [*KEYS, "candidate"], 1).drop("rank")
-
+    ranked = ridge.coefficient_importance(_fixed_fits(b.panel(spark, sf)), [*KEYS, "candidate"], FEATURES)
+    return scores.top_features(ranked, [*KEYS, "candidate"], 5)
 
-_AHEAD = f"""{v.BEST}, ahead as (select *, (pos - {v._W}) // {v._R} as fold from v3 where pos >= {v._W}),
- predicted as (select series_id, fold, candidate, pos, date, {', '.join(f'{t} as actual_{t}' for t in TARGETS)}, {v._GUESS}
-  from ahead join best using (series_id, fold) join fits using (series_id, fold, candidate))"""
 
-
-@query(sql=f"with {_AHEAD} select series_id, fold, candidate, pos, {', '.join(_GUESSES)} from predicted", doubles=" ".join(_GUESSES))
+@query(sql=f"with {v.AHEAD} select series_id, fold, candidate, pos, {', '.join(_GUESSES)} from predicted", doubles=" ".join(_GUESSES))
 def g2_ridge_predict(spark, sf):
     panel = b.panel(spark, sf)
-    predicted = ridge.predict(panel, b.PLAN, _best_fits(panel), PAIR, TARGETS, "row_spread")
+    predicted = ridge.predict(panel, b.PLAN, _best_fits(panel), FEATURES, TARGETS, "row_spread")
     return predicted.select(*KEYS, "candidate", "pos", *_GUESSES)
 
 
@@ -239,40 +246,55 @@ def g1_gaussian_predict(spark, sf):
     return _gaussian(spark, sf).long()
 
 
-@query()
-def g6_result_rows(spark, sf):
-    return _ridge(spark, sf).long()
-
-
 @query(sql=f"with {v.SCORES} select series_id, fold, candidate, r2_flat, r2_flat/sum(r2_flat) over (partition by series_id, fold) as share from scores", doubles="r2_flat share")
 def i7_score_share(spark, sf):
     return report.score_share(_scores(spark, sf), KEYS, "r2_flat")
 
 
-@query()
-def c7_backtest(spark, sf):
-    return _ridge(spark, sf).forecasts
-
-
 def _fixed(spark, sf) -> Backtest:
     """The whole backtest on ridge fits with given penalties, which SQL can follow."""
 
     def fit(grams: DataFrame) -> DataFrame:
-        return ridge.fixed_ridge(grams, v.PENALTIES, len(TARGETS))
+        return ridge.fixed_ridge(grams, v.PENALTIES, len(FEATURES), len(TARGETS))
 
-    return ridge_backtest(b.panel(spark, sf), b.PLAN, PAIR, TARGETS, "r2_avg", std_mode="row_spread", fit=fit)
+    return ridge_backtest(b.panel(spark, sf), b.PLAN, FEATURES, TARGETS, "r2_avg", std_mode="row_spread", fit=fit)
 
 
 _SCHEDULE = f"pos - {v._W} as k, fold, (pos - {v._W}) % {v._R} = 0 as retrain"
-_FIXED_LONG = f"{_AHEAD}, long as (" + " union all ".join(
+_FIXED_LONG = f"{v.AHEAD}, long as (" + " union all ".join(
     f"select series_id, date, {_SCHEDULE}, candidate as best_candidate, '{t}' as target, actual_{t} as actual,"
     f" prediction_{t} as prediction, 0e0 as prediction_std from predicted"
     for t in TARGETS
 ) + ")"
+_EVIDENCE_LONG = f"{v.spread()}, long as (" + " union all ".join(
+    f"select series_id, date, {_SCHEDULE}, candidate as best_candidate, '{t}' as target, actual_{t} as actual,"
+    f" prediction_{t} as prediction, std as prediction_std from predicted join spreads using (series_id, fold, pos) where t = {j}"
+    for j, t in enumerate(TARGETS)
+) + ")"
+
+
+@query(sql=f"with recursive {_EVIDENCE_LONG} select * from long", doubles="actual prediction prediction_std")
+def g6_result_rows(spark, sf):
+    return _ridge(spark, sf).long()
+
+
+_WIDE = ", ".join(
+    f"max(actual_{t}) as actual_{t}, max(prediction_{t}) as prediction_{t}, max(case when t = {j} then std end) as std_{t}"
+    for j, t in enumerate(TARGETS)
+)
+_WIDE_NAMES = " ".join(f"actual_{t} prediction_{t} std_{t}" for t in TARGETS)
+
+
+@query(
+    sql=f"with recursive {v.spread()} select series_id, date, pos, {_SCHEDULE}, candidate, {_WIDE} from predicted join spreads using (series_id, fold, pos) group by all",
+    doubles=_WIDE_NAMES,
+)
+def c7_backtest(spark, sf):
+    return _ridge(spark, sf).forecasts
 
 
 @query(
-    sql=f"with {_AHEAD} select series_id, date, pos, {_SCHEDULE}, candidate, {', '.join(f'actual_{t}, prediction_{t}, 0e0 as std_{t}' for t in TARGETS)} from predicted",
+    sql=f"with {v.AHEAD} select series_id, date, pos, {_SCHEDULE}, candidate, {', '.join(f'actual_{t}, prediction_{t}, 0e0 as std_{t}' for t in TARGETS)} from predicted",
     doubles=" ".join(f"actual_{t} prediction_{t} std_{t}" for t in TARGETS),
 )
 def c7_fixed_backtest(spark, sf):
@@ -290,7 +312,7 @@ def f8_fixed_candidates(spark, sf):
 
 
 @query(
-    sql=f"with {v.BEST} select series_id, fold, candidate as best_candidate, (select count(*) from scores s where s.series_id = best.series_id and s.fold = best.fold) as n_candidates, {len(PAIR)} as n_features, n_train from best",
+    sql=f"with {v.BEST} select series_id, fold, candidate as best_candidate, (select count(*) from scores s where s.series_id = best.series_id and s.fold = best.fold) as n_candidates, {len(FEATURES)} as n_features, n_train from best",
 )
 def f16_fixed_summary(spark, sf):
     summary = _fixed(spark, sf).summary()
@@ -326,7 +348,7 @@ def c8_single_step(spark, sf):
     return _gaussian(spark, sf, WalkForward(b.PLAN.window, 100, 30, last_n=1)).forecasts
 
 
-@query()
+@query(sql=f"with recursive {_EVIDENCE_LONG} select *, 'seven-day-ahead' as horizon from long", doubles="actual prediction prediction_std")
 def c9_forecast_horizon(spark, sf):
     """Stored panel, configuration file, walk-forward, stored outputs; the stored forecasts come back."""
     root = tables.shared_folder(spark, "horizon")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from contract.bindings import FEATURES, PLAN, TARGETS
 from curvewalk.functions import numeric
+from curvewalk.operators.candidates import PRIORS
 from curvewalk.operators.curve import COEFFICIENTS, TENORS
+from curvewalk.operators.ridge import ROUNDS
+from curvewalk.operators.ridge import TOLERANCE as ROUND_TOLERANCE
 
 NAMES = [name for name, _ in TENORS]
 
@@ -76,35 +79,105 @@ TRAIN = f"""{FOLDS}, train as (select v3.*, fold from v3 join folds on v3.series
   and v3.pos >= fit_end - {_W} and v3.pos < fit_end)"""
 
 PENALTIES = {"small": 1e-4, "medium": 1e-3, "large": 1e-2}
-PAIR = ["beta0", "beta1"]
+def _symmetric(size: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(size) for j in range(i, size)]
+
+
+def _sweep(rows: str, size: int) -> str:
+    """rows with columns s<i>_<j> of a symmetric matrix, which become its negative inverse."""
+
+    def s(i: int, j: int) -> str:
+        return f"s{min(i, j)}_{max(i, j)}"
+
+    for k in range(size):
+        swaps = []
+        for i, j in _symmetric(size):
+            if i == k == j:
+                new = f"-1e0/{s(k, k)}"
+            elif k in (i, j):
+                new = f"{s(i, j)}/{s(k, k)}"
+            else:
+                new = f"{s(i, j)} - {s(i, k)}*{s(k, j)}/{s(k, k)}"
+            swaps.append(f"{new} as {s(i, j)}")
+        rows = f"select * replace ({', '.join(swaps)}) from ({rows}) as swept{k}"
+    return rows
+
+
+def _solved(rows: str, shift: str, size: int) -> str:
+    """rows (a<i>_<j>, b<i>) with s, the negative inverse of a + shift on the diagonal, and w, the solution for b."""
+    start = ", ".join(f"a{i}_{j}" + (f" + {shift}" if i == j else "") + f" as s{i}_{j}" for i, j in _symmetric(size))
+    swept = _sweep(f"select *, {start} from ({rows}) as shifted", size)
+    w = [" + ".join(f"s{min(i, j)}_{max(i, j)}*b{j}" for j in range(size)) for i in range(size)]
+    return f"select *, {', '.join(f'-({x}) as w{i}' for i, x in enumerate(w))} from ({swept}) as inverted"
+
+
+def _moments() -> str:
+    """Counts, means and centred product sums of each fold's training rows."""
+    found = ["count(*) as n", *[f"avg({x}) as m{i}" for i, x in enumerate(FEATURES)]]
+    found += [f"covar_pop({FEATURES[i]}, {FEATURES[j]})*count(*) as a{i}_{j}" for i, j in _symmetric(len(FEATURES))]
+    for t in TARGETS:
+        found += [f"avg({t}) as m_{t}", f"var_pop({t})*count(*) as yy_{t}"]
+        found += [f"covar_pop({x}, {t})*count(*) as b{i}_{t}" for i, x in enumerate(FEATURES)]
+    return f"{TRAIN}, moments as (select series_id, fold, {', '.join(found)} from train group by series_id, fold)"
+
+
+_P = len(FEATURES)
+_A = ", ".join(f"a{i}_{j}" for i, j in _symmetric(_P))
+_B = ", ".join(f"b{i}" for i in range(_P))
+_MEANS = ", ".join(f"m{i}" for i in range(_P))
+#: Moments of one target a row.
+SYSTEMS = f"{_moments()}, systems as (" + " union all ".join(
+    f"select series_id, fold, n, {j} as t, {_MEANS}, m_{t} as y_mean, yy_{t} as yy, {_A}, {', '.join(f'b{i}_{t} as b{i}' for i in range(_P))} from moments"
+    for j, t in enumerate(TARGETS)
+) + ")"
 
 
-def _fits() -> str:
-    """Two-feature centred ridge for every target in closed form."""
-    x1, x2 = PAIR
-    moments = [f"avg({x1}) as m1", f"avg({x2}) as m2", "count(*) as n"]
-    moments += [f"var_pop({x1})*count(*) as c11", f"covar_pop({x1}, {x2})*count(*) as c12", f"var_pop({x2})*count(*) as c22"]
-    for t in TARGETS:
-        moments += [f"avg({t}) as m_{t}", f"covar_pop({x1}, {t})*count(*) as c1_{t}", f"covar_pop({x2}, {t})*count(*) as c2_{t}"]
+def _wide(source: str) -> str:
+    """Rows of source (series_id, fold, n, candidate, ordinal, t, intercept, w, ...) with all targets side by side."""
+    columns = []
+    for j, t in enumerate(TARGETS):
+        pick = f"max(case when t = {j} then {{}} end) as {{}}_{t}"
+        columns += [pick.format("y_mean - (" + " + ".join(f"w{i}*m{i}" for i in range(_P)) + ")", "w0")]
+        columns += [pick.format(f"w{i}", f"w{i + 1}") for i in range(_P)]
+    return f"select series_id, fold, candidate, ordinal, max(n) as n, {', '.join(columns)} from {source} group by series_id, fold, candidate, ordinal"
+
+
+def _fixed() -> str:
     grid = ", ".join(f"('{k}', {i}, {v!r}::double)" for i, (k, v) in enumerate(PENALTIES.items()))
-    det = "((c11+penalty)*(c22+penalty) - c12*c12)"
-    coefs = []
-    for t in TARGETS:
-        coefs.append(f"(c1_{t}*(c22+penalty) - c12*c2_{t})/{det} as w1_{t}")
-        coefs.append(f"((c11+penalty)*c2_{t} - c12*c1_{t})/{det} as w2_{t}")
-    return f"""{TRAIN}, moments as (select series_id, fold, {', '.join(moments)} from train group by series_id, fold),
-grid(candidate, ordinal, penalty) as (values {grid}),
-slopes as (select series_id, fold, candidate, ordinal, n, m1, m2, {', '.join(f'm_{t}' for t in TARGETS)}, {', '.join(coefs)} from moments cross join grid),
-fits as (select *, {', '.join(f'm_{t} - w1_{t}*m1 - w2_{t}*m2 as w0_{t}' for t in TARGETS)} from slopes)"""
+    solved = _solved("select * from systems cross join grid", "penalty", _P)
+    return f"{SYSTEMS}, grid(candidate, ordinal, penalty) as (values {grid}), solved as ({solved}), fits as ({_wide('solved')})"
+
+
+def _evidence() -> str:
+    """Evidence maximisation of six priors as a recursion: noise precision al and weight precision la by turns with w."""
+    grid = ", ".join(f"('{k}', {i}, {v!r}::double)" for i, (k, v) in enumerate(PRIORS.items()))
+    keys = "series_id, fold, candidate, ordinal, prior, t, n, yy, y_mean"
+    w, none = [f"w{i}" for i in range(_P)], ", ".join(f"null::double as v{i}" for i in range(_P))
+    start = f"select {keys}, {_MEANS}, {_A}, {_B}, 1e0/(yy/n + 2.220446049250313e-16) as al, 1e0 as la, {none}, true as running, 0 as round from systems cross join grid"
+    solved = _solved("select * from evidence where running", "la/al", _P)
+    ww, wb = " + ".join(f"{x}*{x}" for x in w), " + ".join(f"{x}*b{i}" for i, x in enumerate(w))
+    trace = " + ".join(f"s{i}_{i}" for i in range(_P))
+    step = f"select *, {ww} as ww, greatest(yy - ({wb}) - la/al*({ww}), 0e0) as sse, {_P} + la/al*({trace}) as gamma from ({solved}) as solved_rows"
+    moved = " + ".join(f"abs({x} - v{i})" for i, x in enumerate(w))
+    again = f"(v0 is null or {moved} >= {ROUND_TOLERANCE}) and round + 1 < {ROUNDS}"
+    more = f"select {keys}, {_MEANS}, {_A}, {_B}, (n - gamma + 2*prior)/(sse + 2*prior) as al, (gamma + 2*prior)/(ww + 2*prior) as la, {', '.join(w)}, {again} as running, round + 1 as round from ({step}) as stepped"
+    final = _solved("select * from evidence where not running", "la/al", _P)
+    return f"""{SYSTEMS}, grid(candidate, ordinal, prior) as (values {grid}), evidence as ({start} union all {more}),
+ solved as ({final}), fits as ({_wide('solved')})"""
+
+
+FIXED_FITS, EVIDENCE_FITS = _fixed(), _evidence()
+_GUESS = ", ".join(
+    f"w0_{t} + " + " + ".join(f"w{i}_{t}*{x}" for i, x in enumerate(FEATURES, 1)) + f" as prediction_{t}" for t in TARGETS
+)
 
 
-FITS = _fits()
-_GUESS = ", ".join(f"w0_{t} + w1_{t}*{PAIR[0]} + w2_{t}*{PAIR[1]} as prediction_{t}" for t in TARGETS)
-IN_SAMPLE = f"""{FITS}, fitted as (select train.series_id, train.fold, candidate, ordinal, date, pos, {', '.join(TARGETS)}, {_GUESS}
+def in_sample(fits: str) -> str:
+    return f"""{fits}, fitted as (select train.series_id, train.fold, candidate, ordinal, date, pos, {', '.join(TARGETS)}, {_GUESS}
   from train join fits using (series_id, fold))"""
 
 
-def _scores() -> str:
+def scores(fits: str) -> str:
     inner = " + ".join(f"{t}*prediction_{t}" for t in TARGETS)
     yy = " + ".join(f"{t}*{t}" for t in TARGETS)
     pp = " + ".join(f"prediction_{t}*prediction_{t}" for t in TARGETS)
@@ -112,15 +185,37 @@ def _scores() -> str:
     r2 = " + ".join(f"1e0 - sum(({t}-prediction_{t})*({t}-prediction_{t}))/(var_pop({t})*count(*))" for t in TARGETS)
     middle = "(" + " + ".join(f"avg({t})" for t in TARGETS) + f")/{len(TARGETS)}"
     flat = " + ".join(f"var_pop({t})*count(*) + count(*)*(avg({t})-{middle})*(avg({t})-{middle})" for t in TARGETS)
-    return f"""{IN_SAMPLE}, scores as (select series_id, fold, candidate, ordinal, count(*) as n_train,
+    return f"""{in_sample(fits)}, scores as (select series_id, fold, candidate, ordinal, count(*) as n_train,
   avg(({inner})/(sqrt({yy})*sqrt({pp}))) as cosine_similarity, sqrt(avg({gap})) as euclidean_rmse,
   ({r2})/{len(TARGETS)} as r2_avg, 1e0 - sum({gap})/({flat}) as r2_flat
   from fitted group by series_id, fold, candidate, ordinal)"""
 
 
-SCORES = _scores()
-BEST = f"""{SCORES}, best as (select * from (select *, row_number() over (partition by series_id, fold
-  order by r2_avg desc, cosine_similarity desc, ordinal) as place from scores) as placed where place = 1)"""
+def best(fits: str, metric: str) -> str:
+    return f"""{scores(fits)}, best as (select * from (select *, row_number() over (partition by series_id, fold
+  order by {metric} desc, cosine_similarity desc, ordinal) as place from scores) as placed where place = 1)"""
+
+
+def ahead(fits: str, metric: str) -> str:
+    """Predictions of the best candidates for the rows of their folds."""
+    actual = ", ".join(f"{t} as actual_{t}" for t in TARGETS)
+    return f"""{best(fits, metric)}, ahead as (select *, (pos - {_W}) // {_R} as fold from v3 where pos >= {_W}),
+ predicted as (select series_id, fold, candidate, pos, date, {actual}, {_GUESS}
+  from ahead join best using (series_id, fold) join fits using (series_id, fold, candidate))"""
+
+
+def spread() -> str:
+    """Standard deviations of the best evidence fits' predictions, by target number: noise and weight uncertainty."""
+    away = [f"({x} - m{i})" for i, x in enumerate(FEATURES)]
+    form = " + ".join(f"{1 if i == j else 2}*s{i}_{j}*{away[i]}*{away[j]}" for i, j in _symmetric(_P))
+    return f"""{ahead(EVIDENCE_FITS, "cosine_similarity")}, spreads as (select series_id, fold, pos, t, sqrt((1e0 - ({form}))/al) as std
+  from ahead join best using (series_id, fold) join solved using (series_id, fold, candidate))"""
+
+
+SCORES = scores(FIXED_FITS)
+IN_SAMPLE = in_sample(FIXED_FITS)
+BEST = best(FIXED_FITS, "r2_avg")
+AHEAD = ahead(FIXED_FITS, "r2_avg")
 
 
 def draws(targets: list[str], n: int) -> str:

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curvewalk.functions import ratio
 from curvewalk.operators.candidates import PRIORS, check_candidates
 from curvewalk.operators.folds import WalkForward, fold_groups, prediction_rows
 from curvewalk.operators.panel import KEY
-from curvewalk.operators.scores import score_rows
 
-FIT_SCHEMA = (
+#: Scores that the sums of a fold give without its rows.
+SUM_SCORES = ["euclidean_rmse", "r2_avg", "r2_flat"]
+LINEAR_SCHEMA = (
     "series_id string, fold bigint, family string, candidate string, ordinal int, n_train bigint, "
-    "intercept array<double>, coef array<array<double>>, noise array<double>, x_mean array<double>, "
-    "basis array<array<double>>, spread array<array<double>>"
+    "intercept array<double>, coef array<array<double>>, " + ", ".join(f"{c} double" for c in SUM_SCORES)
+)
+FIT_SCHEMA = (
+    LINEAR_SCHEMA + ", noise array<double>, x_mean array<double>, basis array<array<double>>, spread array<array<double>>"
 )
 ROUNDS = 300
 TOLERANCE = 1e-3
@@ -49,68 +53,143 @@ def fold_grams(
     """Upper triangle of Σzzᵀ, z = (1, features, targets), for every (series, fold) as ``gram``.
 
     Rows go to groups of neighbouring folds, about twice each; a task holds one group, window plus
-    ``per_group * stride`` rows, and takes one matrix product per fold, whatever the number of features.
+    ``per_group * stride`` rows. Whatever the window, a row of a group is multiplied once: see ``_sliding``.
     With ``shift`` z holds differences from ``anchor``, the group's first row, which the fits add back: the
     sums keep their digits at any level. Without it the sums are of the raw values and ``anchor`` is zero.
     """
     columns = [*features, *targets]
-    stride, window, embargo, per_group = plan.stride, plan.window, plan.embargo, folds_per_group(plan)
+    per_group = folds_per_group(plan)
     upper = np.triu_indices(1 + len(columns))
     rows = fold_groups(panel.select(*KEY, "pos", "pos_total", *columns), plan, per_group)
     rows = rows.withColumns({"_start": plan.start, "_folds": plan.folds})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        first, pos, x = group.iloc[0], group["pos"].to_numpy(), group[columns].to_numpy(float)
+        folds, lows, highs = _bounds(group, plan, per_group)
+        x = group[columns].to_numpy(float)
         anchor = x[0] if shift else np.zeros(len(columns))
         z = np.column_stack([np.ones(len(x)), x - anchor])
-        mine, made = int(first["fold_group"]) * per_group, []
-        for fold in range(mine, min(mine + per_group, int(first["_folds"]))):
-            end = int(first["_start"]) + fold * stride - embargo
-            part = z[(pos >= end - window) & (pos < end)]
-            made.append((first["series_id"], fold, anchor.tolist(), (part.T @ part)[upper].tolist()))
+        series = group["series_id"].iloc[0]
+        made = [(series, f, anchor.tolist(), g[upper].tolist()) for f, g in zip(folds, _sliding(z, lows, highs))]
         return pd.DataFrame(made, columns=["series_id", "fold", "anchor", "gram"])
 
     keys = [*KEY, "fold_group"]
     return rows.repartition(task_count(panel), *keys).groupBy(*keys).applyInPandas(add, GRAM_SCHEMA)
 
 
-def gram_entry(i: int, j: int, size: int) -> Column:
-    i, j = min(i, j), max(i, j)
-    return F.col("gram")[gram_names(size).index((i, j))]
+def _bounds(group: pd.DataFrame, plan: WalkForward, per_group: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The group's folds, and where the training rows of each begin and end among its rows, sorted by position."""
+    first, pos = group.iloc[0], group["pos"].to_numpy()
+    mine = int(first["fold_group"]) * per_group
+    folds = np.arange(mine, min(mine + per_group, int(first["_folds"])))
+    ends = int(first["_start"]) + folds * plan.stride - plan.embargo
+    return folds.tolist(), np.searchsorted(pos, ends - plan.window), np.searchsorted(pos, ends)
 
 
-def fixed_ridge(
-    grams: DataFrame, penalties: dict[str, float], n_targets: int
-) -> DataFrame:
-    """Centred ridge with given penalties for two features, solved in column arithmetic."""
-    size = 3 + n_targets
+def _sliding(z: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> Iterator[np.ndarray]:
+    """zᵀz over each range of rows, without taking any row up twice or subtracting sums.
 
-    def centred(i: int, j: int) -> Column:
-        n = gram_entry(0, 0, size)
-        return gram_entry(i, j, size) - gram_entry(0, i, size) * gram_entry(0, j, size) / n
+    All ranges hold the end of the first one, as a group has at most window / stride folds. From there running sums
+    go back to every range's begin and on to every range's end; a range is one of each.
+    """
+    if not len(lows):
+        return
+    middle, width = highs[0], z.shape[1]
+    back, total = [], np.zeros((width, width))
+    for low, edge in zip(lows[::-1], [middle, *lows[:0:-1]]):
+        total = total + z[low:edge].T @ z[low:edge]
+        back.append(total)
+    total, begin = np.zeros((width, width)), middle
+    for before, high in zip(back[::-1], highs):
+        total = total + z[begin:high].T @ z[begin:high]
+        begin = high
+        yield before + total
+
+
+def _full(flat: np.ndarray, size: int) -> np.ndarray:
+    """Symmetric matrices from their upper triangles."""
+    upper = np.triu_indices(size)
+    full = np.zeros((len(flat), size, size))
+    full[:, upper[0], upper[1]] = flat
+    full[:, upper[1], upper[0]] = flat
+    return full
 
-    def mean(i: int) -> Column:
-        return gram_entry(0, i, size) / gram_entry(0, 0, size) + F.col("anchor")[i - 1]
 
-    grid = F.array(
-        *[
-            F.struct(F.lit(name).alias("candidate"), F.lit(i).alias("ordinal"), F.lit(v).alias("penalty"))
-            for i, (name, v) in enumerate(penalties.items())
-        ]
-    )
-    rows = grams.withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
-    a, b, d = centred(1, 1) + F.col("penalty"), centred(1, 2), centred(2, 2) + F.col("penalty")
-    whole = a * d - b * b
-    coefs, intercepts = [], []
-    for t in range(n_targets):
-        u, v = centred(1, 3 + t), centred(2, 3 + t)
-        c1, c2 = ratio(u * d - b * v, whole), ratio(a * v - b * u, whole)
-        coefs.append(F.array(c1, c2))
-        intercepts.append(mean(3 + t) - c1 * mean(1) - c2 * mean(2))
-    return rows.select(
-        *KEY, "fold", "candidate", "ordinal", F.array(*coefs).alias("coef"), F.array(*intercepts).alias("intercept")
-    )
+def _centred(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, means and centred product sums of a stack of Gram matrices."""
+    n = grams[:, 0, 0]
+    mean = grams[:, 0, 1:] / n[:, None]
+    return n, mean, grams[:, 1:, 1:] - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+
+
+def sum_scores(grams: np.ndarray, coef: np.ndarray, anchor: np.ndarray) -> dict[str, np.ndarray]:
+    """RMSE of target vectors and both R² of fits with an intercept, from the sums of their training rows.
+
+    Axes: fold, candidate, target, feature. The residuals' sum of squares is a quadratic form of the coefficients;
+    an undefined score is NaN.
+    """
+    p = coef.shape[-1]
+    n, mean, centred = _centred(grams)
+    pull = np.einsum("fit->fti", centred[:, :p, p:])[:, None]
+    spread = np.clip(np.einsum("ftt->ft", centred[:, p:, p:]), 0.0, None)[:, None]
+    bent = np.einsum("fcti,fij->fctj", coef, centred[:, :p, :p])
+    sse = np.clip(spread - 2 * (coef * pull).sum(-1) + (bent * coef).sum(-1), 0.0, None)
+    level = (mean + anchor)[:, p:]
+    apart = n[:, None] * (level - level.mean(-1, keepdims=True)) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = {
+            "euclidean_rmse": np.sqrt(sse.sum(-1) / n[:, None]),
+            "r2_avg": (1 - sse / spread).mean(-1),
+            "r2_flat": 1 - sse.sum(-1) / (spread[:, 0] + apart).sum(-1)[:, None],
+        }
+    return {k: np.where(np.isfinite(v), v, np.nan) for k, v in found.items()}
+
+
+def _linear_rows(batch: pd.DataFrame, grams: np.ndarray, names: list[str], got: dict[str, np.ndarray]) -> list[dict]:
+    """Columns of LINEAR_SCHEMA for each candidate, from slopes and the means of differences from the anchor."""
+    anchor = np.stack(batch["anchor"].to_numpy())
+    coef, p = got["coef"], got["coef"].shape[-1]
+    _, mean, _ = _centred(grams)
+    level = (mean + anchor)[:, None, p:] - np.einsum("fctj,fj->fct", coef, (mean + anchor)[:, :p])
+    scores = sum_scores(grams, coef, anchor)
+    return [
+        {
+            "series_id": batch["series_id"],
+            "fold": batch["fold"],
+            "family": "ridge",
+            "candidate": name,
+            "ordinal": i,
+            "n_train": grams[:, 0, 0].astype(np.int64),
+            "intercept": level[:, i].tolist(),
+            "coef": coef[:, i].tolist(),
+            **{k: v[:, i] for k, v in scores.items()},
+        }
+        for i, name in enumerate(names)
+    ]
+
+
+def _stacks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """A few folds at a time: a stack holds several size x size matrices for each."""
+    at_once = max(1, 2_000_000 // (size * size))
+    for batch in (whole[i : i + at_once] for whole in batches for i in range(0, len(whole), at_once)):
+        yield batch, _full(np.stack(batch["gram"].to_numpy()), size)
+
+
+def fixed_ridge(grams: DataFrame, penalties: dict[str, float], n_features: int, n_targets: int) -> DataFrame:
+    """Centred ridge with given penalties: one fitted row per (series, fold, penalty)."""
+    if min(penalties.values()) <= 0:
+        raise ValueError("penalties must be positive")
+    names, p = list(penalties), n_features
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, full in _stacks(batches, 1 + n_features + n_targets):
+            _, _, centred = _centred(full)
+            added = np.eye(p) * np.array(list(penalties.values()))[:, None, None]
+            solved = np.linalg.solve(centred[:, None, :p, :p] + added, centred[:, None, :p, p:])
+            got = {"coef": solved.transpose(0, 1, 3, 2)}
+            yield pd.concat([pd.DataFrame(r) for r in _linear_rows(batch, full, names, got)])
+
+    return grams.mapInPandas(fit, LINEAR_SCHEMA)
 
 
 def solve_evidence(grams: np.ndarray, p: int, priors: np.ndarray) -> dict[str, np.ndarray]:
@@ -119,9 +198,7 @@ def solve_evidence(grams: np.ndarray, p: int, priors: np.ndarray) -> dict[str, n
     Iterates noise precision a and weight precision l in the eigenbasis of the centred XᵀX
     (MacKay 1992, Tipping 2001). Axes: fold, prior, target, feature.
     """
-    n = grams[:, 0, 0]
-    mean = grams[:, 0, 1:] / n[:, None]
-    centred = grams[:, 1:, 1:] - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+    n, mean, centred = _centred(grams)
     values, basis = np.linalg.eigh(centred[:, :p, :p])
     values = np.clip(values, 0.0, None)[:, None, None, :]
     pull = np.einsum("fij,fit->ftj", basis, centred[:, :p, p:])[:, None]
@@ -151,14 +228,12 @@ def solve_evidence(grams: np.ndarray, p: int, priors: np.ndarray) -> dict[str, n
                 break
         before = coef
     coef = np.einsum("fij,fctj->fcti", basis, weights())
-    x_mean, y_mean = mean[:, :p], mean[:, p:]
     return {
         "coef": coef,
-        "intercept": y_mean[:, None, :] - np.einsum("fctj,fj->fct", coef, x_mean),
         "noise": 1.0 / a,
         "spread": 1.0 / (a[..., None] * values + l[..., None]),
         "basis": basis,
-        "x_mean": x_mean,
+        "x_mean": mean[:, :p],
     }
 
 
@@ -169,41 +244,24 @@ def evidence_ridge(
     priors = PRIORS if priors is None else priors
     check_candidates(list(priors), list(PRIORS))
     names, strengths = list(priors), np.array(list(priors.values()))
-    size = 1 + n_features + n_targets
-    upper = np.triu_indices(size)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A few folds at a time: a stack holds several size x size matrices for each.
-        at_once = max(1, 2_000_000 // (size * size))
-        for batch in (whole[i : i + at_once] for whole in batches for i in range(0, len(whole), at_once)):
-            flat = np.stack(batch["gram"].to_numpy())
-            full = np.zeros((len(flat), size, size))
-            full[:, upper[0], upper[1]] = flat
-            full[:, upper[1], upper[0]] = flat
+        for batch, full in _stacks(batches, 1 + n_features + n_targets):
             got = solve_evidence(full, n_features, strengths)
-            anchor = np.stack(batch["anchor"].to_numpy())
-            level = np.einsum("fctj,fj->fct", got["coef"], anchor[:, :n_features])
-            got["intercept"] = got["intercept"] + anchor[:, None, n_features:] - level
-            got["x_mean"] = got["x_mean"] + anchor[:, :n_features]
+            x_mean = got["x_mean"] + np.stack(batch["anchor"].to_numpy())[:, :n_features]
+            basis = got["basis"].transpose(0, 2, 1).tolist()
             yield pd.concat(
                 [
                     pd.DataFrame(
-                        {
-                            "series_id": batch["series_id"],
-                            "fold": batch["fold"],
-                            "family": "ridge",
-                            "candidate": name,
-                            "ordinal": i,
-                            "n_train": full[:, 0, 0].astype(np.int64),
-                            "intercept": got["intercept"][:, i].tolist(),
-                            "coef": got["coef"][:, i].tolist(),
+                        row
+                        | {
                             "noise": got["noise"][:, i].tolist(),
-                            "x_mean": got["x_mean"].tolist(),
-                            "basis": got["basis"].transpose(0, 2, 1).tolist(),
+                            "x_mean": x_mean.tolist(),
+                            "basis": basis,
                             "spread": got["spread"][:, i].tolist(),
                         }
                     )
-                    for i, name in enumerate(names)
+                    for i, row in enumerate(_linear_rows(batch, full, names, got))
                 ]
             )
 
@@ -231,41 +289,94 @@ def linear_predictions(features: list[str], targets: list[str]) -> list[str]:
     return [f"{term} as `prediction_{t}`" for term, t in zip(terms, targets)]
 
 
-def in_sample(
-    panel: DataFrame, plan: WalkForward, fits: DataFrame, features: list[str], targets: list[str]
+def _with_fits(
+    panel: DataFrame,
+    plan: WalkForward,
+    fits: DataFrame,
+    columns: list[str],
+    kept: list[str],
+    per_group: int,
+    work: Callable[[pd.DataFrame, pd.DataFrame, slice], pd.DataFrame],
+    schema: str,
 ) -> DataFrame:
-    """Predictions of every candidate on its own training rows.
+    """``work(rows, fits, training rows)`` of every fold, rows and fits together by group of neighbouring folds.
 
-    Rows and fits meet per group of neighbouring folds, so a row is shuffled about twice instead
-    of once per fold it trains.
+    A row is shuffled about window / (per_group * stride) + 1 times; no table pairs rows with fits.
     """
-    per_group = folds_per_group(plan)
-    rows = fold_groups(panel.select(*KEY, "date", "pos", "pos_total", *features, *targets), plan, per_group)
-    rows = rows.repartition(task_count(panel), *KEY, "fold_group")
-    grouped = fits.selectExpr(
-        *KEY, f"fold div {per_group} as fold_group", "fold", "candidate", "ordinal",
-        *weight_columns(len(features), len(targets)),
-    )
-    inside = (F.col("pos") >= plan.fit_start(F.col("fold"))) & (F.col("pos") < plan.fit_end(F.col("fold")))
-    return (
-        rows.join(grouped, [*KEY, "fold_group"])
-        .filter(inside)
-        .selectExpr(
-            *KEY, "fold_group", "fold", "candidate", "ordinal", "date", "pos", *targets,
-            *linear_predictions(features, targets),
-        )
-    )
+    rows = fold_groups(panel.select(*KEY, "pos", "pos_total", *columns), plan, per_group)
+    rows = rows.withColumns({"_start": plan.start, "_folds": plan.folds})
+    slim = fits.select(*KEY, F.expr(f"fold div {per_group}").alias("fold_group"), "fold", "candidate", "ordinal", "coef", "intercept", *kept)
+    keys, tasks, names = [*KEY, "fold_group"], task_count(panel), StructType.fromDDL(schema).names
+
+    def run(group: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        folds, lows, highs = _bounds(group, plan, per_group) if len(group) else ([], [], [])
+        by_fold = dict(list(fitted.sort_values("ordinal").groupby("fold")))
+        made = [work(group, by_fold[f], slice(low, high)) for f, low, high in zip(folds, lows, highs) if f in by_fold]
+        return pd.concat(made) if made else pd.DataFrame(columns=names)
+
+    left, right = (df.repartition(tasks, *keys).groupBy(*keys) for df in (rows, slim))
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
+def _guesses(x: np.ndarray, fitted: pd.DataFrame) -> np.ndarray:
+    """Predictions (row, candidate, target) of a fold's fits by one matrix product."""
+    coef = np.array([np.stack(c) for c in fitted["coef"]])
+    flat = x @ coef.reshape(-1, coef.shape[-1]).T
+    return flat.reshape(len(x), *coef.shape[:2]) + np.stack(fitted["intercept"].to_numpy())
+
+
+#: Predictions of training rows that a task makes at a time.
+FITTED_ROWS = 200_000
+
+
+def in_sample(
+    panel: DataFrame, plan: WalkForward, fits: DataFrame, features: list[str], targets: list[str], candidates: int = len(PRIORS)
+) -> DataFrame:
+    """Predictions of every candidate on its own training rows; ``candidates`` is how many fits a fold has."""
+    per_group = max(1, min(folds_per_group(plan), FITTED_ROWS // (plan.window * candidates)))
+
+    def work(group: pd.DataFrame, fitted: pd.DataFrame, train: slice) -> pd.DataFrame:
+        rows = group.iloc[train]
+        guess = _guesses(rows[features].to_numpy(float), fitted)
+        parts = []
+        for i, fit in enumerate(fitted.itertuples()):
+            part = rows[[*KEY, "date", "pos", *targets]].copy()
+            part["fold"], part["candidate"], part["ordinal"] = fit.fold, fit.candidate, fit.ordinal
+            for j, t in enumerate(targets):
+                part[f"prediction_{t}"] = guess[:, i, j]
+            parts.append(part)
+        return pd.concat(parts)
+
+    schema = "series_id string, fold bigint, candidate string, ordinal int, date date, pos bigint, "
+    schema += ", ".join([f"`{t}` double" for t in targets] + [f"`prediction_{t}` double" for t in targets])
+    columns = ["date", *dict.fromkeys([*features, *targets])]
+    return _with_fits(panel, plan, fits, columns, [], per_group, work, schema)
 
 
 def training_scores(
     panel: DataFrame, plan: WalkForward, fits: DataFrame, features: list[str], targets: list[str]
 ) -> DataFrame:
-    """Four training scores per (series, fold, candidate), aggregated where rows and fits met."""
-    predicted = in_sample(panel, plan, fits, features, targets)
-    keys = [*KEY, "fold_group", "fold", "candidate", "ordinal"]
-    return score_rows(
-        predicted, keys, [F.col(t) for t in targets], [F.col(f"prediction_{t}") for t in targets]
-    ).drop("fold_group")
+    """Four training scores per (series, fold, candidate).
+
+    Three come with the fits, from sums. The mean cosine similarity needs the rows: one matrix product a fold.
+    """
+
+    def work(group: pd.DataFrame, fitted: pd.DataFrame, train: slice) -> pd.DataFrame:
+        rows = group.iloc[train]
+        y = rows[targets].to_numpy(float)
+        guess = _guesses(rows[features].to_numpy(float), fitted)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lengths = np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(guess, axis=2)
+            cosine = (np.einsum("rt,rct->rc", y, guess) / lengths).mean(axis=0)
+        out = fitted[[*KEY, "fold", "candidate", "ordinal", "n_train"]].copy()
+        out["cosine_similarity"] = np.where(np.isfinite(cosine), cosine, np.nan)
+        return pd.concat([out, fitted[SUM_SCORES]], axis=1)
+
+    schema = "series_id string, fold bigint, candidate string, ordinal int, n_train bigint, "
+    schema += ", ".join(f"{c} double" for c in ["cosine_similarity", *SUM_SCORES])
+    columns = list(dict.fromkeys([*features, *targets]))
+    return _with_fits(panel, plan, fits, columns, ["n_train", *SUM_SCORES], folds_per_group(plan), work, schema)
 
 
 def predict(

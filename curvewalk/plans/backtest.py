@@ -113,8 +113,8 @@ def ridge_backtest(
 ) -> Backtest:
     """Ridge family. Fits and scores feed later steps, so ``store`` keeps them in the shared folder.
 
-    ``fit`` replaces the evidence fit: from fold sums to rows (series, fold, candidate, ordinal, coef,
-    intercept), for instance with given penalties. Without noise estimates use ``std_mode="row_spread"``.
+    ``fit`` replaces the evidence fit: from fold sums to rows of ``ridge.LINEAR_SCHEMA``, for instance with
+    given penalties. Without noise estimates use ``std_mode="row_spread"``.
     """
     check_metric(metric)
     grams = ridge.fold_grams(panel, plan, features, targets)

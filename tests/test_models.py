@@ -95,6 +95,73 @@ def test_ridge_equals_the_loop_on_raw_rows(spark, panel, pdf, plan):
         assert np.isclose(r.std_t0, np.sqrt(away @ cov @ away + 1 / a), rtol=1e-5)
 
 
+@pytest.mark.parametrize(("window", "stride"), [(30, 10), (29, 10), (25, 3), (7, 7), (5, 9), (20, 1)])
+def test_sliding_sums_equal_each_window_and_take_a_row_up_once(window, stride, monkeypatch):
+    rng = np.random.default_rng(window)
+    per_group = max(1, window // stride)
+    z = np.column_stack([np.ones(window + per_group * stride), 1e8 + rng.normal(size=(window + per_group * stride, 3))])
+    ends = window + stride * np.arange(per_group)
+    got = list(ridge._sliding(z, ends - window, ends))
+    assert len(got) == per_group
+    for g, end in zip(got, ends):
+        part = z[end - window : end]
+        assert np.allclose(g, part.T @ part, rtol=1e-12)
+
+    taken = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, rows):
+            taken.append(rows)
+            return np.asarray(super().__getitem__(rows))
+
+    list(ridge._sliding(z.view(Counted), ends - window, ends))
+    rows = [i for part in taken[::2] for i in range(*part.indices(len(z)))]  # each product names its rows twice
+    assert len(rows) == len(set(rows)) <= window + per_group * stride
+
+
+@pytest.mark.parametrize("level", [0.0, 1e8])
+def test_scores_from_sums_equal_scores_from_rows(spark, pdf, level):
+    moved = pdf.copy()
+    moved[[*FEATURES, *TARGETS]] += level
+    panel = spark.createDataFrame(moved)
+    plan = WalkForward(30, 1, 10)
+    fits = ridge.fixed_ridge(ridge.fold_grams(panel, plan, FEATURES, TARGETS), {"a": 1e-3, "b": 0.5}, 3, 2).cache()
+    keys = ["series_id", "fold", "candidate"]
+    guesses = ridge.in_sample(panel, plan, fits, FEATURES, TARGETS)
+    assert guesses.count() == fits.count() * plan.window
+    want = score_rows(guesses, keys, [F.col(t) for t in TARGETS], [F.col(f"prediction_{t}") for t in TARGETS])
+    want = want.toPandas().set_index(keys).sort_index()
+    got = ridge.training_scores(panel, plan, fits, FEATURES, TARGETS).toPandas().set_index(keys).sort_index()
+    for c in ("cosine_similarity", "euclidean_rmse", "r2_avg", "r2_flat"):
+        assert np.allclose(got[c], want[c], rtol=1e-6, atol=1e-9)
+    train = training_rows(panel, plan).toPandas()
+    for r in fits.toPandas().itertuples():
+        rows = train[(train.series_id == r.series_id) & (train.fold == r.fold)]
+        x, y = rows[FEATURES].to_numpy(), rows[TARGETS].to_numpy()
+        xc, yc = x - x.mean(0), y - y.mean(0)
+        w = np.linalg.solve(xc.T @ xc + {"a": 1e-3, "b": 0.5}[r.candidate] * np.eye(3), xc.T @ yc)
+        assert np.allclose(np.stack(r.coef), w.T, atol=1e-6)
+
+
+def test_scoring_pairs_no_rows_with_fits(panel):
+    plan = WalkForward(30, 1, 10)
+    fits = ridge.evidence_ridge(ridge.fold_grams(panel, plan, FEATURES, TARGETS), 3, 2)
+    text = ridge.training_scores(panel, plan, fits, FEATURES, TARGETS)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "CoGroup" in text
+
+
+def test_scores_of_constant_targets_and_zero_rows_are_null(spark, pdf):
+    flat = pdf.copy()
+    flat["t0"], flat["t1"] = 0.0, 0.0
+    plan = WalkForward(30, 1, 10)
+    panel = spark.createDataFrame(flat)
+    fits = ridge.fixed_ridge(ridge.fold_grams(panel, plan, FEATURES, TARGETS), {"a": 1.0}, 3, 2)
+    for r in ridge.training_scores(panel, plan, fits, FEATURES, TARGETS).collect():
+        assert r.cosine_similarity is None and r.r2_avg is None and r.r2_flat is None and r.euclidean_rmse == 0.0
+    with pytest.raises(ValueError):
+        ridge.fixed_ridge(fits, {"a": 0.0}, 3, 2)
+
+
 def test_a_constant_shift_leaves_slopes_alone(panel):
     plan = WalkForward(30, 1, 10)
     moved = panel.withColumns({c: F.col(c) + 50.0 for c in [*FEATURES, *TARGETS]})
