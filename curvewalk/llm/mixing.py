@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]++"
 #: A prime above any number of blocks: steps of it visit every block of a source once.
 PRIME = 2**31 - 1
 #: Rows of a source that a task puts in order at a time, on average.
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 #: Standard deviations around the mode that a draw can reach; what lies beyond is below a double's precision.
 REACH = 9
 
