@@ -9,7 +9,9 @@ from curvewalk.sources.tables import materialize
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, class_id, component_id) of nodes (node, class_id): the smallest class_id over links (a, b).
+    """(node, class_id, component_id, group) of nodes (node, class_id): the smallest class_id over links (a, b).
+
+    group is the same for the nodes of a component and for no others, also where all its class_ids are null.
 
     Each round hooks every node to its smallest neighbour or itself, follows the hooks to their roots and keeps
     the links between different roots, so the number of linked nodes at least halves. Links, hooks and
@@ -40,7 +42,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             "node", "class_id", F.coalesce("root", "top").alias("top")
         )
     lowest = owned.groupBy("top").agg(F.min("class_id").alias("component_id"))
-    return owned.join(lowest, "top").select("node", "class_id", "component_id")
+    return owned.join(lowest, "top").select("node", "class_id", "component_id", F.col("top").alias("group"))
 
 
 def _roots(hooks: DataFrame) -> DataFrame:

@@ -7,15 +7,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from curvewalk.llm.components import components
 from curvewalk.llm.tables import _arrow_schema, body_key, id_and_text, map_columns
 from curvewalk.sources.tables import materialize
 
 BITS = 64
-#: Fingerprints compared with each other at once; groups beyond it are split into pairs of tiles.
-TILE = 1024
+#: Fingerprints compared with each other at once; groups beyond it are split into tiles.
+TILE = 4096
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -72,30 +71,38 @@ def signatures(prints: DataFrame, distance: int) -> DataFrame:
 def links(prints: DataFrame, distance: int) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all within the distance into components.
 
-    Rows meet by equality of a signature. A group's rows are compared tile by tile, so no task holds more than
-    two tiles; of the pairs found in a tile only a spanning forest leaves it, never all pairs of a group.
+    Rows meet by equality of a signature. A group's rows are dealt to tiles and first compared inside them: one copy
+    a row. What that joins is taken as known. Only in a group beyond a tile whose rows aren't one component by then
+    do the tiles meet in pairs, and those look for links between different components alone. Of the pairs found in a
+    tile only a spanning forest leaves it, never all pairs of a group.
     """
-    keyed = signatures(prints, distance).withColumn("m", F.count("*").over(Window.partitionBy("key")))
+    keyed = signatures(prints, distance)
+    busy = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    rows = materialize(keyed.join(busy, "key"), "signature-groups")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    one = F.lit(0).cast("int")
-    few = keyed.where((F.col("m") > 1) & (F.col("m") <= TILE))
-    few = few.select("key", one.alias("t1"), one.alias("t2"), one.alias("own"), "fp")
-    many = (
-        keyed.where(F.col("m") > TILE)
-        .withColumn("tiles", tiles)
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "key",
-            F.least("own", "other").alias("t1"),
-            F.greatest("own", "other").alias("t2"),
-            "own",
-            "fp",
-        )
+    own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
+    inside = rows.select("key", own.alias("t1"), own.alias("t2"), "fp", F.col("fp").alias("known"))
+    found = materialize(_compared(inside, distance), "tile-links")
+    large = rows.where(F.col("m") > TILE)
+    if large.isEmpty():
+        return found
+    nodes = large.select(F.col("fp").alias("node"), F.col("fp").alias("class_id")).distinct()
+    known = components(found, nodes).select(F.col("node").alias("fp"), F.col("component_id").alias("known"))
+    large = large.join(known, "fp")
+    apart = large.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
+    dealt = (
+        large.join(apart.select("key"), "key", "left_semi")
+        .withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
+        .where("own <> other")
+        .select("key", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "fp", "known")
     )
-    dealt = few.unionByName(many).repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
-    found = dealt.mapInArrow(_forest_of(distance, _arrow_schema(prints, "a long, b long")), "a long, b long")
-    return found.distinct()
+    return found.unionByName(_compared(dealt, distance)).distinct()
+
+
+def _compared(dealt: DataFrame, distance: int) -> DataFrame:
+    """(a, b): a forest of each tile or pair of tiles of rows (key, t1, t2, fp, known)."""
+    dealt = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    return dealt.mapInArrow(_forest_of(distance, _arrow_schema(dealt, "a long, b long")), "a long, b long").distinct()
 
 
 def _forest_of(distance: int, fields: pa.Schema):
@@ -127,36 +134,45 @@ def _forests(rows: np.ndarray, starts: np.ndarray, distance: int) -> list[tuple[
     sizes = np.diff(starts)
     pairs = starts[:-1][sizes == 2]
     if len(pairs):  # most groups: two fingerprints, compared all at once
-        a, b = rows[pairs, 4], rows[pairs + 1, 4]
-        near = np.bitwise_count((a ^ b).view(np.uint64)) <= distance
+        a, b = rows[pairs, 3], rows[pairs + 1, 3]
+        near = (np.bitwise_count((a ^ b).view(np.uint64)) <= distance) & (rows[pairs, 4] != rows[pairs + 1, 4])
         edges.update(zip(np.minimum(a, b)[near].tolist(), np.maximum(a, b)[near].tolist()))
     for begin, size in zip(starts[:-1][sizes > 2], sizes[sizes > 2]):
-        edges.update(_forest(np.unique(rows[begin : begin + size, 4]), distance))
+        prints, first = np.unique(rows[begin : begin + size, 3], return_index=True)
+        edges.update(_forest(prints, rows[begin : begin + size, 4][first], distance))
     return list(edges)
 
 
-def _forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Spanning forest of the fingerprints within the distance: breadth first, each reached once."""
+def _forest(prints: np.ndarray, known: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links that join the known components of the fingerprints wherever two are within the distance.
+
+    Breadth first: a component is taken up whole as soon as one of its fingerprints is reached.
+    """
     bits, left, edges = prints.view(np.uint64), np.arange(len(prints)), []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        mine = known[left] == known[left[0]]
+        queue, left = left[mine].tolist(), left[~mine]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(bits[left] ^ bits[at]) <= distance
-            edges += [(int(min(prints[at], prints[i])), int(max(prints[at], prints[i]))) for i in left[near]]
-            queue += left[near].tolist()
-            left = left[~near]
+            hits = left[np.bitwise_count(bits[left] ^ bits[at]) <= distance]
+            if not len(hits):
+                continue
+            reached, one = np.unique(known[hits], return_index=True)
+            edges += [(int(min(prints[at], prints[i])), int(max(prints[at], prints[i]))) for i in hits[one]]
+            taken = np.isin(known[left], reached)
+            queue += left[taken].tolist()
+            left = left[~taken]
     return edges
 
 
 def near_duplicates(
     docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: (doc_id, fingerprint, component_id, class_id, body).
+    """One row per document: (doc_id, fingerprint, component_id, class_id, body, group).
 
     Texts are linked if their fingerprints differ in at most distance bits; component_id is the smallest doc_id
-    reachable over links, class_id the smallest one with the same fingerprint, body a hash of the text. Texts without words (null ones
-    included) have fingerprint 0 and are linked like any other. Repeated rows are one node each under their id;
+    reachable over links, class_id the smallest one with the same fingerprint, body a hash of the text, group names the
+    component whatever the ids are. Texts without words (null ones included) have fingerprint 0 and are linked like any other. Repeated rows are one node each under their id;
     an empty table gives no rows. A null doc_id stays null and counts as larger than any other. Other columns
     are ignored.
 
@@ -173,5 +189,6 @@ def near_duplicates(
             "component_id",
             "class_id",
             "body",
+            "group",
         )
     )

@@ -24,6 +24,14 @@ def body_key(text_col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many lines under it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFrame:
     """Run fn over Arrow batches. It gets one Arrow array a column and returns a column for each name of schema.
 

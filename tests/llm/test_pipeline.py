@@ -45,6 +45,20 @@ def test_one_document_of_each_near_duplicate_group_stays(stages):
     assert set(stages[2].doc_id) == set(groups.values())
 
 
+def test_exactly_one_row_of_a_group_stays(spark):
+    base = [f"w{i}" for i in range(400)]
+    near = " ".join([*base[:399], "other"])
+    rows = [(7, " ".join(base), "a"), (7, " ".join(base), "b"), (7, near, "c"), (9, " ".join(base), "d"), (None, near, "e")]
+    rows += [(None, "only here " * 30, "f")] * 3 + [(None, None, "g"), (2, "", "h"), (3, "quite another text", "i")]
+    docs = spark.createDataFrame([(i, t, s, 1, 2, 3) for i, t, s in rows], "doc_id long, text string, source string, gone int, doc int, body int")
+    assert (plain_print(rows[0][1]) ^ plain_print(near)).bit_count() <= 4
+    kept = pipeline.near_duplicate_removal(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    first = min([" ".join(base), near], key=lambda t: spark.sql("select xxhash64(?)", args=[t]).first()[0])
+    assert got == sorted([(7, first), (None, "only here " * 30), (2, ""), (3, "quite another text")], key=str)
+
+
 def test_passages_are_cut_once(stages):
     before, after = stages[2], stages[3].set_index("doc_id").text
     want = plain_removal(list(zip(before.doc_id, before.text)))

@@ -66,6 +66,25 @@ def test_links_and_components_of_a_dense_group(spark, monkeypatch):
     assert links(nodes.select("fp"), 4).count() < 64 * len(signed)
 
 
+def test_a_group_of_near_copies_grows_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 64)
+    sent = []
+    compared = simhash._compared
+    monkeypatch.setattr(simhash, "_compared", lambda dealt, distance: (sent.append(dealt.count()), compared(dealt, distance))[1])
+
+    def rows_sent(n):
+        pick = random.Random(n)
+        centre = pick.getrandbits(62)
+        prints = {centre ^ 1 << a ^ 1 << b for a in range(62) for b in range(a)}
+        nodes = spark.createDataFrame([(p,) for p in sorted(pick.sample(sorted(prints), n))], "fp long")
+        sent.clear()
+        found = components(links(nodes, 4), nodes.selectExpr("fp as node", "fp as class_id"))
+        assert found.select("component_id").distinct().count() == 1
+        return sum(sent)
+
+    assert rows_sent(1600) < 5 * rows_sent(400)
+
+
 def test_a_long_chain_is_one_component(spark):
     edges = spark.range(200).selectExpr("id * 7919 % 211 as a", "(id + 1) * 7919 % 211 as b")
     nodes = spark.range(211).selectExpr("id as node", "id + 1000 as class_id")
