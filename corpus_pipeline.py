@@ -11,12 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvewalk.llm.jaccard import similar_texts
 from curvewalk.llm.packing import pack
 from curvewalk.llm.personal import mask_text
 from curvewalk.llm.quality import judge_quality
+from curvewalk.llm.simhash import near_duplicates
 from curvewalk.llm.substrings import remove_repeats
-from curvewalk.llm.tables import body_key
+from curvewalk.llm.tables import body_key, free_name
 from curvewalk.sources.tables import materialize
 
 
@@ -39,11 +39,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by a similarity of 0.8 of their five-word shingles, the one with the smallest doc_id stays.
+    """Of the documents linked by fingerprints that differ in 4 bits or fewer, of 4-word shingles, exactly one stays.
 
-    Rows with that id that are in the group are that document; rows with null ids stay only in groups without others.
+    It is the one with the smallest doc_id, null ids last, then the smallest hash of its text; of rows that repeat both,
+    any one.
     """
-    return _without(docs, similar_texts(docs, least=0.8, width=5).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    found = materialize(near_duplicates(docs, distance=4, width=4), "near-duplicates")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("first")
+    chosen = found.groupBy("group").agg(first)
+    rows = found.groupBy("doc_id", "body").agg(F.first("group").alias("group"), F.count("*").alias("n"))
+    gone, again, doc, body = (free_name(docs.columns, c) for c in ("gone", "again", "doc", "body"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body"))
+    rules = rows.join(chosen, "group").select(
+        F.col("doc_id").alias(doc), F.col("body").alias(body), (~stays).alias(gone), (F.col("n") > 1).alias(again)
+    )
+    rules = rules.where(F.col(gone) | F.col(again))
+    ruled = docs.join(rules, docs["doc_id"].cast("long").eqNullSafe(rules[doc]) & (body_key() == rules[body]), "left")
+    ruled = ruled.where(~F.coalesce(F.col(gone), F.lit(False)))
+    once = ruled.where(F.col(again)).dropDuplicates([doc, body])
+    return ruled.where(F.col(again).isNull()).unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +83,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-duplicates", near_duplicate_removal),
+    ("SimHash near-duplicates", near_duplicate_removal),
     ("repeated passages", passage_removal),
     ("personal data", personal_data_removal),
     ("packing", packing),
