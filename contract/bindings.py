@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvewalk.operators.candidates import KernelGrid
 from curvewalk.operators.curve import COEFFICIENTS, curve_points
 from curvewalk.operators.features import derive, future, lag, moving_average, spreads
 from curvewalk.operators.folds import WalkForward
@@ -13,6 +14,9 @@ from curvewalk.operators.scan import ID_GRANULE, ordered_scan, over_blocks
 from curvewalk.sources.tables import materialize
 
 PLAN = WalkForward(window=250, min_window=100, refit_every=30)
+#: A window whose kernel matrix SQL can invert, and one value of each hyper-parameter of its processes.
+NARROW = WalkForward(window=12, min_window=12, refit_every=30)
+ONE = KernelGrid(length=(0.05,), mixture=(1.0,), period=(1.0,), constant=(0.1,), noise=(1e-4,), restarts=0)
 FEATURES = ["beta0", "beta1", "beta2", "lambda_", "beta0_lag", "beta0_moving_avg_5", "slope_spread"]
 TARGETS = ["beta0_future_val", "beta1_future_val", "beta2_future_val", "lambda_future_val"]
 FORECAST_KEYS = ["segment"]

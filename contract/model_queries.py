@@ -207,6 +207,42 @@ def f15_best_candidate(spark, sf):
     return best.select(*KEYS, "candidate", "r2_avg", "cosine_similarity")
 
 
+@query(
+    sql=f"with {v.FOLDS} select series_id, fold, {len(FEATURES)} as n_features, 1e0 as whole from folds",
+    doubles="whole",
+)
+def f17_process_relevance(spark, sf):
+    """Inverse lengths of a process with one length for each feature: how many there are, and that they share 1."""
+    run = gaussian_backtest(b.panel(spark, sf), b.PLAN, FEATURES, TARGETS, kernels=("RBF_ARD",), grid=KernelGrid(restarts=1))
+    return run.importance().groupBy(*KEYS).agg(
+        F.countDistinct("feature").alias("n_features"), F.sum(F.when(F.col("importance") > 0, F.col("importance"))).alias("whole")
+    )
+
+
+def _narrow(spark, sf) -> Backtest:
+    """The whole backtest on processes with given hyper-parameters and windows that SQL can follow."""
+    return gaussian_backtest(b.panel(spark, sf), b.NARROW, FEATURES, TARGETS, grid=b.ONE)
+
+
+@query(
+    sql=f"with {v.PROCESS_SCORES} select * from scores",
+    doubles="cosine_similarity euclidean_rmse r2_avg r2_flat",
+)
+def f5_fixed_process(spark, sf):
+    found = _narrow(spark, sf).scores
+    return found.select(*KEYS, "candidate", "ordinal", "n_train", "cosine_similarity", "euclidean_rmse", "r2_avg", "r2_flat")
+
+
+@query(sql=f"with {v.PROCESS_SCORES} select series_id, fold, candidate, log_marginal_likelihood from process", doubles="log_marginal_likelihood")
+def f14_fixed_evidence(spark, sf):
+    return _narrow(spark, sf).scores.select(*KEYS, "candidate", "log_marginal_likelihood")
+
+
+@query(sql=f"with {v.PROCESS_LONG} select * from long", doubles="actual prediction prediction_std")
+def g1_fixed_predictions(spark, sf):
+    return _narrow(spark, sf).long()
+
+
 @query()
 def f16_model_summary(spark, sf):
     return _gaussian(spark, sf).summary()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contract.bindings import FEATURES, PLAN, TARGETS
+from contract.bindings import FEATURES, NARROW, ONE, PLAN, TARGETS
 from curvewalk.functions import numeric
-from curvewalk.operators.candidates import PRIORS
+from curvewalk.operators.candidates import KERNELS, NUGGET, PRIORS
 from curvewalk.operators.curve import COEFFICIENTS, TENORS
 from curvewalk.operators.ridge import ROUNDS
 from curvewalk.operators.ridge import TOLERANCE as ROUND_TOLERANCE
@@ -84,7 +84,7 @@ def _symmetric(size: int) -> list[tuple[int, int]]:
 
 
 def _sweep(rows: str, size: int) -> str:
-    """rows with columns s<i>_<j> of a symmetric matrix, which become its negative inverse."""
+    """rows with columns s<i>_<j> of a symmetric matrix, which become its negative inverse; pivots' product is its determinant."""
 
     def s(i: int, j: int) -> str:
         return f"s{min(i, j)}_{max(i, j)}"
@@ -99,7 +99,7 @@ def _sweep(rows: str, size: int) -> str:
             else:
                 new = f"{s(i, j)} - {s(i, k)}*{s(k, j)}/{s(k, k)}"
             swaps.append(f"{new} as {s(i, j)}")
-        rows = f"select * replace ({', '.join(swaps)}) from ({rows}) as swept{k}"
+        rows = f"select * replace ({', '.join(swaps)}), {s(k, k)} as pivot{k} from ({rows}) as swept{k}"
     return rows
 
 
@@ -178,21 +178,29 @@ def in_sample(fits: str) -> str:
 
 
 def scores(fits: str) -> str:
+    return fitted_scores(in_sample(fits))
+
+
+def fitted_scores(fitted: str) -> str:
     inner = " + ".join(f"{t}*prediction_{t}" for t in TARGETS)
     yy = " + ".join(f"{t}*{t}" for t in TARGETS)
     pp = " + ".join(f"prediction_{t}*prediction_{t}" for t in TARGETS)
     gap = " + ".join(f"({t}-prediction_{t})*({t}-prediction_{t})" for t in TARGETS)
-    r2 = " + ".join(f"1e0 - sum(({t}-prediction_{t})*({t}-prediction_{t}))/(var_pop({t})*count(*))" for t in TARGETS)
+    r2 = " + ".join(f"1e0 - sum(({t}-prediction_{t})*({t}-prediction_{t}))/nullif(var_pop({t})*count(*), 0)" for t in TARGETS)
     middle = "(" + " + ".join(f"avg({t})" for t in TARGETS) + f")/{len(TARGETS)}"
     flat = " + ".join(f"var_pop({t})*count(*) + count(*)*(avg({t})-{middle})*(avg({t})-{middle})" for t in TARGETS)
-    return f"""{in_sample(fits)}, scores as (select series_id, fold, candidate, ordinal, count(*) as n_train,
+    return f"""{fitted}, scores as (select series_id, fold, candidate, ordinal, count(*) as n_train,
   avg(({inner})/(sqrt({yy})*sqrt({pp}))) as cosine_similarity, sqrt(avg({gap})) as euclidean_rmse,
   ({r2})/{len(TARGETS)} as r2_avg, 1e0 - sum({gap})/({flat}) as r2_flat
   from fitted group by series_id, fold, candidate, ordinal)"""
 
 
 def best(fits: str, metric: str) -> str:
-    return f"""{scores(fits)}, best as (select * from (select *, row_number() over (partition by series_id, fold
+    return best_of(scores(fits), metric)
+
+
+def best_of(scored: str, metric: str) -> str:
+    return f"""{scored}, best as (select * from (select *, row_number() over (partition by series_id, fold
   order by {metric} desc, cosine_similarity desc, ordinal) as place from scores) as placed where place = 1)"""
 
 
@@ -218,6 +226,74 @@ BEST = best(FIXED_FITS, "r2_avg")
 AHEAD = ahead(FIXED_FITS, "r2_avg")
 
 
+def _process() -> str:
+    """Exact processes with given hyper-parameters on NARROW windows: their inverses, evidence and training targets."""
+    n, c, nu, noise = NARROW.window, ONE.constant[0], ONE.noise[0] + NUGGET, ONE.noise[0]
+    o = range(n)
+    held = [f"max(case when o = {i} then {x} end) as x{i}_{d}" for i in o for d, x in enumerate(FEATURES)]
+    held += [f"max(case when o = {i} then {t} end) as y{i}_{j}" for i in o for j, t in enumerate(TARGETS)]
+    gap = lambda a, b: " + ".join(f"({a(d)} - {b(d)})*({a(d)} - {b(d)})" for d in range(_P))
+    gaps = [f"{gap(lambda d: f'x{i}_{d}', lambda d: f'x{j}_{d}')} as d{i}_{j}" for i, j in _symmetric(n)]
+    kernels = []
+    for ordinal, kernel in enumerate(KERNELS):
+        value = {"RBF": f"exp(-{{d}}/{2 * ONE.length[0] ** 2!r}::double)", "RationalQuadratic": f"1e0/(1e0 + {{d}}/{2 * ONE.length[0] ** 2!r}::double)"}
+        value["ExpSineSquared"] = f"exp(-2e0*power(sin(pi()*sqrt({{d}}))/{ONE.length[0]!r}::double, 2))"
+        entries = [f"{c!r}::double*{value[kernel].format(d=f'd{i}_{j}')}" + (f" + {nu!r}::double" if i == j else "") + f" as s{i}_{j}" for i, j in _symmetric(n)]
+        kernels.append(f"select *, '{kernel}' as candidate, {ordinal} as ordinal, {', '.join(entries)} from gaps")
+        VALUES[kernel] = f"{c!r}::double*{value[kernel]}"
+    turned = [
+        "-(" + " + ".join(f"s{min(i, k)}_{max(i, k)}*y{k}_{j}" for k in o) + f") as u{i}_{j}" for i in o for j in range(len(TARGETS))
+    ]
+    misfit = " + ".join(f"y{i}_{j}*u{i}_{j}" for i in o for j in range(len(TARGETS)))
+    volume = " + ".join(f"ln(pivot{k})" for k in o)
+    evidence = f"-0.5e0*({misfit} + {len(TARGETS)}*({volume} + {n}*ln(2e0*pi())))"
+    rows = ", ".join(
+        "{" + ", ".join([f"'o': {i}"] + [f"'f{j}': y{i}_{j} - {nu!r}::double*u{i}_{j}" for j in range(len(TARGETS))]) + "}" for i in o
+    )
+    guess = ", ".join(f"f.f{j} as prediction_{t}" for j, t in enumerate(TARGETS))
+    return f"""{V3}, narrow as (select distinct series_id, (pos - {n}) // {NARROW.refit_every} as fold,
+  {n} + ((pos - {n}) // {NARROW.refit_every})*{NARROW.refit_every} as fit_end from v3 where pos >= {n}),
+ train as (select v3.*, fold, pos - fit_end + {n} as o from v3 join narrow on v3.series_id = narrow.series_id and pos >= fit_end - {n} and pos < fit_end),
+ windows as (select series_id, fold, {', '.join(held)} from train group by series_id, fold),
+ gaps as (select *, {', '.join(gaps)} from windows),
+ inverses as ({_sweep('select * from (' + ' union all '.join(kernels) + ') as matrices', n)}),
+ turned as (select *, {', '.join(turned)} from inverses),
+ process as (select *, {evidence} as log_marginal_likelihood from turned),
+ each as (select series_id, fold, candidate, ordinal, unnest([{rows}]) as f from process),
+ fitted as (select series_id, fold, candidate, ordinal, {', '.join(TARGETS)}, {guess}
+  from each join (select series_id, fold, o as at_row, {', '.join(TARGETS)} from train) as t using (series_id, fold) where f.o = at_row)"""
+
+
+def _process_ahead() -> str:
+    """Means and standard deviations of the best process of each fold for its rows, one target a row."""
+    n, noise = NARROW.window, ONE.noise[0]
+    gap = [" + ".join(f"({x} - x{i}_{d})*({x} - x{i}_{d})" for d, x in enumerate(FEATURES)) + f" as g{i}" for i in range(n)]
+    near = [
+        "case " + " ".join(f"when candidate = '{k}' then {v.format(d=f'g{i}')}" for k, v in VALUES.items()) + f" end as k{i}" for i in range(n)
+    ]
+    form = " + ".join(f"{1 if i == j else 2}*s{i}_{j}*k{i}*k{j}" for i, j in _symmetric(n))
+    spread = f"sqrt({ONE.constant[0]!r}::double + ({form}) + {noise!r}::double)"
+    means = [" + ".join(f"k{i}*u{i}_{j}" for i in range(n)) + f" as mean{j}" for j in range(len(TARGETS))]
+    long = " union all ".join(
+        f"select series_id, date, pos - {n} as k, fold, (pos - {n}) % {NARROW.refit_every} = 0 as retrain, candidate as best_candidate,"
+        f" '{t}' as target, {t} as actual, mean{j} as prediction, std as prediction_std from predicted"
+        for j, t in enumerate(TARGETS)
+    )
+    return f"""{best_of(fitted_scores(_process()), "cosine_similarity")},
+ ahead as (select *, (pos - {n}) // {NARROW.refit_every} as fold from v3 where pos >= {n}),
+ apart as (select ahead.*, process.* exclude (series_id, fold), {', '.join(gap)} from ahead join (select series_id, fold, candidate from best) as b using (series_id, fold)
+  join process using (series_id, fold, candidate)),
+ close as (select *, {', '.join(near)} from apart),
+ predicted as (select *, {', '.join(means)}, {spread} as std from close),
+ long as ({long})"""
+
+
+#: Kernel values of a squared distance d, filled in with the process.
+VALUES: dict[str, str] = {}
+PROCESS_SCORES = fitted_scores(_process())
+PROCESS_LONG = _process_ahead()
+
+
 def draws(targets: list[str], n: int) -> str:
     def uniform(t: str, tag: str) -> str:
         return f"((('0x'||substr(md5(i||'-{t}-{tag}'),1,8))::bigint + 0.5e0)/4294967296e0)"

@@ -20,26 +20,28 @@ PRIORS = {
 
 # Kernels used by default, then the opt-in ones.
 KERNELS = ("ExpSineSquared", "RBF", "RationalQuadratic")
-EXTRA_KERNELS = ("DotProduct", "Matern", "Combined_RBF_ExpSine")
+EXTRA_KERNELS = ("DotProduct", "Matern", "Combined_RBF_ExpSine", "RBF_ARD")
+#: The kernel with one length for each feature.
+RELEVANCE_KERNEL = "RBF_ARD"
 
 NUGGET = 1e-6
-# Search bounds of lengths, mixtures and periods.
-SHAPE_BOUNDS = (1e-2, 1e2)
+# Search bounds of the hyper-parameters.
+BOUNDS = {"length": (1e-2, 1e2), "mixture": (1e-5, 1e5), "period": (1e-2, 1e2), "constant": (1e-3, 1e3), "noise": (1e-5, 1e5)}
 
 
 @dataclass(frozen=True)
 class KernelGrid:
-    """Hyper-parameter values tried for every kernel, and the factors by which the best shape is moved after.
+    """Hyper-parameter values tried for every kernel, and how many searches start from the best of them.
 
-    Constants and noises span their whole search bounds; shapes are refined inside SHAPE_BOUNDS.
+    A search climbs the evidence along its gradient inside BOUNDS; without restarts the grid's values are all.
     """
 
     length: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)
     mixture: tuple[float, ...] = (0.1, 1.0, 10.0)
     period: tuple[float, ...] = (0.1, 1.0, 10.0)
     constant: tuple[float, ...] = tuple(10.0 ** (i / 2) for i in range(-6, 7))
-    noise: tuple[float, ...] = tuple(10.0 ** (i / 2) for i in range(-12, 3))
-    refine: tuple[float, ...] = (3.0, 1.7, 1.25)
+    noise: tuple[float, ...] = tuple(10.0 ** (i / 2) for i in range(-10, 11))
+    restarts: int = 3
 
     def shapes(self, kernel: str) -> list[dict[str, float]]:
         names = {
@@ -49,6 +51,7 @@ class KernelGrid:
             "ExpSineSquared": ["length", "period"],
             "Combined_RBF_ExpSine": ["length", "period"],
             "DotProduct": ["length"],
+            "RBF_ARD": ["length"],
         }[kernel]
         return [dict(zip(names, values)) for values in product(*[getattr(self, n) for n in names])]
 

@@ -2,14 +2,14 @@
 
 A group holds ``per_group * stride + window`` rows by construction, whatever the size of the series.
 Each fold is fitted exactly by one eigen-decomposition per kernel shape: the constant and noise factors
-only rescale eigenvalues, so a whole grid of them costs no extra matrix work. With ``inducing`` given, the
-process is the low-rank one on that many evenly spaced rows.
+only rescale eigenvalues, so the best ones for a shape cost no extra matrix work. Shapes are searched from the best
+of a grid by projected quasi-Newton steps along the gradient of the evidence. With ``inducing`` given, the process is
+the low-rank one on that many evenly spaced rows, at the grid's values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvewalk.operators.candidates import (
+    BOUNDS,
     EXTRA_KERNELS,
     KERNELS,
     NUGGET,
-    SHAPE_BOUNDS,
+    RELEVANCE_KERNEL,
     KernelGrid,
     check_candidates,
 )
@@ -86,9 +87,32 @@ def _kernel(kernel: str, shape: dict[str, float]) -> Callable[[np.ndarray, np.nd
         "Matern": lambda d2, ip: (1 + np.sqrt(3 * d2) / length) * np.exp(-np.sqrt(3 * d2) / length),
         "Combined_RBF_ExpSine": lambda d2, ip: rbf(d2, ip) * wave(d2, ip),
         "DotProduct": lambda d2, ip: length**2 + ip,
+        "RBF_ARD": lambda d2, ip: np.exp(-d2 / 2),  # of rows divided by their lengths
     }[kernel]
 
 
+def _slopes(kernel: str, shape: dict[str, float], d2: np.ndarray, k: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the kernel matrix by the logarithms of its shape's values; of RBF_ARD see ``_Rows``."""
+    length = shape.get("length", 1.0)
+    if kernel == "DotProduct":
+        return {"length": np.full_like(k, 2 * length**2)}
+    if kernel == "Matern":
+        r = np.sqrt(3 * d2) / length
+        return {"length": r * r * np.exp(-r)}
+    if kernel == "RationalQuadratic":
+        a = shape["mixture"]
+        part = d2 / (2 * a * length**2)
+        return {"length": k * 2 * a * part / (1 + part), "mixture": k * a * (part / (1 + part) - np.log1p(part))}
+    found = {"length": np.zeros_like(k)}
+    if kernel in ("RBF", "Combined_RBF_ExpSine"):
+        found["length"] += k * d2 / length**2
+    if kernel in ("ExpSineSquared", "Combined_RBF_ExpSine"):
+        angle = np.pi * np.sqrt(d2) / shape["period"]
+        found["length"] += k * 4 * np.sin(angle) ** 2 / length**2
+        found["period"] = k * 4 * np.sin(angle) * np.cos(angle) * angle / length**2
+    return found
+
+
 def kernel_values(kernel: str, squared: Column, **shape: float) -> Column:
     """Kernel value as a column of squared distances, by the same code as the fits."""
 
@@ -110,106 +134,239 @@ def _scores(y: np.ndarray, f: np.ndarray) -> dict[str, float]:
     with np.errstate(divide="ignore", invalid="ignore"):
         cosine = (y * f).sum(1) / (np.linalg.norm(y, axis=1) * np.linalg.norm(f, axis=1))
         sse = ((y - f) ** 2).sum(0)
+        spread = np.where(np.ptp(y, axis=0) > 0, ((y - y.mean(0)) ** 2).sum(0), 0.0)  # a mean may round
         found = {
             "cosine_similarity": cosine.mean(),
             "euclidean_rmse": np.sqrt(sse.sum() / len(y)),
-            "r2_avg": (1 - sse / ((y - y.mean(0)) ** 2).sum(0)).mean(),
+            "r2_avg": (1 - sse / spread).mean(),
             "r2_flat": 1 - sse.sum() / ((y - y.mean()) ** 2).sum(),
         }
     return {k: float(v) if np.isfinite(v) else None for k, v in found.items()}
 
 
-@dataclass
-class _Eigen:
-    """Kernel matrix of the training rows for one shape, as eigenvalues and turned targets."""
+class _Rows:
+    """Training rows of a fold, the rows to forecast, and the rows that the kernel features come from."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ahead: np.ndarray, inducing: int | None):
+        self.x, self.y, self.ahead, self.exact = x, y, ahead, inducing is None
+        self.z = x if self.exact else x[inducing_positions(len(x), inducing)]
+        self.centre, self.yy = x.mean(0), float((y * y).sum())
+        self.near = self._apart(None)
+
+    def _apart(self, lengths: np.ndarray | None) -> tuple:
+        """Squared distances and inner products: among features' rows, to training rows, to rows ahead, of those to themselves."""
+        x, z, ahead, centre = self.x, self.z, self.ahead, self.centre
+        if lengths is not None:
+            x, z, ahead, centre = x / lengths, z / lengths, ahead / lengths, centre / lengths
+        zz = _products(z, z, centre)
+        own = (np.zeros(len(ahead)), (ahead * ahead).sum(1))
+        return zz, (zz if self.exact else _products(x, z, centre)), _products(ahead, z, centre), own
+
+    def apart(self, shape: dict[str, float]) -> tuple:
+        return self._apart(np.array([shape[n] for n in shape])) if "length_0" in shape else self.near
+
+    def shapes(self, kernel: str, grid: KernelGrid) -> list[dict[str, float]]:
+        """The grid's shapes; one length for each feature begins with equal ones."""
+        if kernel != RELEVANCE_KERNEL:
+            return grid.shapes(kernel)
+        return [{f"length_{i}": s["length"] for i in range(self.x.shape[1])} for s in grid.shapes(kernel)]
 
-    kernel: Callable
-    root: np.ndarray  # kernel features of a row are its kernel values with the inducing rows times this
-    values: np.ndarray
-    vectors: np.ndarray | None  # eigenvectors in feature space; None where features are eigenvectors already
-    pull: np.ndarray
-    phi: np.ndarray
+    def slopes(self, kernel: str, shape: dict[str, float], k: np.ndarray):
+        """Name and derivative of each of the shape's values, one at a time."""
+        if kernel != RELEVANCE_KERNEL:
+            yield from _slopes(kernel, shape, self.near[0][0], k).items()
+            return
+        for i, name in enumerate(shape):
+            u = (self.x[:, i] - self.centre[i]) / shape[name]
+            yield name, k * (u[:, None] - u[None]) ** 2
 
 
-def _eigen(kernel: str, shape: dict[str, float], zz, xz, y: np.ndarray, exact: bool) -> _Eigen:
-    k = _kernel(kernel, shape)
-    values, vectors = np.linalg.eigh(k(*zz))
-    kept = values > max(1e-12 * values[-1], 1e-300)
-    values, vectors = values[kept], vectors[:, kept]
-    root = vectors / np.sqrt(values)
-    if exact:  # the features of the training rows are orthogonal as they are
-        phi = vectors * np.sqrt(values)
-        return _Eigen(k, root, values, None, phi.T @ y, phi)
-    phi = k(*xz) @ root
-    stretch, turn = np.linalg.eigh(phi.T @ phi)
-    return _Eigen(k, root, np.clip(stretch, 0.0, None), turn, turn.T @ (phi.T @ y), phi)
+class _Exact:
+    """The process on all training rows for one shape: eigenvalues of its kernel matrix and turned targets.
 
+    A kernel of distances needn't be positive in many dimensions; scales at which the whole matrix isn't are ruled out.
+    """
 
-def _evidence(e: _Eigen, yy: float, n: int, targets: int, constants: np.ndarray, noises: np.ndarray):
-    """(evidence, constant, noise) of the best scales; they only rescale eigenvalues."""
-    power = (e.pull * e.pull).sum(1)
-    scales = constants[:, None, None] * e.values + (noises + NUGGET)[None, :, None]
-    misfit = (yy - constants[:, None] * (power / scales).sum(-1)) / (noises + NUGGET)
-    volume = np.log(scales).sum(-1) + (n - len(e.values)) * np.log(noises + NUGGET) + n * LOG_2PI
-    evidence = -0.5 * (misfit + targets * volume)
-    c, s = np.unravel_index(np.argmax(evidence), evidence.shape)
-    return evidence[c, s], constants[c], noises[s]
+    def __init__(self, kernel: str, shape: dict[str, float], rows: _Rows):
+        self.kernel, (apart, _, self.ahead, self.own) = _kernel(kernel, shape), rows.apart(shape)
+        self.matrix = self.kernel(*apart)
+        self.values, self.vectors = np.linalg.eigh(self.matrix)
+        self.turned = self.vectors.T @ rows.y
+        self.power, self.targets = (self.turned * self.turned).sum(1), rows.y.shape[1]
+
+    def heights(self, constants: np.ndarray, noises: np.ndarray) -> np.ndarray:
+        """Evidence at each constant and noise; they only rescale eigenvalues."""
+        scales = constants[:, None, None] * self.values + (noises + NUGGET)[None, :, None]
+        sound = (scales > 0).all(-1)
+        scales = np.where(sound[..., None], scales, 1.0)
+        found = -0.5 * ((self.power / scales).sum(-1) + self.targets * (np.log(scales).sum(-1) + len(self.values) * LOG_2PI))
+        return np.where(sound, found, -np.inf)
+
+    def height(self, x: np.ndarray) -> tuple:
+        """(evidence, its gradient, constant, noise) at the logarithms of both scales."""
+        constant, noise = np.exp(x)
+        a = constant * self.values + noise + NUGGET
+        if a[0] <= 0:
+            return -np.inf, np.zeros(2), constant, noise
+        pushed = self.power / a**2 - self.targets / a
+        found = -0.5 * ((self.power / a).sum() + self.targets * (np.log(a).sum() + len(a) * LOG_2PI))
+        return found, 0.5 * np.array([constant * (self.values * pushed).sum(), noise * pushed.sum()]), constant, noise
+
+    def predict(self, constant: float, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(fitted training targets, means ahead, variances ahead)."""
+        weights = self.turned / (a := constant * self.values + noise + NUGGET)[:, None]
+        ahead = constant * self.kernel(*self.ahead) @ self.vectors
+        variance = constant * self.kernel(*self.own) - (ahead**2 / a).sum(1) + noise
+        return self.vectors @ (constant * self.values[:, None] * weights), ahead @ weights, variance.clip(0.0)
+
+
+class _LowRank:
+    """The process on inducing rows for one shape."""
+
+    def __init__(self, kernel: str, shape: dict[str, float], rows: _Rows):
+        self.kernel, (zz, xz, self.ahead, self.own) = _kernel(kernel, shape), rows.apart(shape)
+        values, vectors = np.linalg.eigh(self.kernel(*zz))
+        kept = values > max(1e-12 * values[-1], 1e-300)
+        self.root = vectors[:, kept] / np.sqrt(values[kept])  # features are kernel values with the inducing rows times this
+        phi = self.kernel(*xz) @ self.root
+        stretch, self.turn = np.linalg.eigh(phi.T @ phi)
+        self.values, self.train = np.clip(stretch, 0.0, None), phi @ self.turn
+        self.pull, self.yy, (self.n, self.targets) = self.train.T @ rows.y, rows.yy, rows.y.shape
+
+    def heights(self, constants: np.ndarray, noises: np.ndarray) -> np.ndarray:
+        power = (self.pull * self.pull).sum(1)
+        scales = constants[:, None, None] * self.values + (noises + NUGGET)[None, :, None]
+        misfit = (self.yy - constants[:, None] * (power / scales).sum(-1)) / (noises + NUGGET)
+        volume = np.log(scales).sum(-1) + (self.n - len(self.values)) * np.log(noises + NUGGET) + self.n * LOG_2PI
+        return -0.5 * (misfit + self.targets * volume)
+
+    def predict(self, constant: float, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a = constant * self.values + noise + NUGGET
+        weights = constant * self.pull / a[:, None]
+        ahead = self.kernel(*self.ahead) @ self.root
+        turned = ahead @ self.turn
+        left = constant * (self.kernel(*self.own) - (ahead**2).sum(1)).clip(0.0)
+        return self.train @ weights, turned @ weights, left + (noise + NUGGET) * constant * (turned**2 / a).sum(1) + noise
+
+
+def climb(
+    value: Callable[[np.ndarray], tuple], start: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 30, least: float = 1e-7
+) -> tuple:
+    """Projected quasi-Newton ascent inside a box. ``value(x)`` starts with (height, gradient); returns its best result.
+
+    Coordinates held by the box are left out of a step; curvature is learned from the gradients (BFGS), steps are
+    shortened until they gain enough, and the ascent ends when a step gains less than least of the height.
+    """
+    x = np.clip(start, low, high)
+    found, shape = value(x), np.eye(len(x))
+    for _ in range(steps):
+        height, slope = found[0], found[1]
+        free = ~(((x <= low) & (slope < 0)) | ((x >= high) & (slope > 0)))
+        if not free.any():
+            break
+        step = np.zeros(len(x))
+        step[free] = shape[np.ix_(free, free)] @ slope[free]
+        if step @ slope <= 0:
+            shape, step = np.eye(len(x)), np.where(free, slope, 0.0)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+        for _ in range(12):
+            there = np.clip(x + step, low, high)
+            tried = value(there)
+            if np.isfinite(tried[0]) and tried[0] >= height + 1e-4 * slope @ (there - x) and tried[0] > height:
+                break
+            step = step / 2
+        else:
+            break
+        moved, bent = there - x, slope - tried[1]
+        if moved @ bent > 1e-12:
+            rho, one = 1.0 / (moved @ bent), np.eye(len(x))
+            left = one - rho * np.outer(moved, bent)
+            shape = left @ shape @ left.T + rho * np.outer(moved, moved)
+        x, found = there, tried
+        if found[0] - height < least * max(1.0, abs(height)):
+            break
+    return found
+
+
+def _box(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.log([BOUNDS[n.split("_")[0]] for n in names])
+    return bounds[:, 0], bounds[:, 1]
+
+
+def _profile(kernel: str, shape: dict[str, float], rows: _Rows, grid: KernelGrid) -> tuple:
+    """(evidence, gradient by log shape, constant, noise, shape, process) at the shape's best scales.
+
+    At those the evidence doesn't change with the scales, so its gradient is the one at fixed scales.
+    """
+    process = _Exact(kernel, shape, rows)
+    height, constant, noise = _on_grid(process, grid)
+    if not np.isfinite(height):
+        return -np.inf, np.zeros(len(shape)), constant, noise, shape, process
+    start = np.log([constant, noise])
+    height, _, constant, noise = climb(process.height, start, *_box(["constant", "noise"]), least=1e-12)
+    a, vectors = constant * process.values + noise + NUGGET, process.vectors
+    alpha = vectors @ (process.turned / a[:, None])
+    weights = 0.5 * constant * (alpha @ alpha.T - process.targets * (vectors / a) @ vectors.T)
+    slope = np.array([(weights * d).sum() for _, d in rows.slopes(kernel, shape, process.matrix)])
+    return height, slope, constant, noise, shape, process
+
+
+def _on_grid(process: _Exact | _LowRank, grid: KernelGrid) -> tuple[float, float, float]:
+    """(evidence, constant, noise) of the best scales of the grid."""
+    constants, noises = np.array(grid.constant), np.array(grid.noise)
+    heights = process.heights(constants, noises)
+    c, s = np.unravel_index(np.argmax(heights), heights.shape)
+    return float(heights[c, s]), float(constants[c]), float(noises[s])
+
+
+def _search(kernel: str, rows: _Rows, grid: KernelGrid, near: dict[str, float] | None) -> tuple:
+    """(evidence, constant, noise, shape, process) of the grid's best shape, or of a better one that is reached from
+    the best few of the grid or from the shape of a neighbouring fold."""
+    tried = []
+    for shape in rows.shapes(kernel, grid):
+        process = (_Exact if rows.exact else _LowRank)(kernel, shape, rows)
+        tried.append((*_on_grid(process, grid), shape, process))
+    tried.sort(key=lambda t: -t[0])
+    best = tried[0]
+    if not (rows.exact and grid.restarts):
+        return best
+    names = list(best[3])
+    starts = [t[3] for t in tried[: grid.restarts]]
+    if near is not None:  # the neighbour's shape stands for the last of them
+        starts = [near, *starts[: max(1, grid.restarts - 1)]]
+    for start in starts:
+        found = climb(
+            lambda x: _profile(kernel, dict(zip(names, np.exp(x).tolist())), rows, grid),
+            np.log([start[name] for name in names]),
+            *_box(names),
+        )
+        if found[0] > best[0]:
+            best = found[0], *found[2:]
+    return best
 
 
 def fit_fold(
-    x: np.ndarray, y: np.ndarray, ahead: np.ndarray, kernel: str, inducing: int | None, grid: KernelGrid
+    x: np.ndarray,
+    y: np.ndarray,
+    ahead: np.ndarray,
+    kernel: str,
+    inducing: int | None,
+    grid: KernelGrid,
+    near: dict[str, float] | None = None,
 ) -> dict:
     """Best (shape, constant, noise) of one kernel by evidence, its scores and its predictions.
 
-    Without inducing the process is exact. The best shape of the grid is refined: each of its values is moved by
-    ever smaller factors inside the bounds while that raises the evidence.
+    Without inducing the process is exact and the evidence is never below the grid's; near is a shape to search from.
     """
-    n, targets = y.shape
-    exact = inducing is None
-    z = x if exact else x[inducing_positions(n, inducing)]
-    centre = x.mean(0)
-    zz = _products(z, z, centre)
-    xz, az = (zz if exact else _products(x, z, centre)), _products(ahead, z, centre)
-    own = (np.zeros(len(ahead)), (ahead * ahead).sum(1))
-    yy = (y * y).sum()
-    constants, noises = np.array(grid.constant), np.array(grid.noise)
-    best = None
-
-    def attempt(shape: dict[str, float]) -> bool:
-        nonlocal best
-        e = _eigen(kernel, shape, zz, xz, y, exact)
-        found = _evidence(e, yy, n, targets, constants, noises)
-        if best is None or found[0] > best[0][0]:
-            best = found, shape, e
-            return True
-        return False
-
-    for shape in grid.shapes(kernel):
-        attempt(shape)
-    for factor in grid.refine:
-        for name in list(best[1]):
-            for step in (factor, 1 / factor):
-                low, high = SHAPE_BOUNDS
-                moved = {**best[1], name: min(max(best[1][name] * step, low), high)}
-                if moved != best[1] and attempt(moved):
-                    break
-    (evidence, constant, noise), shape, e = best
-    a = constant * e.values + noise + NUGGET
-    phi_ahead = e.kernel(*az) @ e.root
-    turned = phi_ahead if e.vectors is None else phi_ahead @ e.vectors
-    train = e.phi if e.vectors is None else e.phi @ e.vectors
-    weights = constant * e.pull / a[:, None]
-    prior = e.kernel(*own)
-    variance = (
-        constant * (prior - (phi_ahead**2).sum(1)).clip(0.0)
-        + (noise + NUGGET) * constant * (turned**2 / a).sum(1)
-        + noise
-    )
+    rows = _Rows(x, y, ahead, inducing)
+    evidence, constant, noise, shape, process = _search(kernel, rows, grid, near)
+    fitted, mean, variance = process.predict(constant, noise)
     return {
         "params": {**shape, "constant": constant, "noise": noise},
-        "log_marginal_likelihood": float(evidence),
-        **_scores(y, train @ weights),
-        "mean": turned @ weights,
+        "shape": shape,
+        "log_marginal_likelihood": float(evidence) if np.isfinite(evidence) else None,
+        **_scores(y, fitted),
+        "mean": mean,
         "std": np.sqrt(variance),
     }
 
@@ -245,7 +402,7 @@ def fit_predict(
         series, start, folds = first["series_id"], int(first["_start"]), int(first["_folds"])
         pos = group["pos"].to_numpy()
         x, y = group[features].to_numpy(float), group[targets].to_numpy(float)
-        made = []
+        made, near = [], {}
         mine = int(first["fold_group"]) * per_group
         for fold in range(mine, min(mine + per_group, folds)):
             at = start + fold * stride
@@ -257,8 +414,8 @@ def fit_predict(
                 scale[scale == 0] = 1.0
                 xt, xa = (xt - centre) / scale, (xa - centre) / scale
             for ordinal, kernel in enumerate(kernels):
-                got = fit_fold(xt, y[train], xa, kernel, inducing, grid)
-                mean, std = got.pop("mean"), got.pop("std")
+                got = fit_fold(xt, y[train], xa, kernel, inducing, grid, near.get(kernel))
+                mean, std, near[kernel] = got.pop("mean"), got.pop("std"), got.pop("shape")
                 points = [
                     {"pos": int(q), "mean": m.tolist(), "std": float(s)}
                     for q, m, s in zip(pos[ahead], mean, std)
@@ -294,9 +451,13 @@ def predictions(fits: DataFrame, targets: list[str]) -> DataFrame:
     )
 
 
-def uniform_importance(fits: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """Feature importance of the summed kernels: one shared length scale, so all features equal."""
+def process_importance(fits: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """Importance of each feature by its inverse length, summing to 1; equal where a kernel has one length for all."""
     names = F.array(*[F.lit(f) for f in features])
-    return fits.select(*keys, F.explode(names).alias("feature")).withColumn(
-        "importance", F.lit(1.0 / len(features))
-    )
+    lengths = F.transform(F.array(*[F.lit(f"length_{i}") for i in range(len(features))]), lambda n: F.col("params")[n])
+    own = F.transform(lengths, lambda v: 1.0 / (v + 1e-10))
+    whole = F.aggregate(own, F.lit(0.0), lambda a, v: a + v)
+    share = F.when(F.col("params")["length_0"].isNull(), F.transform(names, lambda _: F.lit(1.0 / len(features))))
+    share = share.otherwise(F.transform(own, lambda v: v / whole))
+    pairs = F.arrays_zip(names.alias("feature"), share.alias("importance"))
+    return fits.select(*keys, F.inline(pairs).alias("feature", "importance"))

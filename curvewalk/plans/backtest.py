@@ -63,7 +63,7 @@ class Backtest:
     def importance(self) -> DataFrame:
         if self.family == "ridge":
             return ridge.coefficient_importance(self.best, [*KEY, "fold"], self.features)
-        return gaussian.uniform_importance(self.best, [*KEY, "fold"], self.features)
+        return gaussian.process_importance(self.best, [*KEY, "fold"], self.features)
 
 
 def forecasts_long(forecasts: DataFrame, targets: list[str]) -> DataFrame:

@@ -105,7 +105,7 @@ def test_models_do_not_depend_on_the_level(spark, level):
         fits = ridge.evidence_ridge(ridge.fold_grams(panel, plan, ["f0", "f1"], ["t0", "t1"]), 2, 2).toPandas()
         found.append(np.array([np.stack(c) for c in fits.sort_values(["fold", "ordinal"])["coef"]]))
     assert np.allclose(found[0], found[1], atol=1e-6)
-    grid = KernelGrid(length=(1.0,), constant=(1.0,), noise=(1e-2,), refine=())
+    grid = KernelGrid(length=(1.0,), constant=(1.0,), noise=(1e-2,), restarts=0)
     a, b = (gaussian.fit_fold(x[:40] + s, y[:40], x[40:] + s, "RBF", None, grid) for s in (0.0, level))
     assert np.allclose(a["mean"], b["mean"], atol=1e-6) and np.isclose(a["log_marginal_likelihood"], b["log_marginal_likelihood"], rtol=1e-6)
 
@@ -115,7 +115,7 @@ def test_exact_process_equals_a_dense_solve(kernel):
     random = np.random.default_rng(7)
     x, ahead = random.normal(size=(35, 3)), random.normal(size=(6, 3))
     y = np.sin(x[:, :2]) + 0.05 * random.normal(size=(35, 2))
-    got = gaussian.fit_fold(x, y, ahead, kernel, None, KernelGrid(length=(0.5, 2.0), mixture=(1.0,), period=(4.0,), refine=(2.0,)))
+    got = gaussian.fit_fold(x, y, ahead, kernel, None, KernelGrid(length=(0.5, 2.0), mixture=(1.0,), period=(4.0,), restarts=1))
     p = got["params"]
 
     def k(a, b):

@@ -194,7 +194,7 @@ def test_full_rank_process_equals_the_dense_one(pdf):
     rows = pdf[pdf.series_id == "a"]
     x, y = rows[FEATURES].to_numpy()[:40], rows[TARGETS].to_numpy()[:40]
     ahead = rows[FEATURES].to_numpy()[40:45]
-    grid = KernelGrid(length=(0.8,), constant=(1.0,), noise=(1e-2,), refine=())
+    grid = KernelGrid(length=(0.8,), constant=(1.0,), noise=(1e-2,), restarts=0)
     got = gaussian.fit_fold(x, y, ahead, "RBF", 40, grid)
     mean, std, lml = dense_process(x, y, ahead, 1.0, 0.8, 1e-2)
     assert np.allclose(got["mean"], mean, atol=1e-6)
@@ -204,7 +204,7 @@ def test_full_rank_process_equals_the_dense_one(pdf):
 
 def test_gaussian_backtest_covers_every_prediction(spark, panel, pdf):
     plan = WalkForward(30, 1, 10)
-    grid = KernelGrid(length=(1.0, 3.0), mixture=(1.0,), period=(5.0,), constant=(1.0,), noise=(1e-3, 1e-1), refine=())
+    grid = KernelGrid(length=(1.0, 3.0), mixture=(1.0,), period=(5.0,), constant=(1.0,), noise=(1e-3, 1e-1), restarts=0)
     run = gaussian_backtest(panel, plan, FEATURES, TARGETS, grid=grid, inducing=15)
     out = run.forecasts.toPandas()
     assert sorted(out[out.series_id == "a"]["pos"]) == list(range(30, 70))
