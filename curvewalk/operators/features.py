@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from curvewalk.functions import clean
 from curvewalk.operators.panel import KEY
-from curvewalk.operators.scan import over_blocks
+from curvewalk.operators.scan import decayed_mean, over_blocks
 
 
 @dataclass(frozen=True)
 class Derivation:
-    build: Callable
+    """A window function that looks so many rows back and ahead, or a mean of everything before that decays."""
+
+    build: Callable | None = None
     back: int = 0
     ahead: int = 0
-    max_block: int | None = None
+    decayed: tuple[str, float] | None = None
 
 
 def future(column: str, rows: int) -> Derivation:
@@ -42,21 +44,10 @@ def moving_average(column: str, rows: int) -> Derivation:
 
 
 def exponential_average(column: str, span: int) -> Derivation:
-    """Decayed mean with alpha = 2 / (span + 1) and weights renormalised at the series start.
-
-    A running sum of ``x * keep^-offset`` inside the block. Rows copied from before the block reach
-    back until their weight is below 1e-17, so the result does not depend on where blocks start.
-    """
+    """Decayed mean with alpha = 2 / (span + 1) and weights renormalised at the series start; see ``decayed_mean``."""
     if span < 2:
         raise ValueError("span must be at least 2; with span 1 the average is the column itself")
-    keep = 1.0 - 2.0 / (span + 1)
-
-    def build(w) -> Column:
-        frame = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-        weight = F.when(F.col(column).isNotNull(), F.pow(F.lit(keep), -F.col("_offset")))
-        return F.try_divide(F.sum(F.col(column) * weight).over(frame), F.sum(weight).over(frame))
-
-    return Derivation(build, back=20 * (span + 1), max_block=128 * (span + 1))
+    return Derivation(decayed=(column, 1.0 - 2.0 / (span + 1)))
 
 
 def average_spread(column: str, short: int, long: int) -> Derivation:
@@ -68,23 +59,16 @@ def average_spread(column: str, short: int, long: int) -> Derivation:
 def derive(df: DataFrame, derivations: Mapping[str, Derivation], keys: list[str] | None = None) -> DataFrame:
     """Append derived columns to a panel that carries ``pos``; NaN counts as missing and becomes NULL.
 
-    Derivations that fit in blocks of one size share a pass. One that reaches far would copy too many rows
-    into the small blocks of a short exponential average and gets a pass of its own.
+    Derivations over neighbouring rows share one pass over blocks; a decayed mean takes one of its own.
     """
     numbers = {f.name: clean(f.name) for f in df.schema if f.dataType.typeName() in ("double", "float")}
-    out, left = df.withColumns(numbers), sorted(derivations, key=lambda n: derivations[n].max_block or float("inf"))
-    while left:
-        size = derivations[left[0]].max_block
-        mine = [n for n in left if size is None or 6 * (derivations[n].back + derivations[n].ahead) <= size]
-        out = over_blocks(
-            out,
-            keys or KEY,
-            {name: derivations[name].build for name in mine},
-            back=max(derivations[n].back for n in mine),
-            ahead=max(derivations[n].ahead for n in mine),
-            size=size,
-        )
-        left = [n for n in left if n not in mine]
+    out, near = df.withColumns(numbers), {n: d for n, d in derivations.items() if not d.decayed}
+    for name, derivation in derivations.items():
+        if derivation.decayed:
+            out = decayed_mean(out, keys or KEY, *derivation.decayed, name)
+    if near:
+        builds = {n: d.build for n, d in near.items()}
+        out = over_blocks(out, keys or KEY, builds, back=max(d.back for d in near.values()), ahead=max(d.ahead for d in near.values()))
     return out.select(*df.columns, *derivations)
 
 

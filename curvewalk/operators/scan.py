@@ -15,10 +15,15 @@ operators replace it everywhere in this package:
     Window functions over a fixed number of neighbouring rows. With positions known, rows are
     grouped into blocks of ``size`` positions and the few rows just outside a block are copied
     into it, so any key spreads over as many tasks as it has blocks.
+
+``decayed_mean``
+    Means whose weights fall by a factor a position, however far they reach: a block of positions turns
+    the state before it into the one after it, and only those small maps are followed along a key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -164,6 +169,47 @@ def over_blocks(
     )
 
 
+#: How far the weight falls within a block, as a natural logarithm, and blocks that one task follows.
+DECAY, BLOCKS = 256.0, 1 << 16
+
+
+def decayed_mean(df: DataFrame, keys: list[str], column: str, keep: float, name: str, pos: str = "pos") -> DataFrame:
+    """Append the mean of the values so far, each weighed by ``keep`` to the power of its distance in positions.
+
+    A block of positions maps the sums (values, weights) before it to ``keep^size`` times them plus its own. Blocks are
+    so long that this factor is e^-256: what reaches a block from before its last block with a value, and
+    that one's predecessor, lies below a double's precision. So two carried rows a block give its start exactly, no row
+    is copied, and gaps of any length keep their mean. NULL values weigh nothing but let time pass; a row without a
+    position gets NULL.
+    """
+    if not 0 < keep < 1:
+        raise ValueError("keep must lie between 0 and 1")
+    size = max(1, int(DECAY / -math.log(keep)))
+    placed = F.col(pos).isNotNull()
+    nowhere = (-1 - F.pmod(F.xxhash64(*df.columns), F.lit(UNPLACED))).cast("long")
+    rows = df.withColumn("_block", F.when(placed, F.expr(f"{pos} div {size}")).otherwise(nowhere))
+    rows = rows.withColumn("_offset", F.col(pos) - F.col("_block") * size)
+    weight = F.when(F.col(column).isNotNull(), F.pow(F.lit(keep), size - 1 - F.col("_offset")))
+    blocks = rows.where(placed).groupBy(*keys, "_block").agg(
+        F.sum(F.col(column) * weight).alias("_num"), F.sum(weight).alias("_den")
+    )
+    granules, some = [F.expr(f"_block div {BLOCKS}")], F.col("_den").isNotNull()
+    state = F.struct("_block", "_num", "_den")
+    blocks = ordered_scan(blocks, keys, ["_block"], granules, sums={}, carries={"_prev": (state, some)})
+    fall = F.pow(F.lit(keep), (F.col("_block") - F.col("_prev._block")) * size)
+    both = [(F.col(c) + F.coalesce(fall * F.col(f"_prev.{c}"), F.lit(0.0))).alias(c) for c in ("_num", "_den")]
+    blocks = blocks.select(*keys, "_block", *both)
+    blocks = ordered_scan(blocks, keys, ["_block"], granules, sums={}, carries={"_in": (state, some)})
+    before = W.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = F.when(F.col(column).isNotNull(), F.pow(F.lit(keep), -F.col("_offset")))
+    reach = F.pow(F.lit(keep), (F.col("_block") - F.col("_in._block") - 1) * size + 1)
+    rows = rows.join(blocks.select(*keys, "_block", "_in"), [*keys, "_block"], "left")
+    rows = rows.withColumns({"_n": F.sum(F.col(column) * own).over(before), "_d": F.sum(own).over(before)})
+    num, den = (F.col(a) + F.coalesce(reach * F.col(f"_in.{b}"), F.lit(0.0)) for a, b in (("_n", "_num"), ("_d", "_den")))
+    mean = F.when(F.col("_d").isNull(), F.try_divide("_in._num", "_in._den")).otherwise(F.try_divide(num, den))
+    return rows.select(*df.columns, F.when(placed, mean).alias(name))
+
+
 def value_granules(value: Column) -> list[Column]:
     """Two order-preserving levels of a double: signed log scale at 2^-8 and 2^-30 resolution.
 

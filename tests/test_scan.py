@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from curvewalk.operators import scan
 from curvewalk.operators.scan import expand_runs, ordered_scan, over_blocks, value_runs
 
 
@@ -91,3 +93,27 @@ def test_no_task_sees_a_whole_hot_key(spark):
     biggest = placed.groupBy(F.expr("id div 1000")).count().agg(F.max("count")).head()[0]
     assert biggest == 1000
     assert placed.filter("pos != id").count() == 0
+
+
+@pytest.mark.parametrize(("span", "n"), [(2, 900), (3, 5000), (40, 5000), (5000, 30_000)])
+def test_decayed_mean_equals_the_one_over_all_rows(spark, span, n):
+    random = np.random.default_rng(span)
+    x = pd.Series(1e3 + random.normal(size=n))
+    x[random.random(n) < 0.3] = np.nan
+    x[n // 3 : n // 3 + min(n // 2, 300 * span)] = np.nan  # longer than a block where there is room
+    x[:5] = np.nan
+    both = pd.concat([pd.DataFrame({"k": k, "pos": range(n), "x": v}) for k, v in (("a", x), ("b", -x[::-1].reset_index(drop=True)))])
+    df = spark.createDataFrame(both).withColumn("x", F.when(~F.isnan("x"), F.col("x"))).repartition(5)
+    nowhere = spark.createDataFrame([("a", None, 1.0), ("a", None, None)], "k string, pos long, x double")
+    got = scan.decayed_mean(df.unionByName(nowhere), ["k"], "x", 1 - 2 / (span + 1), "e")
+    rows = got.toPandas()
+    assert rows[rows.pos.isna()].e.isna().all() and len(rows) == 2 * n + 2
+    for k, v in both.groupby("k").x:
+        mine = rows[(rows.k == k) & rows.pos.notna()].sort_values("pos").e
+        assert np.allclose(mine, v.ewm(span=span).mean(), rtol=1e-11, equal_nan=True)
+
+
+def test_decayed_mean_copies_no_rows(spark):
+    df = spark.range(50_000).selectExpr("'a' as k", "id as pos", "cast(id as double) as x")
+    plan = scan.decayed_mean(df, ["k"], "x", 1 - 2 / 5001, "e")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
