@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contract import bindings as b
 from contract import views as v
 from contract.registry import query
+from curvewalk.functions import EXACT_KS
 from curvewalk.operators import evaluate as ev
 from curvewalk.operators import report
 from curvewalk.sources import tables
@@ -57,18 +58,24 @@ LAGGED = """lagged as (select segment, e, lag(e) over (partition by segment orde
 AUTOCORRELATION = "select segment, corr(e, p) as autocorr_lag1 from lagged where p is not null group by segment"
 HALVES = """select segment, var_pop(case when vpos >= vtotal // 2 then e end)/var_pop(case when vpos < vtotal // 2 then e end) as variance_ratio
  from ok4 group by segment"""
-KS = """both_sides as (select segment, y_true as x, 1 as a, 0 as b from ok4 union all select segment, y_pred, 0, 1 from ok4),
+#: Paths that leave the band, by binomial coefficients.
+EXACT = """case when round(ks_statistic*n) = 0 then 1e0 else greatest(0e0, least(1e0, 2e0*(select sum((case when i % 2 = 1 then 1e0 else -1e0 end)
+  *exp(2*lgamma(n + 1) - lgamma(n + i*round(ks_statistic*n) + 1) - lgamma(n - i*round(ks_statistic*n) + 1)))
+  from range(1, 10001) as ks_i(i) where i*round(ks_statistic*n) <= n))) end"""
+KS = f"""both_sides as (select segment, y_true as x, 1 as a, 0 as b from ok4 union all select segment, y_pred, 0, 1 from ok4),
  steps_up as (select segment, x, sum(a) as a, sum(b) as b from both_sides group by segment, x),
  gaps as (select segment, abs(sum(a) over (partition by segment order by x)/(sum(a) over (partition by segment))::double
    - sum(b) over (partition by segment order by x)/(sum(b) over (partition by segment))::double) as gap,
    (sum(a) over (partition by segment))::double as n from steps_up),
  ks_d as (select segment, max(gap) as ks_statistic, max(n) as n from gaps group by segment),
- ks_terms as (select segment, ks_statistic, ks_statistic*sqrt(n*n/(n+n)) as lam from ks_d),
- ks as (select segment, ks_statistic, case when lam < 0.2e0 then 1e0 else greatest(0e0, least(1e0,
+ ks_terms as (select segment, n, ks_statistic, ks_statistic*sqrt(n*n/(n+n)) as lam from ks_d),
+ ks as (select segment, ks_statistic, case when n <= {EXACT_KS} then {EXACT} when lam < 0.2e0 then 1e0 else greatest(0e0, least(1e0,
    2e0*(select sum((case when k % 2 = 1 then 1e0 else -1e0 end)*exp(-2e0*k*k*lam*lam)) from range(1, 101) as ks_k(k)))) end as ks_pvalue from ks_terms)"""
 FRANCIA = f"""places as (select segment, e, row_number() over (partition by segment order by e) as i, count(*) over (partition by segment) as n from ok4),
  scored as (select segment, e, {v.normal_quantile('(i - 0.375e0)/(n + 0.25e0)')} as m from places),
- francia as (select segment, power(covar_pop(e, m), 2)/(var_pop(e)*var_pop(m)) as shapiro_francia_w from scored group by segment)"""
+ francia as (select segment, power(covar_pop(e, m), 2)/(var_pop(e)*var_pop(m)) as shapiro_francia_w, count(*) as n from scored group by segment),
+ judged as (select *, (ln(1e0 - shapiro_francia_w) + 1.2725e0 - 1.0521e0*(ln(ln(n)) - ln(n)))/(1.0308e0 - 0.26758e0*(ln(ln(n)) + 2e0/ln(n))) as z from francia),
+ normality as (select segment, shapiro_francia_w, {v.normal_upper('z')} as shapiro_francia_p from judged)"""
 
 
 @query(sql=f"with {v.V4} select segment, count(*) as n_rows, sum(y_pred) as sum_pred from v4 where {VALID} group by segment", doubles="sum_pred", digits=4)
@@ -136,7 +143,7 @@ def h9_variance_ratio(spark, sf):
     return ev.metrics(_sequenced(spark, sf), KEYS, ev.variance_ratio_columns())
 
 
-@query(sql=f"with {v.V4}, {FRANCIA} select segment, shapiro_francia_w from francia", doubles="shapiro_francia_w")
+@query(sql=f"with {v.V4}, {FRANCIA} select * from normality", doubles="shapiro_francia_w shapiro_francia_p", digits=9)
 def h10_normality(spark, sf):
     return ev.shapiro_francia(b.stored_forecasts(spark, sf), KEYS)
 
@@ -144,12 +151,12 @@ def h10_normality(spark, sf):
 H11 = f"""with {v.V4}, {STEPS}, {MOMENTS}, {LAGGED}, {KS}, {FRANCIA}
  select * from ({BASIC}) as g1 join ({PERCENTAGE}) as g2 using (segment) join ({DIRECTIONAL}) as g3 using (segment)
  join ({DISTRIBUTION}) as g4 using (segment) join ({UNCERTAINTY}) as g5 using (segment) join ({RESIDUAL}) as g6 using (segment)
- join ({AUTOCORRELATION}) as g7 using (segment) join ({HALVES}) as g8 using (segment) join ks using (segment) join francia using (segment)"""
+ join ({AUTOCORRELATION}) as g7 using (segment) join ({HALVES}) as g8 using (segment) join ks using (segment) join normality using (segment)"""
 GROUPS = ("basic", "percentage", "directional", "distribution", "uncertainty", "residual")
 H11_DOUBLES = (
     "mae mse rmse r2 mape smape directional_accuracy up_accuracy down_accuracy bias relative_bias true_mean pred_mean true_std "
     "pred_std std_ratio coverage_95 coverage_68 avg_interval_width_95 avg_interval_width_68 avg_prediction_std "
-    f"{RESIDUAL_DOUBLES} autocorr_lag1 variance_ratio ks_statistic ks_pvalue shapiro_francia_w"
+    f"{RESIDUAL_DOUBLES} autocorr_lag1 variance_ratio ks_statistic ks_pvalue shapiro_francia_w shapiro_francia_p"
 )
 
 

@@ -329,3 +329,14 @@ def normal_quantile(p: str) -> str:
         f"case when ({p}) < {cut}e0 then {tail(p)} when ({p}) <= 1e0 - {cut}e0 then {central} "
         f"else -({tail(f'1e0 - ({p})')}) end"
     )
+
+
+def normal_upper(z: str) -> str:
+    x = f"least(abs({z}), 37e0)"
+    fraction = f"({x} + 0.65e0)"
+    for k in (4, 3, 2, 1):
+        fraction = f"({x} + {k}e0/{fraction})"
+    near = f"exp(-{x}*{x}/2e0)*{_poly(numeric.NORMAL_NUM, x)}/{_poly(numeric.NORMAL_DEN, x)}"
+    far = f"exp(-{x}*{x}/2e0)/{fraction}/sqrt(2e0*pi())"
+    tail = f"(case when {x} < {numeric.NORMAL_CUT}e0 then {near} else {far} end)"
+    return f"case when ({z}) > 0 then {tail} else 1e0 - {tail} end"

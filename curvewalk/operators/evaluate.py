@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvewalk.functions import clean, kolmogorov_p, normal_quantile, ratio
+from curvewalk.functions import EXACT_KS, clean, exact_kolmogorov_p, kolmogorov_p, normal_quantile, ratio, shapiro_francia_p
 from curvewalk.operators.scan import expand_runs, ordered_scan, value_runs
 
 def _y() -> Column:
@@ -172,7 +172,7 @@ def metrics(df: DataFrame, keys: list[str], *groups: dict[str, Column]) -> DataF
 
 
 def ks_two_sample(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance of actuals and predictions with asymptotic p."""
+    """Two-sample Kolmogorov-Smirnov distance of actuals and predictions; p is exact up to EXACT_KS rows, asymptotic beyond."""
     valid = prepare(df).filter(_valid())
     pairs = F.array(
         F.struct(F.lit(True).alias("actual"), _y().alias("value")),
@@ -185,7 +185,8 @@ def ks_two_sample(df: DataFrame, keys: list[str]) -> DataFrame:
         - ratio(F.col("b") + F.col("b_here"), F.col("b_total"))
     )
     out = runs.groupBy(*keys).agg(F.max(gap).alias("d"), F.max("a_total").alias("n"))
-    p = kolmogorov_p(F.col("d"), F.col("n").cast("double"), F.col("n").cast("double"))
+    far = kolmogorov_p(F.col("d"), F.col("n").cast("double"), F.col("n").cast("double"))
+    p = F.when(F.col("n") <= EXACT_KS, exact_kolmogorov_p(F.col("d"), F.col("n"))).otherwise(far)
     enough = F.col("n") >= 3
     return out.select(
         *keys, F.when(enough, F.col("d")).alias("ks_statistic"), F.when(enough, p).alias("ks_pvalue")
@@ -198,15 +199,15 @@ def residual_runs(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shapiro_francia(df: DataFrame, keys: list[str]) -> DataFrame:
-    """W' = squared correlation of ordered residuals with Blom normal scores."""
+    """W' = squared correlation of ordered residuals with Blom normal scores, and the p-value of normality."""
     ranked = expand_runs(residual_runs(df, keys))
     score = normal_quantile((F.col("rank") + 1 - 0.375) / (F.col("n_total") + 0.25))
     scored = ranked.select(*keys, "value", score.alias("m"))
     covered = F.covar_pop("value", "m")
     w = ratio(covered * covered, F.var_pop("value") * F.var_pop("m"))
-    return scored.groupBy(*keys).agg(
-        F.when(F.count("value") >= 3, w).alias("shapiro_francia_w")
-    )
+    found = scored.groupBy(*keys).agg(F.when(F.count("value") >= 3, w).alias("shapiro_francia_w"), F.count("value").alias("n"))
+    p = shapiro_francia_p(F.col("shapiro_francia_w"), F.col("n"))
+    return found.select(*keys, "shapiro_francia_w", p.alias("shapiro_francia_p"))
 
 
 def all_metrics(
@@ -231,7 +232,7 @@ def all_metrics(
         F.struct(*directional).alias("directional"),
         F.struct("ks_statistic", "ks_pvalue", *distribution).alias("distribution"),
         F.struct(*uncertainty).alias("uncertainty"),
-        F.struct(*residual, "shapiro_francia_w").alias("residual"),
+        F.struct(*residual, "shapiro_francia_w", "shapiro_francia_p").alias("residual"),
     )
 
 

@@ -3,9 +3,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from curvewalk.functions import exact_kolmogorov_p, kolmogorov_p, normal_upper
 from curvewalk.operators import evaluate as ev
 from curvewalk.operators import report
 
@@ -124,3 +126,48 @@ def test_qq_of_tiny_groups(spark, rows):
     got = report.normal_qq(df, ["k"]).orderBy("ordinal").toPandas()
     assert got["residual"].tolist() == [float(i) for i in range(rows)]
     assert np.isclose(got["quantile"].sum(), 0.0, atol=1e-6)
+
+
+def test_exact_two_sample_p_equals_full_enumeration(spark):
+    from itertools import combinations
+
+    for n in (3, 5, 7):
+        gaps = []
+        for picked in combinations(range(2 * n), n):
+            steps = np.where(np.isin(np.arange(2 * n), picked), 1, -1)
+            gaps.append(np.abs(np.cumsum(steps)).max())
+        gaps = np.array(gaps)
+        rows = spark.range(n + 1).selectExpr("id", f"id / {n} as d", f"cast({n} as long) as n")
+        for r in rows.select("id", exact_kolmogorov_p(F.col("d"), F.col("n")).alias("p")).collect():
+            assert np.isclose(r.p, (gaps >= r.id).mean(), atol=1e-12)
+
+
+def test_exact_two_sample_p_meets_the_asymptotic_one(spark):
+    n = 10_000
+    rows = spark.range(100, 201, 50).selectExpr(f"id / {n} as d", f"cast({n} as long) as n")
+    far = kolmogorov_p(F.col("d"), F.col("n").cast("double"), F.col("n").cast("double"))
+    for r in rows.select(exact_kolmogorov_p(F.col("d"), F.col("n")).alias("near"), far.alias("far")).collect():
+        assert np.isclose(r.near, r.far, rtol=0.03)
+
+
+def test_normal_upper_tail(spark):
+    from math import erfc
+
+    z = [-40.0, -8.0, -3.0, -0.5, 0.0, 0.1, 1.0, 1.959963984540054, 5.0, 7.0, 7.2, 12.0, 36.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select("z", normal_upper(F.col("z")).alias("p")).collect()
+    for r in got:
+        assert np.isclose(r.p, erfc(r.z / 2**0.5) / 2, rtol=1e-6, atol=1e-300)
+
+
+def test_normality_p_is_uniform_for_normal_rows_and_small_for_others(spark):
+    random = np.random.default_rng(8)
+    frames = [pd.DataFrame({"k": f"n{i}", "i": range(60), "e": random.normal(size=60)}) for i in range(300)]
+    frames += [pd.DataFrame({"k": f"x{i}", "i": range(60), "e": random.exponential(size=60)}) for i in range(30)]
+    frames += [pd.DataFrame({"k": "few", "i": range(4), "e": random.normal(size=4)})]
+    pdf = pd.concat(frames)
+    pdf["y_true"], pdf["y_pred"] = 100 + pdf["e"], 100.0
+    got = ev.shapiro_francia(spark.createDataFrame(pdf), ["k"]).toPandas().set_index("k").shapiro_francia_p
+    normal = got[got.index.str.startswith("n")]
+    for share in (0.05, 0.25, 0.5, 0.75):
+        assert abs((normal < share).mean() - share) < 3.5 * (share * (1 - share) / len(normal)) ** 0.5
+    assert (got[got.index.str.startswith("x")] < 0.01).mean() > 0.9 and np.isnan(got["few"])
