@@ -108,7 +108,7 @@ def e3_percentile_any_group(spark, sf):
 )
 def e4_all_sample_yields(spark, sf):
     """One row per draw with yields and percentiles of all tenors, summed up per date."""
-    wide = curve.sample_yields_wide(curve.sample_yields(_samples(spark, sf), GROUP, max_group=DRAWS), GROUP)
+    wide = curve.sample_yields_wide(_samples(spark, sf), GROUP, max_group=DRAWS)
     sums = [F.avg(t).alias(t) for t in TENOR_NAMES]
     sums += [F.sum(F.col(f"{t}_percentile") * F.col(f"{t}_percentile")).alias(f"{t}_percentile") for t in TENOR_NAMES]
     return wide.groupBy("date").agg(F.count("*").alias("n_samples"), *sums)

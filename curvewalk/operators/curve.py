@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvewalk.functions import clean, ratio
-from curvewalk.operators.scan import value_runs
+from curvewalk.operators.scan import UNPLACED, value_runs
+from curvewalk.sources.tables import materialize
 
 # Tenor names and maturities in years.
 TENORS = (
@@ -100,19 +102,89 @@ def percentile_ranks(df: DataFrame, group: list[str], value: str, max_group: int
     return tagged.join(runs, [*group, "_ranked"], "left").drop("_ranked").select(*df.columns, "percentile")
 
 
+def sample_yields_wide(samples: DataFrame, group: list[str], max_group: int | None = 1000) -> DataFrame:
+    """One row per draw: eleven yields and eleven ``_percentile`` columns, average-tie ranks among the draws of its group.
+
+    ``max_group`` is the bound on draws per group that the caller knows; a group beyond it raises. The draws of a group
+    are ranked at all tenors by one sort in one task, a row per draw goes in and comes out. With ``None`` groups may
+    have any size and ranks come from value scans. A missing yield, or a group with a NULL in its key, has no percentile.
+    """
+    kept = [c for c in samples.columns if c not in COEFFICIENTS]
+    if max_group is None:
+        ids = F.monotonically_increasing_id().alias("_draw")
+        long = percentile_ranks(curve_points(materialize(samples.select(ids, "*"), "draws")), [*group, "tenor"], "yield_pct", None)
+        picked = []
+        for name in TENOR_NAMES:
+            here = F.when(F.col("tenor") == name, F.struct("yield_pct", "percentile"))
+            picked.append(F.first(here, ignorenulls=True).alias(name))
+        wide = long.groupBy("_draw", *kept).agg(*picked)
+        both = [c for t in TENOR_NAMES for c in (F.col(f"{t}.yield_pct").alias(t), F.col(f"{t}.percentile").alias(f"{t}_percentile"))]
+        return wide.select(*kept, *both)
+    unplaced = F.expr(" or ".join(f"`{c}` is null" for c in group))
+    salt = F.when(unplaced, 1 + F.pmod(F.xxhash64(*samples.columns), F.lit(UNPLACED))).otherwise(F.lit(0).cast("long"))
+    rows = samples.select(*kept, *[F.col(c).cast("double").alias(c) for c in COEFFICIENTS], salt.alias("_salt"))
+    names = [n for t in TENOR_NAMES for n in (t, f"{t}_percentile")]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{n}` double" for n in names])
+
+    def rank(draws: pa.Table) -> pa.Table:
+        placed = draws["_salt"][0].as_py() == 0
+        if placed and draws.num_rows > max_group:
+            raise ValueError(f"a group has {draws.num_rows} draws, more than max_group={max_group}")
+        values = curve_values(*(draws[c].to_numpy() for c in COEFFICIENTS))
+        ranks = average_ranks(values) if placed else np.full_like(values, np.nan)
+        columns = [draws[c] for c in kept]
+        for i in range(len(TENOR_NAMES)):
+            columns += [pa.array(v[i], from_pandas=True) for v in (values, ranks)]
+        return pa.table(columns, names=[*kept, *names])
+
+    return rows.groupBy(*group, "_salt").applyInArrow(rank, schema)
+
+
+def curve_values(beta0: np.ndarray, beta1: np.ndarray, beta2: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """Percent yields, axes tenor, draw; NaN where a coefficient is missing or lambda is 0."""
+    scaled = lam * np.array([[years] for _, years in TENORS])
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        decay = np.exp(-scaled)
+        slope = (1.0 - decay) / np.where(scaled == 0, np.nan, scaled)
+        return (beta0 + beta1 * slope + beta2 * (slope - decay)) * 100
+
+
+def average_ranks(values: np.ndarray) -> np.ndarray:
+    """Average-tie rank of each value in its row, as a share of the row's values; NaN has none and counts for none."""
+    order = np.argsort(values, axis=1)  # NaN last
+    ordered = np.take_along_axis(values, order, axis=1)
+    place = np.broadcast_to(np.arange(values.shape[1]), values.shape)
+    new = np.ones(values.shape, dtype=bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    end = np.ones(values.shape, dtype=bool)
+    end[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(end, place, values.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    there = ~np.isnan(ordered)
+    shares = np.where(there, ((first + last) / 2 + 1) / np.maximum(there.sum(axis=1, keepdims=True), 1), np.nan)
+    out = np.empty_like(shares)
+    np.put_along_axis(out, order, shares, axis=1)
+    return out
+
+
 def sample_yields(samples: DataFrame, group: list[str], max_group: int | None = 1000) -> DataFrame:
-    """Every draw as a curve with its percentile among the draws of its date."""
-    return percentile_ranks(curve_points(samples), [*group, "tenor"], "yield_pct", max_group)
-
-
-def sample_yields_wide(long: DataFrame, group: list[str]) -> DataFrame:
-    """One row per draw: eleven yields and eleven ``_percentile`` columns."""
-    picked = []
-    for name in TENOR_NAMES:
-        here = F.col("tenor") == name
-        picked.append(F.max(F.when(here, F.col("yield_pct"))).alias(name))
-        picked.append(F.max(F.when(here, F.col("percentile"))).alias(f"{name}_percentile"))
-    return long.groupBy(*group, "sample_id").agg(*picked)
+    """Every draw as a curve, one row per tenor, with its percentile among the draws of its group."""
+    kept = [c for c in samples.columns if c not in COEFFICIENTS]
+    if max_group is None:
+        return percentile_ranks(curve_points(samples), [*group, "tenor"], "yield_pct", None)
+    points = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("ordinal"),
+                F.lit(t).alias("tenor"),
+                F.col(t).alias("yield_pct"),
+                F.col(f"{t}_percentile").alias("percentile"),
+            )
+            for i, t in enumerate(TENOR_NAMES)
+        ]
+    )
+    return sample_yields_wide(samples, group, max_group).select(*kept, F.inline(points))
 
 
 def mean_yields(samples: DataFrame, group: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from curvewalk.functions import normal_quantile
@@ -124,7 +125,34 @@ def test_describe_matches_pandas(spark):
 def test_wide_sample_yields(spark):
     rows = [("s", "d", i, 0.02 + i / 1e3, -0.01, 0.01, 0.5) for i in range(4)]
     df = spark.createDataFrame(rows, "series_id string, date string, sample_id int, beta0 double, beta1 double, beta2 double, lambda_ double")
-    wide = curve.sample_yields_wide(curve.sample_yields(df, ["series_id", "date"], 4), ["series_id", "date"])
+    wide = curve.sample_yields_wide(df, ["series_id", "date"], 4)
     got = wide.orderBy("sample_id").toPandas()
     assert got["DGS10_percentile"].tolist() == [0.25, 0.5, 0.75, 1.0]
     assert set(TENOR_NAMES) <= set(got.columns)
+
+
+@pytest.mark.parametrize("bound", [40, None])
+def test_ranks_of_draws_with_ties_gaps_and_missing_groups(spark, bound):
+    random = np.random.default_rng(6)
+    rows = []
+    for g in (1, 2, None):
+        for i in range(30):
+            betas = [float(v) for v in random.integers(0, 3, 3) / 100]
+            rows.append((g, i, *betas, None if i == 4 else 0.0 if i == 5 else 0.5))
+    df = spark.createDataFrame(rows, "g int, sample_id int, beta0 double, beta1 double, beta2 double, lambda_ double")
+    long = curve.sample_yields(df, ["g"], bound).toPandas()
+    wide = curve.sample_yields_wide(df, ["g"], bound).toPandas()
+    assert len(long) == 90 * 11 and len(wide) == 90 and long.percentile[long.g.isna()].isna().all()
+    placed = long[long.g.notna()].copy()
+    placed["want"] = placed.groupby(["g", "tenor"]).yield_pct.rank(pct=True)
+    assert np.allclose(placed.percentile, placed.want, equal_nan=True) and placed.percentile.isna().sum() == 2 * 2 * 11
+    merged = placed.pivot(index=["g", "sample_id"], columns="tenor", values="percentile").sort_index()
+    own = wide[wide.g.notna()].set_index(["g", "sample_id"]).sort_index()
+    for t in curve.TENOR_NAMES:
+        assert np.allclose(own[f"{t}_percentile"], merged[t], equal_nan=True)
+
+
+def test_a_group_beyond_its_bound_raises(spark):
+    df = spark.range(5).selectExpr("1 as g", "id as sample_id", "0.1D as beta0", "0.1D as beta1", "0.1D as beta2", "0.5D as lambda_")
+    with pytest.raises(Exception, match="max_group"):
+        curve.sample_yields(df, ["g"], 4).collect()
