@@ -1,6 +1,7 @@
 """Personal data: fixed patterns, and terms that give away what the patterns protect.
 
-A found value is a protected entity. Its information content is -log2 of the share of texts it is in; what a term
+A found value is a protected entity, and so is the group it belongs to: a mail host, the prefix of an address or a
+number; a value too rare for evidence of its own borrows that of its group. An entity's information content is -log2 of the share of texts it is in; what a term
 tells about it is their pointwise mutual information over the corpus, log2 of p(term, entity) / (p(term) p(entity)).
 A term whose information comes within a factor of the entity's content would let a reader infer the entity after
 its value is masked, so it is masked too wherever it stands in the entity's documents: removed if it tells nearly
@@ -14,6 +15,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curvewalk.llm.tables import free_name
 from curvewalk.sources.tables import materialize
 
 # Kinds in the order of the result, with patterns that match what the plain ones match. Possessive
@@ -32,6 +34,10 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 TERM = r"[\p{L}\p{N}]{3,}+"
 #: Terms on each side of a term that tell its surroundings apart.
 AROUND = 5
+#: Bits of information content from which a group counts as an entity: at most one text in 64 has it.
+LEAST_CONTENT = 6.0
+#: Bits of the map of hashes that wanted terms are looked up in before words are counted; its size is fixed.
+MAP_BITS = 1 << 23
 _PART = 64
 
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -107,6 +113,18 @@ def _passes(kind: str, span: Column) -> Column:
     return _holds(kind, span["value"])
 
 
+def _group(span: Column) -> Column:
+    """The group of a found value as (kind, value): mail host, first three parts of an address, first digits of a number."""
+    kind, value = span["kind"], span["value"]
+    shared = (
+        F.when(kind == "email", F.lower(F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.substring_index(value, ".", 3))
+        .when(kind == "card", F.substring(_digits(value), 1, 6))
+        .otherwise(F.substring(_digits(value), 1, 5))
+    )
+    return F.struct(F.concat(kind, F.lit("-group")).alias("kind"), shared.alias("value"))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of each kind that pass its test."""
     out = {}
@@ -164,7 +182,8 @@ def find_spans(
     entity's content divided by alpha. What stands there are the AROUND terms on that side, at all the term's places in
     the document: copies of a text count once, and so do copies of a passage of over 2 * AROUND terms, but a first name
     or a label beside the term is no reason to keep it. Its kind is 'removed' if it reaches 95 % of the content, 'term'
-    otherwise. Frequencies are shares of all documents. An entity in fewer than least_contexts documents has no such terms.
+    otherwise. Frequencies are shares of all rows, repeated ones included. An entity in fewer than least_contexts rows
+    has no such terms of its own; its group, if rare enough to tell something (LEAST_CONTENT), stands for it.
     key1 and key2 name a row's id and text for joins. A null text counts as empty and has no spans.
     """
     slim = docs.select(
@@ -176,8 +195,9 @@ def find_spans(
     every = F.concat(*KINDS)
     some = F.when(F.size(every) > 0, F.col("text")).alias("held_text")
     found = materialize(found.select("doc_id", "key1", "key2", *KINDS, some), "personal")
-    held, entities = _held(found, every, least_contexts)
-    pairs = _disclosing(held, entities, slim, alpha, least_contexts)
+    n = found.count()
+    held, entities = _held(found, every, least_contexts, n)
+    pairs = _disclosing(held, entities, slim, n, alpha, least_contexts)
     mine = held.select("key1", "key2", F.explode("entities").alias("e")).select("key1", "key2", "e.*")
     mine = mine.join(pairs, ["kind", "value"])
     places = held.select("key1", "key2", F.explode(_places(*map(F.col, ("words", "starts", "ends", "body")))).alias("t"))
@@ -208,20 +228,27 @@ def row_keys() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("key1"), F.hash("text", "doc_id").alias("key2")]
 
 
-def _held(found: DataFrame, every: Column, least: int) -> tuple[DataFrame, DataFrame]:
-    """Texts with an entity that least documents have, as lists of terms, and the entities (kind, value, n_entity)."""
-    rows = found.where(F.col("held_text").isNotNull()).dropDuplicates(["key1", "key2"])
-    values = F.array_distinct(F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    each = rows.select("key1", "key2", F.explode(values).alias("e")).select("key1", "key2", "e.*")
-    entities = each.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
+def _held(found: DataFrame, every: Column, least: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """Texts with an entity that least rows have, as lists of terms, and the entities (kind, value, n_entity).
+
+    Repeated rows are one text that counts times, like in all other counts of rows.
+    """
+    some = found.where(F.col("held_text").isNotNull()).groupBy("key1", "key2")
+    rows = some.agg(F.count("*").alias("times"), F.first("held_text").alias("held_text"), *[F.first(k).alias(k) for k in KINDS])
+    own = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))
+    values = F.array_distinct(F.concat(own, F.transform(every, _group)))
+    each = rows.select("key1", "key2", "times", F.explode(values).alias("e")).select("key1", "key2", "times", "e.*")
+    entities = each.groupBy("kind", "value").agg(F.sum("times").alias("n_entity")).where(F.col("n_entity") >= least)
+    content = -F.log2(F.col("n_entity") / float(n))
+    entities = entities.where(~F.col("kind").endswith("-group") | (content >= LEAST_CONTENT))
     entities = materialize(entities, "personal-entities")
     known = each.join(entities, ["kind", "value"]).groupBy("key1", "key2")
     known = known.agg(F.collect_list(F.struct("kind", "value")).alias("entities"))
     blanked = _blanked(F.col("held_text"), every).alias("blanked")
-    texts = rows.select("key1", "key2", F.xxhash64("held_text").alias("body"), blanked).join(known, ["key1", "key2"])
-    texts = texts.select("key1", "key2", "body", "entities", matches(F.col("blanked"), TERM, "term").alias("terms"))
+    texts = rows.select("key1", "key2", "times", F.xxhash64("held_text").alias("body"), blanked).join(known, ["key1", "key2"])
+    texts = texts.select("key1", "key2", "times", "body", "entities", matches(F.col("blanked"), TERM, "term").alias("terms"))
     held = texts.select(
-        "key1", "key2", "body", "entities",
+        "key1", "key2", "times", "body", "entities",
         F.transform("terms", lambda s: F.lower(s["value"])).alias("words"),
         F.col("terms.start").alias("starts"),
         F.col("terms.end").alias("ends"),
@@ -229,22 +256,39 @@ def _held(found: DataFrame, every: Column, least: int) -> tuple[DataFrame, DataF
     return materialize(held, "personal-held"), entities
 
 
-def _disclosing(held: DataFrame, entities: DataFrame, slim: DataFrame, alpha: float, least: int) -> DataFrame:
-    """(kind, value, term, mask) of the pairs in least documents whose mutual information is too high.
+def _spot(term: Column) -> Column:
+    """A term's bit in the map of hashes."""
+    return F.pmod(F.xxhash64(term, F.lit(3)), F.lit(MAP_BITS))
+
+
+def _maybe(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """words (term) whose hash is that of a wanted term.
+
+    The hashes of the wanted terms are a map of MAP_BITS bits, 64 to a row: at most 131,072 rows, whatever the corpus, so
+    every task gets them. A few other words pass; the more terms are wanted, the more do.
+    """
+    spots = wanted.select(_spot(F.col("term")).alias("spot")).distinct()
+    bits = spots.groupBy(F.expr("spot div 64").alias("block")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
+    spotted = words.withColumn("spot", _spot(F.col("term"))).withColumn("block", F.expr("spot div 64"))
+    there = F.expr("(shiftrightunsigned(bits, cast(spot % 64 as int)) & 1L) = 1")
+    return spotted.join(F.broadcast(bits), "block").where(there).select("term")
+
+
+def _disclosing(held: DataFrame, entities: DataFrame, slim: DataFrame, n: int, alpha: float, least: int) -> DataFrame:
+    """(kind, value, term, mask) of the pairs in least rows whose mutual information is too high.
 
-    The documents with a term and any entity are a lower bound of those with the term. It rules out nearly all
-    pairs before words of other texts are counted.
+    The rows with a term and any entity are a lower bound of those with the term. It rules out nearly all
+    pairs before words of other texts are counted. Those are counted within each task before they are shuffled.
     """
-    terms = held.select("entities", F.array_distinct("words").alias("words"))
-    each = terms.select("entities", F.explode("words").alias("term"))
-    near = each.groupBy("term").agg(F.count("*").alias("n_near"))
-    both = each.select(F.explode("entities").alias("e"), "term").groupBy("e.kind", "e.value", "term")
-    together = both.agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least)
-    n = float(slim.count())
-    content = -F.log2(F.col("n_entity") / n)
+    terms = held.select("entities", "times", F.array_distinct("words").alias("words"))
+    each = terms.select("entities", "times", F.explode("words").alias("term"))
+    near = each.groupBy("term").agg(F.sum("times").alias("n_near"))
+    both = each.select(F.explode("entities").alias("e"), "times", "term").groupBy("e.kind", "e.value", "term")
+    together = both.agg(F.sum("times").alias("n_both")).where(F.col("n_both") >= least)
+    content = -F.log2(F.col("n_entity") / float(n))
 
     def told(count: str) -> Column:
-        return F.log2(F.col("n_both") * n / (F.col(count) * F.col("n_entity")))
+        return F.log2(F.col("n_both") * float(n) / (F.col(count) * F.col("n_entity")))
 
     pairs = together.join(entities, ["kind", "value"]).join(near, "term")
     pairs = materialize(pairs.where((content > 0) & (told("n_near") >= content / alpha)), "personal-pairs")
@@ -252,7 +296,7 @@ def _disclosing(held: DataFrame, entities: DataFrame, slim: DataFrame, alpha: fl
     words = slim.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")
     )
-    counts = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = _maybe(words, wanted).groupBy("term").agg(F.count("*").alias("n_term"))
     mask = F.when(told("n_term") >= 0.95 * content, "removed").otherwise("term").alias("mask")
     disclosing = pairs.join(counts, "term").where(told("n_term") >= content / alpha)
     return materialize(disclosing.select("kind", "value", "term", mask), "personal-disclosing")
@@ -288,29 +332,36 @@ def mask_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     found = find_spans(docs, id_col=id_col, text_col=text_col, **options)
     spans = F.concat(*[F.transform(k, lambda s: s.dropFields("value")) for k in KINDS], F.col("terms"))
     by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    some = found.where(F.size(spans) > 0).groupBy("key1", "key2").agg(F.first(by_place).alias("spans_found"))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keyed = docs.withColumns(
-        {
-            "key1_": F.xxhash64(F.col(f"`{id_col}`").cast("long"), text),
-            "key2_": F.hash(text, F.col(f"`{id_col}`").cast("long")),
-        }
-    )
-    some = some.select(F.col("key1").alias("key1_"), F.col("key2").alias("key2_"), "spans_found")
+    first, second, listed = (free_name(docs.columns, c) for c in ("key1", "key2", "spans_found"))
+    some = found.where(F.size(spans) > 0).groupBy("key1", "key2").agg(F.first(by_place).alias(listed))
+    some = some.withColumnsRenamed({"key1": first, "key2": second})
+    text, own = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").cast("long")
+    keyed = docs.withColumns({first: F.xxhash64(own, text), second: F.hash(text, own)})
+    joined = keyed.join(some, [first, second], "left")
+    changed = F.when(F.col(listed).isNull(), F.col(f"`{text_col}`")).otherwise(_replaced(text, F.col(listed)))
+    return joined.withColumn(text_col, changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with masks in place of the spans, which are in order; what overlaps goes with the first.
+
+    What is left of the text is passed on from span to span, so no span is looked for from the text's begin.
+    """
     masks = F.create_map(*[F.lit(x) for pair in MASKS.items() for x in pair])
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), F.lit(0).alias("at"), text.alias("rest"))
 
     def put(done: Column, span: Column) -> Column:
-        passed = span["start"] + 1 < done["at"]
-        kept = F.substring(text, done["at"], span["start"] + 1 - done["at"])
-        return F.struct(
-            F.when(passed, done["out"]).otherwise(F.concat(done["out"], kept, masks[span["kind"]])).alias("out"),
-            F.greatest(done["at"], span["end"] + 1).alias("at"),
+        ahead = span["start"] - done["at"]
+        there = F.struct(
+            F.concat(done["out"], F.array(F.substring(done["rest"], F.lit(1), ahead), masks[span["kind"]])).alias("out"),
+            span["end"].alias("at"),
+            F.substring(done["rest"], span["end"] - done["at"] + 1, F.lit(2**31 - 1)).alias("rest"),
+        )
+        more = F.greatest(span["end"], done["at"])
+        passed = F.struct(
+            done["out"].alias("out"), more.alias("at"), F.substring(done["rest"], more - done["at"] + 1, F.lit(2**31 - 1)).alias("rest")
         )
+        return F.when(ahead >= 0, there).otherwise(passed)
 
-    masked = F.aggregate(
-        "spans_found", start, put, lambda done: F.concat(done["out"], F.substring(text, done["at"], F.length(text)))
-    )
-    joined = keyed.join(some, ["key1_", "key2_"], "left")
-    changed = F.when(F.col("spans_found").isNull(), F.col(f"`{text_col}`")).otherwise(masked)
-    return joined.withColumn(text_col, changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.aggregate(spans, start, put, lambda done: F.concat(F.array_join(done["out"], ""), done["rest"]))

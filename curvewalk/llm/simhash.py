@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from curvewalk.llm.components import components
 from curvewalk.llm.tables import _arrow_schema, body_key, id_and_text, map_columns
@@ -77,21 +78,22 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     tile only a spanning forest leaves it, never all pairs of a group.
     """
     keyed = signatures(prints, distance)
-    busy = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    rows = materialize(keyed.join(busy, "key"), "signature-groups")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    large = keyed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > TILE)
+    large = materialize(large, "large-groups")
+    tiles = F.ceil(F.coalesce("m", F.lit(1)) / TILE).cast("int")
     own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
-    inside = rows.select("key", own.alias("t1"), own.alias("t2"), "fp", F.col("fp").alias("known"))
+    inside = keyed.join(large, "key", "left")
+    inside = inside.select("key", own.alias("t1"), own.alias("t2"), "fp", F.col("fp").alias("known"))
     found = materialize(_compared(inside, distance), "tile-links")
-    large = rows.where(F.col("m") > TILE)
     if large.isEmpty():
         return found
-    nodes = large.select(F.col("fp").alias("node"), F.col("fp").alias("class_id")).distinct()
+    rows = materialize(keyed.join(large, "key"), "large-rows")
+    nodes = rows.select(F.col("fp").alias("node"), F.col("fp").alias("class_id")).distinct()
     known = components(found, nodes).select(F.col("node").alias("fp"), F.col("component_id").alias("known"))
-    large = large.join(known, "fp")
-    apart = large.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
+    rows = rows.join(known, "fp")
+    apart = rows.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
     dealt = (
-        large.join(apart.select("key"), "key", "left_semi")
+        rows.join(apart.select("key"), "key", "left_semi")
         .withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
         .where("own <> other")
         .select("key", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "fp", "known")
@@ -101,7 +103,9 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
 
 def _compared(dealt: DataFrame, distance: int) -> DataFrame:
     """(a, b): a forest of each tile or pair of tiles of rows (key, t1, t2, fp, known)."""
-    dealt = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    tile = Window.partitionBy("key", "t1", "t2")  # at most two tiles' rows
+    dealt = dealt.withColumn("met", F.count("*").over(tile)).where("met > 1").drop("met")
+    dealt = dealt.sortWithinPartitions("key", "t1", "t2")
     return dealt.mapInArrow(_forest_of(distance, _arrow_schema(dealt, "a long, b long")), "a long, b long").distinct()
 
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from curvewalk.llm.personal import mask_text, personal_data
 
@@ -125,3 +127,92 @@ def test_names_of_two_words_and_after_a_label_go(spark):
         assert found[20 + i][-2:] == ["Quentin", "Ash"] and found[30 + i] == ["Ottilie", "Bock"]
         assert found[40 + i] == [] and found[50 + i] == []
     assert not any(found[60:])
+
+
+GROUPS = {
+    "email": lambda v: v.split("@")[-1].lower(),
+    "ip": lambda v: ".".join(v.split(".")[:3]),
+    "card": lambda v: re.sub("[^0-9]", "", v)[:6],
+    "phone": lambda v: re.sub("[^0-9]", "", v)[:5],
+}
+
+
+def plain_terms(texts, alpha=1.25, least=3):
+    """Terms masked in each text, by counting every pair of entity and term over all texts."""
+    n, held, words, places = len(texts), [], [], []
+    for text in texts:
+        found = [(k, m.group(), m.span()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if passes(k, m.group())]
+        held.append({(k, v) for k, v, _ in found} | {(f"{k}-group", GROUPS[k](v)) for k, v, _ in found})
+        blank = list(text)
+        for _, _, (a, b) in found:
+            blank[a:b] = " " * (b - a)
+        terms = [(m.group().lower(), m.start(), m.group()) for m in re.finditer(r"[^\W_]{3,}", "".join(blank))]
+        places.append(terms)
+        words.append({w for w in re.findall(r"[^\W_]{3,}", text.lower())})
+    entities = Counter(e for h in held for e in h)
+    entities = {e: c for e, c in entities.items() if c >= least and (not e[0].endswith("-group") or -math.log2(c / n) >= 6)}
+    counts = Counter(w for t in words for w in t)
+    both, before, after = Counter(), defaultdict(set), defaultdict(set)
+    for i, h in enumerate(held):
+        mine = [w for w, _, _ in places[i]]
+        for e in h & entities.keys():
+            for w in set(mine):
+                both[e, w] += 1
+                at = [j for j, x in enumerate(mine) if x == w]
+                side = lambda j, step: tuple(mine[j + step * k] if 0 <= j + step * k < len(mine) else None for k in range(1, 6))
+                before[e, w].add(tuple(sorted({(side(j, -1), texts[i] if j < 5 else "") for j in at}, key=str)))
+                after[e, w].add(tuple(sorted({(side(j, 1), texts[i] if len(mine) - 1 - j < 5 else "") for j in at}, key=str)))
+    out = []
+    for i, h in enumerate(held):
+        spots = set()
+        for e in h & entities.keys():
+            content = -math.log2(entities[e] / n)
+            for w, at, raw in places[i]:
+                told = math.log2(both[e, w] * n / (counts[w] * entities[e])) if both[e, w] else -1
+                if content > 0 and both[e, w] >= least and told >= content / alpha and min(len(before[e, w]), len(after[e, w])) >= least:
+                    spots.add((at, raw))
+        out.append([raw for _, raw in sorted(spots)])
+    return out
+
+
+def test_terms_equal_counting_every_pair(spark):
+    pick = random.Random(21)
+    texts = [prose(pick, pick.randint(5, 60)) for _ in range(400)]
+    names = [f"Name{chr(97 + i)}" for i in range(12)]
+    for _ in range(150):
+        i, who = pick.randrange(400), pick.randrange(12)
+        value = pick.choice([f"u{pick.randrange(4)}@host{who}.org", f"10.{who}.7.{pick.randrange(5)}", f"+49 30 12{who:02d} 55{pick.randrange(3)}1"])
+        texts[i] = f"{prose(pick, 7)} {names[who]} {prose(pick, pick.randint(5, 9))} {value} {texts[i]}"
+    got, want = flagged(spark, texts), plain_terms(texts)
+    assert got == want and sum(map(len, want)) > 20
+
+
+def test_a_name_beside_many_addresses_of_one_host_goes(spark):
+    pick = random.Random(14)
+    texts = [prose(pick, 60) for _ in range(600)]
+    for i in range(6):  # no address occurs twice
+        texts[i] += f" {prose(pick, 5)} Zebulon {prose(pick, 6)} user{i}@zebulon.example {prose(pick, 6)}"
+    found = flagged(spark, texts)
+    assert found == [["Zebulon"]] * 6 + [[]] * 594
+
+
+def test_repeated_rows_change_no_flags(spark):
+    docs = corpus(spark)
+    tripled = docs.unionByName(docs).unionByName(docs)
+    once, thrice = ({(r.doc_id, r.spans) for r in personal_data(d).collect()} for d in (docs, tripled))
+    assert once == thrice and any("removed" in s or "term" in s for _, s in once)
+    assert mask_text(tripled).count() == 3 * docs.count()
+
+
+def test_columns_whose_names_clash_stay_as_they_are(spark):
+    rows = [(i, f"mail a{i}@b.co and +49 30 1234 5678 end", 7, "k", [1], 0.5) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key1 int, key1_ string, spans_found array<int>, KEY2 double")
+    masked = mask_text(docs)
+    assert masked.columns == docs.columns
+    assert [tuple(r)[1:] for r in masked.collect()] == [("mail [EMAIL] and [PHONE] end", 7, "k", [1], 0.5)] * 3
+
+
+def test_many_spans_in_a_long_text(spark):
+    text = "é " + "a@b.co, 1.2.3.4 ünd " * 3000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert mask_text(docs).head().text == "é " + "[EMAIL], [IP] ünd " * 3000
