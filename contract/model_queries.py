@@ -12,7 +12,7 @@ from contract.registry import query
 from curvewalk.operators import candidates, gaussian, report, ridge, scores
 from curvewalk.operators.candidates import KERNELS, KernelGrid, PRIORS
 from curvewalk.operators.folds import WalkForward, prediction_rows
-from curvewalk.plans.backtest import Backtest, forecast_horizon, gaussian_backtest, ridge_backtest
+from curvewalk.plans.backtest import Backtest, continue_backtest, forecast_horizon, gaussian_backtest, ridge_backtest
 from curvewalk.sources import tables
 
 KEYS = ["series_id", "fold"]
@@ -355,6 +355,18 @@ def f16_fixed_summary(spark, sf):
     return summary.select(*KEYS, "best_candidate", F.size("candidate_scores").cast("long").alias("n_candidates"), "n_features", "n_train")
 
 
+@query(
+    sql=f"with recursive {v.spread()} select series_id, date, pos, {_SCHEDULE}, candidate, {_WIDE} from predicted join spreads using (series_id, fold, pos) group by all",
+    doubles=_WIDE_NAMES,
+)
+def c7_continued_backtest(spark, sf):
+    """All but the last 45 rows of every series first, then the rest: the same rows as in one run."""
+    path, panel = tables.shared_folder(spark, "continued"), b.panel(spark, sf)
+    earlier = panel.where("pos < pos_total - 45").withColumn("pos_total", F.col("pos_total") - 45)
+    continue_backtest(earlier, b.PLAN, FEATURES, TARGETS, path)
+    return continue_backtest(panel, b.PLAN, FEATURES, TARGETS, path).forecasts
+
+
 _LAYOUT = ", ".join(f"{t} as actual_{t}" for t in TARGETS)
 _ACTUALS = [f"actual_{t}" for t in TARGETS]
 

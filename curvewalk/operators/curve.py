@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from curvewalk.functions import clean, ratio
 from curvewalk.operators.scan import UNPLACED, value_runs
+from curvewalk.session import task_count
 from curvewalk.sources.tables import materialize
 
 # Tenor names and maturities in years.
@@ -213,54 +215,127 @@ def compare_curves(observed: DataFrame, predicted: DataFrame, keys: list[str]) -
     return a.join(p, [*keys, "tenor"]).withColumn("error", F.col("actual") - F.col("prediction"))
 
 
-DIPS = 5
+DIPS, CLOSE, GRID, FINER, ROOTS = 5, 3, 481, 64, 32
 FIT = "beta0 double, beta1 double, beta2 double, lambda_ double"
 
 
 def _loadings(scaled: np.ndarray) -> np.ndarray:
-    """Columns (1, slope, curvature) of the curve for lambda times maturity; axes curve, point."""
+    """Columns (1, slope, curvature) of the curve for lambda times maturity; points are the axis before them."""
     slope = -np.expm1(-scaled) / scaled
     return np.stack([np.ones_like(scaled), slope, slope - np.exp(-scaled)], axis=-1)
 
 
-def _residual(lam: np.ndarray, years: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """Sum of squared residuals of the best betas for one lambda per curve."""
-    q, _ = np.linalg.qr(_loadings(lam[:, None] * years) * real[:, :, None])
-    left = y - np.einsum("cpk,ck->cp", q, np.einsum("cpk,cp->ck", q, y))
-    return (left * left).sum(axis=1)
+def _weak(r: np.ndarray) -> np.ndarray:
+    """Columns that hardly differ from those before them: their directions are rounding and reach nothing."""
+    size = np.abs(np.diagonal(r, axis1=-2, axis2=-1))
+    return size < 1e-12 * size.max(axis=-1, keepdims=True)
 
 
-def _bottom(grid: np.ndarray, at: np.ndarray, years: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """Lambda of the least residual around the grid's ``at``: a finer grid, as two dips can be close, then
-    golden sections."""
-    low, high = np.log(grid[np.maximum(at - 2, 0)]), np.log(grid[np.minimum(at + 2, len(grid) - 1)])
-    step = (high - low) / 400
-    tried = np.stack([_residual(np.exp(low + i * step), years, y, real) for i in range(401)], axis=1)
-    at = low + tried.argmin(axis=1) * step
-    low, high = at - step, at + step
-    golden = (np.sqrt(5.0) - 1) / 2
-    for _ in range(50):
-        a, b = high - golden * (high - low), low + golden * (high - low)
-        left = _residual(np.exp(a), years, y, real) <= _residual(np.exp(b), years, y, real)
-        low, high = np.where(left, low, a), np.where(left, b, high)
-    return np.exp((low + high) / 2)
+@lru_cache(maxsize=256)
+def _across(lams: bytes, years: bytes) -> np.ndarray:
+    """Directions that the loadings of each lambda don't reach, axes lambda, point, direction."""
+    lam, at = np.frombuffer(lams), np.frombuffer(years)
+    whole, r = np.linalg.qr(_loadings(lam[:, None] * at), mode="complete")
+    whole[:, :, :3] *= _weak(r[:, :3])[:, None, :]
+    return whole
+
+
+def _misfits(lams: np.ndarray, years: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum of squared residuals of the best betas, axes curve, lambda. The loadings of a lambda are factored once; what
+    no betas reach is the part of a curve in the space across them, so residuals are one matrix product."""
+    across = _across(lams.tobytes(), years.tobytes())
+    out = np.empty((len(y), len(lams)))
+    for at in range(0, len(y), 1024):
+        parts = y[at : at + 1024] @ across.transpose(1, 0, 2).reshape(len(years), -1)
+        out[at : at + 1024] = (parts.reshape(len(parts), len(lams), -1) ** 2).sum(axis=2)
+    return out
+
+
+def _left(scaled: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(residuals, betas) of each curve for its lambda times maturity."""
+    q, r = np.linalg.qr(_loadings(scaled))
+    weak = _weak(r)
+    q = q * ~weak[:, None, :]
+    reached = np.einsum("cpk,cp->ck", q, y)
+    betas = np.linalg.solve(np.where(weak[:, :, None], np.eye(3), r), reached[:, :, None])[:, :, 0]
+    return y - np.einsum("cpk,ck->cp", q, reached), betas
+
+
+def _slope(log_lam: np.ndarray, years: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Half the derivative of each curve's residual by the logarithm of its lambda; the best betas' own change has no part in it."""
+    scaled = np.exp(log_lam)[:, None] * years
+    left, betas = _left(scaled, y)
+    decay = np.exp(-scaled)
+    bent = decay + np.expm1(-scaled) / scaled  # of the slope loading; the curvature's has scaled * decay more
+    return -(left * (betas[:, 1:2] * bent + betas[:, 2:3] * (bent + scaled * decay))).sum(axis=1)
+
+
+def _bottoms(low: np.ndarray, high: np.ndarray, years: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where the residuals' slopes vanish between the logarithms low and high: secants that give way at the end
+    that stays (Illinois), halving every fourth step."""
+    low, high, open_ = low.copy(), high.copy(), np.arange(len(low))
+    at_low, at_high, kept = _slope(low, years, y), _slope(high, years, y), np.zeros(len(low), dtype=int)
+    middle = (low + high) / 2
+    for step in range(ROOTS):
+        a, b, fa, fb = low[open_], high[open_], at_low[open_], at_high[open_]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            secant = b - fb * (b - a) / (fb - fa)
+        inside = np.isfinite(secant) & (secant > a) & (secant < b) & (step % 4 < 3)
+        at = np.where(inside, secant, (a + b) / 2)
+        here = _slope(at, years, y[open_])
+        right = here > 0
+        again = np.where(right, kept[open_] == 1, kept[open_] == -1)  # the same end moves twice in a row
+        middle[open_], kept[open_] = at, np.where(right, 1, -1)
+        high[open_], at_high[open_] = np.where(right, at, b), np.where(right, here, np.where(again, fb / 2, fb))
+        low[open_], at_low[open_] = np.where(right, a, at), np.where(right, np.where(again, fa / 2, fa), here)
+        open_ = open_[(high[open_] - low[open_] > 1e-12) & (here != 0)]
+        if not len(open_):
+            break
+    return middle
+
+
+def _dips(heights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the deepest local minima of each row."""
+    around = np.pad(heights, ((0, 0), (1, 1)), constant_values=np.inf)
+    dips = np.where((heights <= around[:, :-2]) & (heights <= around[:, 2:]), heights, np.inf)
+    places = np.argsort(dips, axis=1)[:, :most]
+    row, nth = np.nonzero(np.isfinite(np.take_along_axis(dips, places, axis=1)))
+    return row, places[row, nth]
+
+
+def _solve_alike(years: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lambda of each curve of the same maturities."""
+    grid = np.linspace(np.log(1e-6), np.log(1e6), GRID)
+    tried = _misfits(np.exp(grid), years, y)
+    # The residual can have several dips; the deepest ones on the grid are all followed to their bottoms.
+    curve, starts = _dips(tried, DIPS)
+    parts = []
+    for at in np.unique(starts):  # a finer grid, as two dips can be close
+        mine = curve[starts == at]
+        fine = np.linspace(grid[max(at - 2, 0)], grid[min(at + 2, GRID - 1)], FINER + 1)
+        which, spot = _dips(_misfits(np.exp(fine), years, y[mine]), CLOSE)
+        parts.append((mine[which], fine[np.maximum(spot - 1, 0)], fine[spot], fine[np.minimum(spot + 1, FINER)]))
+    curve, low, least, high = (np.concatenate(x) for x in zip(*parts))
+    # Where the slope's sign is rounding, the finer grid's best stays.
+    found = np.concatenate([_bottoms(low, high, years, y[curve]), least])
+    curve = np.concatenate([curve, curve])
+    left, _ = _left(np.exp(found)[:, None] * years, y[curve])
+    order = np.lexsort(((left * left).sum(axis=1), curve))
+    first = np.r_[True, curve[order][1:] != curve[order][:-1]]
+    return np.exp(found[order[first]])
 
 
 def solve_curves(years: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(betas, lambda) of each curve; axes curve, point; real marks points that aren't padding.
 
-    The curve is linear in the betas once lambda is fixed. Lambda is looked for on a log grid over
-    twelve decades, then by golden sections in the DIPS deepest dips.
+    The curve is linear in the betas once lambda is fixed. Lambda is looked for on a log grid over twelve decades, then
+    where the residual's slope vanishes in the DIPS deepest dips. Curves of the same maturities share the factors.
     """
-    grid = np.logspace(-6, 6, 481)
-    tried = np.stack([_residual(np.full(len(y), g), years, y, real) for g in grid], axis=1)
-    # The residual can have several dips; the deepest ones on the grid are all followed to their bottoms.
-    around = np.pad(tried, ((0, 0), (1, 1)), constant_values=np.inf)
-    dips = np.where((tried <= around[:, :-2]) & (tried <= around[:, 2:]), tried, np.inf)
-    starts = np.argsort(dips, axis=1)[:, :DIPS]
-    bottoms = np.stack([_bottom(grid, starts[:, i], years, y, real) for i in range(starts.shape[1])], axis=1)
-    depths = np.stack([_residual(bottoms[:, i], years, y, real) for i in range(starts.shape[1])], axis=1)
-    lam = np.take_along_axis(bottoms, depths.argmin(axis=1)[:, None], axis=1)[:, 0]
+    lam = np.empty(len(y))
+    designs, which = np.unique(np.column_stack([years, real]), axis=0, return_inverse=True)
+    for i, design in enumerate(designs):
+        mine, there = np.flatnonzero(which == i), design[years.shape[1] :] > 0
+        lam[mine] = _solve_alike(design[: years.shape[1]][there], y[np.ix_(mine, there)])
     load = _loadings(lam[:, None] * years) * real[:, :, None]
     betas = np.einsum("ckp,cp->ck", np.linalg.pinv(load, rcond=1e-13), y)
     return betas, lam
@@ -275,6 +350,7 @@ def fit_curves(points: DataFrame, keys: list[str]) -> DataFrame:
     """
     usable = clean("y").isNotNull() & (clean("maturity") > 0)
     point = F.when(usable, F.struct(F.col("maturity").cast("double").alias("maturity"), F.col("y").cast("double").alias("y")))
+    points = points.repartition(task_count(points), *keys)  # few bytes, much work
     curves = points.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("points"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in curves.select(*keys).schema)
 

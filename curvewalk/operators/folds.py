@@ -123,3 +123,16 @@ def fold_groups(panel: DataFrame, plan: WalkForward, per_group: int) -> DataFram
         )
         .drop("_lo", "_hi")
     )
+
+
+def only_folds(rows: DataFrame, plan: WalkForward, per_group: int, only: DataFrame | None) -> DataFrame:
+    """Rows of ``fold_groups`` with ``_start`` and the folds ``_low`` to ``_high`` of their group that are to be worked on.
+
+    ``only`` (series_id, fold) names these; groups without any are left out. Without it they are all of the series.
+    """
+    rows = rows.withColumn("_start", plan.start)
+    if only is None:
+        return rows.withColumns({"_low": F.lit(0).cast("long"), "_high": (plan.folds - 1).cast("long")})
+    group = F.expr(f"fold div {per_group}").alias("fold_group")
+    spans = only.groupBy(*KEY, group).agg(F.min("fold").alias("_low"), F.max("fold").alias("_high"))
+    return rows.join(spans, [*KEY, "fold_group"])

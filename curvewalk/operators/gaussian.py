@@ -25,9 +25,10 @@ from curvewalk.operators.candidates import (
     KernelGrid,
     check_candidates,
 )
-from curvewalk.operators.folds import WalkForward, fold_groups, training_rows
+from curvewalk.operators.folds import WalkForward, fold_groups, only_folds, training_rows
 from curvewalk.operators.panel import KEY
-from curvewalk.operators.ridge import folds_per_group, task_count
+from curvewalk.operators.ridge import bounds, folds_per_group
+from curvewalk.session import task_count
 
 FIT_SCHEMA = (
     "series_id string, fold bigint, family string, candidate string, ordinal int, n_train bigint, "
@@ -319,9 +320,8 @@ def _on_grid(process: _Exact | _LowRank, grid: KernelGrid) -> tuple[float, float
     return float(heights[c, s]), float(constants[c]), float(noises[s])
 
 
-def _search(kernel: str, rows: _Rows, grid: KernelGrid, near: dict[str, float] | None) -> tuple:
-    """(evidence, constant, noise, shape, process) of the grid's best shape, or of a better one that is reached from
-    the best few of the grid or from the shape of a neighbouring fold."""
+def _search(kernel: str, rows: _Rows, grid: KernelGrid) -> tuple:
+    """(evidence, constant, noise, shape, process) of the grid's best shape, or of a better one reached from its best few."""
     tried = []
     for shape in rows.shapes(kernel, grid):
         process = (_Exact if rows.exact else _LowRank)(kernel, shape, rows)
@@ -331,10 +331,7 @@ def _search(kernel: str, rows: _Rows, grid: KernelGrid, near: dict[str, float] |
     if not (rows.exact and grid.restarts):
         return best
     names = list(best[3])
-    starts = [t[3] for t in tried[: grid.restarts]]
-    if near is not None:  # the neighbour's shape stands for the last of them
-        starts = [near, *starts[: max(1, grid.restarts - 1)]]
-    for start in starts:
+    for start in [t[3] for t in tried[: grid.restarts]]:
         found = climb(
             lambda x: _profile(kernel, dict(zip(names, np.exp(x).tolist())), rows, grid),
             np.log([start[name] for name in names]),
@@ -346,24 +343,18 @@ def _search(kernel: str, rows: _Rows, grid: KernelGrid, near: dict[str, float] |
 
 
 def fit_fold(
-    x: np.ndarray,
-    y: np.ndarray,
-    ahead: np.ndarray,
-    kernel: str,
-    inducing: int | None,
-    grid: KernelGrid,
-    near: dict[str, float] | None = None,
+    x: np.ndarray, y: np.ndarray, ahead: np.ndarray, kernel: str, inducing: int | None, grid: KernelGrid
 ) -> dict:
     """Best (shape, constant, noise) of one kernel by evidence, its scores and its predictions.
 
-    Without inducing the process is exact and the evidence is never below the grid's; near is a shape to search from.
+    Without inducing the process is exact and the evidence is never below the grid's. A fold's result depends on its own
+    rows alone.
     """
     rows = _Rows(x, y, ahead, inducing)
-    evidence, constant, noise, shape, process = _search(kernel, rows, grid, near)
+    evidence, constant, noise, shape, process = _search(kernel, rows, grid)
     fitted, mean, variance = process.predict(constant, noise)
     return {
         "params": {**shape, "constant": constant, "noise": noise},
-        "shape": shape,
         "log_marginal_likelihood": float(evidence) if np.isfinite(evidence) else None,
         **_scores(y, fitted),
         "mean": mean,
@@ -371,6 +362,22 @@ def fit_fold(
     }
 
 
+def _folds(group: pd.DataFrame, plan: WalkForward, per_group: int, features: list[str], targets: list[str], standardize: bool):
+    """(fold, training x, training y, x ahead, positions ahead) of each of a group's folds, rows sorted by position."""
+    folds, lows, highs = bounds(group, plan, per_group)
+    pos, start = group["pos"].to_numpy(), int(group["_start"].iloc[0])
+    x, y = group[features].to_numpy(float), group[targets].to_numpy(float)
+    for fold, low, high in zip(folds, lows, highs):
+        at = start + fold * plan.stride
+        ahead = (pos >= at) & (pos < at + plan.stride) & ((pos - start) % plan.step == 0)
+        xt, xa = x[low:high], x[ahead]
+        if standardize:
+            centre, scale = xt.mean(0), xt.std(0)
+            scale[scale == 0] = 1.0
+            xt, xa = (xt - centre) / scale, (xa - centre) / scale
+        yield fold, xt, y[low:high], xa, pos[ahead]
+
+
 def fit_predict(
     panel: DataFrame,
     plan: WalkForward,
@@ -381,53 +388,36 @@ def fit_predict(
     inducing: int | None = None,
     standardize: bool = False,
     per_group: int | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (series, fold, kernel) with scores and the fold's own predictions.
 
     The process is exact unless a number of inducing rows is given. A task holds window / stride folds by
-    default, so a row is copied about twice. Fit and forecast happen in the task that holds the window, so no fitted matrix is shuffled.
+    default, so a row is copied about twice. Fit and forecast happen in the task that holds the window, so no fitted
+    matrix is shuffled. ``only`` (series_id, fold) names the folds wanted, if not all are.
     """
     check_candidates(kernels, [*KERNELS, *EXTRA_KERNELS])
     grid = grid or KernelGrid()
     per_group = per_group or folds_per_group(plan)
-    stride, window, step, embargo = plan.stride, plan.window, plan.step, plan.embargo
-    columns = [*KEY, "pos", "pos_total", *features, *targets]
-    rows = fold_groups(panel.select(*columns), plan, per_group).withColumns(
-        {"_start": plan.start, "_folds": plan.folds}
-    )
+    rows = fold_groups(panel.select(*KEY, "pos", "pos_total", *dict.fromkeys([*features, *targets])), plan, per_group)
+    rows = only_folds(rows, plan, per_group, only)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        first = group.iloc[0]
-        series, start, folds = first["series_id"], int(first["_start"]), int(first["_folds"])
-        pos = group["pos"].to_numpy()
-        x, y = group[features].to_numpy(float), group[targets].to_numpy(float)
-        made, near = [], {}
-        mine = int(first["fold_group"]) * per_group
-        for fold in range(mine, min(mine + per_group, folds)):
-            at = start + fold * stride
-            train = (pos >= at - embargo - window) & (pos < at - embargo)
-            ahead = (pos >= at) & (pos < at + stride) & ((pos - start) % step == 0)
-            xt, xa = x[train], x[ahead]
-            if standardize:
-                centre, scale = xt.mean(0), xt.std(0)
-                scale[scale == 0] = 1.0
-                xt, xa = (xt - centre) / scale, (xa - centre) / scale
+        made = []
+        for fold, x, y, ahead, places in _folds(group, plan, per_group, features, targets, standardize):
             for ordinal, kernel in enumerate(kernels):
-                got = fit_fold(xt, y[train], xa, kernel, inducing, grid, near.get(kernel))
-                mean, std, near[kernel] = got.pop("mean"), got.pop("std"), got.pop("shape")
-                points = [
-                    {"pos": int(q), "mean": m.tolist(), "std": float(s)}
-                    for q, m, s in zip(pos[ahead], mean, std)
-                ]
+                got = fit_fold(x, y, ahead, kernel, inducing, grid)
+                mean, std = got.pop("mean"), got.pop("std")
+                points = [{"pos": int(q), "mean": m.tolist(), "std": float(s)} for q, m, s in zip(places, mean, std)]
                 made.append(
                     {
-                        "series_id": series,
+                        "series_id": group["series_id"].iloc[0],
                         "fold": fold,
                         "family": "gaussian",
                         "candidate": kernel,
                         "ordinal": ordinal,
-                        "n_train": int(train.sum()),
+                        "n_train": len(x),
                         **got,
                         "params": {k: float(v) for k, v in got["params"].items()},
                         "predictions": points,
@@ -439,6 +429,46 @@ def fit_predict(
     return rows.repartition(task_count(rows), *keys).groupBy(*keys).applyInPandas(fit, FIT_SCHEMA)
 
 
+def predict_stored(
+    panel: DataFrame,
+    plan: WalkForward,
+    fits: DataFrame,
+    features: list[str],
+    targets: list[str],
+    inducing: int | None = None,
+    standardize: bool = False,
+) -> DataFrame:
+    """Predictions of fitted processes (series_id, fold, candidate, params) for all rows of their folds, without a search.
+
+    The rows of a fold and its fits come together by group of neighbouring folds; one factorisation a fit.
+    """
+    per_group = folds_per_group(plan)
+    rows = fold_groups(panel.select(*KEY, "pos", "pos_total", *dict.fromkeys([*features, *targets])), plan, per_group)
+    rows = only_folds(rows, plan, per_group, fits.select(*KEY, "fold").distinct())
+    slim = fits.select(*KEY, F.expr(f"fold div {per_group}").alias("fold_group"), "fold", "candidate", "params")
+    columns = ["series_id", "fold", "candidate", "pos", *[f"prediction_{t}" for t in targets], *[f"std_{t}" for t in targets]]
+
+    def run(group: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        if len(group) and len(fitted):
+            by_fold = dict(list(fitted.groupby("fold")))
+            for fold, x, y, ahead, places in _folds(group.sort_values("pos"), plan, per_group, features, targets, standardize):
+                for fit in by_fold[fold].itertuples() if fold in by_fold else ():
+                    params = dict(fit.params)
+                    constant, noise = params.pop("constant"), params.pop("noise")
+                    shape = {n: params[n] for n in sorted(params, key=lambda n: (n.split("_")[0], int((n + "_0").split("_")[1])))}
+                    process = (_Exact if inducing is None else _LowRank)(fit.candidate, shape, _Rows(x, y, ahead, inducing))
+                    _, mean, variance = process.predict(constant, noise)
+                    std = np.sqrt(variance)
+                    made += [(fit.series_id, fold, fit.candidate, int(q), *m, *[s] * len(targets)) for q, m, s in zip(places, mean, std)]
+        return pd.DataFrame(made, columns=columns)
+
+    schema = "series_id string, fold bigint, candidate string, pos bigint, " + ", ".join(f"`{c}` double" for c in columns[4:])
+    keys, tasks = [*KEY, "fold_group"], task_count(rows)
+    left, right = (df.repartition(tasks, *keys).groupBy(*keys) for df in (rows, slim))
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
 def predictions(fits: DataFrame, targets: list[str]) -> DataFrame:
     """Fitted rows opened up to one row per forecast position."""
     return fits.select(*KEY, "fold", "candidate", F.inline("predictions")).select(

@@ -13,8 +13,9 @@ from pyspark.sql.types import StructType
 
 from curvewalk.functions import ratio
 from curvewalk.operators.candidates import PRIORS, check_candidates
-from curvewalk.operators.folds import WalkForward, fold_groups, prediction_rows
+from curvewalk.operators.folds import WalkForward, fold_groups, only_folds, prediction_rows
 from curvewalk.operators.panel import KEY
+from curvewalk.session import task_count
 
 #: Scores that the sums of a fold give without its rows.
 SUM_SCORES = ["euclidean_rmse", "r2_avg", "r2_flat"]
@@ -29,12 +30,6 @@ ROUNDS = 300
 TOLERANCE = 1e-3
 
 
-def task_count(df: DataFrame) -> int:
-    """Partitions for compute-heavy stages whose bytes are too few for size-based planning."""
-    spark = df.sparkSession
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def folds_per_group(plan: WalkForward) -> int:
     """Neighbouring folds handled together: enough that a row is copied about twice."""
     return max(1, plan.window // plan.stride)
@@ -48,7 +43,12 @@ GRAM_SCHEMA = "series_id string, fold bigint, anchor array<double>, gram array<d
 
 
 def fold_grams(
-    panel: DataFrame, plan: WalkForward, features: list[str], targets: list[str], shift: bool = True
+    panel: DataFrame,
+    plan: WalkForward,
+    features: list[str],
+    targets: list[str],
+    shift: bool = True,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Upper triangle of Σzzᵀ, z = (1, features, targets), for every (series, fold) as ``gram``.
 
@@ -56,16 +56,17 @@ def fold_grams(
     ``per_group * stride`` rows. Whatever the window, a row of a group is multiplied once: see ``_sliding``.
     With ``shift`` z holds differences from ``anchor``, the group's first row, which the fits add back: the
     sums keep their digits at any level. Without it the sums are of the raw values and ``anchor`` is zero.
+    ``only`` (series_id, fold) names the folds wanted, if not all are.
     """
     columns = [*features, *targets]
     per_group = folds_per_group(plan)
     upper = np.triu_indices(1 + len(columns))
     rows = fold_groups(panel.select(*KEY, "pos", "pos_total", *columns), plan, per_group)
-    rows = rows.withColumns({"_start": plan.start, "_folds": plan.folds})
+    rows = only_folds(rows, plan, per_group, only)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        folds, lows, highs = _bounds(group, plan, per_group)
+        folds, lows, highs = bounds(group, plan, per_group)
         x = group[columns].to_numpy(float)
         anchor = x[0] if shift else np.zeros(len(columns))
         z = np.column_stack([np.ones(len(x)), x - anchor])
@@ -77,11 +78,11 @@ def fold_grams(
     return rows.repartition(task_count(panel), *keys).groupBy(*keys).applyInPandas(add, GRAM_SCHEMA)
 
 
-def _bounds(group: pd.DataFrame, plan: WalkForward, per_group: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+def bounds(group: pd.DataFrame, plan: WalkForward, per_group: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """The group's folds, and where the training rows of each begin and end among its rows, sorted by position."""
     first, pos = group.iloc[0], group["pos"].to_numpy()
     mine = int(first["fold_group"]) * per_group
-    folds = np.arange(mine, min(mine + per_group, int(first["_folds"])))
+    folds = np.arange(max(mine, int(first["_low"])), min(mine + per_group, int(first["_high"]) + 1))
     ends = int(first["_start"]) + folds * plan.stride - plan.embargo
     return folds.tolist(), np.searchsorted(pos, ends - plan.window), np.searchsorted(pos, ends)
 
@@ -298,19 +299,20 @@ def _with_fits(
     per_group: int,
     work: Callable[[pd.DataFrame, pd.DataFrame, slice], pd.DataFrame],
     schema: str,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """``work(rows, fits, training rows)`` of every fold, rows and fits together by group of neighbouring folds.
 
     A row is shuffled about window / (per_group * stride) + 1 times; no table pairs rows with fits.
     """
     rows = fold_groups(panel.select(*KEY, "pos", "pos_total", *columns), plan, per_group)
-    rows = rows.withColumns({"_start": plan.start, "_folds": plan.folds})
+    rows = only_folds(rows, plan, per_group, only)
     slim = fits.select(*KEY, F.expr(f"fold div {per_group}").alias("fold_group"), "fold", "candidate", "ordinal", "coef", "intercept", *kept)
     keys, tasks, names = [*KEY, "fold_group"], task_count(panel), StructType.fromDDL(schema).names
 
     def run(group: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        folds, lows, highs = _bounds(group, plan, per_group) if len(group) else ([], [], [])
+        folds, lows, highs = bounds(group, plan, per_group) if len(group) else ([], [], [])
         by_fold = dict(list(fitted.sort_values("ordinal").groupby("fold")))
         made = [work(group, by_fold[f], slice(low, high)) for f, low, high in zip(folds, lows, highs) if f in by_fold]
         return pd.concat(made) if made else pd.DataFrame(columns=names)
@@ -355,9 +357,14 @@ def in_sample(
 
 
 def training_scores(
-    panel: DataFrame, plan: WalkForward, fits: DataFrame, features: list[str], targets: list[str]
+    panel: DataFrame,
+    plan: WalkForward,
+    fits: DataFrame,
+    features: list[str],
+    targets: list[str],
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Four training scores per (series, fold, candidate).
+    """Four training scores per (series, fold, candidate) of the fits; ``only`` as for their sums.
 
     Three come with the fits, from sums. The mean cosine similarity needs the rows: one matrix product a fold.
     """
@@ -376,7 +383,7 @@ def training_scores(
     schema = "series_id string, fold bigint, candidate string, ordinal int, n_train bigint, "
     schema += ", ".join(f"{c} double" for c in ["cosine_similarity", *SUM_SCORES])
     columns = list(dict.fromkeys([*features, *targets]))
-    return _with_fits(panel, plan, fits, columns, ["n_train", *SUM_SCORES], folds_per_group(plan), work, schema)
+    return _with_fits(panel, plan, fits, columns, ["n_train", *SUM_SCORES], folds_per_group(plan), work, schema, only)
 
 
 def predict(
@@ -386,8 +393,9 @@ def predict(
     features: list[str],
     targets: list[str],
     std_mode: str = "posterior",
+    due: DataFrame | None = None,
 ) -> DataFrame:
-    """Predictions and standard deviations for the rows each fold has to forecast.
+    """Predictions and standard deviations for the rows each fold has to forecast, or for the ``due`` ones of them.
 
     ``std_mode='posterior'`` uses weight and noise uncertainty; ``'row_spread'`` is the spread over
     prediction rows, which is 0 for the one-row predictions made here.
@@ -395,7 +403,7 @@ def predict(
     if std_mode not in ("posterior", "row_spread"):
         raise ValueError(f"unknown std_mode {std_mode!r}; modes are posterior and row_spread")
     flat = fits.selectExpr("*", *weight_columns(len(features), len(targets)))
-    rows = prediction_rows(panel, plan).join(flat, [*KEY, "fold"])
+    rows = (prediction_rows(panel, plan) if due is None else due).join(flat, [*KEY, "fold"])
     p = range(len(features))
     if std_mode == "posterior":
         along = [" + ".join(f"(`{features[i]}` - x_mean[{i}]) * basis[{k}][{i}]" for i in p) for k in p]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +158,77 @@ def gaussian_backtest(
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            return None
+        raise
+
+
+def continue_backtest(
+    panel: DataFrame,
+    plan: WalkForward,
+    features: list[str],
+    targets: list[str],
+    path: str,
+    family: str = "ridge",
+    metric: str = "cosine_similarity",
+    **options,
+) -> Backtest:
+    """Do what a backtest below ``path`` has not done yet, and give all of it back.
+
+    The tables ``scores`` (all candidates), ``best`` (winning fits) and ``forecasts`` hold what was done; a run adds the
+    folds and rows that are missing in them. Folds and positions are fixed by the plan, so appended dates leave earlier ones
+    as they are: a new date refits a series only if it opens a fold. A run that was lost has added nothing, or its
+    folds without their forecasts, which the next run then makes. Plan, features, family and options must stay.
+    Rows may only be appended; ``last_n`` would move the folds.
+    """
+    if plan.last_n is not None:
+        raise ValueError("a backtest that goes on predicts every window; last_n must be None")
+    check_metric(metric)
+    if family not in ("ridge", "gaussian"):
+        raise ValueError(f"unknown family {family!r}; families are ['gaussian', 'ridge']")
+    spark, keys = panel.sparkSession, [*KEY, "fold"]
+    due, done = prediction_rows(panel, plan), _stored(spark, f"{path}/forecasts")
+    if done is not None:
+        due = due.join(done.select(*KEY, "pos"), [*KEY, "pos"], "left_anti")
+    due = tables.materialize(due, "due-rows")
+    wanted, known = due.select(*keys).distinct(), _stored(spark, f"{path}/best")
+    if known is not None:
+        wanted = wanted.join(known.select(*keys), keys, "left_anti")
+    wanted = tables.materialize(wanted, "due-folds")
+    if known is None or not wanted.isEmpty():
+        if family == "ridge":
+            grams = ridge.fold_grams(panel, plan, features, targets, only=wanted)
+            priors = options.get("priors", PRIORS)
+            fits = tables.materialize(ridge.evidence_ridge(grams, len(features), len(targets), priors), "ridge-fits")
+            scores = ridge.training_scores(panel, plan, fits, features, targets, wanted)
+        else:
+            fits = gaussian.fit_predict(panel, plan, features, targets, only=wanted, **options).drop("predictions")
+            fits = scores = tables.materialize(fits, "gaussian-fits")
+        scores = tables.materialize(scores, "due-scores")
+        chosen = best_candidates(scores, keys, metric).select(*keys, "candidate")
+        # The winners last: a fold counts as done once they are written.
+        scores.write.mode("append").parquet(f"{path}/scores")
+        fits.join(chosen, [*keys, "candidate"]).write.mode("append").parquet(f"{path}/best")
+    best = spark.read.parquet(f"{path}/best")
+    mine = best.join(due.select(*keys).distinct(), keys, "left_semi")
+    if family == "ridge":
+        forecasts = ridge.predict(panel, plan, mine, features, targets, options.get("std_mode", "posterior"), due)
+    else:
+        how = {k: options[k] for k in ("inducing", "standardize") if k in options}
+        found = gaussian.predict_stored(panel, plan, mine, features, targets, **how)
+        actual = [F.col(t).alias(f"actual_{t}") for t in targets]
+        forecasts = due.select(*KEY, "date", "pos", "k", "retrain", *actual).join(found, [*KEY, "pos"])
+    if done is None or not due.isEmpty():
+        forecasts.write.mode("append").parquet(f"{path}/forecasts")
+    # A lost run can have left scores whose winners it didn't reach; they are the same ones.
+    scores = spark.read.parquet(f"{path}/scores").dropDuplicates([*keys, "candidate"])
+    return Backtest(spark.read.parquet(f"{path}/forecasts"), scores, best, targets, features, family, metric)
+
+
 def forecast_horizon(
     spark: SparkSession,
     panel_path: str,

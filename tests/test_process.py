@@ -129,11 +129,3 @@ def test_a_planted_relevant_feature_ranks_first(spark):
         assert part.importance.sum() == pytest.approx(1) and part.importance.max() > 0.6
     alike = gaussian_backtest(panel, WalkForward(45, 1, 10), features, ["t0", "t1"], kernels=("RBF",)).importance()
     assert alike.filter(F.abs(F.col("importance") - 1 / 3) > 1e-12).count() == 0 and alike.count() == len(found)
-
-
-def test_neighbouring_folds_start_from_each_other_and_never_fall_below_the_grid():
-    x, y, ahead = window(7)
-    near = {"length": 3.0, "mixture": 0.3}
-    a = gaussian.fit_fold(x, y, ahead, "RationalQuadratic", None, KernelGrid(), near)
-    b = gaussian.fit_fold(x, y, ahead, "RationalQuadratic", None, KernelGrid(restarts=0))
-    assert a["log_marginal_likelihood"] >= b["log_marginal_likelihood"]
