@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from curvewalk.functions import EXACT_KS, clean, exact_kolmogorov_p, kolmogorov_p, normal_quantile, ratio, shapiro_francia_p
 from curvewalk.operators.scan import expand_runs, ordered_scan, value_runs
+from curvewalk.operators.selection import largest_gap
 
 def _y() -> Column:
     return F.col("y_true")
@@ -179,12 +180,7 @@ def ks_two_sample(df: DataFrame, keys: list[str]) -> DataFrame:
         F.struct(F.lit(False).alias("actual"), _p().alias("value")),
     )
     both = valid.select(*keys, F.explode(pairs).alias("o")).select(*keys, "o.actual", "o.value")
-    runs = value_runs(both, keys, "value", {"a": F.col("actual"), "b": ~F.col("actual")})
-    gap = F.abs(
-        ratio(F.col("a") + F.col("a_here"), F.col("a_total"))
-        - ratio(F.col("b") + F.col("b_here"), F.col("b_total"))
-    )
-    out = runs.groupBy(*keys).agg(F.max(gap).alias("d"), F.max("a_total").alias("n"))
+    out = largest_gap(both, keys, "value", F.col("actual")).select(*keys, F.col("gap").alias("d"), F.col("n_first").alias("n"))
     far = kolmogorov_p(F.col("d"), F.col("n").cast("double"), F.col("n").cast("double"))
     p = F.when(F.col("n") <= EXACT_KS, exact_kolmogorov_p(F.col("d"), F.col("n"))).otherwise(far)
     enough = F.col("n") >= 3

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvewalk.functions import clean
-from curvewalk.operators.scan import ordered_scan, value_at, value_runs
+from curvewalk.operators.scan import ordered_scan
+from curvewalk.operators.selection import order_statistics
 
 KEY = ["series_id"]
 
@@ -68,39 +71,31 @@ def within_dates_of(df: DataFrame, other: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max of every column.
 
-    Quartiles interpolate linearly between the two nearest order statistics, found by position in
-    a value scan: no per-group buffer of values is built. A column without values has count 0.
+    Quartiles interpolate linearly between the two nearest order statistics, which are found by counting cells: no table
+    of values is shuffled or buffered. A column without values has count 0.
     """
     keys = keys or []
-    long = (
-        df.select(*keys, *columns)
-        .unpivot(keys, columns, "column_name", "value")
-        .select(*keys, "column_name", clean("value").alias("value"))
-    )
     by = [*keys, "column_name"]
-    moments = long.groupBy(*by).agg(
+    long = df.select(*keys, *columns).unpivot(keys, columns, "column_name", "value")
+    moments = long.select(*by, clean("value").alias("value")).groupBy(*by).agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-
-    def spot(share: float) -> Column:
-        return (F.col("n_total") - 1) * F.lit(share)
-
-    runs = value_runs(long.filter("value is not null"), by, "value")
-    picks = []
-    for name, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-        low = F.floor(spot(share))
-        picks += [
-            value_at(low).alias(f"{name}_low"),
-            value_at(F.least(low + 1, F.col("n_total") - 1)).alias(f"{name}_high"),
-            F.max(spot(share) - low).alias(f"{name}_part"),
-        ]
-    quartiles = runs.groupBy(*by).agg(*picks)
-    blend = [
-        (F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * F.col(f"{q}_part")).alias(q)
-        for q in ("q25", "q50", "q75")
-    ]
-    return moments.join(quartiles, by, "left").select(*by, "count", "mean", "std", "min", *blend, "max")
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    places = {f"{q}_low": partial(_place, share) for q, share in shares.items()}
+    places |= {f"{q}_high": partial(_place, share, above=True) for q, share in shares.items()}
+    found = order_statistics(df, keys, columns, places)
+    blend = []
+    for q, share in shares.items():
+        part = (F.col("n") - 1) * F.lit(share) - _place(share, F.col("n"))
+        blend.append((F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * part).alias(q))
+    return moments.join(found, by, "left").select(*by, "count", "mean", "std", "min", *blend, "max")
+
+
+def _place(share: float, n: Column, above: bool = False) -> Column:
+    """The order statistic at or just below a share of n values, or the one above."""
+    low = F.floor((n - 1) * F.lit(share))
+    return F.least(low + 1, n - 1) if above else low

@@ -268,10 +268,3 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], salts: int = 64) ->
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     return rows.join(salted, [*keys, "_salt"]).drop("_salt")
-
-
-def value_at(position: Column) -> Column:
-    """Aggregate over value runs: the value at a 0-based position in value order."""
-    return F.max(
-        F.when((F.col("n") <= position) & (position < F.col("n") + F.col("n_here")), F.col("value"))
-    )
