@@ -148,14 +148,46 @@ def e7_mean_curves_wide(spark, sf):
     return curve.mean_yields(_samples(spark, sf, MANY), GROUP).drop("series_id")
 
 
-@query(sql=f"with {v.curve_samples(DRAWS, SPREAD)} select date, {MEANS} from samples group by date", doubles=TENOR_LIST)
+def _results(spark, sf):
+    """Long forecasts: a curve's coefficients as actual, one hundredth more as prediction."""
+    items = F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).alias("actual"), (F.col(c) * 1.01).alias("prediction")) for c in COEFFICIENTS])
+    return b.daily_curve(spark, sf).select(*GROUP, F.inline(items))
+
+
+def _three_tables(spark, root, horizon):
+    """All three yield tables, summed up by date and tenor."""
+    ranked = tables.read_samples(spark, f"{root}/sample_yields", horizon).groupBy("date", "tenor").agg(
+        F.count("*").alias("n_rows"), F.avg("yield_pct").alias("first"), F.sum(F.col("percentile") * F.col("yield_pct")).alias("second")
+    )
+    means = curve.to_long_yields(tables.read_samples(spark, f"{root}/mean_yields", horizon), ["date"], "first")
+    point = tables.read_samples(spark, f"{root}/yield_results", horizon)
+    pairs = [F.struct(F.lit(t).alias("tenor"), F.col(f"{t}_actual").alias("first"), F.col(f"{t}_prediction").alias("second")) for t in TENOR_NAMES]
+    one, none = F.lit(1).cast("long").alias("n_rows"), F.lit(None).cast("double").alias("second")
+    parts = {
+        "sample_yields": ranked.select("date", "tenor", "n_rows", "first", "second"),
+        "mean_yields": means.select("date", "tenor", one, "first", none),
+        "yield_results": point.select("date", F.inline(F.array(*pairs))).select("date", "tenor", one, "first", "second"),
+    }
+    tagged = [df.select(F.lit(name).alias("stored"), "*") for name, df in parts.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+THREE_TABLES = f"""with {v.curve_samples(DRAWS, SPREAD)}, {PERCENT}
+ select 'sample_yields' as stored, date, tenor, count(*) as n_rows, avg(yield_pct) as first, sum(percentile*yield_pct) as second from ranked group by date, tenor
+ union all select 'mean_yields', date, tenor, 1, avg(yield_pct), null from points group by date, tenor
+ union all select 'yield_results', date, tenor, 1, {v.curve_value('maturity', 'v1.')},
+  {v.curve_value('maturity', 'p.')} from v1 join (select date, {', '.join(f'{c}*1.01e0 as {c}' for c in COEFFICIENTS)} from v1) as p using (date) cross join tenors"""
+
+
+@query(sql=THREE_TABLES, doubles="first second", digits=5)
 def e8_stored_yield_tables(spark, sf):
-    """Samples stored, transformed to yield tables on storage, mean yields read back."""
+    """Samples and forecasts stored, both transformed to yield tables on storage, all three read back."""
     root = tables.shared_folder(spark, "yields")
     tag = F.lit("one-day-ahead").alias("horizon")
     tables.write_table(_samples(spark, sf).select(tag, "*"), f"{root}/samples", ["horizon"])
-    yields.transform_samples(spark, root, "one-day-ahead", COEFFICIENTS, DRAWS)
-    return tables.read_samples(spark, f"{root}/mean_yields", "one-day-ahead").select("date", *TENOR_NAMES)
+    tables.write_table(_results(spark, sf).select(tag, "*"), f"{root}/results", ["horizon"])
+    yields.transform_horizon(spark, root, "one-day-ahead", COEFFICIENTS, DRAWS)
+    return _three_tables(spark, root, "one-day-ahead")
 
 
 @query(sql=f"with {v.V1} select date, beta0, beta1, beta2, lambda_ from v1", doubles=COEFS, digits=6)
@@ -213,12 +245,20 @@ def a10_sample_sink(spark, sf):
     return tables.read_samples(spark, root, "one-day-ahead").groupBy(*GROUP).agg(*_coef_of())
 
 
-@query(sql=f"with {v.curve_samples(DRAWS, SPREAD)}, {PERCENT} select date, tenor, {RANK_SQL} from ranked group by date, tenor", doubles=RANK_DOUBLES)
+@query(sql=THREE_TABLES, doubles="first second", digits=5)
 def a12_yield_sinks(spark, sf):
-    root = tables.shared_folder(spark, "yield-sink")
-    ranked = curve.sample_yields(_samples(spark, sf), GROUP, max_group=DRAWS)
-    tables.write_table(ranked, root)
-    return tables.read_samples(spark, root).groupBy("date", "tenor").agg(*_rank_of())
+    """Sample, mean and point yields written by horizon and read back."""
+    root, tag = tables.shared_folder(spark, "yield-sinks"), F.lit("one-day-ahead").alias("horizon")
+    drawn = tables.materialize(_samples(spark, sf), "draws")
+    sums = [F.max(F.when(F.col("target") == c, F.col(p))).alias(f"{p}_{c}") for c in COEFFICIENTS for p in ("actual", "prediction")]
+    wide = _results(spark, sf).groupBy(*GROUP).agg(*sums)
+    for name, df in {
+        "sample_yields": curve.sample_yields(drawn, GROUP, max_group=DRAWS),
+        "mean_yields": curve.mean_yields(drawn, GROUP),
+        "yield_results": curve.point_yields(wide, GROUP),
+    }.items():
+        tables.write_table(df.select(tag, "*"), f"{root}/{name}", ["horizon"])
+    return _three_tables(spark, root, "one-day-ahead")
 
 
 @query(sql=f"with {v.curve_samples(DRAWS, SPREAD)} select date, {COEF_SQL} from samples group by date", doubles=COEF_DOUBLES)

@@ -296,6 +296,21 @@ def i6_metric_matrix(spark, sf):
     return report.metric_matrix(_comparison(spark, sf), KEYS)
 
 
+# The driver's customer segments.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_MATRIX = ", ".join(f"max(case when segment = '{x}' then value end) as \"{x}\"" for x in SEGMENTS)
+
+
+@query(
+    sql=f"with whole as ({H11}), long as (" + " union all ".join(f"select segment, '{k}' as metric, {c} as value from whole" for k, c in (("MAE", "mae"), ("RMSE", "rmse"), ("MAPE", "mape"), ("Directional_Accuracy", "directional_accuracy"))) + f") select metric, {_MATRIX} from long group by metric",
+    doubles=" ".join(SEGMENTS),
+    digits=4,
+)
+def i6_matrix_form(spark, sf):
+    """A row for each metric, a column for each segment."""
+    return report.metric_matrix(_comparison(spark, sf), KEYS, "segment", SEGMENTS)
+
+
 def _summary(spark, sf) -> DataFrame:
     rows = b.stored_forecasts(spark, sf)
     sizes = ev.metrics(ev.prepare(rows), KEYS, ev.basic_columns())

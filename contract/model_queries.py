@@ -29,13 +29,19 @@ def _fixed_fits(panel: DataFrame) -> DataFrame:
     return ridge.fixed_ridge(grams, v.PENALTIES, len(FEATURES), len(TARGETS))
 
 
+def _fits(panel: DataFrame) -> DataFrame:
+    """Six priors, all features and targets."""
+    grams = ridge.fold_grams(panel, b.PLAN, FEATURES, TARGETS)
+    return ridge.evidence_ridge(grams, len(FEATURES), len(TARGETS))
+
+
 def _scores(spark, sf) -> DataFrame:
     panel = b.panel(spark, sf)
-    return ridge.training_scores(panel, b.PLAN, _fixed_fits(panel), FEATURES, TARGETS)
+    return ridge.training_scores(panel, b.PLAN, _fits(panel), FEATURES, TARGETS)
 
 
 def _best_fits(panel: DataFrame) -> DataFrame:
-    fits = _fixed_fits(panel)
+    fits = _fits(panel)
     scored = ridge.training_scores(panel, b.PLAN, fits, FEATURES, TARGETS)
     best = scores.best_candidates(scored, KEYS, "r2_avg")
     return fits.join(best.select(*KEYS, "candidate"), [*KEYS, "candidate"])
@@ -139,7 +145,7 @@ def f6_fixed_ridge(spark, sf):
 def f6_evidence_ridge(spark, sf):
     """Six priors, seven features, four targets, by the same iteration as the SQL's recursion."""
     panel = b.panel(spark, sf)
-    fits = ridge.evidence_ridge(ridge.fold_grams(panel, b.PLAN, FEATURES, TARGETS), len(FEATURES), len(TARGETS))
+    fits = _fits(panel)
     return fits.select(*KEYS, "candidate", "n_train", *_weights(fits))
 
 
@@ -164,10 +170,10 @@ def f8_ridge_candidates(spark, sf):
 _GUESSES = [f"prediction_{t}" for t in TARGETS]
 
 
-@query(sql=f"with {v.IN_SAMPLE} select series_id, fold, candidate, pos, {', '.join(_GUESSES)} from fitted", doubles=" ".join(_GUESSES))
+@query(sql=f"with recursive {v.in_sample(v.EVIDENCE_FITS)} select series_id, fold, candidate, pos, {', '.join(_GUESSES)} from fitted", doubles=" ".join(_GUESSES))
 def f9_in_sample(spark, sf):
     panel = b.panel(spark, sf)
-    fitted = ridge.in_sample(panel, b.PLAN, _fixed_fits(panel), FEATURES, TARGETS)
+    fitted = ridge.in_sample(panel, b.PLAN, _fits(panel), FEATURES, TARGETS)
     return fitted.select(*KEYS, "candidate", "pos", *_GUESSES)
 
 
@@ -181,17 +187,17 @@ def f11_euclidean_rmse(spark, sf):
     return scores.vector_scores(b.vectors(spark, sf), ["label"]).select("label", "euclidean_rmse")
 
 
-@query(sql=f"with {v.SCORES} select series_id, fold, candidate, r2_avg from scores", doubles="r2_avg")
+@query(sql=f"with recursive {v.scores(v.EVIDENCE_FITS)} select series_id, fold, candidate, r2_avg from scores", doubles="r2_avg")
 def f12_r2_average(spark, sf):
     return _scores(spark, sf).select(*KEYS, "candidate", "r2_avg")
 
 
-@query(sql=f"with {v.SCORES} select series_id, fold, candidate, r2_flat from scores", doubles="r2_flat")
+@query(sql=f"with recursive {v.scores(v.EVIDENCE_FITS)} select series_id, fold, candidate, r2_flat from scores", doubles="r2_flat")
 def f13_r2_flat(spark, sf):
     return _scores(spark, sf).select(*KEYS, "candidate", "r2_flat")
 
 
-@query(sql=f"with {v.SCORES} select * from scores", doubles="cosine_similarity euclidean_rmse r2_avg r2_flat")
+@query(sql=f"with recursive {v.scores(v.EVIDENCE_FITS)} select * from scores", doubles="cosine_similarity euclidean_rmse r2_avg r2_flat")
 def f13_all_scores(spark, sf):
     return _scores(spark, sf)
 
@@ -201,7 +207,7 @@ def f14_log_marginal_likelihood(spark, sf):
     return _gaussian(spark, sf).scores.select(*KEYS, "candidate", "params", "log_marginal_likelihood")
 
 
-@query(sql=f"with {v.BEST} select series_id, fold, candidate, r2_avg, cosine_similarity from best", doubles="r2_avg cosine_similarity")
+@query(sql=f"with recursive {v.best(v.EVIDENCE_FITS, 'r2_avg')} select series_id, fold, candidate, r2_avg, cosine_similarity from best", doubles="r2_avg cosine_similarity")
 def f15_best_candidate(spark, sf):
     best = scores.best_candidates(_scores(spark, sf), KEYS, "r2_avg")
     return best.select(*KEYS, "candidate", "r2_avg", "cosine_similarity")
@@ -243,6 +249,18 @@ def g1_fixed_predictions(spark, sf):
     return _narrow(spark, sf).long()
 
 
+@query(
+    sql=f"with recursive {v.best(v.EVIDENCE_FITS, 'cosine_similarity')} select s.series_id, s.fold, b.candidate as best_candidate, b.n_train, {len(FEATURES)} as n_features, 6 as n_candidates, s.candidate, s.cosine_similarity, s.euclidean_rmse, s.r2_avg, s.r2_flat from scores s join best b using (series_id, fold)",
+    doubles="cosine_similarity euclidean_rmse r2_avg r2_flat",
+)
+def f16_ridge_summary(spark, sf):
+    """Winners and the scores of all candidates."""
+    summary = _ridge(spark, sf).summary()
+    rows = summary.withColumn("n_candidates", F.size("available_candidates").cast("long")).withColumn("s", F.explode("candidate_scores"))
+    each = ["candidate", "cosine_similarity", "euclidean_rmse", "r2_avg", "r2_flat"]
+    return rows.select(*KEYS, "best_candidate", "n_train", "n_features", "n_candidates", *[f"s.{c}" for c in each])
+
+
 @query()
 def f16_model_summary(spark, sf):
     return _gaussian(spark, sf).summary()
@@ -257,24 +275,29 @@ def _importance(fits: str) -> str:
 @query(sql=f"with recursive {_importance(v.EVIDENCE_FITS)} select * from importance", doubles="importance")
 def f17_feature_importance(spark, sf):
     panel = b.panel(spark, sf)
-    fits = ridge.evidence_ridge(ridge.fold_grams(panel, b.PLAN, FEATURES, TARGETS), len(FEATURES), len(TARGETS))
+    fits = _fits(panel)
     return ridge.coefficient_importance(fits, [*KEYS, "candidate"], FEATURES)
 
 
 @query(
-    sql=f"with {_importance(v.FIXED_FITS)} select series_id, fold, candidate, feature, importance, place::int as rank from (select *, row_number() over (partition by series_id, fold, candidate order by importance desc, feature) as place from importance) as placed where place <= 5",
+    sql=f"with recursive {_importance(v.EVIDENCE_FITS)} select series_id, fold, candidate, feature, importance, place::int as rank from (select *, row_number() over (partition by series_id, fold, candidate order by importance desc, feature) as place from importance) as placed where place <= 5",
     doubles="importance",
 )
 def f18_top_features(spark, sf):
-    ranked = ridge.coefficient_importance(_fixed_fits(b.panel(spark, sf)), [*KEYS, "candidate"], FEATURES)
+    ranked = ridge.coefficient_importance(_fits(b.panel(spark, sf)), [*KEYS, "candidate"], FEATURES)
     return scores.top_features(ranked, [*KEYS, "candidate"], 5)
 
 
-@query(sql=f"with {v.AHEAD} select series_id, fold, candidate, pos, {', '.join(_GUESSES)} from predicted", doubles=" ".join(_GUESSES))
+@query(
+    sql=f"with recursive {v.spread('r2_avg')} select series_id, fold, candidate, pos, {', '.join(_GUESSES)}, "
+    + ", ".join(f"max(case when t = {j} then std end) as std_{t}" for j, t in enumerate(TARGETS))
+    + " from predicted join spreads using (series_id, fold, pos) group by all",
+    doubles=" ".join([*_GUESSES, *[f"std_{t}" for t in TARGETS]]),
+)
 def g2_ridge_predict(spark, sf):
     panel = b.panel(spark, sf)
-    predicted = ridge.predict(panel, b.PLAN, _best_fits(panel), FEATURES, TARGETS, "row_spread")
-    return predicted.select(*KEYS, "candidate", "pos", *_GUESSES)
+    predicted = ridge.predict(panel, b.PLAN, _best_fits(panel), FEATURES, TARGETS)
+    return predicted.select(*KEYS, "candidate", "pos", *_GUESSES, *[f"std_{t}" for t in TARGETS])
 
 
 @query()
@@ -282,7 +305,7 @@ def g1_gaussian_predict(spark, sf):
     return _gaussian(spark, sf).long()
 
 
-@query(sql=f"with {v.SCORES} select series_id, fold, candidate, r2_flat, r2_flat/sum(r2_flat) over (partition by series_id, fold) as share from scores", doubles="r2_flat share")
+@query(sql=f"with recursive {v.scores(v.EVIDENCE_FITS)} select series_id, fold, candidate, r2_flat, r2_flat/sum(r2_flat) over (partition by series_id, fold) as share from scores", doubles="r2_flat share")
 def i7_score_share(spark, sf):
     return report.score_share(_scores(spark, sf), KEYS, "r2_flat")
 

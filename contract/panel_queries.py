@@ -323,3 +323,17 @@ def a9_date_from_path(spark, sf):
         .groupBy("year")
         .agg(F.count("*").alias("n_dates"), F.avg("beta0").alias("mean_beta0"))
     )
+
+
+@query(
+    sql=f"with {v.V1} select make_date(year(date), 12, 31) as date, count(*) as n_dates, avg(beta0) as mean_beta0 from v1 group by all",
+    doubles="mean_beta0",
+)
+def a9_dated_files(spark, sf):
+    """One table for each year of curves, named after its last day and without a date inside."""
+    path = tables.shared_folder(spark, "dated-files")
+    curves = tables.materialize(b.daily_curve(spark, sf), "daily-curve")
+    for row in curves.select(F.year("date").alias("year")).distinct().collect():
+        curves.where(F.year("date") == row.year).drop("date").write.parquet(f"{path}/{row.year}-12-31.parquet")
+    stored = tables.read_dated_files(spark, f"{path}/*")
+    return stored.groupBy("date").agg(F.count("*").alias("n_dates"), F.avg("beta0").alias("mean_beta0"))

@@ -212,11 +212,11 @@ def ahead(fits: str, metric: str) -> str:
   from ahead join best using (series_id, fold) join fits using (series_id, fold, candidate))"""
 
 
-def spread() -> str:
+def spread(metric: str = "cosine_similarity") -> str:
     """Standard deviations of the best evidence fits' predictions, by target number: noise and weight uncertainty."""
     away = [f"({x} - m{i})" for i, x in enumerate(FEATURES)]
     form = " + ".join(f"{1 if i == j else 2}*s{i}_{j}*{away[i]}*{away[j]}" for i, j in _symmetric(_P))
-    return f"""{ahead(EVIDENCE_FITS, "cosine_similarity")}, spreads as (select series_id, fold, pos, t, sqrt((1e0 - ({form}))/al) as std
+    return f"""{ahead(EVIDENCE_FITS, metric)}, spreads as (select series_id, fold, pos, t, sqrt((1e0 - ({form}))/al) as std
   from ahead join best using (series_id, fold) join solved using (series_id, fold, candidate))"""
 
 

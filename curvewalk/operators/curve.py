@@ -215,7 +215,7 @@ def compare_curves(observed: DataFrame, predicted: DataFrame, keys: list[str]) -
     return a.join(p, [*keys, "tenor"]).withColumn("error", F.col("actual") - F.col("prediction"))
 
 
-DIPS, CLOSE, GRID, FINER, ROOTS = 5, 3, 481, 64, 32
+DIPS, CLOSE, GRID, FINER, ROOTS = 5, 3, 481, 64, 72
 FIT = "beta0 double, beta1 double, beta2 double, lambda_ double"
 
 
@@ -251,28 +251,34 @@ def _misfits(lams: np.ndarray, years: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _left(scaled: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(residuals, betas) of each curve for its lambda times maturity."""
+def _left(scaled: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(residuals, betas, orthonormal loadings) of each curve for its lambda times maturity."""
     q, r = np.linalg.qr(_loadings(scaled))
     weak = _weak(r)
     q = q * ~weak[:, None, :]
     reached = np.einsum("cpk,cp->ck", q, y)
     betas = np.linalg.solve(np.where(weak[:, :, None], np.eye(3), r), reached[:, :, None])[:, :, 0]
-    return y - np.einsum("cpk,ck->cp", q, reached), betas
+    return y - np.einsum("cpk,ck->cp", q, reached), betas, q
 
 
 def _slope(log_lam: np.ndarray, years: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Half the derivative of each curve's residual by the logarithm of its lambda; the best betas' own change has no part in it."""
+    """Half the derivative of each curve's residual by the logarithm of its lambda.
+
+    The best betas' own change has no part in it. Where the curvature is small, the loadings' derivative lies nearly in
+    their own space, and only what lies across keeps its digits.
+    """
     scaled = np.exp(log_lam)[:, None] * years
-    left, betas = _left(scaled, y)
+    left, betas, q = _left(scaled, y)
     decay = np.exp(-scaled)
     bent = decay + np.expm1(-scaled) / scaled  # of the slope loading; the curvature's has scaled * decay more
-    return -(left * (betas[:, 1:2] * bent + betas[:, 2:3] * (bent + scaled * decay))).sum(axis=1)
+    moved = betas[:, 1:2] * bent + betas[:, 2:3] * (bent + scaled * decay)
+    across = moved - np.einsum("cpk,ck->cp", q, np.einsum("cpk,cp->ck", q, moved))
+    return -(left * across).sum(axis=1)
 
 
 def _bottoms(low: np.ndarray, high: np.ndarray, years: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Where the residuals' slopes vanish between the logarithms low and high: secants that give way at the end
-    that stays (Illinois), halving every fourth step."""
+    that stays (Illinois), halving every other step."""
     low, high, open_ = low.copy(), high.copy(), np.arange(len(low))
     at_low, at_high, kept = _slope(low, years, y), _slope(high, years, y), np.zeros(len(low), dtype=int)
     middle = (low + high) / 2
@@ -280,7 +286,7 @@ def _bottoms(low: np.ndarray, high: np.ndarray, years: np.ndarray, y: np.ndarray
         a, b, fa, fb = low[open_], high[open_], at_low[open_], at_high[open_]
         with np.errstate(divide="ignore", invalid="ignore"):
             secant = b - fb * (b - a) / (fb - fa)
-        inside = np.isfinite(secant) & (secant > a) & (secant < b) & (step % 4 < 3)
+        inside = np.isfinite(secant) & (secant > a) & (secant < b) & (step % 2 == 0)
         at = np.where(inside, secant, (a + b) / 2)
         here = _slope(at, years, y[open_])
         right = here > 0
@@ -319,7 +325,7 @@ def _solve_alike(years: np.ndarray, y: np.ndarray) -> np.ndarray:
     # Where the slope's sign is rounding, the finer grid's best stays.
     found = np.concatenate([_bottoms(low, high, years, y[curve]), least])
     curve = np.concatenate([curve, curve])
-    left, _ = _left(np.exp(found)[:, None] * years, y[curve])
+    left, *_ = _left(np.exp(found)[:, None] * years, y[curve])
     order = np.lexsort(((left * left).sum(axis=1), curve))
     first = np.r_[True, curve[order][1:] != curve[order][:-1]]
     return np.exp(found[order[first]])

@@ -90,12 +90,12 @@ def read_samples(spark: SparkSession, root: str, horizon: str | None = None) ->
 
 
 def read_dated_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files named ``<date>.parquet`` without a date column: the date comes from the file name.
+    """Files or tables named ``<date>.parquet`` without a date column: the date comes from the name.
 
-    The name counts up to its first dot. Hadoop file systems do not allow ``:`` in names, so a time
-    of day cannot be part of it.
+    A table is the folder that Spark writes for one. The name counts up to its first dot. Hadoop file systems do not
+    allow ``:`` in names, so a time of day cannot be part of it.
     """
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/.]+)(?:\.[^/]*)?\.parquet(?:/[^/]*)?$", 1)
     df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
     return df.select("*", F.to_date(stem).alias("date"))
 
