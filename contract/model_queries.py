@@ -413,6 +413,15 @@ def c8_single_step_layout(spark, sf):
     return done.filter("std_beta0_future_val > 0").select(*KEYS, "date", "pos", "k", "retrain", *_ACTUALS)
 
 
+@query(
+    sql=f"with recursive {v.LAST_SPREAD} select series_id, date, pos, 0 as k, fold, true as retrain, candidate, {_WIDE} from predicted join spreads using (series_id, fold, pos) group by all",
+    doubles=_WIDE_NAMES,
+)
+def c8_ridge_single_step(spark, sf):
+    """The last window of every series only: fits, choice, predictions and deviations."""
+    return _ridge(spark, sf, WalkForward(b.PLAN.window, 100, 30, last_n=1)).forecasts
+
+
 @query()
 def c8_single_step(spark, sf):
     """The last window of every series only."""

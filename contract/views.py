@@ -111,25 +111,27 @@ def _solved(rows: str, shift: str, size: int) -> str:
     return f"select *, {', '.join(f'-({x}) as w{i}' for i, x in enumerate(w))} from ({swept}) as inverted"
 
 
-def _moments() -> str:
+def _moments(train: str) -> str:
     """Counts, means and centred product sums of each fold's training rows."""
     found = ["count(*) as n", *[f"avg({x}) as m{i}" for i, x in enumerate(FEATURES)]]
     found += [f"covar_pop({FEATURES[i]}, {FEATURES[j]})*count(*) as a{i}_{j}" for i, j in _symmetric(len(FEATURES))]
     for t in TARGETS:
         found += [f"avg({t}) as m_{t}", f"var_pop({t})*count(*) as yy_{t}"]
         found += [f"covar_pop({x}, {t})*count(*) as b{i}_{t}" for i, x in enumerate(FEATURES)]
-    return f"{TRAIN}, moments as (select series_id, fold, {', '.join(found)} from train group by series_id, fold)"
+    return f"{train}, moments as (select series_id, fold, {', '.join(found)} from train group by series_id, fold)"
 
 
 _P = len(FEATURES)
 _A = ", ".join(f"a{i}_{j}" for i, j in _symmetric(_P))
 _B = ", ".join(f"b{i}" for i in range(_P))
 _MEANS = ", ".join(f"m{i}" for i in range(_P))
-#: Moments of one target a row.
-SYSTEMS = f"{_moments()}, systems as (" + " union all ".join(
-    f"select series_id, fold, n, {j} as t, {_MEANS}, m_{t} as y_mean, yy_{t} as yy, {_A}, {', '.join(f'b{i}_{t} as b{i}' for i in range(_P))} from moments"
-    for j, t in enumerate(TARGETS)
-) + ")"
+def _systems(train: str) -> str:
+    """Moments of one target a row."""
+    each = [
+        f"select series_id, fold, n, {j} as t, {_MEANS}, m_{t} as y_mean, yy_{t} as yy, {_A}, {', '.join(f'b{i}_{t} as b{i}' for i in range(_P))} from moments"
+        for j, t in enumerate(TARGETS)
+    ]
+    return f"{_moments(train)}, systems as ({' union all '.join(each)})"
 
 
 def _wide(source: str) -> str:
@@ -145,10 +147,10 @@ def _wide(source: str) -> str:
 def _fixed() -> str:
     grid = ", ".join(f"('{k}', {i}, {v!r}::double)" for i, (k, v) in enumerate(PENALTIES.items()))
     solved = _solved("select * from systems cross join grid", "penalty", _P)
-    return f"{SYSTEMS}, grid(candidate, ordinal, penalty) as (values {grid}), solved as ({solved}), fits as ({_wide('solved')})"
+    return f"{_systems(TRAIN)}, grid(candidate, ordinal, penalty) as (values {grid}), solved as ({solved}), fits as ({_wide('solved')})"
 
 
-def _evidence() -> str:
+def evidence(train: str) -> str:
     """Evidence maximisation of six priors as a recursion: noise precision al and weight precision la by turns with w."""
     grid = ", ".join(f"('{k}', {i}, {v!r}::double)" for i, (k, v) in enumerate(PRIORS.items()))
     keys = "series_id, fold, candidate, ordinal, prior, t, n, yy, y_mean"
@@ -162,11 +164,16 @@ def _evidence() -> str:
     again = f"(v0 is null or {moved} >= {ROUND_TOLERANCE}) and round + 1 < {ROUNDS}"
     more = f"select {keys}, {_MEANS}, {_A}, {_B}, (n - gamma + 2*prior)/(sse + 2*prior) as al, (gamma + 2*prior)/(ww + 2*prior) as la, {', '.join(w)}, {again} as running, round + 1 as round from ({step}) as stepped"
     final = _solved("select * from evidence where not running", "la/al", _P)
-    return f"""{SYSTEMS}, grid(candidate, ordinal, prior) as (values {grid}), evidence as ({start} union all {more}),
+    return f"""{_systems(train)}, grid(candidate, ordinal, prior) as (values {grid}), evidence as ({start} union all {more}),
  solved as ({final}), fits as ({_wide('solved')})"""
 
 
-FIXED_FITS, EVIDENCE_FITS = _fixed(), _evidence()
+FIXED_FITS, EVIDENCE_FITS = _fixed(), evidence(TRAIN)
+#: One fold a series, before its last row.
+LAST = f"""{V3}, folds as (select distinct series_id, 0 as fold, pos_total - 1 as fit_end from v3 where pos_total > {_W}),
+ train as (select v3.*, fold from v3 join folds on v3.series_id = folds.series_id and v3.pos >= fit_end - {_W} and v3.pos < fit_end)"""
+_EVERY = f"select *, (pos - {_W}) // {_R} as fold from v3 where pos >= {_W}"
+_LAST = f"select *, 0 as fold from v3 where pos = pos_total - 1 and pos >= {_W}"
 _GUESS = ", ".join(
     f"w0_{t} + " + " + ".join(f"w{i}_{t}*{x}" for i, x in enumerate(FEATURES, 1)) + f" as prediction_{t}" for t in TARGETS
 )
@@ -204,22 +211,23 @@ def best_of(scored: str, metric: str) -> str:
   order by {metric} desc, cosine_similarity desc, ordinal) as place from scores) as placed where place = 1)"""
 
 
-def ahead(fits: str, metric: str) -> str:
+def ahead(fits: str, metric: str, rows: str = _EVERY) -> str:
     """Predictions of the best candidates for the rows of their folds."""
     actual = ", ".join(f"{t} as actual_{t}" for t in TARGETS)
-    return f"""{best(fits, metric)}, ahead as (select *, (pos - {_W}) // {_R} as fold from v3 where pos >= {_W}),
+    return f"""{best(fits, metric)}, ahead as ({rows}),
  predicted as (select series_id, fold, candidate, pos, date, {actual}, {_GUESS}
   from ahead join best using (series_id, fold) join fits using (series_id, fold, candidate))"""
 
 
-def spread(metric: str = "cosine_similarity") -> str:
+def spread(metric: str = "cosine_similarity", train: str = TRAIN, rows: str = _EVERY) -> str:
     """Standard deviations of the best evidence fits' predictions, by target number: noise and weight uncertainty."""
     away = [f"({x} - m{i})" for i, x in enumerate(FEATURES)]
     form = " + ".join(f"{1 if i == j else 2}*s{i}_{j}*{away[i]}*{away[j]}" for i, j in _symmetric(_P))
-    return f"""{ahead(EVIDENCE_FITS, metric)}, spreads as (select series_id, fold, pos, t, sqrt((1e0 - ({form}))/al) as std
+    return f"""{ahead(evidence(train), metric, rows)}, spreads as (select series_id, fold, pos, t, sqrt((1e0 - ({form}))/al) as std
   from ahead join best using (series_id, fold) join solved using (series_id, fold, candidate))"""
 
 
+LAST_SPREAD = spread(train=LAST, rows=_LAST)
 SCORES = scores(FIXED_FITS)
 IN_SAMPLE = in_sample(FIXED_FITS)
 BEST = best(FIXED_FITS, "r2_avg")

@@ -141,9 +141,9 @@ def gaussian_backtest(
     grid: KernelGrid | None = None,
     inducing: int | None = None,
     standardize: bool = False,
-    store: bool = False,
+    store: bool = True,
 ) -> Backtest:
-    """Gaussian-process family. ``store`` keeps the fits when several outputs follow."""
+    """Gaussian-process family. ``store`` keeps the fits, so that several outputs don't fit again."""
     check_metric(metric)
     fits = gaussian.fit_predict(panel, plan, features, targets, kernels, grid, inducing, standardize)
     if store:
