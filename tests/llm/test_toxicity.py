@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
 
+from curvewalk.llm.queries import QUERIES
 from curvewalk.llm.toxicity import Lexicon, fit, fold, learn, score_toxicity
 
 
@@ -51,3 +54,62 @@ def test_labels_with_gaps(spark, odd):
     labels = spark.createDataFrame([(0, 1), (0, 0), (None, 1), (2, None), (3, 7)], "doc_id long, toxic int")
     assert score_toxicity(odd, fit(odd, labels)).count() == odd.count()
     assert score_toxicity(odd, fit(odd, labels.limit(0))).count() == odd.count()
+
+
+def plain_hits(lexicon, text):
+    """Weights of words hit, by trying every term and every exception at every place."""
+    folded, best = fold(text), {}
+    for at in range(len(folded)):
+        mine = [w for t, w in lexicon.weights.items() if folded.startswith(t, at)]
+        if mine:
+            best[at] = max(mine)
+    for phrase in lexicon.exceptions:
+        for at in range(len(folded)):
+            if folded.startswith(phrase, at):
+                best = {s: w for s, w in best.items() if not at <= s < at + len(phrase) - 1}
+    return best
+
+
+def plain_score(lexicon, text):
+    best = plain_hits(lexicon, text)
+    words, total = len(fold(text).split()), sum(best.values())
+    z = lexicon.curve[0] + lexicon.curve[1] * math.log1p(total) + lexicon.curve[2] * math.log1p(100 * total / (words + 20))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), len(best)
+
+
+def test_matches_equal_trying_every_term_everywhere():
+    pick = random.Random(5)
+    word = lambda: "".join(pick.choice("ab") for _ in range(pick.randint(1, 6)))
+    for _ in range(60):
+        terms = {f" {word()}{pick.choice(['', ' '])}": pick.uniform(1, 5) for _ in range(12)}
+        lexicon = Lexicon(terms, [f" {word()} {word()} " for _ in range(6)], [-1.0, 0.5, 0.2])
+        for _ in range(10):
+            text = " ".join(word() for _ in range(pick.randint(0, 40)))
+            best = plain_hits(lexicon, text)
+            total, hits = lexicon.hits(fold(text))
+            assert hits == len(best) and math.isclose(total, sum(best.values()), abs_tol=1e-9)
+
+
+def test_whole_query_equals_plain_scores_and_weights(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in QUERIES["op1_toxicity"](spark, folder).collect():
+        score, hits = plain_score(lexicon, texts[r.doc_id])
+        assert math.isclose(r.score, score, abs_tol=1e-9) and r.hits == hits and r.predicted == int(score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    # Every weight is the log odds of its term among the rows that aren't held out.
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    rows = [(fold(texts[i]), y) for i, y in known.items() if i in texts]
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    assert len(lexicon.weights) > 3
+    for term, weight in lexicon.weights.items():
+        inside = [sum(term in t for t, y in rows if y == k) for k in (0, 1)]
+        contexts = set()
+        for t, y in rows:
+            words = t.split()
+            if y:
+                contexts |= {(a, b) for a, w, b in zip(["", *words], words, [*words[1:], ""]) if f" {w} ".startswith(term)}
+        want = math.log((min(len(contexts), inside[1]) + 0.5) / n[1]) - math.log((inside[0] + 0.5) / n[0])
+        assert math.isclose(weight, want, abs_tol=1e-9), term
