@@ -17,7 +17,7 @@ from curvewalk.llm.quality import judge_quality
 from curvewalk.llm.simhash import near_duplicates
 from curvewalk.llm.substrings import remove_repeats
 from curvewalk.llm.tables import body_key, free_name
-from curvewalk.sources.tables import materialize
+from curvewalk.sources.tables import materialize, scratch, shared_folder
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -94,9 +94,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what one stores on its way is removed once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{number}")
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        path = shared_folder(spark, f"stage-{number}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException
@@ -112,14 +115,36 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, mode: str
         df.hint("rebalance").write.mode(mode).parquet(path)
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Store an expensive stage in the shared folder so that several outputs read it back."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``materialize`` stores inside is removed at the end, also after an error.
+
+    Results that are still lazy read those tables, so they must be written before the end, to a folder of their own.
+    """
+    held: list[str] = []
+    token = _SCRATCH.set(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in held:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_metrics_json(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     metrics.write.mode(mode).option("ignoreNullFields", False).json(path)
 

@@ -129,3 +129,21 @@ def test_whole_run_from_stored_panel_to_yields(spark, tmp_path):
     assert points.count() == 60 and points.filter("DGS10_actual is null or DGS10_prediction is null").count() == 0
     with pytest.raises(ValueError):
         forecast_horizon(spark, panel, str(tmp_path / "features.json"), "one-day-ahead", WalkForward(30), "forest")
+
+
+def test_scratch_tables_go_and_results_stay(spark, tmp_path):
+    from pathlib import Path
+
+    path = f"{tmp_path}/kept.parquet"
+    with tables.scratch(spark):
+        stored = tables.materialize(spark.range(5), "passing")
+        folder = Path(stored.inputFiles()[0].removeprefix("file:")).parent
+        stored.write.parquet(path)
+        assert folder.exists()
+    assert not folder.exists() and spark.read.parquet(path).count() == 5
+    with pytest.raises(ZeroDivisionError), tables.scratch(spark):
+        folder = Path(tables.materialize(spark.range(5), "lost").inputFiles()[0].removeprefix("file:")).parent
+        raise ZeroDivisionError
+    assert not folder.exists()
+    outside = tables.materialize(spark.range(3), "kept")
+    assert outside.count() == 3
