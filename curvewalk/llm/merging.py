@@ -122,9 +122,10 @@ def _recall(keys: set[str], known: dict[str, bytes], older: dict[str, bytes]) ->
 
 
 class BatchCoder:
-    """Encodes texts by the batch, merging only words not seen before."""
+    """Encodes texts by the batch, merging only words not seen before; chunks and words bound what it remembers."""
 
-    def __init__(self, vocabulary: Tokenizer):
+    def __init__(self, vocabulary: Tokenizer, chunks: int = CHUNKS, words: int = WORDS):
+        self.most_chunks, self.most_words = chunks, words
         if not vocabulary.closed:
             raise ValueError("this coder is for vocabularies with word ends")
         self.vocabulary, self.merger = vocabulary, Merger(vocabulary)
@@ -138,7 +139,7 @@ class BatchCoder:
         """Ids of chunks that aren't known yet; chunks hold no white space."""
         new = _recall(chunks, self.chunks, self.older_chunks)
         marked = self.splitter.words(self.vocabulary.normal("\n".join(new)))
-        if len(self.words) > WORDS:
+        if len(self.words) > self.most_words:
             self.words, self.older_words = {}, self.words
         unknown = _recall(set(marked).difference(self.words, "\n"), self.words, self.older_words)
         self.words.update(zip(unknown, self.merger.encode([w.encode() for w in unknown])))
@@ -154,7 +155,7 @@ class BatchCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > CHUNKS:
+        if len(self.chunks) > self.most_chunks:
             self.chunks, self.older_chunks = {}, self.chunks
         cut = [[(special, piece if special is not None else self.vocabulary.chunks(piece)) for piece, special in self.vocabulary.pieces(t)] for t in texts]
         seen: set[str] = set()
@@ -176,5 +177,5 @@ class BatchCoder:
 
 
 @lru_cache(maxsize=2)
-def batch_coder(path: str) -> BatchCoder:
-    return BatchCoder(tokenizer(path))
+def batch_coder(path: str, chunks: int = CHUNKS, words: int = WORDS) -> BatchCoder:
+    return BatchCoder(tokenizer(path), chunks, words)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curvewalk.llm.tables import numbered
 from curvewalk.sources.tables import materialize
 
 WORD = r"[^\x20\x09-\x0D]++"
@@ -115,14 +116,9 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float,
     sizes by weight, none above most times its size; what such limits leave over is shared again by the others.
     The level at which the shares stand is raised until it holds; the driver sees sums alone.
     """
-    ordered = sources.orderBy(F.col("source").asc_nulls_last())
-    ordered = materialize(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "sources")
-    parts = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions, not rows
-    parts = parts.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights)).cast("int"))
-    placed = ordered.join(parts, "part").withColumn("place", F.col("at") + F.col("shift"))
-    placed = materialize(placed.select("source", "source_size", "place", weight.alias("weight")), "weighted")
+    placed = numbered(sources, "source").select("source", "source_size", "place", weight.alias("weight"))
+    placed = materialize(placed, "weighted")
     limit = F.col("source_size") * most
     level, reached = 0.0, -1
     whole = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curvewalk.llm.merging import batch_coder
-from curvewalk.llm.tables import _arrow_schema
+from curvewalk.llm.merging import CHUNKS, WORDS, batch_coder
+from curvewalk.llm.tables import _arrow_schema, numbered
 from curvewalk.sources.tables import materialize
 
-#: Queues at most: sources beyond that share one by their hash. It bounds the table of totals.
+#: Queues at most. Sources are numbered and each has a queue of its own up to there; of more, those that are so many
+#: numbers apart share one. It bounds the table of totals.
 QUEUES = 256
 #: Rows of the table of queue positions up to which it is broadcast; beyond, the join is left to Spark.
 SMALL = 200_000
@@ -122,24 +123,31 @@ class Mixture:
 
 
 def tokens_by_queue(
-    docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, source_col: str, name: str = "tokens"
+    docs: DataFrame,
+    vocabulary: str,
+    end_id: int,
+    id_col: str,
+    text_col: str,
+    source_col: str,
+    remembered: tuple[int, int] = (CHUNKS, WORDS),
 ) -> DataFrame:
     """Ids of every text with the closing id, written once: (doc_id, queue, part, before, n_tokens, ids).
 
     before counts the tokens of the queue in earlier rows of the same part of the file.
     """
+    source = F.col(f"`{source_col}`").cast("string").alias("source")
+    numbers = materialize(numbered(docs.select(source).distinct(), "source"), "sources")
+    numbers = numbers.select(F.col("source").alias("own"), (F.col("place") % QUEUES).cast("int").alias("queue"))
     slim = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.col(f"`{source_col}`").cast("string")), F.lit(QUEUES)).cast("int").alias("queue"),
-        F.spark_partition_id().alias("part"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), source
     )
+    slim = slim.join(numbers, slim["source"].eqNullSafe(numbers["own"])).select("doc_id", "text", "queue", F.spark_partition_id().alias("part"))
     schema = "doc_id long, queue int, part int, before long, n_tokens long, ids binary"
     fields = _arrow_schema(docs, schema)
     closing = end_id.to_bytes(4, "little")
 
     def run(batches):
-        code, counts = batch_coder(vocabulary), {}
+        code, counts = batch_coder(vocabulary, *remembered), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -152,7 +160,7 @@ def tokens_by_queue(
                 columns = [batch.column(0), batch.column(2), parts, before, sizes, [_narrow(x) for x in ids]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=fields)
 
-    return materialize(slim.mapInArrow(run, schema), name)
+    return materialize(slim.mapInArrow(run, schema), "tokens")
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -174,6 +182,7 @@ def pack(
     text_col: str = "text",
     source_col: str = "source",
     with_ids: bool = False,
+    remembered: tuple[int, int] = (CHUNKS, WORDS),
 ) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue[, ids]).
 
@@ -181,14 +190,15 @@ def pack(
     proportions of the sources (deficit round-robin; a queue's tokens in a window differ from its exact share
     by less than the number of queues). Each id lies in one piece; sequences are gapless. Only the last
     window can fall short; it is cut into sequences of power-of-two lengths, so nothing is padded. A null text
-    counts as empty and has end_id alone; a null source is a source of its own. Sources whose hashes meet
-    modulo QUEUES share a queue. Repeated rows are packed each; an empty table gives no rows. Other columns
+    counts as empty and has end_id alone; a null source is a source of its own. Of more than QUEUES
+    sources some share a queue. Repeated rows are packed each; an empty table gives no rows. Other columns
     are ignored.
 
-    Texts are encoded once. Positions in a queue come from counts per file part, so a hot source is spread
+    Texts are encoded once; remembered bounds the chunks and words whose ids a worker keeps, in each of two generations,
+    and trades its memory for time. Positions in a queue come from counts per file part, so a hot source is spread
     over all parts; the totals of at most QUEUES queues are all the driver sees.
     """
-    tokens = tokens_by_queue(docs, vocabulary, end_id, id_col, text_col, source_col)
+    tokens = tokens_by_queue(docs, vocabulary, end_id, id_col, text_col, source_col, remembered)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("tokens"))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("queue", "part", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))

@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from curvewalk.sources.tables import materialize
 
 Rows = Iterator[pa.RecordBatch]
 
@@ -32,6 +35,19 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def numbered(values: DataFrame, column: str) -> DataFrame:
+    """values with place: the dense number of each row by order of code points, null last; column holds no value twice.
+
+    Rows are ranged over partitions and numbered inside them; only counts of partitions are added up.
+    """
+    ordered = values.orderBy(F.col(column).asc_nulls_last())
+    ordered = materialize(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ordered")
+    parts = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions, not rows
+    parts = parts.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return ordered.join(parts, "part").withColumn("place", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFrame:
     """Run fn over Arrow batches. It gets one Arrow array a column and returns a column for each name of schema.
 

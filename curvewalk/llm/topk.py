@@ -54,7 +54,7 @@ class Block:
         self.row = np.repeat(np.arange(len(lengths)), lengths)
         self.term = np.arange(len(weights)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.weight = weights
-        self.largest = int(np.abs(weights).max(initial=0))
+        self.largest = max(int(weights.max(initial=0)), -int(weights.min(initial=0)))  # the least 64-bit number has no abs
         self.terms = int(lengths.max(initial=0))
 
     def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -127,6 +128,24 @@ def test_packing_of_mixed_sources(spark):
         assert all(abs(own[q] - 64 * s) < len(share) for q, s in share.items())
 
 
+@pytest.mark.parametrize("sources", [60, 256])
+def test_every_source_has_its_share_of_every_window(spark, sources):
+    texts = [(i, t, f"source {i % sources}" if i % sources else None) for i, t in enumerate(mixed(3 * sources, 7))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(3)
+    rows = pack(docs, WORDS, size=2048).collect()
+    sequences, _ = check_packing(rows, [(i, t) for i, t, _ in texts], 2048)
+    source = {i: s for i, _, s in texts}
+    assert len({(source[r.doc_id], r.queue) for r in rows}) == sources == len({r.queue for r in rows})
+    total, share = sum(r.length for r in rows), Counter()
+    for r in rows:
+        share[source[r.doc_id]] += r.length
+    for number in range(total // 2048):
+        own = Counter()
+        for r in sequences[number]:
+            own[source[r.doc_id]] += r.length
+        assert all(abs(own[s] - 2048 * n / total) <= 2 for s, n in share.items())
+
+
 def test_packing_of_odd_rows(spark, odd, none):
     assert pack(none, WORDS).count() == 0
     rows = pack(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), WORDS, size=128, with_ids=True).collect()

@@ -46,3 +46,14 @@ def test_scores_that_do_not_fit_raise(spark):
     df = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="(?i)overflow|fit"):
         top_k(df).collect()
+
+
+def test_the_least_number_is_seen_as_too_large():
+    import numpy as np
+
+    from curvewalk.llm.topk import Block, best_in_block
+
+    least = np.array([np.iinfo(np.int64).min, 3]).tobytes()
+    one, two = np.array([1]).tobytes(), np.array([2]).tobytes()
+    with pytest.raises(OverflowError):
+        best_in_block(Block(one, one, two, least), Block(two, two, two, least), 1)
