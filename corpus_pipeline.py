@@ -77,8 +77,11 @@ def personal_data_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens in the mixture of the sources, one row per piece."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
+    """Sequences of 2048 tokens in the mixture of the sources, one row per piece.
+
+    Workers also hold what the other stages need, so they remember fewer words than packing alone would let them.
+    """
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1, remembered=(100_000, 50_000))
 
 
 STAGES = [
