@@ -225,6 +225,21 @@ def f17_process_relevance(spark, sf):
     )
 
 
+_FITTED = ", ".join(f"('{k}')" for k in KERNELS)
+
+
+@query(
+    sql=f"with {v.FOLDS}, kernels(candidate) as (values {_FITTED}) select series_id, fold, candidate, 0e0 as residual, 0e0 as evidence_gap, 0e0 as mean_gap, 0e0 as std_gap, true as inside from folds cross join kernels",
+    doubles="residual evidence_gap mean_gap std_gap",
+    digits=5,
+)
+def f5_process_identities(spark, sf):
+    """Searched processes of all folds and kernels against plain solves at their hyper-parameters: every gap is 0."""
+    panel = b.panel(spark, sf)
+    fits = tables.materialize(gaussian.fit_predict(panel, b.PLAN, FEATURES, TARGETS), "process-fits")
+    return gaussian.identities(panel, b.PLAN, fits, FEATURES, TARGETS)
+
+
 def _narrow(spark, sf) -> Backtest:
     """The whole backtest on processes with given hyper-parameters and windows that SQL can follow."""
     return gaussian_backtest(b.panel(spark, sf), b.NARROW, FEATURES, TARGETS, grid=b.ONE)

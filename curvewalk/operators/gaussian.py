@@ -469,6 +469,58 @@ def predict_stored(
     return left.cogroup(right).applyInPandas(run, schema)
 
 
+def identities(panel: DataFrame, plan: WalkForward, fits: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+    """How far the results of ``fit_predict`` are from what their hyper-parameters imply, by a plain solve of each window.
+
+    One row per (series, fold, candidate) of an exact process: the largest residual of (K + noise) weights = targets, the
+    relative gap of the evidence, the largest gaps of means and deviations ahead, and whether all values lie in BOUNDS.
+    """
+    per_group = folds_per_group(plan)
+    rows = fold_groups(panel.select(*KEY, "pos", "pos_total", *dict.fromkeys([*features, *targets])), plan, per_group)
+    rows = only_folds(rows, plan, per_group, None)
+    slim = fits.select(
+        *KEY, F.expr(f"fold div {per_group}").alias("fold_group"), "fold", "candidate", "params", "log_marginal_likelihood", "predictions"
+    )
+    columns = ["series_id", "fold", "candidate", "residual", "evidence_gap", "mean_gap", "std_gap", "inside"]
+
+    def check(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, fit) -> tuple:
+        params = dict(fit.params)
+        lengths = np.array([params[f"length_{i}"] for i in range(x.shape[1])]) if "length_0" in params else np.ones(x.shape[1])
+        k = _kernel(fit.candidate, params)
+
+        def matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            u, v = (a - x.mean(0)) / lengths, (b - x.mean(0)) / lengths
+            return params["constant"] * k(((u[:, None] - v[None]) ** 2).sum(-1), a @ b.T)
+
+        whole = matrix(x, x) + (params["noise"] + NUGGET) * np.eye(len(x))
+        root = np.linalg.cholesky(whole)
+        weights = np.linalg.solve(whole, y)
+        evidence = -0.5 * ((y * weights).sum() + y.shape[1] * (2 * np.log(np.diag(root)).sum() + len(x) * LOG_2PI))
+        cross = matrix(ahead, x)
+        own = np.array([matrix(q[None], q[None])[0, 0] for q in ahead])
+        variance = own - (np.linalg.solve(root, cross.T) ** 2).sum(0) + params["noise"]
+        mean, std = np.array([list(p["mean"]) for p in fit.predictions]), np.array([p["std"] for p in fit.predictions])
+        inside = all(BOUNDS[n.split("_")[0]][0] * (1 - 1e-9) <= v <= BOUNDS[n.split("_")[0]][1] * (1 + 1e-9) for n, v in params.items())
+        return (
+            np.abs(whole @ weights - y).max(), abs(evidence - fit.log_marginal_likelihood) / max(1.0, abs(evidence)),
+            np.abs(cross @ weights - mean).max(), np.abs(np.sqrt(variance.clip(0.0)) - std).max(), inside,
+        )
+
+    def run(group: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        if len(group) and len(fitted):
+            by_fold = dict(list(fitted.groupby("fold")))
+            for fold, x, y, ahead, _ in _folds(group.sort_values("pos"), plan, per_group, features, targets, False):
+                for fit in by_fold[fold].itertuples() if fold in by_fold else ():
+                    made.append((fit.series_id, fold, fit.candidate, *check(x, y, ahead, fit)))
+        return pd.DataFrame(made, columns=columns)
+
+    schema = "series_id string, fold bigint, candidate string, residual double, evidence_gap double, mean_gap double, std_gap double, inside boolean"
+    keys, tasks = [*KEY, "fold_group"], task_count(rows)
+    left, right = (df.repartition(tasks, *keys).groupBy(*keys) for df in (rows, slim))
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
 def predictions(fits: DataFrame, targets: list[str]) -> DataFrame:
     """Fitted rows opened up to one row per forecast position."""
     return fits.select(*KEY, "fold", "candidate", F.inline("predictions")).select(

@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 PICKED = [
     "a2_load_panel", "a9_date_from_path", "b6_date_range", "c2_windows", "c4_refit_schedule", "c5_training_rows",
     "d3_moving_average", "e3_percentile", "e7_mean_curves_wide", "h11_all_metrics", "h15_describe", "i5_normal_qq",
+    "c7_continued_backtest", "e9_curve_fit", "f6_evidence_ridge", "f14_fixed_evidence", "g1_fixed_predictions", "g6_result_rows", "h5_ks_two_sample",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables absent")
