@@ -151,7 +151,24 @@ def test_packing_of_odd_rows(spark, odd, none):
     rows = pack(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), WORDS, size=128, with_ids=True).collect()
     check_packing(rows, list(enumerate(ODD)), 128)
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
-    assert {r.doc_id for r in pack(odd, WORDS).collect()} == {*range(len(ODD)), None}
+
+
+def test_packing_of_repeated_and_null_ids(spark, odd):
+    """Every row's ids once, also of rows that share an id: counts by id and checksums of pieces, and gapless sequences."""
+    rows = pack(odd, WORDS, size=256, with_ids=True).collect()
+    want, got = Counter(), Counter()
+    for r in odd.collect():
+        want[r.doc_id] += len(LIBRARY[WORDS].encode(r.text or "", add_special_tokens=False).ids) + 1
+    ends, sequences = Counter(), {}
+    for r in rows:
+        got[r.doc_id] += r.length
+        ends[r.doc_id] += r.start + r.length == r.doc_tokens
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+    assert got == want and ends == Counter(r.doc_id for r in odd.collect())
+    for own in sequences.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
 
 
 def test_mixture_serves_ranks_in_order():
