@@ -453,6 +453,16 @@ def c9_forecast_horizon(spark, sf):
     return tables.read_samples(spark, f"{root}/results", "seven-day-ahead")
 
 
+@query(sql=f"with {v.PROCESS_LONG} select *, 'seven-day-ahead' as horizon from long", doubles="actual prediction prediction_std")
+def c9_process_horizon(spark, sf):
+    """The whole flow with the process family, on windows and hyper-parameters that SQL can follow."""
+    root = tables.shared_folder(spark, "process-horizon")
+    tables.write_table(b.featured(spark, sf), f"{root}/panel.parquet")
+    path = f"{root}/panel.parquet"
+    forecast_horizon(spark, path, CONFIG, "seven-day-ahead", b.NARROW, "gaussian", output=root, n_samples=100, grid=b.ONE)
+    return tables.read_samples(spark, f"{root}/results", "seven-day-ahead")
+
+
 @query(sql=f"with {_FIXED_LONG} select *, 'seven-day-ahead' as horizon from long", doubles="actual prediction prediction_std")
 def a11_result_sink(spark, sf):
     root = tables.shared_folder(spark, "results")

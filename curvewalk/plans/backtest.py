@@ -239,8 +239,12 @@ def forecast_horizon(
     metric: str = "cosine_similarity",
     output: str | None = None,
     n_samples: int = 1000,
+    **options,
 ) -> Backtest:
-    """Configuration, panel, walk-forward and, with ``output``, the result tables of one horizon."""
+    """Configuration, panel, walk-forward and, with ``output``, the result tables of one horizon.
+
+    ``options`` are those of the family's backtest, such as ``kernels`` or ``priors``.
+    """
     config = tables.feature_config(spark, config_path)
     features, targets = tables.features(config, horizon), tables.targets(config)
     source = tables.table_source(spark, panel_path)
@@ -256,7 +260,7 @@ def forecast_horizon(
     run = {"gaussian": gaussian_backtest, "ridge": ridge_backtest}
     if family not in run:
         raise ValueError(f"unknown family {family!r}; families are {sorted(run)}")
-    result = run[family](panel, plan, features, targets, metric, store=output is not None)
+    result = run[family](panel, plan, features, targets, metric, store=output is not None, **options)
     if output:
         result = replace(result, forecasts=tables.materialize(result.forecasts, "forecasts"))
         tag = F.lit(horizon).alias("horizon")
