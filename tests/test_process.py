@@ -129,3 +129,19 @@ def test_a_planted_relevant_feature_ranks_first(spark):
         assert part.importance.sum() == pytest.approx(1) and part.importance.max() > 0.6
     alike = gaussian_backtest(panel, WalkForward(45, 1, 10), features, ["t0", "t1"], kernels=("RBF",)).importance()
     assert alike.filter(F.abs(F.col("importance") - 1 / 3) > 1e-12).count() == 0 and alike.count() == len(found)
+
+
+def test_identities_hold_for_fits_and_show_what_is_off(spark):
+    random = np.random.default_rng(9)
+    pdf = pd.DataFrame(random.normal(size=(50, 3)), columns=["x0", "x1", "t0"])
+    pdf["t0"] = np.sin(pdf.x0) + 0.1 * pdf.t0
+    pdf["series_id"], pdf["pos"], pdf["pos_total"] = "a", range(50), 50
+    panel, plan = spark.createDataFrame(pdf), WalkForward(30, 1, 10)
+    fits = gaussian.fit_predict(panel, plan, ["x0", "x1"], ["t0"], ("RBF", "RBF_ARD", "DotProduct")).cache()
+    gaps = ["residual", "evidence_gap", "mean_gap", "std_gap"]
+    found = gaussian.identities(panel, plan, fits, ["x0", "x1"], ["t0"]).toPandas()
+    assert len(found) == 6 and found.inside.all() and (found[gaps] < 1e-6).all().all()
+    moved = fits.withColumn("log_marginal_likelihood", F.col("log_marginal_likelihood") + 1)
+    moved = moved.withColumn("params", F.map_concat(F.map_filter("params", lambda k, v: k != "noise"), F.create_map(F.lit("noise"), F.lit(1e9))))
+    off = gaussian.identities(panel, plan, moved, ["x0", "x1"], ["t0"]).toPandas()
+    assert not off.inside.any() and (off.evidence_gap > 1e-6).all() and (off.std_gap > 1).all()
