@@ -205,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     """A lexicon from the labelled rows that aren't held out.
 
     Of either label about fit_rows rows are used, chosen by the hash of their ids: the sample is bounded whatever the
-    table's size. Labels other than 0 and 1 and null ids are left out; of repeated labels the largest counts.
+    table's size. Labels other than 0 and 1 and null ids are left out; of repeated labels the largest counts, of
+    documents that repeat an id the text with the least hash.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max("toxic").cast("int").alias("toxic")).where(~is_held_out(F.col("doc_id")))
@@ -215,8 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     if not limits:
         return learn([], [])
     sample = known.where(F.coalesce(*limits))
-    # The sample is bounded by fit_rows, so its ids go to the texts and no text is shuffled.
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
+    # The sample is bounded by fit_rows, so its ids go to the texts; of rows that repeat an id one text counts.
+    found = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     share = counts.get(1, 0) / sum(counts.values())
     return learn([r.text for r in rows], [r.toxic for r in rows], share)

@@ -113,3 +113,12 @@ def test_whole_query_equals_plain_scores_and_weights(spark):
                 contexts |= {(a, b) for a, w, b in zip(["", *words], words, [*words[1:], ""]) if f" {w} ".startswith(term)}
         want = math.log((min(len(contexts), inside[1]) + 0.5) / n[1]) - math.log((inside[0] + 0.5) / n[0])
         assert math.isclose(weight, want, abs_tol=1e-9), term
+
+
+def test_repeated_ids_give_one_text_each(spark):
+    pick = random.Random(2)
+    rows = [(i, " ".join(pick.choice("abcdefgh") * 4 for _ in range(12)) + (" grumpo" if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once, often = fit(docs, labels), fit(docs.unionByName(docs).unionByName(docs), labels)
+    assert (once.weights, once.exceptions, once.curve) == (often.weights, often.exceptions, often.curve)
